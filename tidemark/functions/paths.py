@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 
 def parts(path: Column) -> Column:
     return F.split(path, "/", -1)
@@ -20,13 +22,16 @@ def leaf(path: Column) -> Column:
 
 def self_and_ancestors(path: Column) -> Column:
     """``/a/b`` gives ``[/a, /a/b]``; the filesystem root itself is left out."""
-    names = parts(path)
-    return F.when(
-        F.size(names) >= 2,
-        F.transform(
-            F.sequence(F.lit(2), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/")
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def prefixes(names: Column) -> Column:
+        return F.when(
+            F.size(names) >= 2,
+            F.transform(
+                F.sequence(F.lit(2), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/")
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(parts(path), prefixes)
 
 
 def name_below(path: Column, folder: Column) -> Column:

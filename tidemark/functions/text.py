@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SENTENCE_ENDS = "。！？.!?"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also where ``use`` loops over it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

@@ -38,3 +38,24 @@ def name_below(path: Column, folder: Column) -> Column:
     """The component of ``path`` right under ``folder``, which must be one of its ancestors."""
     rest = F.substring(path, F.length(folder) + 2, F.length(path))
     return F.substring_index(rest, "/", 1)
+
+
+def normalised(path: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and empty components."""
+
+    def step(done: Column, name: Column) -> Column:
+        return (
+            F.when(name.isin("", "."), done)
+            .when(name == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+            .otherwise(F.array_append(done, name))
+        )
+
+    kept = F.aggregate(parts(path), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(target: Column, folder: Column) -> Column:
+    """``target`` seen from ``folder``: absolute targets stay, relative ones start there."""
+    return normalised(
+        F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(folder, F.lit("/"), target))
+    )

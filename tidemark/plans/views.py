@@ -105,9 +105,9 @@ VIEWS: dict[str, str] = {
                unnest(range(len(regexp_extract_all(text, '[^。！？.!?\n]+[。！？.!?]*')))) AS n FROM articles)
         WHERE sentence <> ''""",
     "files": r"""
-        SELECT 'corpus' AS project,
-               CASE lang WHEN 'en' THEN 'docs/d' || doc_id || '.md' WHEN 'fr' THEN 'guides/d' || doc_id || '.mdx'
-                    WHEN 'de' THEN 'src/d' || doc_id || '_old.js' ELSE 'vendor/d' || doc_id || '.md' END AS path, source,
+        SELECT source AS project, '/corpus' AS root,
+               CASE lang WHEN 'en' THEN '/corpus/docs/d' || doc_id || '.md' WHEN 'fr' THEN '/corpus/guides/d' || doc_id || '.mdx'
+                    WHEN 'de' THEN '/corpus/src/d' || doc_id || '_old.js' ELSE '/corpus/vendor/d' || doc_id || '.md' END AS path,
                text || chr(10) || 'See [next](d' || (doc_id + 1) || '.md) and `docs/d' || (doc_id + 2) || '.md`.' || chr(10) AS text
         FROM documents""",
     "facts": """

@@ -225,17 +225,20 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as project files that link to the next two documents by number."""
     number = F.col("doc_id").cast("string")
     path = (
-        F.when(F.col("lang") == "en", F.concat(F.lit("docs/d"), number, F.lit(".md")))
-        .when(F.col("lang") == "fr", F.concat(F.lit("guides/d"), number, F.lit(".mdx")))
-        .when(F.col("lang") == "de", F.concat(F.lit("src/d"), number, F.lit("_old.js")))
-        .otherwise(F.concat(F.lit("vendor/d"), number, F.lit(".md")))
+        F.when(F.col("lang") == "en", F.concat(F.lit("/corpus/docs/d"), number, F.lit(".md")))
+        .when(F.col("lang") == "fr", F.concat(F.lit("/corpus/guides/d"), number, F.lit(".mdx")))
+        .when(F.col("lang") == "de", F.concat(F.lit("/corpus/src/d"), number, F.lit("_old.js")))
+        .otherwise(F.concat(F.lit("/corpus/vendor/d"), number, F.lit(".md")))
     )
     links = F.concat(
         F.lit("\nSee [next](d"), (F.col("doc_id") + 1).cast("string"),
         F.lit(".md) and `docs/d"), (F.col("doc_id") + 2).cast("string"), F.lit(".md`.\n"),
     )
     return table(spark, folder, "documents").select(
-        F.lit("corpus").alias("project"), path.alias("path"), "source", F.concat("text", links).alias("text")
+        F.col("source").alias("project"),
+        F.lit("/corpus").alias("root"),
+        path.alias("path"),
+        F.concat("text", links).alias("text"),
     )
 
 

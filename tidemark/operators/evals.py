@@ -248,10 +248,10 @@ def failure_streaks(runs: DataFrame, *, n: int = 3, slice_size: int = 1_000_000)
 
 
 def baseline_check(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
-    """``metrics(run, metric, value)`` against ``baseline(metric, base, direction)``.
+    """``metrics(run, metric, value)`` against ``baseline(run, metric, base, direction)``.
 
     Direction ``up`` must not fall below the base, ``down`` must not exceed it, ``equal`` must match.
-    A baseline metric a run does not report is a regression as well.
+    A metric of the baseline that is not reported any more is a regression as well.
     """
     value, base = F.col("value"), F.col("base")
     ok = (
@@ -259,9 +259,7 @@ def baseline_check(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
         .when(F.col("direction") == "down", value <= base)
         .otherwise(value == base)
     )
-    names = baseline.agg(F.collect_set(F.struct("metric", "base", "direction"))).scalar()
-    wanted = metrics.select("run").distinct().select("run", F.inline(names))
-    return wanted.join(metrics, ["run", "metric"], "left").select(
+    return baseline.join(metrics, ["run", "metric"], "left").select(
         "run",
         "metric",
         "value",
@@ -307,28 +305,26 @@ def scope_violations(changes: DataFrame, allowed: DataFrame, frozen: DataFrame)
 def territory_overlap(allowed: DataFrame) -> DataFrame:
     """Territories ``allowed(task, prefix)`` that lie in, or equal, one of another task.
 
-    One row per territory and the prefix around it with the number of other tasks there and the first
-    of them, so that a prefix many tasks share does not turn into all their pairs.
+    One row per territory and the prefix around it, with the number of other tasks there and one of
+    them, so that a prefix many tasks share does not turn into all their pairs.
     """
     own = allowed.select("task", "prefix").distinct()
     holders = own.groupBy(F.col("prefix").alias("around")).agg(
-        F.count(F.lit(1)).alias("__tasks"), F.array_sort(F.array_distinct(F.array(F.min("task"), F.max("task")))).alias("__ends")
+        F.count(F.lit(1)).alias("tasks"), F.min("task").alias("first"), F.max("task").alias("last")
     )
-    mine = own.select(
-        "task", "prefix", F.explode(paths.self_and_ancestors(F.col("prefix"))).alias("around")
-    )
-    also_holds = own.select("task", F.col("prefix").alias("around"), F.lit(1).alias("__self"))
+    mine = own.select("task", "prefix", F.explode(paths.self_and_ancestors(F.col("prefix"))).alias("around"))
+    held = own.select("task", F.col("prefix").alias("around"), F.lit(1).alias("self"))
     return (
         mine.join(holders, "around")
-        .join(also_holds, ["task", "around"], "left")
-        .withColumn("other_tasks", F.col("__tasks") - F.coalesce("__self", F.lit(0)))
+        .join(held, ["task", "around"], "left")
+        .withColumn("other_tasks", F.col("tasks") - F.coalesce("self", F.lit(0)))
         .filter("other_tasks > 0")
         .select(
             "task",
             "prefix",
             "around",
             "other_tasks",
-            F.filter("__ends", lambda t: t != F.col("task"))[0].alias("first_other"),
+            F.when(F.col("first") < F.col("task"), F.col("first")).otherwise(F.col("last")).alias("other"),
         )
     )
 

@@ -140,23 +140,27 @@ def _(spark, folder):
     return evals.failure_streaks(derived.runs(spark, folder), slice_size=1000)
 
 
-@query("evals_baseline_check", "runs", sql="""
-    WITH m AS (SELECT run, 'ok' AS metric, count(*) FILTER (ok) AS value FROM runs GROUP BY run
-               UNION ALL SELECT run, "check", count(*) FROM runs WHERE NOT ok AND "check" <> 'c4' GROUP BY ALL),
-         b(metric, base, direction) AS (SELECT 'ok', CAST(floor(avg(value)) AS BIGINT), 'up' FROM m WHERE metric = 'ok' UNION ALL
-               SELECT DISTINCT "check", 5, CASE "check" WHEN 'c0' THEN 'equal' ELSE 'down' END FROM runs)
+HALF = "TIMESTAMP_NTZ '2024-01-15 00:00:00'"
+
+
+@query("evals_baseline_check", sql="""
+    WITH r AS (SELECT user_id AS run, 'c' || (CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) // 20) AS metric,
+                      event_type NOT IN ('error', 'view') AS ok, ts < TIMESTAMP '2024-01-15 00:00:00' AS early FROM events),
+         b AS (SELECT run, metric, count(*) FILTER (ok) AS base, CASE metric WHEN 'c0' THEN 'equal' WHEN 'c1' THEN 'down' ELSE 'up' END AS direction
+               FROM r WHERE early GROUP BY ALL),
+         m AS (SELECT run, metric, count(*) FILTER (ok) AS value FROM r WHERE NOT early GROUP BY ALL)
     SELECT run, metric, value, base, CASE WHEN coalesce(CASE direction WHEN 'up' THEN value >= base WHEN 'down' THEN value <= base ELSE value = base END, false)
-        THEN 'ok' ELSE 'rollback' END AS verdict
-    FROM (SELECT DISTINCT run FROM runs) CROSS JOIN b LEFT JOIN m USING (run, metric)""")
+        THEN 'ok' ELSE 'rollback' END AS verdict FROM b LEFT JOIN m USING (run, metric)""")
 def _(spark, folder):
-    runs = derived.runs(spark, folder)
-    passed = runs.groupBy("run").agg(F.count_if("ok").alias("value")).withColumn("metric", F.lit("ok"))
-    failed = runs.filter("NOT ok AND check <> 'c4'").groupBy("run", F.col("check").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
-    least = passed.agg(F.floor(F.avg("value")).alias("base")).select(F.lit("ok").alias("metric"), "base", F.lit("up").alias("direction"))
-    most = runs.select(F.col("check").alias("metric")).distinct().select(
-        "metric", F.lit(5).cast("long").alias("base"), F.when(F.col("metric") == "c0", "equal").otherwise("down").alias("direction")
-    )
-    return evals.baseline_check(passed.unionByName(failed), least.unionByName(most))
+    # The first half of the month is the baseline of the second, per user and check.
+    events = table(spark, folder, "events")
+
+    def passed(part, name):
+        return derived.run_rows(part).groupBy("run", F.col("check").alias("metric")).agg(F.count_if("ok").alias(name))
+
+    direction = derived.mapped(F.col("metric"), {"c0": "equal", "c1": "down"}, "up")
+    baseline = passed(events.filter(f"ts < {HALF}"), "base").withColumn("direction", direction)
+    return evals.baseline_check(passed(events.filter(f"ts >= {HALF}"), "value"), baseline)
 
 
 @query("evals_round_limit", sql="""
@@ -190,11 +194,12 @@ def _(spark, folder):
 
 
 @query("evals_territory_overlap", "customer_dirs", sql="""
-    WITH own AS (SELECT DISTINCT o_orderpriority AS task, CASE WHEN o_totalprice > 200000 THEN '/' || r_name || '/' || n_name ELSE path END AS prefix
-                 FROM orders JOIN customer_dirs ON o_custkey = c_custkey)
-    SELECT a.task, a.prefix, b.prefix AS around, count(DISTINCT b.task) AS other_tasks, min(b.task) AS first_other
-    FROM own a JOIN own b ON b.task <> a.task AND (a.prefix = b.prefix OR starts_with(a.prefix, b.prefix || '/'))
-    GROUP BY ALL""")
+    WITH own AS (SELECT DISTINCT o_orderpriority AS task, CASE WHEN o_totalprice > 200000 THEN '/' || r_name || '/' || n_name ELSE path END AS prefix,
+                        '/' || r_name || '/' || n_name AS nation FROM orders JOIN customer_dirs ON o_custkey = c_custkey),
+         pairs AS (SELECT DISTINCT a.task, a.prefix, b.prefix AS around, b.task AS other FROM own a
+                   JOIN own b ON b.task <> a.task AND b.prefix IN (a.prefix, a.nation) AND a.nation = b.nation)
+    SELECT task, prefix, around, count(*) AS other_tasks, CASE WHEN min(other) < task THEN min(other) ELSE max(other) END AS other
+    FROM pairs GROUP BY task, prefix, around""")
 def _(spark, folder):
     dirs = derived.customer_dirs(spark, folder)
     prefix = F.when(F.col("o_totalprice") > 200000, F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name")).otherwise(F.col("path"))

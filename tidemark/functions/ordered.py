@@ -31,9 +31,19 @@ def _cut(df: DataFrame, by: Column) -> DataFrame:
 
 
 def rank_in_order(
-    df: DataFrame, keys: list[str], order: list[str], by: Column, name: str, descending: bool = False
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    by: Column,
+    name: str,
+    descending: bool = False,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group, ordered by ``order``."""
+    """Add the 1-based position of each row in its group, ordered by ``order``.
+
+    ``facts`` has one row per group; its columns are added as well, over the slices instead of a join
+    that would bring the whole group together.
+    """
     arrow = F.desc if descending else F.asc
     cut = _cut(df, by)
     earlier = W.partitionBy(*keys).orderBy(arrow(_SLICE)).rowsBetween(W.unboundedPreceding, -1)
@@ -42,6 +52,8 @@ def rank_in_order(
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*keys, _SLICE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     )
+    if facts is not None:
+        offsets = offsets.join(facts, keys, "left")
     inside = W.partitionBy(*keys, _SLICE).orderBy(*[arrow(c) for c in order])
     return (
         cut.withColumn("__local", F.row_number().over(inside))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.links import follow
 from tidemark.functions.ordered import days, rank_in_order
+from tidemark.functions.skew import spread_join
 
 # The backfill limit, the windows offered, the silence after which a story is settled.
 BACKFILL_HOURS = 72
@@ -189,21 +190,19 @@ def story_timeline(reports: DataFrame, *, now: datetime | Column, slice_days: in
 
     A story is settled when its last report is more than 48 hours old.
     """
-    ranked = rank_in_order(
-        reports, ["story_id"], ["ts", "report_id"], days("ts", slice_days), "position", descending=True
-    )
     stories = reports.groupBy("story_id").agg(
         F.max(F.struct("ts", "report_id")).alias("last"), F.count(F.lit(1)).alias("report_count")
     )
     settled = F.col("last.ts") < _hours_before(_at(now), SETTLED_HOURS)
-    return ranked.join(
-        stories.select(
-            "story_id",
-            "report_count",
-            F.col("last.report_id").alias("latest"),
-            F.when(settled, "settled").otherwise("developing").alias("status"),
-        ),
+    facts = stories.select(
         "story_id",
+        "report_count",
+        F.col("last.report_id").alias("latest"),
+        F.when(settled, "settled").otherwise("developing").alias("status"),
+    )
+    order = ["ts", "report_id"]
+    return rank_in_order(
+        reports, ["story_id"], order, days("ts", slice_days), "position", descending=True, facts=facts
     )
 
 
@@ -244,9 +243,9 @@ def resolve_story_links(topics: DataFrame, stories: DataFrame, *, host: str) ->
     escaped = "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in host.rstrip("/"))
     public_id = F.regexp_extract("story_link", rf"^{escaped}/story/([^/?#\s]+)/?$", 1)
     known = stories.select(F.col("public_id")).distinct().withColumn("__known", F.lit(True))
+    linked = topics.withColumn("public_id", F.when(public_id != "", public_id))
     return (
-        topics.withColumn("public_id", F.when(public_id != "", public_id))
-        .join(known, "public_id", "left")
+        spread_join(linked, known, ["public_id"])
         .withColumn("resolved", F.coalesce("__known", F.lit(False)))
         .drop("__known")
     )

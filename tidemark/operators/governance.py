@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from tidemark.functions import paths
 from tidemark.functions import text as tx
 from tidemark.functions.links import follow
+from tidemark.functions.skew import spread_join
 from tidemark.operators.feed import related
 from tidemark.operators.style import Phrase, phrase_hits
 
@@ -136,7 +137,7 @@ def rule_chain(files: DataFrame, projects: DataFrame, *, home: str | None = None
     first = wanted.groupBy("project", "path").agg(F.min(F.struct("depth", "nth")).alias("at"))
     order = W.partitionBy("project").orderBy("at")
     return (
-        first.join(files.select("path").distinct(), "path", "left_semi")
+        first.join(files.select("path"), "path", "left_semi")
         .withColumn("position", F.row_number().over(order).cast("long"))
         .select("project", "position", "path")
     )
@@ -148,7 +149,7 @@ def symlink_state(files: DataFrame) -> DataFrame:
         "path", paths.resolved(F.col("target"), paths.parent(F.col("path"))).alias("target")
     )
     ends = follow(linked, "path", "target")
-    real = files.filter(~F.coalesce("is_symlink", F.lit(False))).select(F.col("path").alias("root")).distinct()
+    real = files.filter(~F.coalesce("is_symlink", F.lit(False))).select(F.col("path").alias("root"))
     state = real.withColumn("__real", F.lit(True))
     return (
         linked.join(ends.withColumnRenamed("source", "path"), "path", "left")
@@ -217,7 +218,7 @@ def fact_conflicts(facts: DataFrame, *, authority: Sequence[str] = AUTHORITY) ->
             (F.min("value") != F.max("value")).alias("conflict"),
         )
     )
-    return facts.join(decided, "topic").select(
+    return spread_join(facts, decided, ["topic"]).select(
         "topic",
         "surface",
         "value",

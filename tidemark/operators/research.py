@@ -16,14 +16,14 @@ SOURCE_ORDER = ("primary", "media", "reprint")
 THREATS = ("高", "中", "低")
 
 
-def timeline(events: DataFrame, *, slice_days: int = 365) -> DataFrame:
+def timeline(events: DataFrame, *, slice_days: int = 30) -> DataFrame:
     """Events of each subject in order with the date before and the gap in days."""
     return previous_in_order(
         events, ["subject"], ["date", "name"], days("date", slice_days), "date", "previous_date"
     ).withColumn("gap_days", F.datediff("date", "previous_date"))
 
 
-def timeline_gaps(events: DataFrame, *, max_gap: int, slice_days: int = 365) -> DataFrame:
+def timeline_gaps(events: DataFrame, *, max_gap: int, slice_days: int = 30) -> DataFrame:
     """Breaks of more than ``max_gap`` days between neighbouring events."""
     return timeline(events, slice_days=slice_days).filter(F.col("gap_days") > max_gap)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import paths, sizes
+from tidemark.functions.skew import spread_join
 
 # Size floors in KB, the groups with the higher one, entries shown per group.
 FLOOR_KB = 51200
@@ -58,22 +59,20 @@ def child_sizes(entries: DataFrame, targets: DataFrame) -> DataFrame:
 
     An unreadable root gives one row of size 0 with ``denied``.
     """
-    roots = targets.select(F.col("root").alias("__root")).distinct()
-    summed = (
-        _readable(entries)
-        .select(
-            paths.parent(F.col("path")).alias("dir"), paths.leaf(F.col("path")).alias("leaf"), "size_bytes"
-        )
-        .join(roots, F.col("dir") == F.col("__root"), "left")
-        # Only right below a root does the file name matter; elsewhere files melt into their directory.
-        .groupBy("dir", F.when(F.col("__root").isNotNull(), F.col("leaf")).alias("leaf"))
-        .agg(F.sum("size_bytes").alias("size_bytes"))
+    files = _readable(entries).select(
+        paths.parent(F.col("path")).alias("dir"), paths.leaf(F.col("path")).alias("leaf"), "size_bytes"
     )
-    spread = summed.select(
-        "dir", "leaf", "size_bytes", F.explode(paths.self_and_ancestors(F.col("dir"))).alias("root")
+    # Files right below a root are children themselves; all others melt into their directory first.
+    direct = files.join(targets, F.col("dir") == F.col("root")).select(
+        "group", "root", "floor_kb", F.col("leaf").alias("name"), "size_bytes"
     )
-    child = F.when(F.col("root") == F.col("dir"), F.col("leaf")).otherwise(
-        paths.name_below(F.col("dir"), F.col("root"))
+    deeper = (
+        files.groupBy("dir")
+        .agg(F.sum("size_bytes").alias("size_bytes"))
+        .select("dir", "size_bytes", F.explode(paths.self_and_ancestors(F.col("dir"))).alias("root"))
+        .filter(F.col("root") != F.col("dir"))
+        .join(targets, "root")
+        .select("group", "root", "floor_kb", paths.name_below(F.col("dir"), F.col("root")).alias("name"), "size_bytes")
     )
     denied_roots = (
         entries.filter("denied")
@@ -90,10 +89,10 @@ def child_sizes(entries: DataFrame, targets: DataFrame) -> DataFrame:
         )
     )
     sized = (
-        spread.join(targets, "root")
-        .groupBy("group", "root", child.alias("name"), "floor_kb")
+        direct.unionByName(deeper)
+        .groupBy("group", "root", "name", "floor_kb")
         .agg(F.floor(F.sum("size_bytes") / 1024).cast("long").alias("size_kb"))
-        .filter(F.col("name").isNotNull() & (F.col("size_kb") >= F.col("floor_kb")))
+        .filter(F.col("size_kb") >= F.col("floor_kb"))
         .select(
             "group",
             "root",
@@ -381,9 +380,8 @@ def audit_actions(
     in_roots = F.lit(False)
     for root in roots:
         in_roots = in_roots | (F.col("path") == root) | F.startswith(F.col("path"), F.lit(f"{root}/"))
-    checked = requested.join(
-        allowed.select("mode", "path").distinct().withColumn("__granted", F.lit(True)), ["mode", "path"], "left"
-    ).withColumn(
+    granted = allowed.select("mode", "path").distinct().withColumn("__granted", F.lit(True))
+    checked = spread_join(requested, granted, ["mode", "path"]).withColumn(
         "__stop",
         F.when(~F.col("mode").isin("rm", "trash", "open"), "rejected")
         .when(F.col("__granted").isNull(), "not granted")
@@ -398,7 +396,7 @@ def audit_actions(
         .when(F.col("pos") == F.col("__first"), F.col("__stop"))
         .otherwise("not reached")
     )
-    return checked.join(first, "request_id", "left").select(
+    return spread_join(checked, first, ["request_id"]).select(
         "request_id", "mode", "pos", "path", outcome.alias("outcome")
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import feed
@@ -101,7 +99,8 @@ def feed_top_24h(spark, folder):
     ORDER BY timeline_ts DESC, id DESC LIMIT 100""")
 def _(spark, folder):
     recent = feed.feed_window(derived.feed_items(spark, folder), now=now(spark, folder))
-    return feed.feed_page(recent, limit=100, after=(dt.datetime(2024, 1, 28), 9000)).select("id", "has_more")
+    last_seen = F.to_timestamp_ntz(F.lit("2024-01-28 00:00:00"))
+    return feed.feed_page(recent, limit=100, after=(last_seen, 9000)).select("id", "has_more")
 
 
 @query("feed_narrow_3d", "timeline_items", sql=WINDOW_SQL + "timeline_ts >= now - INTERVAL 72 HOUR")
@@ -168,22 +167,20 @@ def _(spark, folder):
 
 
 @query("feed_related_stories", sql="""
-    WITH edges AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-                   WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_quantity >= 45),
-         stories AS (SELECT c_custkey AS s FROM customer WHERE c_mktsegment = 'BUILDING'),
+    WITH edges AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+         stories AS (SELECT c_custkey AS s FROM customer),
          hop1 AS (SELECT s, b, 1 AS hops FROM stories JOIN edges ON a = s),
          hop2 AS (SELECT s, edges.b, 2 AS hops FROM hop1 JOIN edges ON a = hop1.b)
     SELECT s AS story_id, b AS related_id, min(hops) AS hops FROM
         (SELECT s, s AS b, 0 AS hops FROM stories UNION ALL SELECT * FROM hop1 UNION ALL SELECT * FROM hop2)
     GROUP BY ALL HAVING min(hops) > 0""")
 def _(spark, folder):
-    urgent = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
     edges = (
-        table(spark, folder, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 45")
-        .join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+        table(spark, folder, "lineitem")
+        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("o_custkey").alias("story_id"), F.col("l_suppkey").alias("related_id"), F.lit("related").alias("kind"))
     )
-    stories = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("story_id"))
+    stories = table(spark, folder, "customer").select(F.col("c_custkey").alias("story_id"))
     return feed.related(stories, edges, hops=2)
 
 

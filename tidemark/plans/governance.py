@@ -174,8 +174,8 @@ STEP = "least(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER) // 1
 
 
 @query("governance_cleanup_ready", sql=f"""
-    WITH last AS (SELECT user_id AS project, {STEP} AS step, max(ts) AS ts FROM events WHERE value >= 20 GROUP BY ALL),
-         grid AS (SELECT p.user_id AS project, s.step, ts FROM (SELECT DISTINCT user_id FROM events WHERE value >= 20) p
+    WITH last AS (SELECT user_id AS project, {STEP} AS step, max(ts) AS ts FROM events GROUP BY ALL),
+         grid AS (SELECT p.user_id AS project, s.step, ts FROM (SELECT DISTINCT user_id FROM events) p
                   CROSS JOIN (SELECT unnest(range(8)) AS step) s LEFT JOIN last l ON l.project = p.user_id AND l.step = s.step),
          judged AS (SELECT *, ts IS NULL OR (step = 6 AND ts <= lag(ts) OVER w) OR coalesce(ts < lag(ts) OVER w, false) AS bad
                     FROM grid WINDOW w AS (PARTITION BY project ORDER BY step))
@@ -184,7 +184,7 @@ STEP = "least(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INTEGER) // 1
 def _(spark, folder):
     number = F.least(F.floor(F.from_json("props", "k INT").k / 12), F.lit(7))
     steps = F.array(*[F.lit(s) for s in governance.CLEANUP_STEPS])
-    events = table(spark, folder, "events").filter("value >= 20").select(
+    events = table(spark, folder, "events").select(
         F.col("user_id").alias("project"), F.element_at(steps, (number + 1).cast("int")).alias("step"), "ts"
     )
     return governance.cleanup_ready(events)
@@ -283,10 +283,10 @@ def _(spark, folder):
 
 
 @query("governance_consumers", sql="""
-    SELECT l_partkey AS symbol, -l_suppkey - 1 AS consumer, 1 AS hops FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 45 GROUP BY ALL""")
+    SELECT l_partkey AS symbol, -l_suppkey - 1 AS consumer, 1 AS hops FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def _(spark, folder):
     deps = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("symbol"), (-F.col("l_suppkey") - 1).alias("consumer"))
-    changed = table(spark, folder, "part").filter("p_size > 45").select(F.col("p_partkey").alias("symbol"))
+    changed = table(spark, folder, "part").select(F.col("p_partkey").alias("symbol"))
     return governance.consumers(changed, deps, hops=2)
 
 

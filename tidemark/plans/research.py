@@ -69,9 +69,9 @@ def _(spark, folder):
 @query("research_matrix", sql="""
     SELECT p_brand AS dimension, max(p_retailprice) FILTER (p_type = 'ECONOMY') AS economy,
            max(p_retailprice) FILTER (p_type = 'SMALL') AS small, max(p_retailprice) FILTER (p_type = 'PROMO') AS promo
-    FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'PROMO') GROUP BY p_brand""")
+    FROM part GROUP BY p_brand""")
 def _(spark, folder):
-    values = table(spark, folder, "part").filter(F.col("p_type").isin("ECONOMY", "SMALL", "PROMO")).select(
+    values = table(spark, folder, "part").select(
         F.col("p_brand").alias("dimension"), F.lower("p_type").alias("party"), F.col("p_retailprice").alias("value")
     )
     return research.matrix(values, ["economy", "small", "promo"])
@@ -121,11 +121,11 @@ def _(spark, folder):
 @query("research_roots", sql="""
     SELECT c_custkey AS trait, count(o_orderkey) AS events, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS root,
            strftime(min(o_orderdate), '%Y-%m-%d') AS root_date
-    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate <= DATE '1997-06-30') ON o_custkey = c_custkey
+    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderdate <= DATE '1997-06-30') ON o_custkey = c_custkey
     GROUP BY c_custkey""")
 def _(spark, folder):
     orders = table(spark, folder, "orders")
-    links = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("trait"), F.col("o_orderkey").alias("event"))
+    links = orders.select(F.col("o_custkey").alias("trait"), F.col("o_orderkey").alias("event"))
     events = orders.select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").cast("date").alias("date"))
     traits = table(spark, folder, "customer").select(F.col("c_custkey").alias("trait"))
     found = research.roots(traits, links, events, cut_date="1997-06-30")

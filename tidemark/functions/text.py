@@ -25,14 +25,32 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n[ \t]*\n", -1), lambda p: F.trim(p) != "")
 
 
+_END = f"[{SENTENCE_ENDS}]"
+_INSIDE = rf"[^{SENTENCE_ENDS}\n]"
+
+
 def sentences(text: Column) -> Column:
     """Sentences with their end marks; a line break also ends a sentence."""
-    found = F.regexp_extract_all(
-        text, F.lit(rf"[^{SENTENCE_ENDS}\n]+[{SENTENCE_ENDS}]*"), F.lit(0)
-    )
+    found = F.regexp_extract_all(text, F.lit(f"{_INSIDE}+{_END}*"), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
+def sentence_lengths(text: Column) -> Column:
+    """The lengths of ``sentences`` without building them twice."""
+    found = F.regexp_extract_all(text, F.lit(f"{_INSIDE}+{_END}*"), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.length(F.trim(s))), lambda n: n > 0)
+
+
+def sentence_count(text: Column) -> Column:
+    """The number of ``sentences``, counted in one pass. Blanks alone are no sentence."""
+    return count_pattern(text, rf" *[^{SENTENCE_ENDS}\n ]{_INSIDE}*{_END}*| +{_END}+")
+
+
+def question_count(text: Column) -> Column:
+    """The number of ``sentences`` whose last end mark is a question mark."""
+    return count_pattern(text, f"{_INSIDE}{_END}*[?？](?!{_END})")
+
+
 def count_literal(text: Column, phrase: str) -> Column:
     """How often ``phrase`` occurs without overlap."""
     bare = F.replace(text, F.lit(phrase), F.lit(""))

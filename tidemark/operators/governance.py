@@ -188,21 +188,24 @@ def dead_links(files: DataFrame) -> DataFrame:
     return references(files).join(existing, "target", "left_anti").select("project", "path", "ref", "target")
 
 
-def index_diff(index_links: DataFrame, files: DataFrame) -> DataFrame:
-    """Index entries without a file and files without an entry, per ``project, file``."""
-    listed = index_links.select("project", "file").distinct().withColumn("__listed", F.lit(True))
-    there = files.select("project", "file").distinct().withColumn("__there", F.lit(True))
+def _one_sided(left: DataFrame, right: DataFrame, keys: list[str], only_left: str, only_right: str) -> DataFrame:
+    """Keys that occur on one side only, with one shuffle and partial aggregation of both sides."""
+    both = left.select(*keys, F.lit(True).alias("__left")).unionByName(
+        right.select(*keys, F.lit(False).alias("__left"))
+    )
     return (
-        listed.join(there, ["project", "file"], "full_outer")
-        .filter(F.col("__listed").isNull() | F.col("__there").isNull())
-        .select(
-            "project",
-            "file",
-            F.when(F.col("__there").isNull(), "entry without file").otherwise("file without entry").alias("finding"),
-        )
+        both.groupBy(*keys)
+        .agg(F.bool_or("__left").alias("__in_left"), F.bool_and("__left").alias("__only_left"))
+        .filter(F.col("__only_left") | ~F.col("__in_left"))
+        .select(*keys, F.when(F.col("__only_left"), only_left).otherwise(only_right).alias("finding"))
     )
 
 
+def index_diff(index_links: DataFrame, files: DataFrame) -> DataFrame:
+    """Index entries without a file and files without an entry, per ``project, file``."""
+    return _one_sided(index_links, files, ["project", "file"], "entry without file", "file without entry")
+
+
 def fact_conflicts(facts: DataFrame, *, authority: Sequence[str] = AUTHORITY) -> DataFrame:
     """State of each ``facts(topic, surface, value)`` against the best authority that knows the topic.
 
@@ -273,13 +276,7 @@ CODE_SYMBOLS = {
 def coverage(code_symbols: DataFrame, doc_symbols: DataFrame) -> DataFrame:
     """Symbols only in code or only in documents, per project and kind."""
     keys = ["project", "kind", "symbol"]
-    code = code_symbols.select(keys).distinct().withColumn("__code", F.lit(True))
-    docs = doc_symbols.select(keys).distinct().withColumn("__docs", F.lit(True))
-    return (
-        code.join(docs, keys, "full_outer")
-        .filter(F.col("__code").isNull() | F.col("__docs").isNull())
-        .select(*keys, F.when(F.col("__docs").isNull(), "undocumented").otherwise("not in code").alias("finding"))
-    )
+    return _one_sided(code_symbols, doc_symbols, keys, "undocumented", "not in code")
 
 
 def retired_refs(files: DataFrame, retired: Sequence[str], *, history: str = HISTORY) -> DataFrame:
@@ -536,45 +533,52 @@ def manifest_problems(
 
     ``manifest(package, line)`` holds checksum lines, ``files(package, path, sha256)`` what is there.
     """
-    wanted_hash = F.regexp_extract("line", MANIFEST_LINE, 1)
-    path = F.regexp_extract("line", MANIFEST_LINE, 2)
-    lines = manifest.select("package", "line", wanted_hash.alias("wanted"), path.alias("path"))
-    unsafe = F.startswith("path", F.lit("/")) | F.contains("path", F.lit("..")) | F.contains("path", F.lit("//"))
-    well_formed = lines.filter(F.col("path") != "")
-    listed = well_formed.groupBy("package", "path").agg(
-        F.count(F.lit(1)).alias("n"), F.min("wanted").alias("wanted"), F.max("wanted").alias("wanted_max")
-    )
-    there = files.select("package", "path", "sha256", F.lit(True).alias("__there"))
-    matched = listed.join(there, ["package", "path"], "left")
-    per_path = matched.select(
+    lines = manifest.select(
         "package",
-        "path",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(unsafe, "unsafe path"),
-                    F.when(~unsafe & ~F.col("path").isin(*allowed), "path not allowed"),
-                    F.when(F.col("n") > 1, "path listed twice"),
-                    F.when(F.col("__there").isNull(), "file missing"),
-                    F.when(
-                        (F.col("sha256") != F.col("wanted")) | (F.col("sha256") != F.col("wanted_max")),
-                        "hash differs",
-                    ),
-                ),
-                lambda p: p.isNotNull(),
-            )
-        ).alias("problem"),
+        "line",
+        F.regexp_extract("line", MANIFEST_LINE, 2).alias("path"),
+        F.regexp_extract("line", MANIFEST_LINE, 1).alias("wanted"),
     )
     malformed = lines.filter(F.col("path") == "").select(
-        "package", F.col("line").alias("path"), F.lit("malformed line").alias("problem")
-    )
-    names = F.array(*[F.lit(r) for r in (allowed if required is None else required)])
-    absent = (
-        manifest.select("package").distinct().select("package", F.explode(names).alias("path"))
-        .join(files.select("package", "path"), ["package", "path"], "left_anti")
-        .select("package", "path", F.lit("required file absent").alias("problem"))
-    )
-    return per_path.unionByName(malformed).unionByName(absent)
+        "package", F.lit("malformed line").alias("problem"), F.col("line").alias("path")
+    )
+    none = F.lit(None).cast("string")
+    # Lines and files meet in one aggregation per package and path.
+    per_path = (
+        lines.filter(F.col("path") != "")
+        .select("package", "path", "wanted", none.alias("sha256"))
+        .unionByName(files.select("package", "path", none.alias("wanted"), "sha256"))
+        .groupBy("package", "path")
+        .agg(
+            F.count("wanted").alias("n"),
+            F.min("wanted").alias("first"),
+            F.max("wanted").alias("last"),
+            F.max("sha256").alias("sha256"),
+        )
+    )
+    unsafe = F.startswith("path", F.lit("/")) | F.contains("path", F.lit("..")) | F.contains("path", F.lit("//"))
+    found = F.array(
+        F.when(unsafe, "unsafe path"),
+        F.when(~unsafe & ~F.col("path").isin(*allowed), "path not allowed"),
+        F.when(F.col("n") > 1, "path listed twice"),
+        F.when(F.col("sha256").isNull(), "file missing"),
+        F.when((F.col("sha256") != F.col("first")) | (F.col("sha256") != F.col("last")), "hash differs"),
+    )
+    on_lines = per_path.filter(F.col("n") > 0).select(
+        "package", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"), "path"
+    )
+    names = list(allowed if required is None else required)
+    there = F.when(F.col("path").isin(*names) & F.col("sha256").isNotNull(), F.col("path"))
+    # A set of required names has no more entries than there are names.
+    absent = per_path.unionByName(
+        malformed.select("package"), allowMissingColumns=True
+    ).groupBy("package").agg(F.collect_set(there).alias("there"), F.count_if(F.col("n").isNull() | (F.col("n") > 0)).alias("lines"))
+    absent = absent.filter(F.col("lines") > 0).select(
+        "package",
+        F.lit("required file absent").alias("problem"),
+        F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), "there")).alias("path"),
+    )
+    return on_lines.unionByName(malformed).unionByName(absent)
 
 
 def verify_manifest(

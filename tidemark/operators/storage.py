@@ -208,16 +208,15 @@ def classify_by_prefix(children: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Add ``tier`` from ``prefixes(prefix, tier, priority)``, a rule table of any size.
 
     A path looks its own ancestors up, so this is an equi-join and Spark broadcasts the table only
-    while it is small. The highest priority wins, then the longest prefix.
+    while it is small. The highest priority wins, then the longest prefix. Rows must be distinct.
     """
-    best = (
-        children.select("path").distinct()
-        .select("path", F.explode(paths.self_and_ancestors(F.col("path"))).alias("prefix"))
-        .join(prefixes, "prefix")
-        .groupBy("path")
-        .agg(F.max_by("tier", F.struct("priority", F.length("prefix"))).alias("tier"))
-    )
-    return children.join(best, "path", "left").fillna("none", ["tier"])
+    return (
+        children.withColumn("prefix", F.explode(paths.self_and_ancestors(F.col("path"))))
+        .join(prefixes, "prefix", "left")
+        .withColumn("__rank", F.when(F.col("tier").isNotNull(), F.struct("priority", F.length("prefix"))))
+        .groupBy(*children.columns)
+        .agg(F.coalesce(F.max_by("tier", "__rank"), F.lit("none")).alias("tier"))
+    )
 
 
 def top5(classified: DataFrame) -> DataFrame:

@@ -91,8 +91,8 @@ COLLOQUIAL = (
     "我寻思了一下我没寻思明白", "真的就是一声叹息", "这尼玛就是", "太牛逼了", "比较骚的事",
 )
 EMOTION_MARKS = ("。。。", "？？？", "= =")
-BULLET = r"^\s*([-*+•]|[0-9]+[.、)])\s+"
-HEADING = r"^(#{1,6} |\*\*[^*]+\*\*\s*$)"
+BULLET = r"^[^\S\n]*([-*+•]|[0-9]+[.、)])[^\S\n]+"
+HEADING = r"(?<=^|\n)(#{1,6} |\*\*[^*\n]+\*\*[^\S\n]*(?=\n|$))"
 # Length budgets per genre and section, in characters.
 BUDGETS = (
     Budget("article", "total", 4000, 8000),
@@ -165,7 +165,9 @@ def _long_runs(text: Column, longest: int, bullet: str) -> Column:
     marks = F.array_join(
         F.transform(tx.lines(text), lambda line: F.when(line.rlike(bullet), "b").otherwise(".")), ""
     )
-    return F.regexp_extract_all(marks, F.lit(f"b{{{longest + 1},}}"), F.lit(0))
+    runs = F.regexp_extract_all(marks, F.lit(f"b{{{longest + 1},}}"), F.lit(0))
+    # Most texts have no bullet at all, which one search tells.
+    return F.when(text.rlike("(?m)" + bullet), runs).otherwise(F.array().cast("array<string>"))
 
 
 def bullet_runs(docs: DataFrame, *, longest: int = 3, bullet: str = BULLET) -> DataFrame:
@@ -183,7 +185,8 @@ def bullet_runs(docs: DataFrame, *, longest: int = 3, bullet: str = BULLET) -> D
 
 def _long_bold(text: Column, max_lines: int) -> Column:
     spans = F.regexp_extract_all(text, F.lit(r"(?s)\*\*(.+?)\*\*"), F.lit(1))
-    return F.filter(spans, lambda s: F.size(F.split(s, "\n", -1)) > max_lines)
+    long = F.filter(spans, lambda s: F.size(F.split(s, "\n", -1)) > max_lines)
+    return F.when(F.contains(text, F.lit("**")), long).otherwise(F.array().cast("array<string>"))
 
 
 def bold_spans(docs: DataFrame, *, max_lines: int = 2) -> DataFrame:
@@ -195,16 +198,18 @@ def bold_spans(docs: DataFrame, *, max_lines: int = 2) -> DataFrame:
     )
 
 
-def _flat_places(text: Column, tol_percent: int, run: int = 3) -> Column:
-    def count(lengths: Column) -> Column:
-        def flat(end: Column) -> Column:
-            near = F.slice(lengths, end - (run - 1), F.lit(run))
-            return (F.array_max(near) - F.array_min(near)) * 100 <= F.array_max(near) * tol_percent
+def _flat_places(text: Column, tol_percent: int) -> Column:
+    zero = F.lit(0)
+    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("flat"))
 
-        ends = F.sequence(F.lit(run), F.size(lengths))
-        return F.when(F.size(lengths) >= run, F.size(F.filter(ends, flat))).otherwise(0).cast("long")
+    def step(seen: Column, n: Column) -> Column:
+        top, low = F.greatest(seen.a, seen.b, n), F.least(seen.a, seen.b, n)
+        # Lengths are positive, so a zero says that there are not three sentences yet.
+        near = (low > 0) & ((top - low) * 100 <= top * tol_percent)
+        flat = seen.flat + near.cast("int")
+        return F.struct(seen.b.alias("a"), n.alias("b"), flat.alias("flat"))
 
-    return tx.let(F.transform(tx.sentences(text), F.length), count)
+    return F.aggregate(tx.sentence_lengths(text), start, step, lambda seen: seen.flat).cast("long")
 
 
 def flat_rhythm(docs: DataFrame, *, tol_percent: int = 15) -> DataFrame:
@@ -214,30 +219,25 @@ def flat_rhythm(docs: DataFrame, *, tol_percent: int = 15) -> DataFrame:
     )
 
 
-def _single_sentence_paragraphs(text: Column) -> Column:
-    single = F.filter(tx.paragraphs(text), lambda p: F.size(tx.sentences(p)) == 1)
-    return F.size(single).cast("long")
+def _single_sentence_paragraphs(paragraphs: Column) -> Column:
+    return F.size(F.filter(paragraphs, lambda p: tx.sentence_count(p) == 1)).cast("long")
 
 
 def break_paragraphs(docs: DataFrame, *, minimum: int = 3) -> DataFrame:
     """Paragraphs of one sentence per document and whether there are enough."""
-    return docs.select("doc_id", _single_sentence_paragraphs(F.col("text")).alias("breaks")).withColumn(
+    return docs.select("doc_id", _single_sentence_paragraphs(tx.paragraphs(F.col("text"))).alias("breaks")).withColumn(
         "enough", F.col("breaks") >= minimum
     )
 
 
-def _questions(text: Column) -> Column:
-    return F.size(F.filter(tx.sentences(text), lambda s: s.rlike("[?？]$"))).cast("long")
-
-
 def has_question(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _questions(F.col("text")).alias("questions")).withColumn(
+    return docs.select("doc_id", tx.question_count(F.col("text")).alias("questions")).withColumn(
         "present", F.col("questions") > 0
     )
 
 
 def _headings(text: Column) -> Column:
-    return F.size(F.filter(tx.lines(text), lambda line: line.rlike(HEADING))).cast("long")
+    return tx.count_pattern(text, HEADING)
 
 
 def heading_hits(docs: DataFrame, *, itemised: Column | None = None) -> DataFrame:
@@ -309,8 +309,8 @@ def style_checks(
         ("L2-1", "textbook opener", opening, none),
         ("L2-2", "flat rhythm", _flat_places(text, tol_percent), none),
         ("L2-2", "headings", _headings(text), none),
-        ("L2-2", "breaks", _single_sentence_paragraphs(text), "3"),
-        ("L2-2", "questions", _questions(text), "1"),
+        ("L2-2", "breaks", _single_sentence_paragraphs(F.col("__paragraphs")), "3"),
+        ("L2-2", "questions", tx.question_count(text), "1"),
         ("L2-3", "colloquial phrases", _variety(text, colloquial), "8"),
         ("L2-3", "emotion marks", _emotion(text, emotion).cast("long"), "1"),
         ("L2-4", "banned marks again", F.col("__marks"), none),
@@ -327,7 +327,8 @@ def style_checks(
         ]
     )
     return (
-        docs.withColumn("__opening", first_paragraph(text))
+        docs.withColumn("__paragraphs", tx.paragraphs(text))
+        .withColumn("__opening", F.coalesce(F.try_element_at("__paragraphs", F.lit(1)), F.lit("")))
         .withColumn("__marks", marks)
         .select("doc_id", F.inline(rows))
         .select(
@@ -362,23 +363,26 @@ def layer_gate(checks: DataFrame, gates: Sequence[Gate] = GATES) -> DataFrame:
 
 
 def qc_report(checks: DataFrame, gates: Sequence[Gate] = GATES) -> DataFrame:
-    """One row per document: the state of each layer, the layers to redo, up to three repairs to start with.
+    """One row per document: whether each layer holds (null: not checked), layers to redo, first repairs.
 
-    Repairs are ordered by layer, then by the number of hits.
+    Up to three repairs, ordered by layer, then by the number of hits. All of it is one aggregation
+    over the few checks of a document.
     """
-    layers = [g.layer for g in gates]
-    wide = layer_gate(checks, gates).groupBy("doc_id").pivot("layer", layers).agg(F.first("holds"))
-    severity = F.struct("layer", (-F.col("hits")).alias("fewer"), "rule")
-    failed = (
-        checks.filter(~F.col("passed"))
-        .groupBy("doc_id")
-        .agg(F.slice(F.sort_array(F.collect_list(severity)), 1, 3).alias("__worst"))
-        .select("doc_id", F.array_join(F.col("__worst.rule"), "; ").alias("repairs"))
+    def holds(gate: Gate) -> Column:
+        here = F.col("layer") == gate.layer
+        made, passed = F.count_if(here), F.count_if(here & F.col("passed"))
+        needed = made if gate.needed is None else F.least(F.lit(gate.needed), made)
+        return F.when(made > 0, passed >= needed)
+
+    failed = F.when(~F.col("passed"), F.struct("layer", (-F.col("hits")).alias("fewer"), "rule"))
+    wide = checks.groupBy("doc_id").agg(
+        *[holds(g).alias(g.layer) for g in gates], F.sort_array(F.collect_list(failed)).alias("__failed")
     )
     redo = F.lit(0).cast("long")
-    for layer in layers:
-        redo = redo + F.when(F.col(f"`{layer}`") == F.lit(False), 1).otherwise(0)
-    return wide.withColumn("layers_to_redo", redo).join(failed, "doc_id", "left").fillna("", ["repairs"])
+    for gate in gates:
+        redo = redo + F.when(F.col(f"`{gate.layer}`") == F.lit(False), 1).otherwise(0)
+    repairs = F.array_join(F.transform(F.slice("__failed", 1, 3), lambda f: f.rule), "; ")
+    return wide.withColumn("layers_to_redo", redo).withColumn("repairs", repairs).drop("__failed")
 
 
 def reintroduced(hits_v1: DataFrame, hits_v2: DataFrame) -> DataFrame:
@@ -439,15 +443,13 @@ def report_index(docs: DataFrame, *, markers: Sequence[str] = META_MARKERS) -> D
             found = found | F.contains(line, F.lit(marker))
         return found
 
-    stripped = F.transform(
-        tx.lines(F.col("text")), lambda line: F.regexp_replace(line, r"^\s*>*\s*|\s+$", "")
-    )
+    first = F.try_element_at(F.filter(tx.lines(F.col("text")), has_marker), F.lit(1))
     title = F.regexp_extract("text", r"(?m)^#[ \t]+(.*)$", 1)
     return docs.select(
         "doc_id",
         *[c for c in ("source",) if c in docs.columns],
         F.when(title != "", F.trim(title)).alias("title"),
-        F.try_element_at(F.filter(stripped, has_marker), F.lit(1)).alias("meta_line"),
+        F.regexp_replace(first, r"^\s*>*\s*|\s+$", "").alias("meta_line"),
     )
 
 

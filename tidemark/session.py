@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .appName("tidemark")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

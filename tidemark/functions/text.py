@@ -48,7 +48,10 @@ def sentence_count(text: Column) -> Column:
 
 def question_count(text: Column) -> Column:
     """The number of ``sentences`` whose last end mark is a question mark."""
-    return count_pattern(text, f"{_INSIDE}{_END}*[?？](?!{_END})")
+    asked = F.contains(text, F.lit("?")) | F.contains(text, F.lit("？"))
+    return F.when(asked, count_pattern(text, f"{_INSIDE}{_END}*[?？](?!{_END})")).otherwise(
+        F.lit(0).cast("long")
+    )
 
 
 def count_literal(text: Column, phrase: str) -> Column:

@@ -526,59 +526,69 @@ def duplicate_installs(installs: DataFrame) -> DataFrame:
 MANIFEST_LINE = r"^([0-9a-f]{64})\s\s([A-Za-z0-9._/-]+)$"
 
 
-def manifest_problems(
-    manifest: DataFrame, files: DataFrame, *, allowed: Sequence[str], required: Sequence[str] | None = None
+def _package_paths(
+    manifest: DataFrame, files: DataFrame, allowed: Sequence[str], required: Sequence[str] | None
 ) -> DataFrame:
-    """Everything wrong with packages: ``package, problem, path``.
+    """Lines, files and required names meet in one aggregation per package and path.
 
-    ``manifest(package, line)`` holds checksum lines, ``files(package, path, sha256)`` what is there.
+    ``package, path, lines`` (well-formed ones) ``, stated`` (lines at all) ``, problems``.
     """
+    none = F.lit(None).cast("string")
+    formed = F.col("line").rlike(MANIFEST_LINE)
     lines = manifest.select(
         "package",
-        "line",
-        F.regexp_extract("line", MANIFEST_LINE, 2).alias("path"),
-        F.regexp_extract("line", MANIFEST_LINE, 1).alias("wanted"),
-    )
-    malformed = lines.filter(F.col("path") == "").select(
-        "package", F.lit("malformed line").alias("problem"), F.col("line").alias("path")
-    )
-    none = F.lit(None).cast("string")
-    # Lines and files meet in one aggregation per package and path.
+        F.when(formed, F.substring("line", 67, 1 << 30)).otherwise(F.col("line")).alias("path"),
+        F.when(formed, F.substring("line", 1, 64)).alias("wanted"),
+        (~formed).alias("malformed"),
+        none.alias("sha256"),
+        F.lit(False).alias("needed"),
+        F.lit(1).alias("line"),
+    )
+    names = F.array(*[F.lit(n) for n in (allowed if required is None else required)])
+    rest = {"wanted": none, "malformed": F.lit(False), "line": F.lit(0)}
+    there = files.select("package", "path", "sha256").withColumns({**rest, "needed": F.lit(False)})
+    needed = (
+        manifest.select("package").distinct().select("package", F.explode(names).alias("path"))
+        .withColumns({**rest, "sha256": none, "needed": F.lit(True)})
+    )
     per_path = (
-        lines.filter(F.col("path") != "")
-        .select("package", "path", "wanted", none.alias("sha256"))
-        .unionByName(files.select("package", "path", none.alias("wanted"), "sha256"))
-        .groupBy("package", "path")
+        lines.unionByName(there)
+        .unionByName(needed)
+        .groupBy("package", "path", "malformed")
         .agg(
-            F.count("wanted").alias("n"),
+            F.count("wanted").alias("lines"),
+            F.sum("line").alias("stated"),
             F.min("wanted").alias("first"),
             F.max("wanted").alias("last"),
             F.max("sha256").alias("sha256"),
+            F.bool_or("needed").alias("needed"),
         )
     )
     unsafe = F.startswith("path", F.lit("/")) | F.contains("path", F.lit("..")) | F.contains("path", F.lit("//"))
+    listed, absent = F.col("lines") > 0, F.col("sha256").isNull()
     found = F.array(
-        F.when(unsafe, "unsafe path"),
-        F.when(~unsafe & ~F.col("path").isin(*allowed), "path not allowed"),
-        F.when(F.col("n") > 1, "path listed twice"),
-        F.when(F.col("sha256").isNull(), "file missing"),
-        F.when((F.col("sha256") != F.col("first")) | (F.col("sha256") != F.col("last")), "hash differs"),
-    )
-    on_lines = per_path.filter(F.col("n") > 0).select(
-        "package", F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"), "path"
-    )
-    names = list(allowed if required is None else required)
-    there = F.when(F.col("path").isin(*names) & F.col("sha256").isNotNull(), F.col("path"))
-    # A set of required names has no more entries than there are names.
-    absent = per_path.unionByName(
-        malformed.select("package"), allowMissingColumns=True
-    ).groupBy("package").agg(F.collect_set(there).alias("there"), F.count_if(F.col("n").isNull() | (F.col("n") > 0)).alias("lines"))
-    absent = absent.filter(F.col("lines") > 0).select(
-        "package",
-        F.lit("required file absent").alias("problem"),
-        F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), "there")).alias("path"),
+        F.when(F.col("malformed"), "malformed line"),
+        F.when(listed & unsafe, "unsafe path"),
+        F.when(listed & ~unsafe & ~F.col("path").isin(*allowed), "path not allowed"),
+        F.when(F.col("lines") > 1, "path listed twice"),
+        F.when(listed & absent, "file missing"),
+        F.when(listed & ((F.col("sha256") != F.col("first")) | (F.col("sha256") != F.col("last"))), "hash differs"),
+        F.when(F.col("needed") & absent, "required file absent"),
+    )
+    problems = F.filter(found, lambda p: p.isNotNull())
+    return per_path.select("package", "path", "lines", "stated", problems.alias("problems"))
+
+
+def manifest_problems(
+    manifest: DataFrame, files: DataFrame, *, allowed: Sequence[str], required: Sequence[str] | None = None
+) -> DataFrame:
+    """Everything wrong with packages: ``package, problem, path``.
+
+    ``manifest(package, line)`` holds checksum lines, ``files(package, path, sha256)`` what is there.
+    """
+    return _package_paths(manifest, files, allowed, required).select(
+        "package", F.explode("problems").alias("problem"), "path"
     )
-    return on_lines.unionByName(malformed).unionByName(absent)
 
 
 def verify_manifest(
@@ -590,16 +600,16 @@ def verify_manifest(
     exactly: int = 6,
 ) -> DataFrame:
     """Per package the number of listed files, of problems, and whether it may be installed."""
-    problems = (
-        manifest_problems(manifest, files, allowed=allowed, required=required)
-        .groupBy("package")
-        .agg(F.count(F.lit(1)).alias("problems"))
-    )
     return (
-        manifest.groupBy("package")
-        .agg(F.count_if(F.col("line").rlike(MANIFEST_LINE)).alias("listed"))
-        .join(problems, "package", "left")
-        .fillna(0, ["problems"])
+        _package_paths(manifest, files, allowed, required)
+        .groupBy("package")
+        .agg(
+            F.sum("lines").alias("listed"),
+            F.sum(F.size("problems")).alias("problems"),
+            F.sum("stated").alias("stated"),
+        )
+        .filter("stated > 0")
+        .drop("stated")
         .withColumn("ok", (F.col("problems") == 0) & (F.col("listed") == exactly))
     )
 

@@ -92,7 +92,7 @@ COLLOQUIAL = (
 )
 EMOTION_MARKS = ("。。。", "？？？", "= =")
 BULLET = r"^[^\S\n]*([-*+•]|[0-9]+[.、)])[^\S\n]+"
-HEADING = r"(?<=^|\n)(#{1,6} |\*\*[^*\n]+\*\*[^\S\n]*(?=\n|$))"
+HEADING = r"(?:^|\n)(?:#{1,6} |\*\*[^*\n]+\*\*[^\S\n]*(?=\n|$))"
 # Length budgets per genre and section, in characters.
 BUDGETS = (
     Budget("article", "total", 4000, 8000),

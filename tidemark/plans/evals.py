@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evals
 from tidemark.plans.registry import query
 from tidemark.sources import derived
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, wide_table
 
 CASES = """
     cases AS (SELECT conv_id AS set_id, CASE WHEN role = 'system' THEN 0 ELSE turn END AS id, role AS name, text,
@@ -79,7 +79,7 @@ def _(spark, folder):
 
 def specs(spark, folder):
     """Documents with front matter: their first line is the description, in two lines for one language."""
-    docs = table(spark, folder, "documents")
+    docs = wide_table(spark, folder, "documents", "doc_id")
     about = F.when(F.col("lang") == "fr", F.concat(F.lit(">-\n  "), F.col("lang"), F.lit("\n  "), F.col("source"))).when(
         F.col("lang") == "es", F.lit("")
     ).otherwise(F.regexp_replace(F.split("text", "\n")[0], "-", "_"))

@@ -8,7 +8,7 @@ from tidemark.operators import governance
 from tidemark.operators.style import Phrase
 from tidemark.plans.registry import query
 from tidemark.sources import derived
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, wide_table
 
 INVENTORY = r"""
     SELECT project, path, length(text) - length(replace(text, chr(10), '')) AS lines, strlen(text) AS bytes FROM files
@@ -336,14 +336,14 @@ PACKAGES = """
         UNION ALL SELECT package, 'path listed twice', path FROM matched WHERE n > 1
         UNION ALL SELECT package, 'file missing', path FROM matched WHERE sha256 IS NULL
         UNION ALL SELECT package, 'hash differs', path FROM matched WHERE sha256 <> lo OR sha256 <> hi
-        UNION ALL SELECT package, 'malformed line', upper(wanted) || '  ' || path FROM lines WHERE malformed
+        UNION ALL SELECT DISTINCT package, 'malformed line', upper(wanted) || '  ' || path FROM lines WHERE malformed
         UNION ALL SELECT package, 'required file absent', path FROM (SELECT DISTINCT package FROM lines), (SELECT unnest(['f1.md', 'f2.md']) AS path)
             WHERE (package, path) NOT IN (SELECT package, path FROM present))"""
 
 
 def packages(spark, folder):
     """Orders as packages: their lines are the manifest, the lines not returned are the files."""
-    lines = table(spark, folder, "lineitem")
+    lines = wide_table(spark, folder, "lineitem", "l_orderkey")
     path = F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.lit(".md"))
     digest = F.sha2(F.col("l_suppkey").cast("string"), 256)
     written = F.when(F.col("l_discount") >= 0.095, F.upper(digest)).otherwise(digest)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import style
 from tidemark.plans.registry import query
 from tidemark.sources import derived
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, wide_table
 
 PHRASES = (
     style.Phrase("the", " the ", "this "), style.Phrase("of", "of the", "of this"), style.Phrase("de la", "de la"),
@@ -22,6 +22,10 @@ PATTERNS = (
 WORDS = ("The ", "and ", "of ", "in ", "that ", "is ", "Der ", "und ", "Le ", "les ", "que ", "los ", "para ", "De ")
 
 
+def documents(spark, folder):
+    return wide_table(spark, folder, "documents", "doc_id")
+
+
 def found_in(table_name: str, phrases) -> str:
     parts = [
         f"SELECT doc_id, '{p.rule_id}' AS rule_id, len(string_split(text, '{p.phrase}')) - 1 AS hits FROM {table_name}"
@@ -32,12 +36,12 @@ def found_in(table_name: str, phrases) -> str:
 
 @query("style_phrase_hits", sql=found_in("documents", PHRASES))
 def _(spark, folder):
-    return style.phrase_hits(table(spark, folder, "documents"), PHRASES).select("doc_id", "rule_id", "hits")
+    return style.phrase_hits(documents(spark, folder), PHRASES).select("doc_id", "rule_id", "hits")
 
 
 @query("style_punct_hits", sql=found_in("(SELECT * FROM documents WHERE lang <> 'de')", MARKS))
 def _(spark, folder):
-    docs = table(spark, folder, "documents").withColumn("genre", F.when(F.col("lang") == "de", "report"))
+    docs = documents(spark, folder).withColumn("genre", F.when(F.col("lang") == "de", "report"))
     return style.punct_hits(docs, MARKS).select("doc_id", "rule_id", "hits")
 
 
@@ -55,7 +59,7 @@ def _(spark, folder):
 @query("style_vague_names", sql=found_in("documents", (style.Phrase("v1", "ons"), style.Phrase("v2", "ment"))))
 def _(spark, folder):
     lexicon = (style.Phrase("v1", "ons"), style.Phrase("v2", "ment"))
-    return style.vague_names(table(spark, folder, "documents"), lexicon).select("doc_id", "rule_id", "hits")
+    return style.vague_names(documents(spark, folder), lexicon).select("doc_id", "rule_id", "hits")
 
 
 RUNS = r"""
@@ -115,12 +119,12 @@ def _(spark, folder):
     SELECT doc_id, count(*) FILTER (contains(text, word)) AS phrases, count(*) FILTER (contains(text, word)) >= 6 AS enough
     FROM documents, (SELECT unnest({list(WORDS)}) AS word) GROUP BY doc_id""")
 def _(spark, folder):
-    return style.phrase_variety(table(spark, folder, "documents"), WORDS, minimum=6)
+    return style.phrase_variety(documents(spark, folder), WORDS, minimum=6)
 
 
 @query("style_emotion_marks", sql="SELECT doc_id, contains(text, '&&&') OR contains(text, '$$$') AS present FROM documents")
 def _(spark, folder):
-    return style.emotion_marks(table(spark, folder, "documents"), ("&&&", "$$$"))
+    return style.emotion_marks(documents(spark, folder), ("&&&", "$$$"))
 
 
 def checks(spark, folder):
@@ -213,7 +217,7 @@ def _(spark, folder):
     WITH v1 AS ({found_in('documents', MARKS)}), v2 AS ({found_in('articles', MARKS)})
     SELECT doc_id, rule_id, v2.hits AS hits_v2 FROM v2 LEFT JOIN v1 USING (doc_id, rule_id) WHERE v1.hits IS NULL""")
 def _(spark, folder):
-    before = style.phrase_hits(table(spark, folder, "documents"), MARKS)
+    before = style.phrase_hits(documents(spark, folder), MARKS)
     return style.reintroduced(before, style.phrase_hits(derived.articles(spark, folder), MARKS))
 
 
@@ -224,7 +228,7 @@ def _(spark, folder):
     JOIN (VALUES ('article', 'total', 4000, 8000), ('report', 'vertical', 6000, 15000), ('report', 'horizontal', 3000, 10000),
                  ('report', 'crossing', 1500, 3000), ('report', 'total', 10000, 30000)) b(genre, section, low, high) USING (genre, section)""")
 def _(spark, folder):
-    sections = table(spark, folder, "documents").select(
+    sections = documents(spark, folder).select(
         "doc_id", "text", F.when(F.col("lang") == "en", "article").otherwise("report").alias("genre"),
         derived.mapped(F.col("lang"), {"de": "vertical", "fr": "crossing"}, "total").alias("section"),
     )
@@ -235,7 +239,7 @@ def _(spark, folder):
     SELECT *, CASE score WHEN 3 THEN 'S' WHEN 2 THEN 'pass' WHEN 1 THEN 'reconsider' ELSE 'drop' END AS grade
     FROM (SELECT doc_id, quality + (1 - toxic) + CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS score FROM labels JOIN documents USING (doc_id))""")
 def _(spark, folder):
-    topics = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id").select(
+    topics = table(spark, folder, "labels").join(documents(spark, folder), "doc_id").select(
         "doc_id", (F.col("n_chars") > 2000).alias("happy"), (F.col("quality") == 1).alias("knowledge"), (F.col("toxic") == 0).alias("resonance")
     )
     return style.hkr(topics).select("doc_id", "score", "grade")
@@ -259,5 +263,5 @@ def _(spark, folder):
 @query("style_tail_present", sql=r"""
     SELECT doc_id, ends_with(regexp_replace(text, '\s+$', ''), '.') AS present FROM documents WHERE lang <> 'fr'""")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").withColumn("genre", F.when(F.col("lang") == "fr", "report"))
+    docs = documents(spark, folder).withColumn("genre", F.when(F.col("lang") == "fr", "report"))
     return style.tail_present(docs, tail=".\n")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, wide_table
 
 CATEGORY = {"click": "ai-models", "view": "ai-products", "purchase": "industry", "signup": "paper"}
 SURFACE = {
@@ -102,7 +102,7 @@ def fs_entry(spark: SparkSession, folder: str) -> DataFrame:
         .join(owner, F.col("o_custkey") == F.col("c_custkey"))
     )
     return (
-        table(spark, folder, "lineitem")
+        wide_table(spark, folder, "lineitem", "l_orderkey")
         .join(order, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.concat(
@@ -197,7 +197,7 @@ def action_requests(spark: SparkSession, folder: str) -> DataFrame:
         "c_custkey", F.concat("path", F.lit("/o"), F.col("c_custkey").cast("string")).alias("path")
     )
     return (
-        table(spark, folder, "lineitem")
+        wide_table(spark, folder, "lineitem", "l_orderkey")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(dirs, F.col("l_partkey") == F.col("c_custkey"))
         .select(
@@ -218,7 +218,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     for mark, markup in {"$$$": "**", "***": "\n# ", "%%%": "\n- ", "&&&": "\n\n", "###": "？"}.items():
         text = F.replace(text, F.lit(mark), F.lit(markup))
-    return table(spark, folder, "documents").select("doc_id", "lang", "source", text.alias("text"))
+    return wide_table(spark, folder, "documents", "doc_id").select("doc_id", "lang", "source", text.alias("text"))
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +234,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\nSee [next](d"), (F.col("doc_id") + 1).cast("string"),
         F.lit(".md) and `docs/d"), (F.col("doc_id") + 2).cast("string"), F.lit(".md`.\n"),
     )
-    return table(spark, folder, "documents").select(
+    return wide_table(spark, folder, "documents", "doc_id").select(
         F.col("source").alias("project"),
         F.lit("/corpus").alias("root"),
         path.alias("path"),

@@ -46,6 +46,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table for work that costs much per row: spread by ``key`` if it has fewer splits than there are cores.
+
+    A table of many files is read as it is, without a shuffle.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """JSON with a fixed schema: fields the schema does not name are ignored, missing ones are null."""
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)

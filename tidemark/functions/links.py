@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpoint
 
 
-def follow(edges: DataFrame, source: str, target: str, rounds: int = 20) -> DataFrame:
+def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
     """For each ``source`` the end of its chain: columns ``source``, ``root``, ``closed``.
 
-    Every round doubles the distance covered, so 20 rounds reach a million hops. ``closed`` is
-    false where the chain still runs on after the last round, that is where it runs in a circle.
-    A source must have one target. Each distinct pointer is looked up once, so a target that a
-    third of all sources share costs one row in the lookup and AQE splits the join back to it.
+    Every round doubles the distance covered and is written to the checkpoint folder. No chain is
+    longer than the number of edges, so what still moves after that many hops runs in a circle and is
+    not ``closed``. A source must have one target.
     """
     hops = edges.select(
         F.col(source).alias("source"), F.col(target).alias("root")
     ).filter(F.col("source") != F.col("root"))
     hops = checkpoint(hops)
-    for _ in range(rounds):
+    longest, covered = hops.count(), 1
+    while covered <= longest:
         onward = hops.select(F.col("source").alias("root"), F.col("root").alias("__next"))
         moved = hops.join(onward, "root", "left").select(
             "source",
@@ -29,6 +29,7 @@ def follow(edges: DataFrame, source: str, target: str, rounds: int = 20) -> Data
         )
         moved = checkpoint(moved)
         hops = moved.select("source", "root")
+        covered *= 2
         if moved.filter("__moved").isEmpty():
             break
     still_open = hops.select(F.col("source").alias("root"), F.lit(True).alias("__open"))

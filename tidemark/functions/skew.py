@@ -1,42 +1,30 @@
-"""Joins that stay even when a few keys hold a large part of the rows.
-
-AQE splits a skewed join only where both sides come straight from a shuffle. Where the looked-up
-side is an aggregate on the join key, a hot key would end in one task; ``spread_join`` is for those.
-"""
+"""Joins that stay even when a few keys hold a large part of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is heavy with more than 1/2000 of the rows, so there can never be 2000 heavy keys.
-HEAVY_SHARE = 2000
-COPIES = 256
-
-
-def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with more than their share of the rows; fewer than ``HEAVY_SHARE`` by construction."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    # Small inputs have no skew to speak of.
-    return counts.filter((F.col("__n") * HEAVY_SHARE > total) & (F.col("__n") > COPIES)).select(*keys)
-
 
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """``rows.join(lookup, keys, how)`` with the rows of heavy keys spread over ``COPIES`` groups.
+def even_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows.join(lookup, keys, how)`` for a ``lookup`` that was aggregated by the same keys.
 
-    Only the list of heavy keys is broadcast, which is bounded. The lookup rows of those keys are
-    copied to every group; all other keys are joined as they are. ``how`` keeps the left side or less.
+    Spark would reuse the aggregate's partitioning for the join, and AQE splits a hot partition only
+    where both sides come straight from a shuffle. Joining on the keys as one struct makes the (much
+    smaller) lookup side shuffle once more, so that AQE can split the rows of a hot key over many
+    tasks. ``how`` keeps the left side or less.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"cannot spread a {how} join")
-    heavy = F.broadcast(heavy_keys(rows, keys).withColumn("__heavy", F.lit(True)))
-    place = F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)).cast("int")
-    one, all_places = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(COPIES - 1))
-    left = rows.join(heavy, keys, "left").withColumn(
-        "__place", F.when(F.col("__heavy"), place).otherwise(0)
-    )
-    right = lookup.join(heavy, keys, "left").withColumn(
-        "__place", F.explode(F.when(F.col("__heavy"), all_places).otherwise(one))
-    )
-    return left.drop("__heavy").join(right.drop("__heavy"), [*keys, "__place"], how).drop("__place")
+        raise ValueError(f"cannot split the rows of a {how} join")
+    key = _struct(keys)
+    left = rows.withColumn("__key", key)
+    right = lookup.withColumn("__key", key).drop(*keys)
+    return left.join(right, "__key", how).drop("__key")
+
+
+def _struct(keys: list[str]) -> Column:
+    """The keys as one value; null where a key is null, so that it matches nothing."""
+    present = F.col(keys[0]).isNotNull()
+    for key in keys[1:]:
+        present = present & F.col(key).isNotNull()
+    return F.when(present, F.struct(*keys))

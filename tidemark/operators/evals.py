@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import paths
 from tidemark.functions import text as tx
 from tidemark.functions.ordered import blocks, latest_before
-from tidemark.functions.skew import spread_join
+from tidemark.functions.skew import even_join
 
 # The least an evaluation set must hold.
 MIN_EVALS = 11
@@ -72,7 +72,6 @@ def check_fixtures(evals: DataFrame, files: DataFrame) -> DataFrame:
             .select(F.explode(paths.self_and_ancestors(F.col("dir"))).alias("dir"))
             .select(F.expr("substring(dir, 2)"))
         )
-        .distinct()
     )
     absolute = F.col("fixture").rlike("^(/|[A-Za-z]:[/\\\\])")
     bare = F.regexp_replace("fixture", "/+$", "")
@@ -80,7 +79,7 @@ def check_fixtures(evals: DataFrame, files: DataFrame) -> DataFrame:
         wanted.filter(~absolute)
         .withColumn("given", F.col("fixture"))
         .withColumn("fixture", bare)
-        .transform(spread_join, there, ["fixture"], "left_anti")
+        .join(there, "fixture", "left_anti")
         .select("set_id", "id", F.col("given").alias("fixture"), F.lit("missing").alias("problem"))
     )
     return missing.unionByName(
@@ -316,8 +315,8 @@ def territory_overlap(allowed: DataFrame) -> DataFrame:
     mine = own.select("task", "prefix", F.explode(paths.self_and_ancestors(F.col("prefix"))).alias("around"))
     held = own.select("task", F.col("prefix").alias("around"), F.lit(1).alias("self"))
     return (
-        mine.transform(spread_join, holders, ["around"])
-        .transform(spread_join, held, ["task", "around"])
+        mine.transform(even_join, holders, ["around"])
+        .transform(even_join, held, ["task", "around"])
         .withColumn("other_tasks", F.col("tasks") - F.coalesce("self", F.lit(0)))
         .filter(F.col("other_tasks") > 0)
         .select(

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.links import follow
 from tidemark.functions.ordered import days, rank_in_order
-from tidemark.functions.skew import spread_join
 
 # The backfill limit, the windows offered, the silence after which a story is settled.
 BACKFILL_HOURS = 72
@@ -238,14 +237,15 @@ def related(stories: DataFrame, edges: DataFrame, *, hops: int = 1) -> DataFrame
 def resolve_story_links(topics: DataFrame, stories: DataFrame, *, host: str) -> DataFrame:
     """Topics with the story their link names: ``public_id`` and whether it is known.
 
+    ``stories`` has one row per ``public_id``.
     Only ``<host>/story/<public id>`` names a story; everything else stays unresolved.
     """
     escaped = "".join("\\" + c if c in ".^$*+?()[]{}|\\" else c for c in host.rstrip("/"))
     public_id = F.regexp_extract("story_link", rf"^{escaped}/story/([^/?#\s]+)/?$", 1)
-    known = stories.select(F.col("public_id")).distinct().withColumn("__known", F.lit(True))
+    known = stories.select(F.col("public_id"), F.lit(True).alias("__known"))
     linked = topics.withColumn("public_id", F.when(public_id != "", public_id))
     return (
-        spread_join(linked, known, ["public_id"])
+        linked.join(known, "public_id", "left")
         .withColumn("resolved", F.coalesce("__known", F.lit(False)))
         .drop("__known")
     )

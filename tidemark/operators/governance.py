@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from tidemark.functions import paths
 from tidemark.functions import text as tx
 from tidemark.functions.links import follow
-from tidemark.functions.skew import spread_join
+from tidemark.functions.skew import even_join
 from tidemark.operators.feed import related
 from tidemark.operators.style import Phrase, phrase_hits
 
@@ -210,7 +210,9 @@ def fact_conflicts(facts: DataFrame, *, authority: Sequence[str] = AUTHORITY) ->
     """State of each ``facts(topic, surface, value)`` against the best authority that knows the topic.
 
     Equal to it is ``verified-current``, different is ``stale``; without any authority it is ``pending``.
+    The same fact stated many times is one row.
     """
+    facts = facts.select("topic", "surface", "value").distinct()
     rank = F.array_position(F.array(*[F.lit(s) for s in authority]), F.col("surface"))
     decided = (
         facts.withColumn("__rank", rank)
@@ -221,7 +223,7 @@ def fact_conflicts(facts: DataFrame, *, authority: Sequence[str] = AUTHORITY) ->
             (F.min("value") != F.max("value")).alias("conflict"),
         )
     )
-    return spread_join(facts, decided, ["topic"]).select(
+    return even_join(facts, decided, ["topic"]).select(
         "topic",
         "surface",
         "value",

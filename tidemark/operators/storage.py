@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import paths, sizes
-from tidemark.functions.skew import spread_join
+from tidemark.functions.skew import even_join
 
 # Size floors in KB, the groups with the higher one, entries shown per group.
 FLOOR_KB = 51200
@@ -342,24 +342,27 @@ def grants(tier_items: DataFrame, entries: DataFrame) -> DataFrame:
     Green trash paths may be removed, trashed and opened, yellow ones trashed and opened. Yellow
     item paths and red application paths may be opened where they exist.
     """
-    def modes(tier: str, *names: str) -> DataFrame:
-        return tier_items.filter(F.col("tier") == tier).select(
-            F.explode(F.array(*[F.lit(n) for n in names])).alias("mode"), F.col("trash_paths")
-        ).select("mode", F.explode("trash_paths").alias("path"))
-
-    maybe_opened = (
-        tier_items.filter(F.col("tier") == "yellow")
-        .select("path")
-        .union(tier_items.filter(F.col("tier") == "red").select(F.explode("app_paths").alias("path")))
-        .filter(F.col("path").isNotNull())
-    )
-    opened = _existing(maybe_opened, entries).select(F.lit("open").alias("mode"), "path")
-    return (
-        modes("green", "rm", "trash", "open")
-        .unionByName(modes("yellow", "trash", "open"))
-        .unionByName(opened)
-        .distinct()
+
+    def may(path: Column, must_exist: bool, *modes: str) -> Column:
+        return F.array(
+            *[F.struct(F.lit(m).alias("mode"), path.alias("path"), F.lit(must_exist).alias("check")) for m in modes]
+        )
+
+    def each(paths_column: str, must_exist: bool, *modes: str) -> Column:
+        wanted = F.coalesce(F.col(paths_column), F.array().cast("array<string>"))
+        return F.flatten(F.transform(wanted, lambda p: may(p, must_exist, *modes)))
+
+    rights = (
+        F.when(F.col("tier") == "green", each("trash_paths", False, "rm", "trash", "open"))
+        .when(
+            F.col("tier") == "yellow",
+            F.concat(each("trash_paths", False, "trash", "open"), may(F.col("path"), True, "open")),
+        )
+        .when(F.col("tier") == "red", each("app_paths", True, "open"))
     )
+    possible = tier_items.select(F.inline(rights)).filter(F.col("path").isNotNull())
+    opened = _existing(possible.filter("check"), entries).select(F.lit("open").alias("mode"), "path")
+    return possible.filter("NOT check").select("mode", "path").unionByName(opened).distinct()
 
 
 def request_paths(requests: DataFrame) -> DataFrame:
@@ -380,7 +383,7 @@ def audit_actions(
     for root in roots:
         in_roots = in_roots | (F.col("path") == root) | F.startswith(F.col("path"), F.lit(f"{root}/"))
     granted = allowed.select("mode", "path").distinct().withColumn("__granted", F.lit(True))
-    checked = spread_join(requested, granted, ["mode", "path"]).withColumn(
+    checked = even_join(requested, granted, ["mode", "path"]).withColumn(
         "__stop",
         F.when(~F.col("mode").isin("rm", "trash", "open"), "rejected")
         .when(F.col("__granted").isNull(), "not granted")
@@ -395,7 +398,7 @@ def audit_actions(
         .when(F.col("pos") == F.col("__first"), F.col("__stop"))
         .otherwise("not reached")
     )
-    return spread_join(checked, first, ["request_id"]).select(
+    return even_join(checked, first, ["request_id"]).select(
         "request_id", "mode", "pos", "path", outcome.alias("outcome")
     )
 

@@ -91,7 +91,7 @@ COLLOQUIAL = (
     "我寻思了一下我没寻思明白", "真的就是一声叹息", "这尼玛就是", "太牛逼了", "比较骚的事",
 )
 EMOTION_MARKS = ("。。。", "？？？", "= =")
-BULLET = r"^[^\S\n]*([-*+•]|[0-9]+[.、)])[^\S\n]+"
+BULLET = r"^[^\S\n]*(([-*+•]|[0-9]+[.)])[^\S\n]+|[0-9]+、)"
 HEADING = r"(?:^|\n)(?:#{1,6} |\*\*[^*\n]+\*\*[^\S\n]*(?=\n|$))"
 # Length budgets per genre and section, in characters.
 BUDGETS = (

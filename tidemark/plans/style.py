@@ -63,7 +63,7 @@ def _(spark, folder):
 
 
 RUNS = r"""
-    WITH marked AS (SELECT doc_id, n, regexp_matches(line, '^\s*([-*+•]|[0-9]+[.、)])\s+') AS bullet FROM article_lines),
+    WITH marked AS (SELECT doc_id, n, regexp_matches(line, '^\s*(([-*+•]|[0-9]+[.)])\s+|[0-9]+、)') AS bullet FROM article_lines),
          runs AS (SELECT doc_id, count(*) AS length FROM
             (SELECT doc_id, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM marked WHERE bullet)
             GROUP BY doc_id, island HAVING count(*) > 3)"""
@@ -149,7 +149,7 @@ def count_of(word: str) -> str:
 
 CHECKS = rf"""
     bullets AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM (SELECT doc_id, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island
-            FROM article_lines WHERE regexp_matches(line, '^\s*([-*+•]|[0-9]+[.、)])\s+')) GROUP BY doc_id, island HAVING count(*) > 3) GROUP BY doc_id),
+            FROM article_lines WHERE regexp_matches(line, '^\s*(([-*+•]|[0-9]+[.)])\s+|[0-9]+、)')) GROUP BY doc_id, island HAVING count(*) > 3) GROUP BY doc_id),
     bolds AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)\*\*(.+?)\*\*', 1)) AS span FROM articles)
             WHERE length(span) - length(replace(span, chr(10), '')) >= 2 GROUP BY doc_id),
     flats AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, length(sentence) AS a, lag(length(sentence), 1) OVER w AS b, lag(length(sentence), 2) OVER w AS c

@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time the headline queries, the better of two runs each, and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores, ``BENCH_QUERIES`` (comma separated)
 replaces the headline list; ``all`` runs every registered query.
@@ -33,11 +33,14 @@ def main() -> None:
     PLANS["feed_top_24h"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
-        start = time.perf_counter()
-        PLANS[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        taken = []
+        for _ in range(2):
+            start = time.perf_counter()
+            PLANS[name](spark, folder).write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - start)
+        seconds[name] = round(min(taken), 3)
     report = {
-        "metric": "headline queries, total seconds",
+        "metric": "headline queries, sum of the better of two runs",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,

@@ -56,7 +56,10 @@ def test_windows(items):
         feed.feed_window(items, now=NOW, by="score")
 
 
-def test_window_bound_reaches_the_scan(spark, tmp_path, items):
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_window_bound_reaches_the_scan(spark, tmp_path, items, kind):
+    for column in ("discovered_at", "published_at"):
+        items = items.withColumn(column, F.col(column).cast(kind))
     items.write.parquet(f"{tmp_path}/items")
     read = spark.read.parquet(f"{tmp_path}/items")
     plan = feed.feed_window(read, now=NOW, window="24h").select("id")._jdf.queryExecution().executedPlan().toString()
@@ -143,6 +146,20 @@ def test_daily_is_cut_in_the_display_zone(spark):
     assert ids(feed.daily(items, "2026-01-02")) == ["b", "c"]
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_instants_are_shown_in_the_display_zone_whatever_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        instant = F.expr("timestamp '2026-01-01 16:30:00 UTC'")
+        items = spark.range(1).select("id", instant.alias("discovered_at"), instant.alias("published_at"))
+        shown = feed.display_time(items).select(F.col("shown_at").cast("string")).first()[0]
+        assert shown == "2026-01-02 00:30:00"
+        assert feed.daily(items, "2026-01-02").count() == 1 and feed.daily(items, "2026-01-01").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_daily_entries_keep_order_and_fall_back(spark, tmp_path):
     (tmp_path / "d.json").write_text(
         '{"date": "2026-01-01", "lead": "x", "unknown": 1, "sections": [{"title": "S", "items": ['

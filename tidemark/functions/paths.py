@@ -13,7 +13,8 @@ def parts(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    """The path without its last component; empty at the top."""
+    return F.substring(path, F.lit(1), F.greatest(F.length(path) - F.length(leaf(path)) - 1, F.lit(0)))
 
 
 def leaf(path: Column) -> Column:

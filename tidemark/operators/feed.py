@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tidemark.functions.links import follow
 from tidemark.functions.ordered import days, rank_in_order
@@ -48,7 +49,8 @@ def _time_basis(by: str) -> Column:
 
 
 def _since(items: DataFrame, hours: int, by: str, now: Column) -> DataFrame:
-    start = _hours_before(now, hours)
+    # In the type of the column, because a cast of the column would keep the bound from the scan.
+    start = _hours_before(now, hours).cast(items.schema["discovered_at"].dataType)
     # A scan cannot use the computed column, but the timeline time is never later than the
     # discovery time, so the raw column carries the same bound down to the files.
     raw = F.col("discovered_at" if by == "timeline" else "published_at")
@@ -86,9 +88,7 @@ def narrow(
     if not 1 <= days <= 7:
         raise ValueError("only ranges of 1 to 7 days are served")
     window = "24h" if days == 1 else "7d"
-    return feed_window(items, now=now, window=window, by=by, mode=mode).filter(
-        F.col("timeline_ts") >= _hours_before(_at(now), 24 * days)
-    )
+    return _since(feed_window(items, now=now, window=window, by=by, mode=mode), 24 * days, by, _at(now))
 
 
 def matches(q: str) -> Column:
@@ -251,15 +251,21 @@ def resolve_story_links(topics: DataFrame, stories: DataFrame, *, host: str) ->
     )
 
 
-def local_time(ts: Column, zone: str = DISPLAY_ZONE) -> Column:
-    """A UTC time as wall-clock time of ``zone``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
+def _stored_zone(df: DataFrame, column: str) -> Column:
+    """The zone a column shows when read as wall-clock time: UTC without a zone, else the session's."""
+    naive = isinstance(df.schema[column].dataType, T.TimestampNTZType)
+    return F.lit("UTC") if naive else F.current_timezone()
+
+
+def _local(df: DataFrame, ts: Column, zone: str) -> Column:
+    """A time of ``df`` as wall-clock time of ``zone``; its zone is that of ``discovered_at``."""
+    return F.convert_timezone(_stored_zone(df, "discovered_at"), F.lit(zone), ts.cast("timestamp_ntz"))
 
 
 def daily_index(items: DataFrame, *, n: int = 7) -> DataFrame:
     """The ``n`` most recent calendar days of the display zone with their item counts."""
     return (
-        items.groupBy(F.to_date(local_time(F.col("discovered_at"))).alias("date"))
+        items.groupBy(F.to_date(_local(items, F.col("discovered_at"), DISPLAY_ZONE)).alias("date"))
         .agg(F.count(F.lit(1)).alias("item_count"), F.count_if("selected").alias("selected_count"))
         .orderBy(F.desc("date"))
         .limit(n)
@@ -268,14 +274,14 @@ def daily_index(items: DataFrame, *, n: int = 7) -> DataFrame:
 
 def daily(items: DataFrame, date) -> DataFrame:
     """Items of one calendar day of the display zone."""
-    # The day as a UTC range, so that the predicate reaches the scan of the raw column.
-    start = F.convert_timezone(
-        F.lit(DISPLAY_ZONE), F.lit("UTC"), F.lit(date).cast("date").cast("timestamp_ntz")
-    )
-    return items.filter(
-        (F.col("discovered_at").cast("timestamp_ntz") >= start)
-        & (F.col("discovered_at").cast("timestamp_ntz") < start + F.make_dt_interval(days=F.lit(1)))
-    )
+    # The day as a range of the raw column, so that the predicate reaches the scan.
+    zone, stored = F.lit(DISPLAY_ZONE), _stored_zone(items, "discovered_at")
+
+    def midnight(days: int) -> Column:
+        day = F.date_add(F.lit(date).cast("date"), days).cast("timestamp_ntz")
+        return F.convert_timezone(zone, stored, day).cast(items.schema["discovered_at"].dataType)
+
+    return items.filter((F.col("discovered_at") >= midnight(0)) & (F.col("discovered_at") < midnight(1)))
 
 
 def daily_or_nearest(dailies: DataFrame, date: Column) -> DataFrame:
@@ -314,7 +320,7 @@ def daily_entries(dailies: DataFrame) -> DataFrame:
 def display_time(items: DataFrame, *, zone: str = DISPLAY_ZONE) -> DataFrame:
     """Add ``shown_at`` in the display zone and ``shown_as``, which time it is."""
     return items.withColumn(
-        "shown_at", local_time(F.coalesce("published_at", "discovered_at"), zone)
+        "shown_at", _local(items, F.coalesce("published_at", "discovered_at"), zone)
     ).withColumn(
         "shown_as", F.when(F.col("published_at").isNull(), "indexed time").otherwise("published")
     )

@@ -115,6 +115,14 @@ def _hits(docs: DataFrame, rows: Sequence[Column]) -> DataFrame:
     return docs.select("doc_id", F.inline(F.filter(F.array(*rows), lambda row: row.hits > 0)))
 
 
+def _where_positive(docs: DataFrame, row: Column, field: str) -> DataFrame:
+    """The fields of ``row`` per document where ``field`` is positive.
+
+    A filter behind a projection would be pushed below it, and the costly expression computed twice.
+    """
+    return docs.select("doc_id", F.inline(F.filter(F.array(row), lambda r: r[field] > 0)))
+
+
 def phrase_hits(docs: DataFrame, lexicon: Sequence[Phrase] = BANNED) -> DataFrame:
     """Occurrences of each phrase per document: ``doc_id, rule_id, hits, replacement``."""
     return _hits(
@@ -172,15 +180,14 @@ def _long_runs(text: Column, longest: int, bullet: str) -> Column:
 
 def bullet_runs(docs: DataFrame, *, longest: int = 3, bullet: str = BULLET) -> DataFrame:
     """Documents with more than ``longest`` bullet lines in a row: number of such runs, longest run."""
-    return (
-        docs.withColumn("__runs", _long_runs(F.col("text"), longest, bullet))
-        .filter(F.size("__runs") > 0)
-        .select(
-            "doc_id",
-            F.size("__runs").cast("long").alias("runs"),
-            F.array_max(F.transform("__runs", F.length)).cast("long").alias("longest"),
-        )
+    row = tx.let(
+        _long_runs(F.col("text"), longest, bullet),
+        lambda runs: F.struct(
+            F.size(runs).cast("long").alias("runs"),
+            F.array_max(F.transform(runs, F.length)).cast("long").alias("longest"),
+        ),
     )
+    return _where_positive(docs, row, "runs")
 
 
 def _long_bold(text: Column, max_lines: int) -> Column:
@@ -191,11 +198,8 @@ def _long_bold(text: Column, max_lines: int) -> Column:
 
 def bold_spans(docs: DataFrame, *, max_lines: int = 2) -> DataFrame:
     """Documents with bold text over more than ``max_lines`` lines."""
-    return (
-        docs.withColumn("__long", _long_bold(F.col("text"), max_lines))
-        .filter(F.size("__long") > 0)
-        .select("doc_id", F.size("__long").cast("long").alias("spans"))
-    )
+    spans = F.size(_long_bold(F.col("text"), max_lines)).cast("long")
+    return _where_positive(docs, F.struct(spans.alias("spans")), "spans")
 
 
 def _flat_places(text: Column, tol_percent: int) -> Column:
@@ -214,9 +218,8 @@ def _flat_places(text: Column, tol_percent: int) -> Column:
 
 def flat_rhythm(docs: DataFrame, *, tol_percent: int = 15) -> DataFrame:
     """Places where three sentences in a row differ in length by at most ``tol_percent`` of the longest."""
-    return docs.select("doc_id", _flat_places(F.col("text"), tol_percent).alias("flat_places")).filter(
-        "flat_places > 0"
-    )
+    places = _flat_places(F.col("text"), tol_percent)
+    return _where_positive(docs, F.struct(places.alias("flat_places")), "flat_places")
 
 
 def _single_sentence_paragraphs(paragraphs: Column) -> Column:
@@ -243,7 +246,7 @@ def _headings(text: Column) -> Column:
 def heading_hits(docs: DataFrame, *, itemised: Column | None = None) -> DataFrame:
     """Documents with headings or lines all in bold; ``itemised`` marks method articles, which may have them."""
     wanted = docs if itemised is None else docs.filter(~itemised)
-    return wanted.select("doc_id", _headings(F.col("text")).alias("headings")).filter("headings > 0")
+    return _where_positive(wanted, F.struct(_headings(F.col("text")).alias("headings")), "headings")
 
 
 def _variety(text: Column, phrases: Sequence[str]) -> Column:

@@ -84,4 +84,6 @@ def streak_alerts(
 def read_alerts(spark, path: str) -> DataFrame:
     """The alerts of all finished batches."""
     names = versions.complete(spark, f"{path}/state")
+    if not names:
+        raise FileNotFoundError(f"no finished batch in {path}")
     return spark.read.parquet(*[f"{path}/alerts/{n}" for n in names])

@@ -419,7 +419,8 @@ def batch_estimate(tier_items: DataFrame, done: DataFrame) -> DataFrame:
 def report_sections(classified: DataFrame, entries: DataFrame, disks: DataFrame) -> DataFrame:
     """The report as JSON rows ``section, body``: top5, the tiers, denied, summary.
 
-    One row per item, so a report of any size is written in parallel, a folder per section.
+    One row per item, so a report of any size is written in parallel, a folder per section. The
+    classified entries are read by five sections; pass them as a written table.
     """
     item = F.to_json(F.struct("name", "path", "size_kb"))
     ranked = top5(classified).select(

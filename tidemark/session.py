@@ -43,6 +43,13 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return tempfile.mkdtemp(prefix=f"tidemark-{purpose}-")
 
 
+def written(df, purpose: str):
+    """``df`` as a table in the shared folder, for results that several branches of a job read."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df):
     """Cut the lineage of ``df`` through the shared checkpoint folder."""
     spark = df.sparkSession

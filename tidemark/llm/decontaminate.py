@@ -16,7 +16,6 @@ document id and item id is returned. Extra columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import chunks, rolled
+from tidemark.llm.words import Words, chunks, inside_texts, rolled
 
 WINDOW, ENOUGH, PLAIN = 8, 13, 5
 FILTER_BITS = 25
@@ -41,70 +40,56 @@ UNITS = frozenset(
     euro euros usd eur percent degrees degree celsius fahrenheit watt watts kw kwh volt volts joule joules newton
     newtons hz khz mhz mph kph""".split()
 )
-_NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(st|nd|rd|th)?%?")
-_QUANTITY = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*([a-z]+)")
-_MARKS = ".,;:!?()[]{}\"'`*#_<>|"
-_REMEMBERED = 200_000
-PLACEHOLDERS = {name: xxhash.xxh3_64_intdigest(f"\x00{name}") for name in ("number", "name", "unit", "quantity")}
-
-
-class Canonical(dict):
-    """Words to ``(hash if first in a sentence, hash elsewhere, slot value or 0, ends a sentence)``; bounded."""
-
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int, int]:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        bare = text.strip(_MARKS)
-        low = bare.lower()
-        value = xxhash.xxh3_64_intdigest(low)
-        slot = value or 1
-        ends = int(text.rstrip("\"')]*").endswith((".", "!", "?")))
-        if _NUMBER.fullmatch(low):
-            kind = PLACEHOLDERS["number"]
-            found = (kind, kind, slot, slot, ends)
-        elif (glued := _QUANTITY.fullmatch(low)) and glued.group(1) in UNITS:
-            kind = PLACEHOLDERS["quantity"]
-            found = (kind, kind, slot, slot, ends)
-        elif low in UNITS:
-            kind = PLACEHOLDERS["unit"]
-            found = (kind, kind, slot, slot, ends)
-        elif len(bare) > 1 and bare[0].isupper() and not bare[1:].isupper():
-            found = (value, PLACEHOLDERS["name"], 0, slot, ends)  # a capital opens a sentence as well
-        else:
-            found = (value, value, 0, 0, ends)
-        self[word] = found
-        return found
-
-
-def canonical(texts: list[bytes], known: Canonical) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical hashes and slot values (0: a plain word) of all words of the texts, and where each text starts."""
-    parts, starts = [], np.zeros(len(texts) + 1, np.int64)
-    opens: list[np.ndarray] = []
-    for i, text in enumerate(texts):
-        count = 0
-        for line in text.split(b"\n"):
-            words = line.split()
-            if words:
-                own = np.array([known[w] for w in words], np.uint64)
-                first = np.ones(len(own), bool)
-                first[1:] = own[:-1, 4] == 1
-                parts.append(own)
-                opens.append(first)
-                count += len(own)
-        starts[i + 1] = starts[i] + count
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts
-    rows, first = np.concatenate(parts), np.concatenate(opens)
-    return np.where(first, rows[:, 0], rows[:, 1]), np.where(first, rows[:, 2], rows[:, 3]), starts
-
-
-def _windows(starts: np.ndarray, count: int) -> np.ndarray:
-    """Which window positions lie inside one text."""
-    inside = np.ones(count, bool)
-    at = (starts[1:-1, None] - np.arange(1, WINDOW)[None, :]).ravel()
-    inside[at[(at >= 0) & (at < count)]] = False
-    return inside
+_MARKS = b".,;:!?()[]{}\"'`*#_<>|$%+-/"
+PLACEHOLDERS = dict(zip(("number", "name", "unit", "quantity"), Words([b"\x01n\x01", b"\x01p\x01", b"\x01u\x01", b"\x01q\x01"]).flat, strict=True))
+_UNIT_HASHES = Words([u.encode() for u in sorted(UNITS)], skip=_MARKS).flat
+
+
+def _among(*values: int) -> np.ndarray:
+    flags = np.zeros(256, bool)
+    flags[list(values)] = True
+    return flags
+
+
+_DIGIT, _LETTER = _among(*b"0123456789"), _among(*range(65, 91), *range(97, 123), *range(128, 256))
+_SMALL, _CAPITAL = _among(*range(97, 123), *range(128, 256)), _among(*range(65, 91))
+_END, _CLOSING, _NEWLINE = _among(*b".!?"), _among(*b"\"')]*"), _among(10)
+_KEPT = ~_among(*_MARKS)
+
+
+def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical hashes and slot values (0: a plain word) of all words of the texts, and where each text starts.
+
+    Words count in lower case and without marks. A capital makes a name, unless it opens a sentence or a
+    line; words of digits are numbers, digits with letters behind them quantities.
+    """
+    words = Words(texts, lower=True, skip=_MARKS)
+    value, (begins, ends) = words.flat, words.edges
+    if not len(value):
+        return value, value, words.starts
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    # Opens a sentence: the first word of a text or line, or the word before ends with an end mark.
+    last, before = raw[ends - 1], raw[np.maximum(ends - 2, begins)]
+    closed = _END[last] | (_CLOSING[last] & _END[before])
+    lines = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(_NEWLINE[raw], out=lines[1:], dtype=np.int32)
+    opens = np.ones(len(value), bool)
+    opens[1:] = closed[:-1] | (lines[begins[1:]] > lines[ends[:-1]])
+    opens[words.starts[:-1][words.starts[:-1] < len(value)]] = True
+    # The first byte that is no mark tells capitals; of letters beyond ASCII those of Latin-1.
+    kept = np.flatnonzero(_KEPT[raw])
+    first = kept[np.searchsorted(kept, begins)]
+    wide = (raw[first] == 0xC3) & (raw[np.minimum(first + 1, len(raw) - 1)] < 0x9F)
+    digits, letters = words.count_of(_DIGIT), words.count_of(_LETTER)
+    small = words.count_of(_SMALL, raw) - 2 * wide
+    name = (_CAPITAL[raw[first]] | wide) & (first < ends) & (small > 0) & (digits == 0) & ~opens
+    number = (digits > 0) & (letters == 0)
+    quantity = (digits > 0) & (letters > 0) & _DIGIT[raw[first]]
+    unit = np.isin(value, _UNIT_HASHES)
+    kinds = [number, quantity, unit, name]
+    marks = [PLACEHOLDERS[k] for k in ("number", "quantity", "unit", "name")]
+    slot = np.where(number | quantity | unit | name, value | np.uint64(1), np.uint64(0))
+    return np.select(kinds, marks, value), slot, words.starts
 
 
 _HIT = "id long, tag long, pos long, length long, hash long, slots binary"
@@ -116,12 +101,11 @@ def _window_rows(rows: DataFrame, id_column: str, bits=None) -> DataFrame:
     """The windows of ``rows`` (only those that pass ``bits``, a broadcast filter) with their slot values."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Canonical()
         allowed = None if bits is None else np.frombuffer(bits.value, np.uint64)
         for ids, texts in chunks(batches, [id_column, "text"]):
-            hashes, slots, starts = canonical(texts, known)
+            hashes, slots, starts = canonical(texts)
             grams = rolled(hashes, WINDOW)
-            good = _windows(starts, len(grams))
+            good = inside_texts(starts, len(grams), WINDOW)
             if allowed is not None:
                 slot = grams >> np.uint64(64 - FILTER_BITS)
                 good &= (allowed[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import WordHashes, chunks, joined_words, partitions, rolled, row_tag
+from tidemark.llm.words import Words, chunks, partitions, rolled, row_tag
 from tidemark.session import written
 
 SHINGLE, PERCENT = 5, 80
@@ -40,14 +40,18 @@ SKETCH_BITS, BLOCKS, BITMAP = 20, 16, 16
 NEEDED_BITS = 25
 
 
-def _sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text, A-Z in lower case."""
-    flat, starts, _ = joined_words([t.lower() for t in texts], hashes)
+    words = Words(texts, lower=True)
+    flat, starts = words.flat, words.starts
     grams = rolled(flat, SHINGLE)
     found = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            found.append(np.unique(grams[a : b - SHINGLE + 1]))
+            own = np.sort(grams[a : b - SHINGLE + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            found.append(own[new])
         elif b > a:
             salted = rolled(flat[a:b], b - a) ^ np.uint64(0xA5A5A5A5 + b - a)
             found.append(salted)
@@ -79,10 +83,9 @@ def _summary(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n long, sid long, bits array<long>, block int, counts binary"
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for ids, texts in chunks(batches, ["doc_id", "text"]):
-            sets = _sets(texts, hashes)
+            sets = _sets(texts)
             names = [_name(s) for s in sets]
             distinct = {name: s for name, s in zip(names, sets, strict=True) if len(s)}
             if distinct:
@@ -156,9 +159,9 @@ def _groups(docs: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
     """Prefix n-grams that two or more sets share, with the group's size and two of its sets; stored."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        table = np.frombuffer(levels.value, np.uint8)
         for (texts,) in chunks(batches, ["text"]):
-            distinct = {_name(s): s for s in _sets(texts, hashes) if len(s)}
+            distinct = {_name(s): s for s in _sets(texts) if len(s)}
             if not distinct:
                 continue
             heads = [_ordered(s, table)[: _prefix(len(s), percent)] for s in distinct.values()]
@@ -217,10 +220,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, levels: Broadcast, percent: int)
     needed = docs.sparkSession.sparkContext.broadcast(_marked(ids))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.frombuffer(levels.value, np.uint8)
+        table = np.frombuffer(levels.value, np.uint8)
         wanted = np.frombuffer(needed.value, np.uint64)
         for (texts,) in chunks(batches, ["text"]):
-            distinct = {_name(s): s for s in _sets(texts, hashes) if len(s)}
+            distinct = {_name(s): s for s in _sets(texts) if len(s)}
             rows = []
             for name, grams in distinct.items():
                 place = (name & 0xFFFFFFFFFFFFFFFF) >> (64 - NEEDED_BITS)

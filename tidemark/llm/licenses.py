@@ -19,15 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm.words import WordHashes, chunks, joined_words, rolled
+from tidemark.llm.words import Words, chunks, inside_texts, rolled
 
 SHINGLE, CONTAINMENT = 5, 0.8
 ALIGNED, MISSED, MOST = 0.6, 1e-6, 10_000
 MATCH = "doc_id long, license string, containment double, start_word long, n_words long, matched string"
-_STRIPPED = b".,;:!?()[]{}<>\"'`*#|_-/\\"
+MARKS = b".,;:!?()[]{}<>\"'`*#|_-/\\"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TABLE_BITS = 20
 
@@ -71,15 +70,9 @@ TEMPLATES = {
 }
 
 
-class BareHashes(WordHashes):
-    """Hashes of words in lower case without marks around them."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word)
-        bare = word.lower().strip(_STRIPPED)
-        if bare != word:
-            value = self[word] = xxhash.xxh3_64_intdigest(bare)
-        return value
+def bare_words(texts: list[bytes]) -> Words:
+    """Words with A-Z in lower case and without marks."""
+    return Words(texts, lower=True, skip=MARKS)
 
 
 def bands_for(similarity: float = ALIGNED, missed: float = MISSED) -> int:
@@ -113,12 +106,10 @@ class TemplateIndex:
     def __init__(self, templates: dict[str, str], bands: int):
         if len(templates) > MOST:
             raise ValueError(f"more than {MOST} templates; scan them in blocks")
-        hashes = BareHashes()
         self.names, self.shingles, self.seeds = [], [], _seeds(bands)
         keys: dict[tuple[int, int], dict[int, set[int]]] = {}
         for name, text in sorted(templates.items()):
-            flat, _, _ = joined_words([text.encode()], hashes)
-            grams = rolled(flat, SHINGLE)
+            grams = rolled(bare_words([text.encode()]).flat, SHINGLE)
             if not len(grams):
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             width = window_width(len(grams))
@@ -191,14 +182,14 @@ def scan_licenses(
     texts, count = templates or TEMPLATES, bands or bands_for()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = TemplateIndex(texts, count), BareHashes()
+        index = TemplateIndex(texts, count)
         for doc_ids, bodies in chunks(batches, ["doc_id", "text"]):
-            flat, starts, words = joined_words(bodies, hashes)
-            grams = rolled(flat, SHINGLE)
-            grams[_crossing(starts, len(grams))] = _NONE
+            words = bare_words(bodies)
+            starts, grams = words.starts, rolled(words.flat, SHINGLE)
+            grams[~inside_texts(starts, len(grams), SHINGLE)] = _NONE
             rows = []
             for doc, template, share, first, n in index.matches(grams, starts, containment):
-                text = b" ".join(words[doc][first : first + n]).decode()
+                text = b" ".join(bodies[doc].split()[first : first + n]).decode()
                 rows.append((doc_ids[doc], index.names[template], share, first, n, text))
             types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
@@ -208,9 +199,3 @@ def scan_licenses(
             )
 
     return docs.select("doc_id", "text").mapInArrow(scan, MATCH)
-
-
-def _crossing(starts: np.ndarray, n: int) -> np.ndarray:
-    """Shingle positions that reach over the end of their document."""
-    at = (starts[1:-1, None] - np.arange(1, SHINGLE)[None, :]).ravel()
-    return np.unique(at[(at >= 0) & (at < n)])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import WordHashes, chunks, joined_words, partitions, rolled, row_tag
+from tidemark.llm.words import Words, chunks, inside_texts, partitions, rolled, row_tag
 
 WINDOW, ANCHOR = 13, 5
 _REACH = WINDOW - ANCHOR + 1
@@ -47,10 +47,7 @@ def _anchored(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
         less = other < least
         least[less] = other[less]
         place[less] = offset
-    inside = np.ones(count, bool)
-    at = (starts[1:-1, None] - np.arange(1, WINDOW)[None, :]).ravel()
-    inside[at[(at >= 0) & (at < count)]] = False
-    windows = np.flatnonzero(inside)
+    windows = np.flatnonzero(inside_texts(starts, count, WINDOW))
     return windows, windows + place[windows], grams
 
 
@@ -68,10 +65,10 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     """``doc_id, anchors``: of each document, the anchors that stand in another document as well."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for ids, texts in chunks(batches, ["doc_id", "text"]):
             numbers, bodies, _ = _known_rows(ids, texts)
-            flat, starts, _ = joined_words(bodies, hashes)
+            words = Words(bodies)
+            flat, starts = words.flat, words.starts
             windows, anchors, grams = _anchored(flat, starts)
             if not len(windows):
                 continue
@@ -134,10 +131,10 @@ def _runs(texts: DataFrame) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for ids, tags, lists, bodies in chunks(batches, ["doc_id", "tag", "anchors", "text"]):
             keep = [i for i, found in enumerate(lists) if found]
-            flat, starts, _ = joined_words([bodies[i] for i in keep], hashes)
+            words = Words([bodies[i] for i in keep])
+            flat, starts = words.flat, words.starts
             windows, anchors, grams = _anchored(flat, starts)
             owner = _owners(windows, starts)
             shared = np.zeros(len(windows), bool)

@@ -35,8 +35,8 @@ from tidemark.llm.words import Words, chunks, partitions, rolled, row_tag
 from tidemark.session import written
 
 SHINGLE, PERCENT = 5, 80
-FRAGMENTS = 8
-SKETCH_BITS, BLOCKS, BITMAP = 20, 16, 16
+FRAGMENTS = 4
+SKETCH_BITS, BLOCKS, BITMAP = 24, 64, 16
 NEEDED_BITS = 25
 
 
@@ -83,7 +83,7 @@ def _summary(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n long, sid long, bits array<long>, block int, counts binary"
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
         for ids, texts in chunks(batches, ["doc_id", "text"]):
             sets = _sets(texts)
             names = [_name(s) for s in sets]
@@ -91,7 +91,8 @@ def _summary(docs: DataFrame) -> DataFrame:
             if distinct:
                 # Only n-grams that can stand in a prefix matter to the order.
                 low = np.concatenate([s[: 2 * _prefix(len(s), PERCENT)] for s in distinct.values()])
-                sketch += np.bincount((_slot(low)).astype(np.int64), minlength=len(sketch))
+                slots, times = np.unique(_slot(low), return_counts=True)
+                sketch[slots] = np.minimum(255, sketch[slots] + times)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
@@ -102,7 +103,7 @@ def _summary(docs: DataFrame) -> DataFrame:
                     "counts": pa.nulls(len(sets), pa.binary()),
                 }
             )
-        parts = np.split(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32), BLOCKS)
+        parts = np.split(sketch, BLOCKS)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.nulls(BLOCKS, pa.int64()),
@@ -121,28 +122,29 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)
 
 
-def _levels(summary: DataFrame) -> np.ndarray:
-    """The frequency level of each sketch slot: 0 for all but slots far above the mean. Fixed size."""
+def _levels(summary: DataFrame) -> bytes:
+    """The frequency level of each sketch slot, a byte each: 0 for all but slots far above the mean."""
+    own = F.least(F.col("n"), 2 * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
+    counted = summary.filter(F.col("block").isNull()).groupBy("sid").agg(F.first(own).alias("own")).agg(F.sum("own")).first()[0]
+    frequent = 4 * (counted or 0) / (1 << SKETCH_BITS) + 16
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = np.frombuffer(counts, np.uint32).astype(np.int64)
-                total[block] = total[block] + own if block in total else own
+                own = np.frombuffer(counts, np.uint8)
+                total[block] = total[block] + own if block in total else own.astype(np.uint32)
         for block, counts in total.items():
+            above = np.floor(np.log2(np.maximum(counts, frequent) / frequent)).astype(np.uint8)
+            level = np.where(counts > frequent, above + 1, 0).astype(np.uint8)
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())}
+                {"block": pa.array([block], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())}
             )
 
     rows = summary.filter(F.col("block").isNotNull()).select("block", "counts")
-    summed = rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
-    counts = np.zeros((BLOCKS, (1 << SKETCH_BITS) // BLOCKS), np.int64)
-    for row in summed:
-        counts[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    flat = counts.ravel()
-    frequent = 4 * flat.mean() + 16
-    return np.where(flat > frequent, np.floor(np.log2(np.maximum(flat, 1) / frequent)) + 1, 0).astype(np.uint8)
+    found = rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, level binary").collect()
+    parts = {r["block"]: bytes(r["level"]) for r in found}
+    return b"".join(parts.get(b, bytes((1 << SKETCH_BITS) // BLOCKS)) for b in range(BLOCKS))
 
 
 def _ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -253,9 +255,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, levels: Broadcast, percent: int)
     # Copies in other batches send the same fragment again.
     fragments = found.groupBy("sid", "fragment").agg(F.first("grams").alias("grams"))
     need = _least(F.col("n_a") + F.col("n_b"), percent).cast("long").alias("need")
-    asked = pairs.select("a", "b", need)
+    # One question per fragment, so that the joins use the partitioning the fragments already have.
+    each = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment")
+    asked = pairs.select("a", "b", need, each)
     side = lambda end: fragments.select(F.col("sid").alias(end), "fragment", F.col("grams").alias(f"grams_{end}"))
-    met = asked.join(side("a"), "a").join(side("b"), ["b", "fragment"])
+    met = asked.join(side("a"), ["a", "fragment"]).join(side("b"), ["b", "fragment"])
     partial = met.select("a", "b", "need", "grams_a", "grams_b").mapInArrow(count, "a long, b long, need long, common long")
     return partial.groupBy("a", "b", "need").agg(F.sum("common").alias("common")).filter("common >= need").select("a", "b")
 
@@ -285,7 +289,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     """``(sets, links)``: the set of every document, and links ``a, b`` between sets (enough for all classes)."""
     context = docs.sparkSession.sparkContext
     summary = _summary(docs)
-    levels = context.broadcast(_levels(summary).tobytes())
+    levels = context.broadcast(_levels(summary))
     members = summary.filter(F.col("block").isNull()).select("doc_id", "n", "sid", "bits")
     sets = written(
         members.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct"

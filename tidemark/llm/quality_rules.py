@@ -80,9 +80,7 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text", window: int =
         .otherwise(F.array().cast("array<bigint>"))
         .alias("windows"),
     )
-    bare = F.transform(F.col("words"), lambda w: F.lower(F.regexp_replace(w, r"^[\p{Punct}]+|[\p{Punct}]+$", "")))
-    return hashed.select(
-        *[F.col(f"k_{c}").alias(c) for c in keep],
+    found = F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -94,22 +92,25 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text", window: int =
         .otherwise(F.lit(0))
         .cast("long")
         .alias("n_repeat_words"),
-        F.size(F.filter(bare, lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(F.col("words"), lambda w: F.lower(w).isin(stops))).cast("long").alias("n_stop_words"),
         F.regexp_count("body", F.lit("[!?]{2,}")).cast("long").alias("n_shouts"),
         F.regexp_count("body", F.lit(r"[\p{Lu}]")).cast("long").alias("n_capitals"),
     )
+    # As one generated row: a filter on a measure is then not pushed below it, where the measures would be
+    # computed again, and the words anew for each of them.
+    return hashed.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.inline(F.array(found)))
 
 
 def _covered(windows: Column, size: int) -> Column:
     """How many words lie in windows whose hash occurs twice or more."""
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def places(found: Column) -> Column:
         def twice(pair: Column, at: Column) -> Column:
             same = lambda other: F.coalesce(F.get(found, other)["h"] == pair["h"], F.lit(False))
             return same(at - 1) | same(at + 1)
 
-        return F.array_sort(F.transform(F.filter(found, twice), lambda pair: pair["i"]))
+        return F.sort_array(F.transform(F.filter(found, twice), lambda pair: pair["i"]))
 
     def total(at: Column) -> Column:
         steps = F.transform(

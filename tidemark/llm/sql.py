@@ -46,8 +46,7 @@ m AS (
            CAST(len(lines) AS BIGINT) AS n_lines,
            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
            coalesce(n_repeat_words, 0) AS n_repeat_words,
-           len(list_filter(ws, lambda x: list_contains([{_STOPS}],
-               lower(regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))))) AS n_stop_words,
+           len(list_filter(ws, lambda x: list_contains([{_STOPS}], lower(x)))) AS n_stop_words,
            len(regexp_extract_all(body, '[!?]{{2,}}')) AS n_shouts,
            len(regexp_extract_all(body, '\p{{Lu}}')) AS n_capitals
     FROM w LEFT JOIN repeated r ON w.doc_id = r.doc_id),

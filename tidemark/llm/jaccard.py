@@ -8,8 +8,10 @@ Candidates share an n-gram in the first ``n - ceil(t n) + 1`` n-grams of that or
 leave enough n-grams after the shared one. Equal sets are one node, so copies cost nothing. Links are
 needed only to find the classes, which takes two rounds:
 
-1. in each group of sets that share an n-gram, every set is compared with two of the group;
-2. pairs of groups that are still in different classes are all compared, so no link is lost.
+1. in each group of sets that share an n-gram, every set is compared with a few of the group, the first by
+   several orders that are the same in all groups;
+2. pairs of groups that are still in different classes are all compared, so no link is lost. Of groups
+   with the same members one is enough: that of the n-gram which is first in the order.
 
 A fixed-size bitmap per set bounds the overlap of a pair from above and spares most false candidates
 the exact count. Sets are identified by a 64-bit hash together with their size.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import Words, chunks, partitions, rolled, row_tag
+from tidemark.llm.words import Words, chunks, mixed, partitions, rolled, row_tag
 from tidemark.session import written
 
 SHINGLE, PERCENT = 5, 80
@@ -154,7 +156,8 @@ def _ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 _POSTING = "gram long, sid long, n int, pos int"
-_GROUPED = "gram long, sid long, n int, pos int, size int, first long, last long"
+_GROUPED = "gram long, sid long, n int, pos int, size int, others array<long>"
+_ORDERS = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _groups(docs: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
@@ -188,12 +191,17 @@ def _groups(docs: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
         gram, sid, n, pos = gram[new], sid[new], n[new], pos[new]
         begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
         size = np.diff(np.r_[begin, len(gram)])
+        # The smallest and the largest set by name, and the smallest by hashes of the name.
+        firsts = [sid[begin], sid[begin + size - 1]]
+        for order in _ORDERS if len(begin) else ():
+            rank = mixed(sid.view(np.uint64) ^ order)
+            least = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, begin), size))
+            firsts.append(sid[least])
+        chosen = np.repeat(np.stack(firsts, axis=1), size, axis=0)
         several = np.repeat(size > 1, size)
-        columns = {
-            "gram": gram, "sid": sid, "n": n, "pos": pos, "size": np.repeat(size, size).astype(np.int32),
-            "first": sid[np.repeat(begin, size)], "last": sid[np.repeat(begin + size - 1, size)],
-        }
-        yield pa.RecordBatch.from_pydict({k: pa.array(v[several]) for k, v in columns.items()})
+        columns = {"gram": gram, "sid": sid, "n": n, "pos": pos, "size": np.repeat(size, size).astype(np.int32)}
+        others = pa.array(chosen[several].tolist(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_pydict({**{k: pa.array(v[several]) for k, v in columns.items()}, "others": others})
 
     postings = docs.select("text").mapInArrow(post, _POSTING)
     count = partitions(docs.sparkSession)
@@ -295,7 +303,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         members.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct"
     )
     groups = _groups(docs, levels, percent)
-    stars = groups.select("sid", F.explode(F.array("first", "last")).alias("other"))
+    stars = groups.select("sid", F.explode(F.array_distinct("others")).alias("other"))
     first_pairs = _likely(stars.select(F.col("sid").alias("x"), F.col("other").alias("y")), sets, percent)
     first_links = written(_linked(first_pairs, docs, levels, percent), "links")
 
@@ -303,8 +311,18 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     # Groups of up to three sets were compared in full. Of the others, pairs in different classes remain.
     large = groups.filter("size > 3").join(classes, F.col("sid") == F.col("node"), "left")
     large = large.select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-    mixed = large.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_sets = written(large.join(mixed.select("gram"), "gram", "left_semi"), "open")
+    member = F.xxhash64("sid")
+    mixed_groups = (
+        large.groupBy("gram")
+        .agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("pos").alias("pos"),
+            F.bit_xor(member).alias("odd"), F.sum(F.shiftright(member, 24)).alias("total"),
+        )
+        .filter("low <> high")
+        .groupBy("size", "odd", "total")
+        .agg(F.min_by("gram", F.struct("pos", "gram")).alias("gram"))
+    )
+    open_sets = written(large.join(mixed_groups.select("gram"), "gram", "left_semi"), "open")
     x = open_sets.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "root")])
     y = open_sets.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "root")])
     rest = x.join(y, "gram").filter((F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y")) & _fits(percent))

@@ -58,8 +58,12 @@ def test_spec(spark):
     good = {rule: detail for (doc, rule), detail in found.items() if doc == "good"}
     assert good == {
         "description too long": "23", "description near limit": "23", "too many lines": "9", "phrase missing in description": "third",
-        "forbidden token": " rm ", "reference missing": "references/b.md",
+        "forbidden token": " rm ", "reference missing": "references/b.md", "no version": None,
     }
+    versioned = spark.createDataFrame([("v", SPEC.replace("license:", 'version: "1.2.3"\nlicense:'))], docs.schema)
+    files = spark.createDataFrame([("references/b.md",)], "path STRING")
+    rest = {(r.rule, r.detail) for r in evals.spec_contract(versioned, evals.SpecRules(), files).collect()}
+    assert rest == {("reference file missing", "references/a.md")}
     assert {"no front matter", "no description", "phrase missing"} <= {rule for doc, rule in found if doc == "bare"}
 
 
@@ -109,14 +113,14 @@ def test_scope_and_territories(spark):
 
 
 def test_book(spark):
-    good = "".join(f"## {s}\n" for s in evals.BOOK_SECTIONS)
-    swapped = good.replace("界限", "@").replace("规矩", "界限").replace("@", "规矩")
+    good = "界限 is named before its heading\n" + "".join(f"## {s}\n" for s in evals.BOOK_SECTIONS).replace("任务 N", "任务 1\n## 任务 2")
+    swapped = good.replace("## 界限", "@").replace("## 规矩", "## 界限").replace("@", "## 规矩")
     two, one = ["a", "b"], ["a"]
     books = spark.createDataFrame(
-        [(1, good, [two] * 5), (2, swapped + "来找我", [two] * 6), (3, good.replace("界限", ""), [one, two]), (4, good + "x" * 4000, [])],
+        [(1, good, [two] * 5), (2, swapped + "来找我", [two] * 6), (3, good.replace("## 界限", ""), [one, two]), (5, good.replace("任务 1\n## 任务 2", "任务 N"), []), (4, good + "x" * 4000, [])],
         "book_id INT, text STRING, questions ARRAY<ARRAY<STRING>>",
     )
     got = {(r.book_id, r.rule) for r in evals.book_contract(books).collect()}
     assert got == {
-        (2, "sections out of order"), (2, "banned wording"), (2, "too many questions"), (3, "section missing"), (3, "question options"), (4, "too long"),
+        (2, "sections out of order"), (2, "banned wording"), (2, "too many questions"), (3, "section missing"), (5, "section missing"), (3, "question options"), (4, "too long"),
     }

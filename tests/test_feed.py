@@ -207,3 +207,24 @@ def test_feed_pages_are_read_with_unknown_fields(spark, tmp_path):
     )
     row = tables.feed_items(tables.read_json(spark, str(tmp_path), tables.FEED_PAGE), "site").collect()[0]
     assert (row.id, row.links.site, row.category, row.selected) == ("a", "u", "brand-new", True)
+
+
+def test_related_stories_expand_only_from_what_is_new(spark):
+    edges = spark.createDataFrame([(1, 2, "r"), (2, 1, "r"), (2, 3, "r"), (3, 2, "r"), (3, 4, "r"), (9, 1, "r")], "story_id INT, related_id INT, kind STRING")
+    given = spark.createDataFrame([(1,)], "story_id INT")
+    got = {(r.story_id, r.related_id): r.hops for r in feed.related(given, edges, hops=3).collect()}
+    assert got == {(1, 2): 1, (1, 3): 2, (1, 4): 3}
+
+
+def test_texts_are_searched_where_they_lie(spark):
+    items = spark.createDataFrame([(1, "Alpha"), (2, "beta"), (3, "x")], "id INT, title STRING")
+    texts = spark.createDataFrame([(2, None, "an ALPHA inside"), (3, "none", None), (4, "alpha", "")], "id INT, original_title STRING, summary STRING")
+    assert sorted(r.id for r in feed.feed_search(items, "alpha", texts).collect()) == [1, 2]
+
+
+def test_feed_queries_without_texts_do_not_read_documents(spark):
+    from tidemark.plans.catalog import PLANS
+
+    for name in ("feed_timeline_ts", "feed_window_24h_timeline", "feed_daily_index", "feed_display_time", "feed_public_pool"):
+        plan = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan, name

@@ -70,7 +70,11 @@ def test_sources(spark):
     assert [r.claim_id for r in research.single_source(claims).collect()] == [2]
     cites = spark.createDataFrame([("a", "b"), ("b", "root"), ("c", "root"), ("x", "y"), ("y", "x")], "origin STRING, cites STRING")
     got = {r.claim_id: (r.origins, r.independent) for r in research.independent_sources(claims, cites).collect()}
-    assert got == {1: (3, 1), 2: (1, 1), 3: (2, 2)}
+    assert got == {1: (3, 1), 2: (1, 1), 3: (2, 1)}
+    # An origin that cites two others is still one origin, and one source.
+    two = spark.createDataFrame([("a", "b"), ("a", "c"), ("z", "c")], "origin STRING, cites STRING")
+    many = spark.createDataFrame([(1, "a"), (2, "a"), (2, "z"), (2, "q")], "claim_id INT, origin STRING")
+    assert {r.claim_id: (r.origins, r.independent) for r in research.independent_sources(many, two).collect()} == {1: (1, 1), 2: (3, 2)}
     texts = spark.createDataFrame([(1, "有来源"), (9, "该信息暂缺"), (8, "断言")], "claim_id INT, text STRING")
     assert {r.claim_id: r.marked for r in research.unsourced(texts, claims).collect()} == {9: True, 8: False}
 

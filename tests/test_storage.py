@@ -140,3 +140,47 @@ def test_normalised_paths(spark):
     given = ["/a/./b/../c", "/../x", "/a//b/", "/"]
     df = spark.createDataFrame([(p,) for p in given], "p STRING").select(paths.normalised(F.col("p")).alias("n"))
     assert [r.n for r in df.collect()] == ["/a/c", "/x", "/a/b", "/"]
+
+
+def test_equal_rows_stay_and_the_stricter_tier_wins(spark):
+    children = spark.createDataFrame([("/a/b", 1), ("/a/b", 1), ("/z", 2), (None, 3)], "path STRING, size_kb INT")
+    prefixes = spark.createDataFrame([("/a", "green", 1), ("/a", "red", 1), ("/a", "yellow", 1)], "prefix STRING, tier STRING, priority INT")
+    got = sorted((r.path or "", r.size_kb, r.tier) for r in storage.classify_by_prefix(children, prefixes).collect())
+    assert got == [("", 3, "none"), ("/a/b", 1, "red"), ("/a/b", 1, "red"), ("/z", 2, "none")]
+
+
+def test_shipped_rules(spark):
+    places = {
+        "/Applications/X.app": "red", "/Users/u/Library/Caches/x": "green", "/System/x": "none", "/Users/u/Downloads/a.pkg": "green",
+        "D:/games/x": "yellow", "C:/Program Files (x86)/App": "red", "C:/hiberfil.sys": "none", "C:/Windows/WinSxS": "none",
+        "C:/Users/u/AppData/Local/Temp/x": "green", "D:/pagefile.sys": "none",
+    }
+    rows = spark.createDataFrame([(p, True) for p in places] + [("/Applications/Y.app", False)], "path STRING, again BOOLEAN")
+    rules = storage.MAC_RULES + storage.WINDOWS_RULES
+    got = {r.path: r.tier for r in storage.classify(rows, rules, flagged=F.col("again")).collect()}
+    assert got == {**places, "/Applications/Y.app": "none"}
+    assert {r.tier for r in storage.classify(rows.filter("path LIKE '/App%'"), rules).collect()} == {"none"}
+
+
+def test_actions_compare_resolved_paths(spark):
+    granted = spark.createDataFrame([("rm", "~/cache/./x"), ("open", "/Applications/x")], "mode STRING, path STRING")
+    asked = spark.createDataFrame(
+        [(1, "open", 0, "/Applications/./x"), (1, "open", 1, "/Applications/../Applications/x"), (2, "rm", 0, "/home/u/cache/x"),
+         (3, "rm", 0, "/Applications/x/../../home/u/cache/x"), (4, "open", 0, "/Applications/x/../../etc"), (5, "open", 0, "/Applications/link")],
+        "request_id INT, mode STRING, pos INT, path STRING",
+    )
+    links = spark.createDataFrame([("/Applications/link", "x")], "path STRING, target STRING")
+    got = {(r.request_id, r.pos): r.outcome for r in storage.audit_actions(asked, granted, home="/home/u", links=links).collect()}
+    assert got == {(1, 0): "done", (1, 1): "done", (2, 0): "done", (3, 0): "done", (4, 0): "not granted", (5, 0): "done"}
+
+
+def test_listing_is_read_once(spark, tmp_path):
+    rows = [("/r/a/x", 200 << 20, False, False), ("/r/f", 300 << 20, False, False), ("/q", 0, False, True), ("/r/a/y", 1 << 40, True, False)]
+    spark.createDataFrame(rows, "path STRING, size_bytes LONG, is_symlink BOOLEAN, denied BOOLEAN").write.parquet(f"{tmp_path}/l")
+    listing = spark.read.parquet(f"{tmp_path}/l")
+    targets = spark.createDataFrame([("home", "/r", 51200), ("home", "/q", 51200), ("all", "/r/a", 51200)], "group STRING, root STRING, floor_kb LONG")
+    sized = storage.child_sizes(listing, targets)
+    got = sorted((r.group, r.path, r.size_kb, r.denied) for r in sized.collect())
+    assert got == [("all", "/r/a/x", 204800, False), ("home", "/q", 0, True), ("home", "/r/a", 204800, False), ("home", "/r/f", 307200, False)]
+    plan = storage.child_sizes(listing, targets)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -12,7 +13,16 @@ from tidemark.operators.mirror import apply_changes
 from tidemark.streaming import feed, mirror, runs, versions
 
 CHANGE = "seq BIGINT, op STRING, id STRING, value INT"
-PAGE = "snapshot INT, page INT, cursor STRING, has_more BOOLEAN"
+PAGE = "snapshot INT, page INT, cursor STRING, hasMore BOOLEAN, items ARRAY<STRUCT<id: STRING, value: INT>>"
+
+
+def responses(spark, rows, closed=True):
+    """The rows as a snapshot of two pages."""
+    return spark.createDataFrame([(1, 1, "c", True, rows[:1]), (1, 2, "c", not closed, rows[1:])], PAGE)
+
+
+def items_of(documents):
+    return documents.selectExpr("inline(items)")
 
 
 def rows_of(df):
@@ -52,14 +62,14 @@ def test_changes_last_wins_and_replay_changes_nothing(spark, start):
 
 def test_mirror(spark, start, tmp_path):
     path, landing = f"{tmp_path}/mirror", f"{tmp_path}/changes"
-    whole = spark.createDataFrame([(1, 1, "c", True), (1, 2, "c", False)], PAGE)
+    rows = [("a", 0), ("keep", 7), ("c", 0)]
     with pytest.raises(FileNotFoundError):
         land(spark, CHANGES[:1], CHANGE, landing, 1_000_000)
         mirror.mirror_stream(source(spark, CHANGE, landing), path)
     with pytest.raises(ValueError):
-        mirror.rebuild_mirror(start, whole.filter("page = 1"), path)
+        mirror.rebuild_mirror(responses(spark, rows, closed=False), items_of, path)
     assert versions.latest(spark, path) is None
-    first = mirror.rebuild_mirror(start, whole, path)
+    first = mirror.rebuild_mirror(responses(spark, rows), items_of, path)
     for n, part in enumerate((CHANGES[1:4], CHANGES[4:6], CHANGES[6:])):
         land(spark, part, CHANGE, landing, 1_000_010 + n)
     mirror.mirror_stream(source(spark, CHANGE, landing), path).awaitTermination()
@@ -72,12 +82,21 @@ def test_mirror(spark, start, tmp_path):
     last = versions.latest(spark, path)
     os.remove(f"{path}/{last}/_SUCCESS")
     assert versions.latest(spark, path) < last
-    before = versions.read(spark, path, versions.latest(spark, path, before=last))
-    versions.write(apply_changes(before, spark.createDataFrame(CHANGES[6:], CHANGE)), path, last)
+    batch = spark.createDataFrame(CHANGES[6:], CHANGE)
+    versions.update(path, last, batch, ["id"], lambda rows: apply_changes(rows, batch))
     assert rows_of(versions.read(spark, path)) == want
 
+    # The batch left the buckets of other ids where they were.
+    touched = {r.b for r in batch.select(versions.bucket(["id"]).alias("b")).collect()}
+    before = versions.manifest(spark, path, versions.latest(spark, path, before=last))
+    after = versions.manifest(spark, path, last)
+    assert {b: f for b, f in after.items() if b not in touched} == {b: f for b, f in before.items() if b not in touched}
+    assert all(f.startswith(f"rows-{last}/") for b, f in after.items() if b in touched)
+    gone = versions.remove_old(spark, path, keep=2)
+    assert len(versions.complete(spark, path)) == 2 and gone and rows_of(versions.read(spark, path)) == want
+
     # A broken cursor: one rebuild, a new generation with its own cursor.
-    again = mirror.rebuild_mirror(spark.createDataFrame([("new", 1)], start.schema), whole, path)
+    again = mirror.rebuild_mirror(responses(spark, [("new", 1)]), items_of, path)
     assert versions.latest(spark, path) == again and rows_of(versions.read(spark, path)) == [("new", 1)]
 
 
@@ -117,8 +136,9 @@ def test_alerts_carry_over_batches(spark, tmp_path, cuts):
         land(spark, [r for r in rows if low <= r[2] < high], RUN, f"{tmp_path}/in", 1_000_000 + n)
     runs.streak_alerts(source(spark, RUN, f"{tmp_path}/in"), f"{tmp_path}/alerts", slice_size=8).awaitTermination()
     alerts = runs.read_alerts(spark, f"{tmp_path}/alerts")
-    got = sorted((r.run, r.check, r.first_seq) for r in alerts.collect())
-    assert got == [(run, check, first) for run, check, first, _, _ in brute_streaks(rows, 3)]
+    got = sorted((r.run, r.check, r.first_seq, r.alert_seq) for r in alerts.collect())
+    third = lambda run, check, first: [r[2] for r in rows if r[:2] == (run, check) and r[2] >= first and not r[3]][2]
+    assert got == [(run, check, first, third(run, check, first)) for run, check, first, _, _ in brute_streaks(rows, 3)]
     state = versions.read(spark, f"{tmp_path}/alerts/state")
     assert {(r.run, r.check): r.failures for r in state.collect()}["s", "d"] == 59
 
@@ -139,7 +159,39 @@ def test_work_folder_needs_a_shared_place_on_a_cluster():
         def get(self, key, default=None):
             return self.shared or default
 
+        def getCheckpointDir(self):
+            return None
+
     with pytest.raises(ValueError):
         work_dir(Session("yarn", None), "x")
     assert work_dir(Session("yarn", "s3a://shared/ck/"), "x").startswith("s3a://shared/ck/x-")
     assert os.path.isdir(work_dir(Session("local[2]", None), "x"))
+
+
+def test_json_pages_to_the_mirror(spark, tmp_path):
+    from tidemark.sources import tables
+
+    def item(n, title):
+        return {"id": f"i{n}", "title": title, "links": {"site": f"https://s/{n}"}, "source": {"name": "x"}, "discoveredAt": "2026-01-01T00:00:00Z", "selected": True}
+
+    pages = [
+        {"snapshot": 1, "page": 1, "cursor": "w", "nextPage": "p2", "hasMore": True, "count": 2, "items": [item(1, "one"), item(2, "two")]},
+        {"snapshot": 1, "page": 2, "cursor": "w", "hasMore": False, "count": 1, "items": [item(3, "three")]},
+    ]
+    steps = [
+        {"page": 1, "cursor": "w1", "hasMore": True, "changes": [{"op": "upsert", "id": "i2", "item": item(2, "TWO")}, {"op": "remove", "id": "i1"}]},
+        {"page": 2, "cursor": "w2", "hasMore": False, "changes": [{"op": "upsert", "id": "i4", "item": item(4, "four")}, {"op": "remove", "id": "none"}]},
+    ]
+    for name, documents in (("snapshot", pages), ("changes", steps)):
+        os.makedirs(f"{tmp_path}/{name}")
+        for n, document in enumerate(documents):
+            with open(f"{tmp_path}/{name}/{n}.json", "w") as out:
+                json.dump(document, out)
+            os.utime(f"{tmp_path}/{name}/{n}.json", (1_000_000 + n, 1_000_000 + n))
+    answers = tables.read_json(spark, f"{tmp_path}/snapshot", tables.SNAPSHOT_PAGE)
+    mirror.rebuild_mirror(answers, lambda d: tables.feed_items(d, "site"), f"{tmp_path}/m")
+    stream = spark.readStream.schema(tables.CHANGE_PAGE).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/changes")
+    mirror.mirror_stream(tables.changes(stream, tables.CHANGED_ITEM, "site"), f"{tmp_path}/m").awaitTermination()
+    got = {r.id: (r.title, r.links.site) for r in versions.read(spark, f"{tmp_path}/m").collect()}
+    assert got == {"i2": ("TWO", "https://s/2"), "i3": ("three", "https://s/3"), "i4": ("four", "https://s/4")}
+    assert len(versions.complete(spark, f"{tmp_path}/m")) == 3

@@ -126,3 +126,16 @@ def test_no_shuffle_in_a_corpus_pass(spark):
     assert "Exchange" not in plan
     with pytest.raises(ValueError):
         style.phrase_hits(docs(spark, "a"), ())
+
+
+def test_cliches_have_no_length_limit(spark):
+    gap = "字" * 250
+    texts = ["首先 一\n\n其次 二\n\n最后 三", f"首先{gap}其次{gap}最后", f"在当今{'字' * 61}的时代", f"随着{gap}的不断发展", "其次 首先 最后", "首先 首先 其次 最后 首先 其次 其次 最后", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    got = {(r.doc_id, r.rule_id): r.hits for r in style.pattern_hits(docs, style.CLICHES).collect()}
+    assert got == {(0, "s1"): 1, (1, "s1"): 1, (2, "s3"): 1, (3, "s4"): 1, (5, "s1"): 2}
+
+
+def test_phrases_with_a_blank(spark):
+    docs = spark.createDataFrame([(1, "回到价格这块。不是说钱不行而是说。有个屁的用"), (2, "回到。这块")], "doc_id INT, text STRING")
+    assert {r.doc_id: r.phrases for r in style.phrase_variety(docs).collect()} == {1: 3, 2: 0}

@@ -13,12 +13,14 @@ def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
 
     Every round doubles the distance covered and is written to the checkpoint folder. No chain is
     longer than the number of edges, so what still moves after that many hops runs in a circle and is
-    not ``closed``. A source must have one target.
+    not ``closed``. A source with two targets is refused; see ``groups`` for such graphs.
     """
     hops = edges.select(
         F.col(source).alias("source"), F.col(target).alias("root")
-    ).filter(F.col("source") != F.col("root"))
+    ).filter(F.col("source") != F.col("root")).distinct()
     hops = checkpoint(hops)
+    if not hops.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"a {source} has more than one {target}")
     longest, covered = hops.count(), 1
     while covered <= longest:
         onward = hops.select(F.col("source").alias("root"), F.col("root").alias("__next"))
@@ -36,3 +38,29 @@ def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
     return hops.join(still_open, "root", "left").select(
         "source", "root", F.col("__open").isNull().alias("closed")
     )
+
+
+def groups(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """What hangs together over ``edges``, many to many: ``node`` and ``group``, the smallest node reached.
+
+    Labels take the smallest label of a neighbour and then the label of that label, so the distance
+    covered doubles; each round is checkpointed. Ends when no label changes.
+    """
+    pairs = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("group")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("group").alias("__near"))
+        better = labels.join(near, F.col("node") == F.col("a"), "left").select(
+            "node", F.least("group", "__near").alias("group"), F.col("group").alias("__before")
+        )
+        better = checkpoint(better)
+        ahead = better.select(F.col("node").alias("__at"), F.col("group").alias("__ahead"))
+        moved = checkpoint(
+            better.join(ahead, F.col("group") == F.col("__at"), "left").select(
+                "node", F.least("group", "__ahead").alias("group"), "__before"
+            )
+        )
+        if moved.filter(F.col("group") != F.col("__before")).isEmpty():
+            return moved.select("node", "group")
+        labels = moved.select("node", "group")

@@ -21,6 +21,11 @@ def days(column: str, width: int) -> Column:
     return F.floor(F.datediff(F.col(column), F.lit("1970-01-01")) / F.lit(width))
 
 
+def minutes(column: str, width: int) -> Column:
+    """Slice number of a timestamp: blocks of ``width`` minutes."""
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(width * 60_000_000))
+
+
 def blocks(column: str, width: int) -> Column:
     """Slice number of an integer order column: blocks of ``width`` numbers."""
     return F.floor(F.col(column) / F.lit(width))

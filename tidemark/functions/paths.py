@@ -60,3 +60,11 @@ def resolved(target: Column, folder: Column) -> Column:
     return normalised(
         F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(folder, F.lit("/"), target))
     )
+
+
+def absolute(path: Column, home: str | None = None) -> Column:
+    """``path`` normalised, with a leading ``~`` replaced by ``home``."""
+    if home is not None:
+        own = (path == "~") | F.startswith(path, F.lit("~/"))
+        path = F.when(own, F.concat(F.lit(home), F.substring(path, 2, 1 << 30))).otherwise(path)
+    return normalised(path)

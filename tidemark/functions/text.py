@@ -76,3 +76,20 @@ def count_literal(text: Column, phrase: str) -> Column:
 
 def count_pattern(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+
+def count_ordered(text: Column, words: tuple[str, ...]) -> Column:
+    """How often ``words`` follow each other in this order, in one pass over their occurrences."""
+    found = F.regexp_extract_all(text, F.lit("|".join(words)), F.lit(0))
+    wanted = F.array(*[F.lit(w) for w in words])
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("hits"))
+
+    def step(state: Column, word: Column) -> Column:
+        moved = F.when(word == F.get(wanted, state["at"]), state["at"] + 1).otherwise(state["at"])
+        full = moved == len(words)
+        return F.struct(
+            F.when(full, F.lit(0)).otherwise(moved).alias("at"),
+            (state["hits"] + F.when(full, F.lit(1)).otherwise(F.lit(0))).alias("hits"),
+        )
+
+    return F.aggregate(found, start, step, lambda state: state["hits"])

@@ -5,6 +5,7 @@ Every check returns all violations as rows instead of stopping at the first one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -27,33 +28,36 @@ MIN_BARE_NEGATIVES = 6
 def check_evals(
     evals: DataFrame, *, required: Sequence[str] = (), minimum: int = MIN_EVALS, obsolete: str = "assertions"
 ) -> DataFrame:
-    """Violations ``set_id, rule, detail`` of ``evals(set_id, id, name, expectations, ...)``."""
-    sets = evals.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = (
-        evals.groupBy("set_id", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("set_id", F.lit("duplicate id").alias("rule"), F.col("id").cast("string").alias("detail"))
-    )
-    small = sets.filter(F.col("n") < minimum).select(
-        "set_id", F.lit("too few evals").alias("rule"), F.col("n").cast("string").alias("detail")
+    """Violations ``set_id, rule, detail`` of ``evals(set_id, id, name, expectations, ...)``.
+
+    All rules are read off one aggregation per id, and one of those per set.
+    """
+    number = F.col("id").cast("string")
+    stale = F.col(obsolete).isNotNull() if obsolete in evals.columns else F.lit(False)
+    per_id = evals.groupBy("set_id", "id").agg(
+        F.count(F.lit(1)).cast("int").alias("n"),
+        F.count_if(F.coalesce(F.size("expectations"), F.lit(0)) <= 0).cast("int").alias("empty"),
+        F.count_if(stale).cast("int").alias("stale"),
+        F.collect_set(F.when(F.col("name").isin(*required), F.col("name"))).alias("names"),
+    )
+
+    def rule(name: str, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("rule"), detail.alias("detail"))
+
+    of_ids = F.concat(
+        F.array_repeat(rule("duplicate id", number), (F.col("n") > 1).cast("int")),
+        F.array_repeat(rule("no expectations", number), F.col("empty")),
+        F.array_repeat(rule("obsolete field", number), F.col("stale")),
     )
-    empty = evals.filter(F.coalesce(F.size("expectations"), F.lit(0)) <= 0).select(
-        "set_id", F.lit("no expectations").alias("rule"), F.col("id").cast("string").alias("detail")
+    per_set = per_id.groupBy("set_id").agg(
+        F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names")
     )
-    found = repeated.unionByName(small).unionByName(empty)
-    if obsolete in evals.columns:
-        found = found.unionByName(
-            evals.filter(F.col(obsolete).isNotNull()).select(
-                "set_id", F.lit("obsolete field").alias("rule"), F.col("id").cast("string").alias("detail")
-            )
-        )
-    if required:
-        names = F.array(*[F.lit(n) for n in required])
-        found = found.unionByName(
-            sets.select("set_id", F.explode(names).alias("name"))
-            .join(evals.select("set_id", "name"), ["set_id", "name"], "left_anti")
-            .select("set_id", F.lit("required name missing").alias("rule"), F.col("name").alias("detail"))
-        )
-    return found
+    wanted = F.array(*[F.lit(n) for n in required]).cast("array<string>")
+    of_sets = F.concat(
+        F.array_repeat(rule("too few evals", F.col("n").cast("string")), (F.col("n") < minimum).cast("int")),
+        F.transform(F.array_except(wanted, F.col("names")), lambda n: rule("required name missing", n)),
+    )
+    return per_id.select("set_id", F.inline(of_ids)).unionByName(per_set.select("set_id", F.inline(of_sets)))
 
 
 def check_fixtures(evals: DataFrame, files: DataFrame) -> DataFrame:
@@ -143,7 +147,9 @@ class SpecRules(NamedTuple):
     required: tuple[str, ...] = ()
     forbidden: tuple[str, ...] = ()
     references: tuple[str, ...] | None = None
+    # How a reference and the version are written.
     reference_pattern: str = r"\]\((references/[^)]+)\)"
+    version_pattern: str = r'version: "\d+\.\d+\.\d+"'
 
 
 def front_matter_block(text: Column) -> Column:
@@ -191,8 +197,11 @@ def description(text: Column) -> Column:
     )
 
 
-def spec_contract(specs: DataFrame, rules: SpecRules) -> DataFrame:
-    """Broken rules of specification documents ``(doc_id, text)``: ``doc_id, rule, detail``."""
+def spec_contract(specs: DataFrame, rules: SpecRules, files: DataFrame | None = None) -> DataFrame:
+    """Broken rules of specification documents ``(doc_id, text)``: ``doc_id, rule, detail``.
+
+    With ``files(path)`` every referenced file must be one of them.
+    """
     text, about = F.col("text"), F.col("__about")
     n_lines = F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n", -1))
 
@@ -204,6 +213,7 @@ def spec_contract(specs: DataFrame, rules: SpecRules) -> DataFrame:
     checks = [
         broken("no front matter", front_matter_block(text).isNull(), F.lit(None)),
         broken("no description", F.length(about) == 0, F.lit(None)),
+        broken("no version", ~F.coalesce(front_matter_block(text).rlike(rules.version_pattern), F.lit(False)), F.lit(None)),
         broken("description too long", F.length(about) > rules.max_description, F.length(about)),
         broken("description near limit", F.length(about) > rules.comfortable_description, F.length(about)),
         broken("too many lines", n_lines >= rules.max_lines, n_lines),
@@ -221,9 +231,16 @@ def spec_contract(specs: DataFrame, rules: SpecRules) -> DataFrame:
         missing, extra = F.array_except(expected, found), F.array_except(found, expected)
         checks.append(broken("reference missing", F.size(missing) > 0, F.array_join(F.array_sort(missing), " ")))
         checks.append(broken("reference unexpected", F.size(extra) > 0, F.array_join(F.array_sort(extra), " ")))
-    return specs.withColumn("__about", description(text)).select(
+    result = specs.withColumn("__about", description(text)).select(
         "doc_id", F.inline(F.filter(F.array(*checks), lambda c: c.isNotNull()))
     )
+    if files is None:
+        return result
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(rules.reference_pattern), F.lit(1)))
+    absent = specs.select("doc_id", F.explode(named).alias("detail")).join(
+        files.select(F.col("path").alias("detail")), "detail", "left_anti"
+    )
+    return result.unionByName(absent.select("doc_id", F.lit("reference file missing").alias("rule"), "detail"))
 
 
 def failure_streaks(runs: DataFrame, *, n: int = 3, slice_size: int = 1_000_000) -> DataFrame:
@@ -282,18 +299,17 @@ def scope_violations(changes: DataFrame, allowed: DataFrame, frozen: DataFrame)
 
     ``changes(task, path, sha256)``, ``allowed(task, prefix)``, ``frozen(path, sha256)``; paths are absolute.
     """
+    changed = changes.groupBy("task", "path").agg(F.collect_set(F.struct("sha256")).alias("hashes"))
     inside = (
-        changes.select("task", "path")
-        .distinct()
-        .select("task", "path", F.explode(paths.self_and_ancestors(F.col("path"))).alias("prefix"))
+        changed.select("task", "path", F.explode(paths.self_and_ancestors(F.col("path"))).alias("prefix"))
         .join(allowed.select("task", "prefix"), ["task", "prefix"], "left_semi")
         .select("task", "path")
         .distinct()
     )
-    outside = changes.select("task", "path").distinct().join(inside, ["task", "path"], "left_anti")
+    outside = changed.select("task", "path").join(inside, ["task", "path"], "left_anti")
     touched = (
-        changes.join(frozen.select("path", F.col("sha256").alias("__frozen")), "path")
-        .filter(~F.col("sha256").eqNullSafe(F.col("__frozen")))
+        changed.join(frozen.select("path", F.col("sha256").alias("__frozen")), "path")
+        .filter(F.exists("hashes", lambda h: ~h["sha256"].eqNullSafe(F.col("__frozen"))))
         .select("task", "path")
         .distinct()
     )
@@ -329,7 +345,7 @@ def territory_overlap(allowed: DataFrame) -> DataFrame:
     )
 
 
-# Limits of a task book.
+# Limits of a task book and its sections; N stands for the numbers of the tasks, from 1.
 BOOK_CHARS = 4000
 BOOK_QUESTIONS = 5
 BOOK_SECTIONS = ("我替领导拍的板", "界限", "现状与任务 0", "任务 N", "规矩", "完成条件")
@@ -345,10 +361,16 @@ def book_contract(
 ) -> DataFrame:
     """Broken rules of task books ``(book_id, text, questions)``: ``book_id, rule, detail``.
 
-    ``questions`` is an array of arrays of options; each question has 2 to 4 of them.
+    ``questions`` is an array of arrays of options; each question has 2 to 4 of them. Sections are
+    headings; a mention in the text is none. ``N`` at the end of a name is a number from 1.
     """
     text = F.col("text")
-    places = F.array(*[F.instr(text, s) for s in sections])
+
+    def heading(name: str) -> str:
+        exact = re.escape(name.removesuffix("N")) + "[1-9][0-9]*" if name.endswith(" N") else re.escape(name)
+        return rf"(?m)^#{{1,6}}[ \t]+{exact}"
+
+    places = F.array(*[F.regexp_instr(text, F.lit(heading(s))) for s in sections])
     first_absent = F.array_position(F.transform(places, lambda p: p == 0), True).cast("int")
     in_order = F.col("__places") == F.array_sort(F.col("__places"))
     names = F.array(*[F.lit(s) for s in sections])

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from tidemark.functions.links import follow
-from tidemark.functions.ordered import days, rank_in_order
+from tidemark.functions.ordered import minutes, rank_in_order
 
 # The backfill limit, the windows offered, the silence after which a story is settled.
 BACKFILL_HOURS = 72
@@ -91,24 +91,34 @@ def narrow(
     return _since(feed_window(items, now=now, window=window, by=by, mode=mode), 24 * days, by, _at(now))
 
 
-def matches(q: str) -> Column:
+def matches(q: str, columns: tuple[str, ...] = ("title", "original_title", "summary")) -> Column:
     if not 2 <= len(q) <= 200:
         raise ValueError("q takes 2 to 200 characters")
     needle = F.lit(q.lower())
     hit = F.lit(False)
-    for column in ("title", "original_title", "summary"):
+    for column in columns:
         hit = hit | F.coalesce(F.contains(F.lower(column), needle), F.lit(False))
     return hit
 
 
-def feed_search(items: DataFrame, q: str) -> DataFrame:
-    """Items whose title, original title or summary holds ``q``, whatever its case."""
-    return items.filter(matches(q))
+def feed_search(items: DataFrame, q: str, texts: DataFrame | None = None) -> DataFrame:
+    """Items whose title, original title or summary holds ``q``, whatever its case.
+
+    If the texts are a table of their own, ``texts(id, original_title, summary)``, they are searched
+    where they lie and only the ids found are joined.
+    """
+    if texts is None:
+        return items.filter(matches(q))
+    found = texts.filter(matches(q, ("original_title", "summary"))).select("id").distinct()
+    marked = items.join(found.withColumn("__found", F.lit(True)), "id", "left")
+    return marked.filter(matches(q, ("title",)) | F.col("__found").isNotNull()).select(*items.columns)
 
 
-def search_with_fallback(items: DataFrame, q: str, *, now: datetime | Column, **window) -> DataFrame:
+def search_with_fallback(
+    items: DataFrame, q: str, *, now: datetime | Column, texts: DataFrame | None = None, **window
+) -> DataFrame:
     """Selected hits; when there are none, the hits of the whole pool. ``outside_selection`` tells which."""
-    pool = feed_search(feed_window(items, now=now, mode="all", **window), q)
+    pool = feed_search(feed_window(items, now=now, mode="all", **window), q, texts)
     any_selected = pool.filter("selected").select(F.lit(1)).exists()
     return pool.filter(F.col("selected") | ~any_selected).withColumn(
         "outside_selection", ~F.col("selected")
@@ -184,10 +194,11 @@ def hot_topics(topics: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
-def story_timeline(reports: DataFrame, *, now: datetime | Column, slice_days: int = 1) -> DataFrame:
+def story_timeline(reports: DataFrame, *, now: datetime | Column, slice_minutes: int = 60) -> DataFrame:
     """Every report with its place in the story, newest first; ``status`` and ``latest`` of the story.
 
-    A story is settled when its last report is more than 48 hours old.
+    A story is settled when its last report is more than 48 hours old. Stories are numbered in slices of
+    ``slice_minutes``; choose them so that the reports of a slice fit a task.
     """
     stories = reports.groupBy("story_id").agg(
         F.max(F.struct("ts", "report_id")).alias("last"), F.count(F.lit(1)).alias("report_count")
@@ -201,7 +212,7 @@ def story_timeline(reports: DataFrame, *, now: datetime | Column, slice_days: in
     )
     order = ["ts", "report_id"]
     return rank_in_order(
-        reports, ["story_id"], order, days("ts", slice_days), "position", descending=True, facts=facts
+        reports, ["story_id"], order, minutes("ts", slice_minutes), "position", descending=True, facts=facts
     )
 
 
@@ -216,7 +227,10 @@ def resolve_story(alias: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def related(stories: DataFrame, edges: DataFrame, *, hops: int = 1) -> DataFrame:
-    """Stories reached over ``edges(story_id, related_id, kind)``, with the smallest number of hops."""
+    """Stories reached from the given ``stories`` over ``edges(story_id, related_id, kind)``, with the smallest number of hops.
+
+    Each hop expands only what the hop before reached for the first time.
+    """
     links = edges.select(F.col("story_id").alias("__from"), F.col("related_id").alias("__to")).distinct()
     front = stories.select("story_id", F.col("story_id").alias("related_id")).distinct()
     reached = front.withColumn("hops", F.lit(0))
@@ -225,13 +239,10 @@ def related(stories: DataFrame, edges: DataFrame, *, hops: int = 1) -> DataFrame
             front.join(links, F.col("related_id") == F.col("__from"))
             .select("story_id", F.col("__to").alias("related_id"))
             .distinct()
+            .join(reached, ["story_id", "related_id"], "left_anti")
         )
         reached = reached.unionByName(front.withColumn("hops", F.lit(hop)))
-    return (
-        reached.groupBy("story_id", "related_id")
-        .agg(F.min("hops").alias("hops"))
-        .filter(F.col("hops") > 0)
-    )
+    return reached.filter(F.col("hops") > 0)
 
 
 def resolve_story_links(topics: DataFrame, stories: DataFrame, *, host: str) -> DataFrame:

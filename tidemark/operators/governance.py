@@ -318,8 +318,15 @@ RELEASE_GATES = (
 
 
 def release_stage(states: DataFrame, gates: Sequence[StageGate] = RELEASE_GATES) -> DataFrame:
-    """The furthest stage each project reached without a gap, and the first gate that fails."""
-    passed = F.array(*[F.coalesce(F.expr(g.condition), F.lit(False)) for g in gates])
+    """The furthest stage each project reached without a gap, and the first gate that fails.
+
+    A column ``skips`` (an array of stages) names what the rules of a project allow it to leave out.
+    """
+    skips = F.col("skips") if "skips" in states.columns else F.array().cast("array<string>")
+    allowed = F.coalesce(skips, F.array().cast("array<string>"))
+    passed = F.array(
+        *[F.coalesce(F.expr(g.condition), F.lit(False)) | F.array_contains(allowed, g.stage) for g in gates]
+    )
     names = F.array(*[F.lit(g.stage) for g in gates])
     failing = F.array_position(passed, False).cast("int")
     reached = F.when(failing == 0, len(gates)).otherwise(failing - 1)

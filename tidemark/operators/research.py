@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.links import follow
+from tidemark.functions.links import groups
 from tidemark.functions.ordered import days, previous_in_order
 
 # How good a kind of source is, best first; the threat levels.
@@ -16,14 +16,14 @@ SOURCE_ORDER = ("primary", "media", "reprint")
 THREATS = ("高", "中", "低")
 
 
-def timeline(events: DataFrame, *, slice_days: int = 30) -> DataFrame:
+def timeline(events: DataFrame, *, slice_days: int = 1) -> DataFrame:
     """Events of each subject in order with the date before and the gap in days."""
     return previous_in_order(
         events, ["subject"], ["date", "name"], days("date", slice_days), "date", "previous_date"
     ).withColumn("gap_days", F.datediff("date", "previous_date"))
 
 
-def timeline_gaps(events: DataFrame, *, max_gap: int, slice_days: int = 30) -> DataFrame:
+def timeline_gaps(events: DataFrame, *, max_gap: int, slice_days: int = 1) -> DataFrame:
     """Breaks of more than ``max_gap`` days between neighbouring events."""
     return timeline(events, slice_days=slice_days).filter(F.col("gap_days") > max_gap)
 
@@ -140,18 +140,17 @@ def single_source(claims: DataFrame) -> DataFrame:
 
 
 def independent_sources(claims: DataFrame, cites: DataFrame) -> DataFrame:
-    """Origins per claim, and how many are left when those that cite one root count once.
+    """Origins per claim, and how many of them are independent of each other.
 
-    Origins that cite each other in a circle count as one source each.
+    Origins that cite each other, directly or over others, are one source, whoever cites whom and however
+    many roots they have. So ``independent`` is at most ``origins``; an origin counts once per claim.
     """
-    roots = follow(cites, "origin", "cites").select(
-        F.col("source").alias("origin"), F.when(F.col("closed"), F.col("root")).alias("root")
-    )
+    sources = groups(cites, "origin", "cites").select(F.col("node").alias("origin"), "group")
     return (
         claims.select("claim_id", "origin")
         .distinct()
-        .join(roots, "origin", "left")
-        .groupBy("claim_id", F.coalesce("root", "origin").alias("root"))
+        .join(sources, "origin", "left")
+        .groupBy("claim_id", F.coalesce("group", "origin").alias("source"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("claim_id")
         .agg(F.sum("n").alias("origins"), F.count(F.lit(1)).alias("independent"))

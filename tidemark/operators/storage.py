@@ -57,52 +57,50 @@ def dir_sizes(entries: DataFrame) -> DataFrame:
 def child_sizes(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """Size of each immediate child of the ``targets(group, root, floor_kb)``, at or above the floor.
 
-    An unreadable root gives one row of size 0 with ``denied``.
+    An unreadable root gives one row of size 0 with ``denied``. The listing is read once: files right
+    below a root keep their name, all others melt into their directory, and only these sums are spread
+    over the directories' ancestors.
     """
-    files = _readable(entries).select(
-        paths.parent(F.col("path")).alias("dir"), paths.leaf(F.col("path")).alias("leaf"), "size_bytes"
+    unreadable = F.coalesce("denied", F.lit(False))
+    listed = entries.filter(unreadable | ~F.coalesce("is_symlink", F.lit(False))).select(
+        F.when(unreadable, F.col("path")).otherwise(paths.parent(F.col("path"))).alias("dir"),
+        paths.leaf(F.col("path")).alias("leaf"),
+        F.when(unreadable, 0).otherwise(F.col("size_bytes")).alias("size_bytes"),
+        unreadable.alias("denied"),
     )
-    # Files right below a root are children themselves; all others melt into their directory first.
-    direct = files.join(targets, F.col("dir") == F.col("root")).select(
-        "group", "root", "floor_kb", F.col("leaf").alias("name"), "size_bytes"
-    )
-    deeper = (
-        files.groupBy("dir")
+    roots = targets.select(F.col("root").alias("dir"), F.lit(True).alias("__root")).distinct()
+    is_root = F.col("__root").isNotNull()
+    per_dir = (
+        even_join(listed, roots, ["dir"])
+        .filter(~F.col("denied") | is_root)
+        .groupBy("dir", "denied", F.when(is_root & ~F.col("denied"), F.col("leaf")).alias("name"))
         .agg(F.sum("size_bytes").alias("size_bytes"))
-        .select("dir", "size_bytes", F.explode(paths.self_and_ancestors(F.col("dir"))).alias("root"))
-        .filter(F.col("root") != F.col("dir"))
-        .join(targets, "root")
-        .select("group", "root", "floor_kb", paths.name_below(F.col("dir"), F.col("root")).alias("name"), "size_bytes")
     )
-    denied_roots = (
-        entries.filter("denied")
-        .select(F.col("path").alias("root"))
-        .distinct()
-        .join(targets, "root")
-        .select(
-            "group",
-            "root",
-            F.lit("(permission denied)").alias("name"),
-            F.col("root").alias("path"),
-            F.lit(0).cast("long").alias("size_kb"),
-            F.lit(True).alias("denied"),
-        )
+
+    def place(root: Column, name: Column) -> Column:
+        return F.struct(root.alias("root"), name.alias("name"))
+
+    above = F.filter(paths.self_and_ancestors(F.col("dir")), lambda a: a != F.col("dir"))
+    readable = F.concat(
+        F.filter(F.array(place(F.col("dir"), F.col("name"))), lambda p: p["name"].isNotNull()),
+        F.transform(above, lambda a: place(a, paths.name_below(F.col("dir"), a))),
     )
-    sized = (
-        direct.unionByName(deeper)
-        .groupBy("group", "root", "name", "floor_kb")
+    places = F.when(F.col("denied"), F.array(place(F.col("dir"), F.lit("(permission denied)")))).otherwise(readable)
+    return (
+        per_dir.select("denied", "size_bytes", F.inline(places))
+        .join(targets, "root")
+        .groupBy("group", "root", "name", "floor_kb", "denied")
         .agg(F.floor(F.sum("size_bytes") / 1024).cast("long").alias("size_kb"))
-        .filter(F.col("size_kb") >= F.col("floor_kb"))
+        .filter(F.col("denied") | (F.col("size_kb") >= F.col("floor_kb")))
         .select(
             "group",
             "root",
             "name",
-            F.concat("root", F.lit("/"), "name").alias("path"),
+            F.when(F.col("denied"), F.col("root")).otherwise(F.concat("root", F.lit("/"), "name")).alias("path"),
             "size_kb",
-            F.lit(False).alias("denied"),
+            "denied",
         )
     )
-    return sized.unionByName(denied_roots)
 
 
 def top_children(children: DataFrame, *, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -169,9 +167,11 @@ class TierRule(NamedTuple):
     pattern: str
     tier: str | None
     priority: int = 0
+    flagged: bool = False
 
 
-# Which places belong to which tier.
+# Which places belong to which tier. Applications are red only where ``flagged`` (they are
+# duplicated or to be removed), system places have no tier.
 MAC_RULES = (
     TierRule("/Library/Caches/", "green"),
     TierRule(r"/(\.cache|\.npm|\.cargo|\.gradle|\.m2)(/|$)", "green"),
@@ -179,6 +179,7 @@ MAC_RULES = (
     TierRule("/Library/Containers/", "yellow"),
     TierRule("/Library/Application Support/", "yellow"),
     TierRule(r"/Downloads/[^/]*\.(dmg|pkg)$", "green"),
+    TierRule(r"^/Applications/[^/]*\.app(/|$)", "red", flagged=True),
     TierRule("^/System(/|$)", None),
 )
 WINDOWS_RULES = (
@@ -189,15 +190,27 @@ WINDOWS_RULES = (
     TierRule(r"/(\.cache|\.npm|\.gradle|\.m2|\.nuget/packages)(/|$)", "green"),
     TierRule(r"/Downloads/[^/]*\.(exe|msi)$", "green"),
     TierRule(r"/\$Recycle\.Bin(/|$)", "yellow"),
+    TierRule(r"^C:/Program Files( \(x86\))?/", "red", flagged=True),
+    TierRule("^[ABD-Z]:/", "yellow", -1),
     TierRule("^[A-Z]:/Windows(/|$)", None, 1),
+    TierRule(r"^[A-Z]:/(hiberfil|pagefile)\.sys$", None, 1),
 )
 
 
-def classify(children: DataFrame, rules: Sequence[TierRule], column: str = "path") -> DataFrame:
-    """Add ``tier``: the highest priority wins, then the longest pattern; no rule gives ``none``."""
+def classify(
+    children: DataFrame, rules: Sequence[TierRule], column: str = "path", flagged: Column | None = None
+) -> DataFrame:
+    """Add ``tier``: the highest priority wins, then the longest pattern; no rule gives ``none``.
+
+    ``flagged`` marks applications that are duplicated (see ``duplicate_apps``) or to be removed; rules
+    for flagged places do not apply to others.
+    """
     tier = None
+    marked = F.lit(False) if flagged is None else F.coalesce(flagged, F.lit(False))
     for rule in sorted(rules, key=lambda r: (-r.priority, -len(r.pattern))):
         found = F.col(column).rlike(rule.pattern)
+        if rule.flagged:
+            found = found & marked
         value = F.lit(rule.tier)
         tier = F.when(found, value) if tier is None else tier.when(found, value)
     chosen = F.lit(None).cast("string") if tier is None else tier
@@ -208,15 +221,19 @@ def classify_by_prefix(children: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Add ``tier`` from ``prefixes(prefix, tier, priority)``, a rule table of any size.
 
     A path looks its own ancestors up, so this is an equi-join and Spark broadcasts the table only
-    while it is small. The highest priority wins, then the longest prefix. Rows must be distinct.
+    while it is small. The highest priority wins, then the longest prefix, then the stricter tier (red,
+    yellow, green, none). Paths are classified once each; every row of ``children`` is kept.
     """
-    return (
-        children.withColumn("prefix", F.explode(paths.self_and_ancestors(F.col("path"))))
-        .join(prefixes, "prefix", "left")
-        .withColumn("__rank", F.when(F.col("tier").isNotNull(), F.struct("priority", F.length("prefix"))))
-        .groupBy(*children.columns)
-        .agg(F.coalesce(F.max_by("tier", "__rank"), F.lit("none")).alias("tier"))
+    strictness = F.coalesce(F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")), F.lit(0))
+    tiers = (
+        children.select("path")
+        .distinct()
+        .withColumn("prefix", F.explode(paths.self_and_ancestors(F.col("path"))))
+        .join(prefixes, "prefix")
+        .groupBy("path")
+        .agg(F.max_by("tier", F.struct("priority", F.length("prefix"), strictness)).alias("tier"))
     )
+    return even_join(children, tiers, ["path"]).withColumn("tier", F.coalesce("tier", F.lit("none")))
 
 
 def top5(classified: DataFrame) -> DataFrame:
@@ -336,8 +353,8 @@ def _existing(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     return listed.join(wanted.select("path").distinct(), "path").distinct()
 
 
-def grants(tier_items: DataFrame, entries: DataFrame) -> DataFrame:
-    """What may be done to which path, ``mode, path``.
+def grants(tier_items: DataFrame, entries: DataFrame, *, home: str | None = None) -> DataFrame:
+    """What may be done to which path, ``mode, path``; paths come out absolute (``home`` stands for ``~``).
 
     Green trash paths may be removed, trashed and opened, yellow ones trashed and opened. Yellow
     item paths and red application paths may be opened where they exist.
@@ -361,6 +378,7 @@ def grants(tier_items: DataFrame, entries: DataFrame) -> DataFrame:
         .when(F.col("tier") == "red", each("app_paths", True, "open"))
     )
     possible = tier_items.select(F.inline(rights)).filter(F.col("path").isNotNull())
+    possible = possible.withColumn("path", paths.absolute(F.col("path"), home))
     opened = _existing(possible.filter("check"), entries).select(F.lit("open").alias("mode"), "path")
     return possible.filter("NOT check").select("mode", "path").unionByName(opened).distinct()
 
@@ -371,19 +389,39 @@ def request_paths(requests: DataFrame) -> DataFrame:
 
 
 def audit_actions(
-    requested: DataFrame, allowed: DataFrame, *, roots: Sequence[str] = ("/Applications",)
+    requested: DataFrame,
+    allowed: DataFrame,
+    *,
+    roots: Sequence[str] = ("/Applications",),
+    home: str | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """How far each path of a request got: ``done``, ``not granted``, ``outside roots`` or ``not reached``.
 
     ``requested(request_id, mode, pos, path)`` is worked off by ``pos`` and stops at the first path
     that is not granted for its mode or lies outside the roots; what came before stays done. A path
     that no longer exists counts as done. Requests in an unknown mode are ``rejected`` whole.
+
+    Grants, requests and roots are compared as absolute paths without ``.`` and ``..``; ``home`` stands
+    for ``~`` and is a root itself. ``links(path, target)`` resolves requested paths that are links.
     """
+    place = F.col("__place")
     in_roots = F.lit(False)
-    for root in roots:
-        in_roots = in_roots | (F.col("path") == root) | F.startswith(F.col("path"), F.lit(f"{root}/"))
-    granted = allowed.select("mode", "path").distinct().withColumn("__granted", F.lit(True))
-    checked = even_join(requested, granted, ["mode", "path"]).withColumn(
+    for root in [*roots, *([home] if home else [])]:
+        in_roots = in_roots | (place == root) | F.startswith(place, F.lit(f"{root}/"))
+    asked = requested.withColumn("__place", paths.absolute(F.col("path"), home))
+    if links is not None:
+        ends = links.select(
+            paths.absolute(F.col("path"), home).alias("__place"),
+            paths.resolved(F.col("target"), paths.parent(F.col("path"))).alias("__end"),
+        ).groupBy("__place").agg(F.min("__end").alias("__end"))
+        asked = even_join(asked, ends, ["__place"]).withColumn("__place", F.coalesce("__end", "__place")).drop("__end")
+    granted = (
+        allowed.select("mode", paths.absolute(F.col("path"), home).alias("__place"))
+        .distinct()
+        .withColumn("__granted", F.lit(True))
+    )
+    checked = even_join(asked, granted, ["mode", "__place"]).withColumn(
         "__stop",
         F.when(~F.col("mode").isin("rm", "trash", "open"), "rejected")
         .when(F.col("__granted").isNull(), "not granted")

@@ -5,6 +5,7 @@ Every rule is an expression over one row, so a corpus is read once, in parallel,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ from tidemark.functions import text as tx
 
 
 class Phrase(NamedTuple):
-    """A phrase to look for and what to write instead."""
+    """A phrase to look for and what to write instead; several replacements are parted by ``|``."""
 
     rule_id: str
     phrase: str
@@ -29,6 +30,19 @@ class Pattern(NamedTuple):
     regex: str
     opener: bool = False
 
+    def hits(self, text: Column, opening: Column) -> Column:
+        return tx.count_pattern(opening if self.opener else text, self.regex)
+
+
+class Ordered(NamedTuple):
+    """Words that follow each other in a text, at any distance and over any number of lines."""
+
+    rule_id: str
+    words: tuple[str, ...]
+
+    def hits(self, text: Column, opening: Column) -> Column:
+        return tx.count_ordered(text, self.words)
+
 
 class Budget(NamedTuple):
     """The number of characters a section of a genre may have."""
@@ -48,14 +62,14 @@ class Gate(NamedTuple):
 
 # Banned phrases with their replacements.
 BANNED = (
-    Phrase("b01", "说白了", "坦率的讲"),
-    Phrase("b02", "意味着什么", "那结果会怎样呢"),
-    Phrase("b03", "这意味着", "所以呢"),
-    Phrase("b04", "本质上", "说到底"),
-    Phrase("b05", "换句话说", "你想想看"),
+    Phrase("b01", "说白了", "坦率的讲|其实就是"),
+    Phrase("b02", "意味着什么", "那结果会怎样呢|所以呢"),
+    Phrase("b03", "这意味着", "那结果会怎样呢|所以呢"),
+    Phrase("b04", "本质上", "说到底|其实"),
+    Phrase("b05", "换句话说", "你想想看|也就是说"),
     Phrase("b06", "不可否认", ""),
-    Phrase("b07", "综上所述", None),
-    Phrase("b08", "总的来说", None),
+    Phrase("b07", "综上所述", "具体的回扣句"),
+    Phrase("b08", "总的来说", "具体的回扣句"),
     Phrase("b09", "值得注意的是", ""),
     Phrase("b10", "不难发现", ""),
 )
@@ -67,29 +81,32 @@ PUNCTUATION = (
     Phrase("p4", "”", "」"),
     Phrase("p5", '"', "「」"),
 )
-# Structural clichés; the gaps stay within one sentence of up to 60 characters.
+# Structural clichés. The first may span paragraphs, the others stay within a sentence of any length.
 CLICHES = (
-    Pattern("s1", "首先[^\n]{0,200}?其次[^\n]{0,200}?最后"),
+    Ordered("s1", ("首先", "其次", "最后")),
     Pattern("s2", "(接下来)?让我们(来看看)?"),
-    Pattern("s3", "在当今[^。！？\n]{0,60}?的?时代"),
-    Pattern("s4", "随着[^。！？\n]{0,60}?的(不断)?(发展|进步)"),
+    Pattern("s3", "在当今[^。！？\n]*?的?时代"),
+    Pattern("s4", "随着[^。！？\n]*?的(不断)?(发展|进步)"),
 )
 OPENERS = (
-    Pattern("o1", "^[ 　]*在当今[^。！？\n]{0,60}?时代", opener=True),
-    Pattern("o2", "^[ 　]*随着[^。！？\n]{0,60}?的(不断)?(发展|进步)", opener=True),
+    Pattern("o1", "^[ 　]*在当今[^。！？\n]*?时代", opener=True),
+    Pattern("o2", "^[ 　]*随着[^。！？\n]*?的(不断)?(发展|进步)", opener=True),
 )
 # Vague names of tools.
 VAGUE = (Phrase("v1", "AI工具"), Phrase("v2", "某个模型"), Phrase("v3", "相关技术"))
-# Colloquial phrases.
+# Colloquial phrases; xxx stands for any words of the same sentence.
 COLLOQUIAL = (
-    "坦率的讲", "说真的", "我是真的觉得", "反正我觉得", "怎么说呢", "其实吧", "你想想看", "我跟你说", "这块需要注意一下",
-    "顺着上面的再聊聊", "我有时候觉得", "我一直觉得", "这话听着有点刺耳但", "我自己的感受是", "我始终坚信", "我觉得还是挺重要的",
-    "说实话我也不确定", "我自己也还在摸索", "可能有些想法还不成熟", "这个事儿我也踩过坑", "愚钝如我", "说实话我们还差得远",
+    "坦率的讲", "说真的", "我是真的觉得", "反正我觉得", "怎么说呢", "其实吧", "你想想看", "我跟你说", "回到xxx这块",
+    "这块需要注意一下", "顺着上面的再聊聊",
+    "我有时候觉得", "我一直觉得", "这话听着有点刺耳但", "不是说xxx不行而是说", "我自己的感受是", "我始终坚信", "我觉得还是挺重要的",
+    "说实话我也不确定", "我自己也还在摸索", "可能有些想法还不成熟", "这个事儿我也踩过坑", "愚钝如我",
+    '我说"理论上"是因为我自己还没完全跑通', "说实话我们还差得远",
     "这种感觉太爽了", "我当时就愣住了", "想想就觉得兴奋", "我真的被震撼到了", "搞得我现在还有点懵", "太离谱了", "太特么赤鸡了",
-    "给我一下子整不会了", "这一下给我更干懵了", "一时间无语凝噎", "鬼使神差的", "你敢信", "很多朋友可能不知道",
-    "可能有小伙伴纳闷", "你如果关注这个领域的话", "大家也都知道", "看到的兄弟可以把公屏打在弹幕上", "这玩意", "不是哥们",
-    "我寻思了一下我没寻思明白", "真的就是一声叹息", "这尼玛就是", "太牛逼了", "比较骚的事",
+    "给我一下子整不会了", "这一下给我更干懵了", "一时间无语凝噎", "鬼使神差的", "你敢信？？？",
+    "很多朋友可能不知道", "可能有小伙伴纳闷", "你如果关注这个领域的话", "大家也都知道", "看到的兄弟可以把公屏打在弹幕上",
+    "这玩意", "不是哥们", "我寻思了一下我没寻思明白", "有个屁的xxx", "真的就是一声叹息", "这尼玛就是", "太牛逼了", "比较骚的事",
 )
+BLANK = "xxx"
 EMOTION_MARKS = ("。。。", "？？？", "= =")
 BULLET = r"^[^\S\n]*(([-*+•]|[0-9]+[.)])[^\S\n]+|[0-9]+、)"
 HEADING = r"(?:^|\n)(?:#{1,6} |\*\*[^*\n]+\*\*[^\S\n]*(?=\n|$))"
@@ -149,7 +166,7 @@ def first_paragraph(text: Column) -> Column:
     return F.coalesce(F.try_element_at(tx.paragraphs(text), F.lit(1)), F.lit(""))
 
 
-def pattern_hits(docs: DataFrame, patterns: Sequence[Pattern] = CLICHES + OPENERS) -> DataFrame:
+def pattern_hits(docs: DataFrame, patterns: Sequence[Pattern | Ordered] = CLICHES + OPENERS) -> DataFrame:
     """Matches of each pattern per document: ``doc_id, rule_id, hits``."""
     opening = docs.withColumn("__opening", first_paragraph(F.col("text")))
     return _hits(
@@ -157,7 +174,7 @@ def pattern_hits(docs: DataFrame, patterns: Sequence[Pattern] = CLICHES + OPENER
         [
             F.struct(
                 F.lit(p.rule_id).alias("rule_id"),
-                tx.count_pattern(F.col("__opening" if p.opener else "text"), p.regex).alias("hits"),
+                p.hits(F.col("text"), F.col("__opening")).alias("hits"),
             )
             for p in patterns
         ],
@@ -249,9 +266,17 @@ def heading_hits(docs: DataFrame, *, itemised: Column | None = None) -> DataFram
     return _where_positive(wanted, F.struct(_headings(F.col("text")).alias("headings")), "headings")
 
 
+def _present(text: Column, phrase: str) -> Column:
+    """Whether a phrase occurs; ``BLANK`` in it stands for any words of the same sentence."""
+    parts = [p for p in phrase.split(BLANK) if p]
+    if len(parts) == 1:
+        return F.contains(text, F.lit(parts[0]))
+    return text.rlike(r"[^。！？\n]*?".join(re.escape(p) for p in parts))
+
+
 def _variety(text: Column, phrases: Sequence[str]) -> Column:
     """Distinct phrases present; phrases repeated in the list count once."""
-    present = [F.contains(text, F.lit(p)).cast("long") for p in dict.fromkeys(phrases)]
+    present = [_present(text, p).cast("long") for p in dict.fromkeys(phrases)]
     total = present[0]
     for one in present[1:]:
         total = total + one
@@ -300,9 +325,9 @@ def style_checks(
         return result
 
     marks = total([tx.count_literal(text, p.phrase) for p in punctuation])
-    structure = total([tx.count_pattern(text, p.regex) for p in cliches])
+    structure = total([p.hits(text, F.col("__opening")) for p in cliches])
     structure = structure + F.size(_long_runs(text, 3, BULLET)) + F.size(_long_bold(text, 2))
-    opening = total([tx.count_pattern(F.col("__opening"), p.regex) for p in openers])
+    opening = total([p.hits(text, F.col("__opening")) for p in openers])
     none = "none allowed"
     checks: list[tuple[str, str, Column, Column | str]] = [
         ("L1", "banned phrases", total([tx.count_literal(text, p.phrase) for p in banned]), none),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evals
 from tidemark.plans.registry import query
 from tidemark.sources import derived
-from tidemark.sources.tables import table, wide_table
+from tidemark.sources.tables import table
 
 CASES = """
     cases AS (SELECT conv_id AS set_id, CASE WHEN role = 'system' THEN 0 ELSE turn END AS id, role AS name, text,
@@ -79,7 +79,7 @@ def _(spark, folder):
 
 def specs(spark, folder):
     """Documents with front matter: their first line is the description, in two lines for one language."""
-    docs = wide_table(spark, folder, "documents", "doc_id")
+    docs = table(spark, folder, "documents")
     about = F.when(F.col("lang") == "fr", F.concat(F.lit(">-\n  "), F.col("lang"), F.lit("\n  "), F.col("source"))).when(
         F.col("lang") == "es", F.lit("")
     ).otherwise(F.regexp_replace(F.split("text", "\n")[0], "-", "_"))
@@ -98,8 +98,12 @@ SPECS = r"""
 
 
 @query("evals_spec_contract", sql=f"""
-    WITH {SPECS}, n AS (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM specs)
-    SELECT doc_id, 'no description' AS rule, NULL AS detail FROM n WHERE about = ''
+    WITH {SPECS}, v AS (SELECT doc_id, lang, about, CASE WHEN doc_id % 2 = 0
+        THEN '---' || chr(10) || 'version: "1.0.0"' || substr(text, 4) ELSE text END AS text FROM specs),
+    n AS (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM v)
+    SELECT doc_id, 'no version' AS rule, NULL AS detail FROM n WHERE doc_id % 2 = 1
+    UNION ALL SELECT doc_id, 'reference file missing', 'references/' || lang || '.md' FROM n WHERE lang NOT IN ('en', 'fr')
+    UNION ALL SELECT doc_id, 'no description' AS rule, NULL AS detail FROM n WHERE about = ''
     UNION ALL SELECT doc_id, 'description too long', CAST(length(about) AS VARCHAR) FROM n WHERE length(about) > 1024
     UNION ALL SELECT doc_id, 'description near limit', CAST(length(about) AS VARCHAR) FROM n WHERE length(about) > 850
     UNION ALL SELECT doc_id, 'too many lines', CAST(n_lines AS VARCHAR) FROM n WHERE n_lines >= 15
@@ -113,7 +117,11 @@ def _(spark, folder):
     rules = evals.SpecRules(
         max_lines=15, description_phrases=("e",), required=("The",), forbidden=("@",), references=("references/en.md",)
     )
-    return evals.spec_contract(specs(spark, folder), rules)
+    versioned = F.regexp_replace("text", "^---\n", '---\nversion: "1.0.0"\n')
+    docs = specs(spark, folder).withColumn("text", F.when(F.col("doc_id") % 2 == 0, versioned).otherwise(F.col("text")))
+    known = table(spark, folder, "documents").filter(F.col("lang").isin("en", "fr")).select("lang").distinct()
+    files = known.select(F.concat(F.lit("references/"), "lang", F.lit(".md")).alias("path"))
+    return evals.spec_contract(docs, rules, files)
 
 
 @query("evals_front_matter", sql=f"""
@@ -209,20 +217,32 @@ def _(spark, folder):
     return evals.territory_overlap(allowed)
 
 
-@query("evals_book_contract", sql=r"""
-    WITH b AS (SELECT doc_id, text, CASE WHEN lang = 'de' THEN 1 WHEN n_chars > 3000 THEN 6 ELSE 3 END AS options, CASE lang WHEN 'fr' THEN 6 ELSE 2 END AS questions,
-                      instr(text, 'e') AS p1, instr(text, 'and') AS p2, instr(text, '.') AS p3 FROM documents)
+BOOK = r"""
+    SELECT doc_id, lang, n_chars, 'see 任务 1 and end' || chr(10) || CASE WHEN lang = 'es' THEN '## end' ELSE '## start' END || chr(10) || text
+        || chr(10) || '### 任务 ' || doc_id % 3 || chr(10) || CASE WHEN lang = 'es' THEN '## start' ELSE '## end' END AS text,
+        CASE WHEN lang = 'de' THEN 1 WHEN n_chars > 3000 THEN 6 ELSE 3 END AS options, CASE lang WHEN 'fr' THEN 6 ELSE 2 END AS questions
+    FROM documents"""
+
+
+@query("evals_book_contract", sql=f"""
+    WITH b AS ({BOOK})
     SELECT doc_id AS book_id, 'too long' AS rule, CAST(length(text) AS VARCHAR) AS detail FROM b WHERE length(text) > 4000
-    UNION ALL SELECT doc_id, 'section missing', CASE WHEN p1 = 0 THEN 'e' WHEN p2 = 0 THEN 'and' ELSE '.' END FROM b WHERE p1 = 0 OR p2 = 0 OR p3 = 0
-    UNION ALL SELECT doc_id, 'sections out of order', NULL FROM b WHERE p1 > 0 AND p2 > 0 AND p3 > 0 AND NOT (p1 <= p2 AND p2 <= p3)
+    UNION ALL SELECT doc_id, 'section missing', '任务 N' FROM b WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'sections out of order', NULL FROM b WHERE doc_id % 3 > 0 AND lang = 'es'
     UNION ALL SELECT doc_id, 'too many questions', CAST(questions AS VARCHAR) FROM b WHERE questions > 5
     UNION ALL SELECT doc_id, 'question options', CAST(questions AS VARCHAR) FROM b WHERE options NOT BETWEEN 2 AND 4
     UNION ALL SELECT doc_id, 'banned wording', 'token' FROM b WHERE contains(text, 'token')""")
 def _(spark, folder):
+    """Documents as task books: a mention of sections comes first, every third book has only a task 0."""
     count = F.when(F.col("lang") == "de", 1).when(F.col("n_chars") > 3000, 6).otherwise(3)
     question = F.transform(F.sequence(F.lit(1), count), lambda n: F.concat(F.lit("option "), n.cast("string")))
+    odd = F.col("lang") == "es"
+    text = F.concat_ws(
+        "\n", F.lit("see 任务 1 and end"), F.when(odd, "## end").otherwise("## start"), "text",
+        F.concat(F.lit("### 任务 "), (F.col("doc_id") % 3).cast("string")), F.when(odd, "## start").otherwise("## end"),
+    )
     books = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("book_id"), "text",
+        F.col("doc_id").alias("book_id"), text.alias("text"),
         F.array_repeat(question, F.when(F.col("lang") == "fr", 6).otherwise(2)).alias("questions"),
     )
-    return evals.book_contract(books, sections=("e", "and", "."), banned=("token",))
+    return evals.book_contract(books, sections=("start", "任务 N", "end"), banned=("token",))

@@ -23,31 +23,31 @@ def stamped(df):
 @query("feed_timeline_ts", "timeline_items", sql="""
     SELECT id, strftime(timeline_ts, '%Y-%m-%d %H:%M:%S.%f') AS timeline_ts FROM timeline_items""")
 def _(spark, folder):
-    return stamped(feed.with_timeline_ts(derived.feed_items(spark, folder)))
+    return stamped(feed.with_timeline_ts(derived.feed_entries(spark, folder)))
 
 
 @query("feed_window_24h_timeline", "timeline_items", sql=WINDOW_SQL + "timeline_ts >= now - INTERVAL 24 HOUR")
 def _(spark, folder):
-    return stamped(feed.feed_window(derived.feed_items(spark, folder), now=now(spark, folder), window="24h", mode="all"))
+    return stamped(feed.feed_window(derived.feed_entries(spark, folder), now=now(spark, folder), window="24h", mode="all"))
 
 
 @query("feed_window_7d_published", "timeline_items", sql="""
     SELECT id, strftime(published_at, '%Y-%m-%d %H:%M:%S.%f') AS timeline_ts FROM timeline_items
     WHERE published_at >= now - INTERVAL 168 HOUR""")
 def _(spark, folder):
-    items = derived.feed_items(spark, folder)
+    items = derived.feed_entries(spark, folder)
     return stamped(feed.feed_window(items, now=now(spark, folder), by="published", mode="all"))
 
 
 @query("feed_selected_mode", "timeline_items", sql=WINDOW_SQL + "selected AND timeline_ts >= now - INTERVAL 168 HOUR")
 def _(spark, folder):
-    return stamped(feed.feed_window(derived.feed_items(spark, folder), now=now(spark, folder)))
+    return stamped(feed.feed_window(derived.feed_entries(spark, folder), now=now(spark, folder)))
 
 
 @query("feed_category", "timeline_items", sql=WINDOW_SQL
        + "selected AND category = 'paper' AND timeline_ts >= now - INTERVAL 168 HOUR")
 def _(spark, folder):
-    items = derived.feed_items(spark, folder)
+    items = derived.feed_entries(spark, folder)
     return stamped(feed.feed_window(items, now=now(spark, folder), category="paper"))
 
 
@@ -56,7 +56,8 @@ def _(spark, folder):
     WHERE contains(lower(title), 'is the') OR contains(lower(original_title), 'is the')
        OR contains(lower(summary), 'is the')""")
 def _(spark, folder):
-    return feed.feed_search(derived.feed_items(spark, folder), "Is The").select("id", "title")
+    texts = derived.feed_texts(spark, folder)
+    return feed.feed_search(derived.feed_entries(spark, folder), "Is The", texts).select("id", "title")
 
 
 FALLBACK_SQL = """
@@ -69,15 +70,15 @@ FALLBACK_SQL = """
 
 @query("feed_search_fallback", "timeline_items", sql=FALLBACK_SQL.format(q="error by user 14"))
 def _(spark, folder):
-    items = derived.feed_items(spark, folder)
-    hits = feed.search_with_fallback(items, "error by user 14", now=now(spark, folder))
+    items = derived.feed_entries(spark, folder)
+    hits = feed.search_with_fallback(items, "error by user 14", now=now(spark, folder), texts=derived.feed_texts(spark, folder))
     return hits.select("id", "outside_selection")
 
 
 @query("feed_search_fallback_outside", "timeline_items", sql=FALLBACK_SQL.format(q="error by user 149"))
 def _(spark, folder):
-    items = derived.feed_items(spark, folder)
-    hits = feed.search_with_fallback(items, "error by user 149", now=now(spark, folder))
+    items = derived.feed_entries(spark, folder)
+    hits = feed.search_with_fallback(items, "error by user 149", now=now(spark, folder), texts=derived.feed_texts(spark, folder))
     return hits.select("id", "outside_selection")
 
 
@@ -87,7 +88,7 @@ def _(spark, folder):
     FROM timeline_items WHERE selected AND timeline_ts >= now - INTERVAL 24 HOUR
     ORDER BY timeline_ts DESC, id DESC LIMIT 10""")
 def feed_top_24h(spark, folder):
-    items = derived.feed_items(spark, folder)
+    items = derived.feed_entries(spark, folder)
     page = feed.feed_page(feed.feed_window(items, now=now(spark, folder), window="24h"), limit=10)
     return page.select("id", "title", ts_text("timeline_ts").alias("timeline_ts"), "page_count", "has_more")
 
@@ -98,21 +99,21 @@ def feed_top_24h(spark, folder):
       AND (timeline_ts, id) < (TIMESTAMP '2024-01-28 00:00:00', 9000)
     ORDER BY timeline_ts DESC, id DESC LIMIT 100""")
 def _(spark, folder):
-    recent = feed.feed_window(derived.feed_items(spark, folder), now=now(spark, folder))
+    recent = feed.feed_window(derived.feed_entries(spark, folder), now=now(spark, folder))
     last_seen = F.to_timestamp_ntz(F.lit("2024-01-28 00:00:00"))
     return feed.feed_page(recent, limit=100, after=(last_seen, 9000)).select("id", "has_more")
 
 
 @query("feed_narrow_3d", "timeline_items", sql=WINDOW_SQL + "timeline_ts >= now - INTERVAL 72 HOUR")
 def _(spark, folder):
-    return stamped(feed.narrow(derived.feed_items(spark, folder), days=3, now=now(spark, folder), mode="all"))
+    return stamped(feed.narrow(derived.feed_entries(spark, folder), days=3, now=now(spark, folder), mode="all"))
 
 
 @query("feed_public_pool", "feed_items", sql="""
     SELECT f.id, source_name FROM feed_items f WHERE category <> 'paper' AND score IS NOT NULL AND score >= 20
       AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def _(spark, folder):
-    items = derived.feed_items(spark, folder).select(
+    items = derived.feed_entries(spark, folder).select(
         "*",
         F.when(F.col("category") == "paper", "mp_hot").otherwise("mp_account").alias("source_type"),
         F.col("score").isNotNull().alias("reviewed"),
@@ -153,7 +154,7 @@ def _(spark, folder):
            CASE WHEN max(ts) OVER (PARTITION BY story_id) < max(ts) OVER () - INTERVAL 48 HOUR THEN 'settled' ELSE 'developing' END AS status
     FROM story_reports""")
 def _(spark, folder):
-    told = feed.story_timeline(derived.story_reports(spark, folder), now=now(spark, folder))
+    told = feed.story_timeline(derived.story_reports(spark, folder), now=now(spark, folder), slice_minutes=60)
     return told.select("story_id", "report_id", "position", "report_count", "latest", "status")
 
 
@@ -168,7 +169,7 @@ def _(spark, folder):
 
 @query("feed_related_stories", sql="""
     WITH edges AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-         stories AS (SELECT c_custkey AS s FROM customer),
+         stories AS (SELECT c_custkey AS s FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey = 7),
          hop1 AS (SELECT s, b, 1 AS hops FROM stories JOIN edges ON a = s),
          hop2 AS (SELECT s, edges.b, 2 AS hops FROM hop1 JOIN edges ON a = hop1.b)
     SELECT s AS story_id, b AS related_id, min(hops) AS hops FROM
@@ -180,7 +181,8 @@ def _(spark, folder):
         .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("o_custkey").alias("story_id"), F.col("l_suppkey").alias("related_id"), F.lit("related").alias("kind"))
     )
-    stories = table(spark, folder, "customer").select(F.col("c_custkey").alias("story_id"))
+    given = table(spark, folder, "customer").filter("c_mktsegment = 'MACHINERY' AND c_nationkey = 7")
+    stories = given.select(F.col("c_custkey").alias("story_id"))
     return feed.related(stories, edges, hops=2)
 
 
@@ -207,7 +209,7 @@ DAILY_SQL = """
 
 @query("feed_daily_index", "feed_items", sql=DAILY_SQL)
 def _(spark, folder):
-    index = feed.daily_index(derived.feed_items(spark, folder))
+    index = feed.daily_index(derived.feed_entries(spark, folder))
     return index.select(day_text("date").alias("date"), "item_count", "selected_count")
 
 
@@ -215,7 +217,7 @@ def _(spark, folder):
     SELECT id, category FROM feed_items
     WHERE CAST(discovered_at AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai' AS DATE) = DATE '2024-01-15'""")
 def _(spark, folder):
-    return feed.daily(derived.feed_items(spark, folder), "2024-01-15").select("id", "category")
+    return feed.daily(derived.feed_entries(spark, folder), "2024-01-15").select("id", "category")
 
 
 @query("feed_daily_or_nearest", "feed_items", sql="""
@@ -223,7 +225,7 @@ def _(spark, folder):
     FROM (SELECT CAST(discovered_at AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai' AS DATE) AS day FROM feed_items)
     GROUP BY day ORDER BY day DESC LIMIT 1""")
 def _(spark, folder):
-    index = feed.daily_index(derived.feed_items(spark, folder), n=7)
+    index = feed.daily_index(derived.feed_entries(spark, folder), n=7)
     day = feed.daily_or_nearest(index, F.to_date(F.lit("2024-03-01")))
     return day.select(day_text("date").alias("date"), "item_count", "exact")
 
@@ -267,7 +269,7 @@ def _(spark, folder):
     SELECT id, strftime(coalesce(published_at, discovered_at) AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai', '%Y-%m-%d %H:%M:%S.%f') AS shown_at,
            CASE WHEN published_at IS NULL THEN 'indexed time' ELSE 'published' END AS shown_as FROM feed_items""")
 def _(spark, folder):
-    shown = feed.display_time(derived.feed_items(spark, folder))
+    shown = feed.display_time(derived.feed_entries(spark, folder))
     return shown.select("id", ts_text("shown_at").alias("shown_at"), "shown_as")
 
 
@@ -275,14 +277,14 @@ def _(spark, folder):
     SELECT id, title, count(*) OVER () AS total FROM timeline_items
     WHERE selected AND timeline_ts >= now - INTERVAL 168 HOUR ORDER BY timeline_ts DESC, id DESC LIMIT 8""")
 def _(spark, folder):
-    recent = feed.feed_window(derived.feed_items(spark, folder), now=now(spark, folder))
+    recent = feed.feed_window(derived.feed_entries(spark, folder), now=now(spark, folder))
     return feed.brief(recent).select("id", "title", "total")
 
 
 @query("feed_snapshot_minimal", "feed_items", sql="""
     SELECT id, title, link_site AS link, category FROM feed_items WHERE selected""")
 def _(spark, folder):
-    return feed.snapshot(derived.feed_items(spark, folder), fields="minimal")
+    return feed.snapshot(derived.feed_entries(spark, folder), fields="minimal")
 
 
 @query("feed_check_pages", sql="""
@@ -323,4 +325,4 @@ def _(spark, folder):
         UNION ALL SELECT 'selected present', count(*) FILTER (selected IS NULL) FROM feed_items
         UNION ALL SELECT 'score in 0..100', count(*) FILTER (score NOT BETWEEN 0 AND 100) FROM feed_items)""")
 def _(spark, folder):
-    return feed.check_items(derived.feed_items(spark, folder))
+    return feed.check_items(derived.feed_entries(spark, folder))

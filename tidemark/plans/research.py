@@ -102,9 +102,10 @@ def _(spark, folder):
 
 
 @query("research_independent_sources", "claims", "citations", sql="""
-    WITH RECURSIVE chain(origin, root) AS (SELECT DISTINCT origin, origin FROM claims
-        UNION ALL SELECT chain.origin, cites FROM chain JOIN citations c ON chain.root = c.origin),
-    ends AS (SELECT origin, min(root) AS root FROM chain GROUP BY origin)
+    WITH RECURSIVE reach(origin, other) AS (SELECT DISTINCT origin, origin FROM claims
+        UNION SELECT r.origin, e.b FROM reach r
+        JOIN (SELECT origin AS a, cites AS b FROM citations UNION ALL SELECT cites, origin FROM citations) e ON r.other = e.a),
+    ends AS (SELECT origin, min(other) AS root FROM reach GROUP BY origin)
     SELECT claim_id, count(DISTINCT origin) AS origins, count(DISTINCT root) AS independent
     FROM claims JOIN ends USING (origin) GROUP BY claim_id""")
 def _(spark, folder):

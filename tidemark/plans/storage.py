@@ -13,10 +13,14 @@ from tidemark.sources.tables import table
 FLOORED = 'SELECT * FROM child_sizes WHERE size_kb >= floor_kb'
 
 
-def children(spark, folder):
+def every_child(spark, folder):
     return storage.child_sizes(derived.fs_entry(spark, folder), derived.targets(spark, folder))
 
 
+def children(spark, folder):
+    return every_child(spark, folder).filter("NOT denied")
+
+
 @query("storage_dir_sizes", "dirs", sql="""
     SELECT dir, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM dirs GROUP BY dir""")
 def _(spark, folder):
@@ -24,9 +28,10 @@ def _(spark, folder):
 
 
 @query("storage_child_sizes", "child_sizes", sql=f"""
-    SELECT "group", root || '/' || name AS path, size_kb FROM ({FLOORED})""")
+    SELECT "group", root || '/' || name AS path, size_kb, false AS denied FROM ({FLOORED})
+    UNION ALL SELECT "group", root, 0, true FROM targets JOIN (SELECT DISTINCT path FROM fs_entry WHERE denied) ON path = root""")
 def _(spark, folder):
-    return children(spark, folder).select("group", "path", "size_kb")
+    return every_child(spark, folder).select("group", "path", "size_kb", "denied")
 
 
 @query("storage_target_floors", "child_sizes", sql=f"""
@@ -35,9 +40,9 @@ def _(spark, folder):
     every = storage.child_sizes(
         derived.fs_entry(spark, folder),
         derived.targets(spark, folder).select("group", "root", F.lit(0).cast("long").alias("floor_kb")),
-    )
-    floors = derived.targets(spark, folder).select("group", "floor_kb")
-    return every.join(floors, "group").groupBy("group").agg(
+    ).filter("NOT denied")
+    floors = every.withColumn("floor_kb", storage.floor_kb(F.col("group")))
+    return floors.groupBy("group").agg(
         F.count(F.lit(1)).alias("children"), F.count_if(F.col("size_kb") < F.col("floor_kb")).alias("below_floor")
     )
 
@@ -147,9 +152,39 @@ DISKS = """
             CAST(sum(size_bytes) AS BIGINT) // 1024 * 3 // 2 AS total_kb FROM fs_entry GROUP BY 1)"""
 
 
-@query("storage_classify_by_prefix", "child_sizes", "tier_prefixes", sql=f"SELECT path, size_kb, tier FROM {CLASSIFIED}")
+@query("storage_classify_by_prefix", "child_sizes", "tier_prefixes", sql=f"""
+    SELECT path, size_kb, tier FROM {CLASSIFIED} UNION ALL SELECT path, size_kb, tier FROM {CLASSIFIED} WHERE size_kb % 2 = 0""")
+def _(spark, folder):
+    # Some children are listed twice, as two crawls would; both rows stay.
+    listed = children(spark, folder)
+    twice = listed.union(listed.filter("size_kb % 2 = 0"))
+    return storage.classify_by_prefix(twice, derived.tier_prefixes(spark, folder)).select("path", "size_kb", "tier")
+
+
+PLACES = "(SELECT '/' || source || '/d' || doc_id || '/' || n_chars AS rest, doc_id FROM documents)"
+
+
+@query("storage_shipped_rules", sql=f"""
+    SELECT path, CASE WHEN doc_id % 9 = 7 OR doc_id % 9 = 4 AND doc_id % 2 = 1 THEN 'none'
+        ELSE CASE doc_id % 9 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' WHEN 2 THEN 'green' WHEN 3 THEN 'green' WHEN 4 THEN 'red'
+             WHEN 5 THEN 'green' WHEN 6 THEN 'yellow' ELSE 'green' END END AS tier
+    FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '/Users/u/Library/Caches' || rest WHEN 1 THEN '/Users/u/Library/Containers' || rest
+        WHEN 2 THEN '/Users/u/.npm' || rest WHEN 3 THEN '/Users/u/Library/Developer/Xcode/DerivedData' || rest
+        WHEN 4 THEN '/Applications' || replace(rest, '/d', '.app/d') WHEN 5 THEN '/Users/u/.cargo' || rest
+        WHEN 6 THEN '/Users/u/Library/Application Support' || rest WHEN 7 THEN '/System' || rest
+        ELSE '/Users/u/Downloads/d' || doc_id || '.dmg' END AS path FROM {PLACES})""")
 def _(spark, folder):
-    return classified(spark, folder).select("path", "size_kb", "tier")
+    """The rules as shipped: documents as places of a home folder, every other application is duplicated."""
+    rest = F.concat(F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit("/"), F.col("n_chars").cast("string"))
+    places = [
+        F.concat(F.lit("/Users/u/Library/Caches"), rest), F.concat(F.lit("/Users/u/Library/Containers"), rest),
+        F.concat(F.lit("/Users/u/.npm"), rest), F.concat(F.lit("/Users/u/Library/Developer/Xcode/DerivedData"), rest),
+        F.concat(F.lit("/Applications"), F.replace(rest, F.lit("/d"), F.lit(".app/d"))), F.concat(F.lit("/Users/u/.cargo"), rest),
+        F.concat(F.lit("/Users/u/Library/Application Support"), rest), F.concat(F.lit("/System"), rest),
+        F.concat(F.lit("/Users/u/Downloads/d"), F.col("doc_id").cast("string"), F.lit(".dmg")),
+    ]
+    docs = table(spark, folder, "documents").select("doc_id", F.get(F.array(*places), (F.col("doc_id") % 9).cast("int")).alias("path"))
+    return storage.classify(docs, storage.MAC_RULES, flagged=F.col("doc_id") % 2 == 0).select("path", "tier")
 
 
 @query("storage_top5", "child_sizes", "tier_prefixes", sql=f"""
@@ -246,8 +281,8 @@ def _(spark, folder):
 @query("storage_audit_actions", "grants", "action_requests", sql="""
     WITH marked AS (
         SELECT r.*, CASE WHEN r.mode = 'shred' THEN 'rejected' WHEN g.path IS NULL THEN 'not granted'
-                         WHEN r.path NOT LIKE '/A%' AND r.path NOT LIKE '/EUROPE/%' THEN 'outside roots' END AS stop
-        FROM action_requests r LEFT JOIN grants g USING (mode, path)),
+                         WHEN r.place NOT LIKE '/A%' AND r.place NOT LIKE '/EUROPE/%' THEN 'outside roots' END AS stop
+        FROM action_requests r LEFT JOIN grants g ON r.mode = g.mode AND r.place = g.path),
     firsts AS (SELECT *, min(pos) FILTER (stop IS NOT NULL) OVER (PARTITION BY request_id) AS first FROM marked)
     SELECT request_id, pos, path, CASE WHEN stop = 'rejected' THEN 'rejected' WHEN first IS NULL OR pos < first THEN 'done'
         WHEN pos = first THEN stop ELSE 'not reached' END AS outcome FROM firsts""")

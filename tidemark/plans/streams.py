@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import mirror
-from tidemark.plans.evals import STREAKS
 from tidemark.plans.registry import query, ts_text
 from tidemark.session import work_dir
 from tidemark.sources import derived
@@ -43,29 +42,44 @@ def _(spark, folder):
     return mirror.apply_changes(derived.mirror(spark, folder), derived.changes(spark, folder))
 
 
-def one_snapshot(spark, folder):
-    """The response list of a snapshot with a page per nation, the last one closed."""
-    nations = table(spark, folder, "nation")
-    last = nations.agg(F.max("n_nationkey")).scalar()
-    return nations.select(
-        F.lit(1).alias("snapshot"), (F.col("n_nationkey") + 1).alias("page"), F.lit("c").alias("cursor"),
-        (F.col("n_nationkey") < last).alias("has_more"),
+def snapshot(spark, folder):
+    """The mirror's rows as the responses of one snapshot, fifty items a page, the last page closed."""
+    rows = derived.mirror(spark, folder)
+    last = rows.agg(F.floor(F.max("id") / 50)).scalar()
+    page = F.floor(F.col("id") / 50)
+    return rows.groupBy(page.alias("n")).agg(F.collect_list(F.struct("id", "value")).alias("items")).select(
+        F.lit(1).alias("snapshot"), (F.col("n") + 1).alias("page"), F.lit("c").alias("cursor"),
+        (F.col("n") < last).alias("hasMore"), "items",
     )
 
 
+def snapshot_rows(responses):
+    return responses.select(F.inline("items"))
+
+
+def landed(spark, rows, order, purpose, work, parts=3):
+    """``rows`` land in ``parts`` steps by ``order``; after each one ``work(stream)`` takes what is new."""
+    landing = work_dir(spark, purpose)
+    step = rows.agg(F.ceil((F.max(order) + 1) / parts)).scalar()
+    for part in range(parts):
+        own = rows.filter(F.floor(F.col(order) / step) == part)
+        own.write.mode("append").parquet(landing)
+        work(spark.readStream.schema(rows.schema).parquet(landing)).awaitTermination()
+
+
 @query("mirror_rebuild", "mirror", sql="SELECT id, value FROM mirror")
 def _(spark, folder):
     path = work_dir(spark, "rebuild")
-    mirroring.rebuild_mirror(derived.mirror(spark, folder), one_snapshot(spark, folder), path)
+    mirroring.rebuild_mirror(snapshot(spark, folder), snapshot_rows, path)
     return versions.read(spark, path)
 
 
 @query("mirror_stream", "mirror", "changes", sql=APPLIED)
 def _(spark, folder):
     path = work_dir(spark, "mirror")
-    mirroring.rebuild_mirror(derived.mirror(spark, folder), one_snapshot(spark, folder), path)
-    changes = derived.change_rows(stream(spark, folder, "events"))
-    mirroring.mirror_stream(changes, path).awaitTermination()
+    mirroring.rebuild_mirror(snapshot(spark, folder), snapshot_rows, path)
+    changes = derived.changes(spark, folder)
+    landed(spark, changes, "seq", "changes", lambda stream: mirroring.mirror_stream(stream, path))
     return versions.read(spark, path)
 
 
@@ -90,8 +104,13 @@ def _(spark, folder):
     return settled.select("story_id", "reports", ts_text("last_ts").alias("last_ts"), "last_report")
 
 
-@query("stream_streak_alerts", "runs", sql=STREAKS)
+@query("stream_streak_alerts", "runs", sql="""
+    WITH marked AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY run, "check" ORDER BY seq) AS island FROM runs),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY run, "check", island ORDER BY seq) AS n,
+                        min(seq) OVER (PARTITION BY run, "check", island) AS first_seq FROM marked WHERE NOT ok)
+    SELECT run, "check", first_seq, seq AS alert_seq FROM numbered WHERE n = 3""")
 def _(spark, folder):
     path = work_dir(spark, "streaks")
-    runs.streak_alerts(derived.run_rows(stream(spark, folder, "events")), path, slice_size=1000).awaitTermination()
+    results = derived.run_rows(table(spark, folder, "events"))
+    landed(spark, results, "seq", "runs", lambda stream: runs.streak_alerts(stream, path, slice_size=1000))
     return runs.read_alerts(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import style
 from tidemark.plans.registry import query
 from tidemark.sources import derived
-from tidemark.sources.tables import table, wide_table
+from tidemark.sources.tables import table
 
 PHRASES = (
     style.Phrase("the", " the ", "this "), style.Phrase("of", "of the", "of this"), style.Phrase("de la", "de la"),
@@ -15,15 +15,15 @@ PHRASES = (
 )
 MARKS = (style.Phrase("bold", "**"), style.Phrase("quote", '"'), style.Phrase("at", "@"), style.Phrase("pipe", "|"))
 PATTERNS = (
-    style.Pattern("chain", "the[^.\n]{0,40}?of[^.\n]{0,40}?and"),
-    style.Pattern("dated", "In [^.\n]{0,30}? the"),
+    style.Ordered("chain", ("the", "of", "and")),
+    style.Pattern("dated", "In [^.\n]*? the"),
     style.Pattern("opening", "^[A-Z][a-z]+ and", opener=True),
 )
 WORDS = ("The ", "and ", "of ", "in ", "that ", "is ", "Der ", "und ", "Le ", "les ", "que ", "los ", "para ", "De ")
 
 
 def documents(spark, folder):
-    return wide_table(spark, folder, "documents", "doc_id")
+    return table(spark, folder, "documents")
 
 
 def found_in(table_name: str, phrases) -> str:
@@ -47,8 +47,8 @@ def _(spark, folder):
 
 @query("style_pattern_hits", "articles", sql=r"""
     SELECT * FROM (
-        SELECT doc_id, 'chain' AS rule_id, len(regexp_extract_all(text, 'the[^.\n]{0,40}?of[^.\n]{0,40}?and')) AS hits FROM articles
-        UNION ALL SELECT doc_id, 'dated', len(regexp_extract_all(text, 'In [^.\n]{0,30}? the')) FROM articles
+        SELECT doc_id, 'chain' AS rule_id, len(regexp_extract_all(text, '(?s)the.*?of.*?and')) AS hits FROM articles
+        UNION ALL SELECT doc_id, 'dated', len(regexp_extract_all(text, 'In [^.\n]*? the')) FROM articles
         UNION ALL SELECT doc_id, 'opening', len(regexp_extract_all(
             coalesce(list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda p: trim(p) <> '')[1], ''), '^[A-Z][a-z]+ and')) FROM articles)
     WHERE hits > 0""")
@@ -166,8 +166,8 @@ CHECKS = rf"""
     counted AS (
         SELECT doc_id, 'L1' AS layer, 'banned phrases' AS rule, {count_of(' der ')} + {count_of('And')} + {count_of('token =')} AS hits, NULL AS need FROM articles
         UNION ALL SELECT doc_id, 'L1', 'banned marks', n, NULL FROM marks
-        UNION ALL SELECT doc_id, 'L1', 'structure', len(regexp_extract_all(text, 'the[^.\n]{{0,40}}?of[^.\n]{{0,40}}?and'))
-            + len(regexp_extract_all(text, 'In [^.\n]{{0,30}}? the')) + coalesce(bullets.n, 0) + coalesce(bolds.n, 0), NULL
+        UNION ALL SELECT doc_id, 'L1', 'structure', len(regexp_extract_all(text, '(?s)the.*?of.*?and'))
+            + len(regexp_extract_all(text, 'In [^.\n]*? the')) + coalesce(bullets.n, 0) + coalesce(bolds.n, 0), NULL
             FROM articles LEFT JOIN bullets USING (doc_id) LEFT JOIN bolds USING (doc_id)
         UNION ALL SELECT doc_id, 'L1', 'vague names', {count_of('ons')}, NULL FROM articles
         UNION ALL SELECT doc_id, 'L2-1', 'textbook opener', CASE WHEN hit THEN 1 ELSE 0 END, NULL FROM articles LEFT JOIN opens USING (doc_id)

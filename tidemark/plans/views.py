@@ -35,7 +35,8 @@ VIEWS: dict[str, str] = {
                CAST(l_quantity AS BIGINT) * 1048576 AS size_bytes, l_discount >= 0.095 AS is_symlink,
                l_quantity >= 50 AS denied
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT path, 0, false, true FROM customer_dirs WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal < 0""",
     "readable": "SELECT path, size_bytes FROM fs_entry WHERE NOT is_symlink AND NOT denied",
     "dirs": """
         SELECT array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS dir, path, size_bytes
@@ -45,12 +46,12 @@ VIEWS: dict[str, str] = {
                '/' || r_name || '/' || n_name || '/c' || c_custkey AS path
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "targets": """
-        SELECT lower(n_name) AS "group", '/' || r_name || '/' || n_name AS root,
+        SELECT CASE r_name WHEN 'AFRICA' THEN 'home' WHEN 'AMERICA' THEN 'applications' ELSE lower(n_name) END AS "group",
+               '/' || r_name || '/' || n_name AS root,
                CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 102400 ELSE 51200 END AS floor_kb
         FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL
-        SELECT 'c' || c_custkey, path, CASE WHEN r_name IN ('AFRICA', 'AMERICA') THEN 102400 ELSE 51200 END
-        FROM customer_dirs WHERE c_mktsegment = 'AUTOMOBILE'""",
+        SELECT 'c' || c_custkey, path, 51200 FROM customer_dirs WHERE c_mktsegment = 'AUTOMOBILE'""",
     "child_sizes": """
         SELECT "group", root, split_part(substr(path, length(root) + 2), '/', 1) AS name, floor_kb,
                CAST(sum(size_bytes) AS BIGINT) // 1024 AS size_kb
@@ -87,7 +88,7 @@ VIEWS: dict[str, str] = {
                CASE o_orderpriority WHEN '1-URGENT' THEN 'rm' WHEN '2-HIGH' THEN 'trash' WHEN '3-MEDIUM' THEN 'open'
                     WHEN '4-NOT SPECIFIED' THEN 'shred' WHEN '5-LOW' THEN 'rm' END AS mode,
                l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos,
-               path || '/o' || c_custkey AS path
+               path || '/tmp/.././o' || c_custkey AS path, path || '/o' || c_custkey AS place
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer_dirs ON l_partkey = c_custkey""",
     "articles": r"""
         SELECT doc_id, lang, source,
@@ -133,7 +134,8 @@ VIEWS: dict[str, str] = {
                CASE l_returnflag WHEN 'A' THEN 'primary' WHEN 'N' THEN 'media' ELSE 'reprint' END AS source_kind,
                l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS url FROM lineitem""",
     "citations": """
-        SELECT s_suppkey AS origin, s_suppkey // 2 AS cites FROM supplier WHERE s_nationkey < 20 AND s_suppkey > 0""",
+        SELECT s_suppkey AS origin, s_suppkey // 2 AS cites FROM supplier WHERE s_nationkey < 20 AND s_suppkey > 0
+        UNION ALL SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_nationkey < 5 AND s_suppkey > 0""",
     "runs": r"""
         SELECT user_id AS run, 'c' || (CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) // 20) AS "check",
                event_id AS seq, event_type NOT IN ('error', 'view') AS ok FROM events""",
@@ -143,6 +145,7 @@ VIEWS: dict[str, str] = {
 
 _NEEDS = {
     "timeline_items": ["feed_items"],
+    "fs_entry": ["customer_dirs"],
     "readable": ["fs_entry"],
     "dirs": ["readable"],
     "targets": ["customer_dirs"],

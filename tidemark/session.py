@@ -30,12 +30,13 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one job's written tables and stream checkpoints.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. Only a local master may
-    go without that setting, because a machine-local folder is useless to other executors.
+    It lies in the shared folder named by ``spark.checkpoint.dir``, or else in the one given to
+    ``SparkContext.setCheckpointDir``. Only a local master may go without, because a machine-local
+    folder is useless to other executors.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
-    )
+    ) or spark.sparkContext.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):

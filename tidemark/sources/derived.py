@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import table, wide_table
+from tidemark.operators.storage import floor_kb
+from tidemark.sources.tables import table
 
 CATEGORY = {"click": "ai-models", "view": "ai-products", "purchase": "industry", "signup": "paper"}
 SURFACE = {
@@ -28,15 +29,27 @@ def mapped(column: Column, values: dict[str, str], other: str | None = None) ->
 
 def feed_items(spark: SparkSession, folder: str) -> DataFrame:
     """Events as feed items; the text of the document with the same number is the summary."""
-    events = table(spark, folder, "events")
-    texts = table(spark, folder, "documents").select("doc_id", "text", F.col("source").alias("origin"))
+    items = feed_entries(spark, folder).drop("original_title", "summary")
+    return items.join(feed_texts(spark, folder), "id", "left")
+
+
+def feed_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text fields of feed items, by id."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("original_title"), F.col("text").alias("summary")
+    )
+
+
+def feed_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed items without their texts, which most feed queries do not show."""
     lag = F.from_json("props", "k INT").k
     shifted = F.timestamp_add("HOUR", -lag, F.col("ts"))
-    return events.join(texts, F.col("event_id") == F.col("doc_id"), "left").select(
+    none = F.lit(None).cast("string")
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("id"),
         F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string")).alias("title"),
-        F.col("origin").alias("original_title"),
-        F.col("text").alias("summary"),
+        none.alias("original_title"),
+        none.alias("summary"),
         F.struct(F.concat(F.lit("src"), lag.cast("string")).alias("name")).alias("source"),
         F.struct(
             F.concat(F.lit("https://site.test/items/"), F.col("event_id").cast("string")).alias("site"),
@@ -88,7 +101,7 @@ def change_rows(events: DataFrame) -> DataFrame:
 
 
 def fs_entry(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as files: ``/region/nation/c<customer>/o<order>/l<line>``."""
+    """Order lines as files: ``/region/nation/c<customer>/o<order>/l<line>``; some customers' folders are unreadable."""
     nation = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -101,8 +114,11 @@ def fs_entry(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "orders").select("o_orderkey", "o_custkey")
         .join(owner, F.col("o_custkey") == F.col("c_custkey"))
     )
-    return (
-        wide_table(spark, folder, "lineitem", "l_orderkey")
+    unreadable = customer_dirs(spark, folder).filter("c_mktsegment = 'AUTOMOBILE' AND c_acctbal < 0").select(
+        "path", F.lit(0).cast("long").alias("size_bytes"), F.lit(False).alias("is_symlink"), F.lit(True).alias("denied")
+    )
+    files = (
+        table(spark, folder, "lineitem")
         .join(order, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.concat(
@@ -115,6 +131,7 @@ def fs_entry(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("l_quantity") >= 50).alias("denied"),
         )
     )
+    return files.unionByName(unreadable)
 
 
 def customer_dirs(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,22 +152,20 @@ def customer_dirs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, folder: str) -> DataFrame:
-    """Scan roots: all nations and the customers of one segment, with a floor per region."""
-    floor = F.when(F.col("r_name").isin("AFRICA", "AMERICA"), 102400).otherwise(51200).cast("long")
+    """Scan roots: all nations (two regions as groups with a higher floor) and the customers of one segment."""
+    kind = mapped(F.col("r_name"), {"AFRICA": "home", "AMERICA": "applications"})
     nation = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     roots = nation.select(
-        F.lower("n_name").alias("group"),
+        F.coalesce(kind, F.lower("n_name")).alias("group"),
         F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("root"),
-        floor.alias("floor_kb"),
     )
     own = customer_dirs(spark, folder).filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("group"),
         F.col("path").alias("root"),
-        floor.alias("floor_kb"),
     )
-    return roots.unionByName(own)
+    return roots.unionByName(own).withColumn("floor_kb", floor_kb(F.col("group")))
 
 
 def tier_prefixes(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,10 +209,10 @@ def action_requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request per order on the directories of its lines' customers, in line order."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     dirs = customer_dirs(spark, folder).select(
-        "c_custkey", F.concat("path", F.lit("/o"), F.col("c_custkey").cast("string")).alias("path")
+        "c_custkey", F.concat("path", F.lit("/tmp/.././o"), F.col("c_custkey").cast("string")).alias("path")
     )
     return (
-        wide_table(spark, folder, "lineitem", "l_orderkey")
+        table(spark, folder, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(dirs, F.col("l_partkey") == F.col("c_custkey"))
         .select(
@@ -218,7 +233,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     for mark, markup in {"$$$": "**", "***": "\n# ", "%%%": "\n- ", "&&&": "\n\n", "###": "？"}.items():
         text = F.replace(text, F.lit(mark), F.lit(markup))
-    return wide_table(spark, folder, "documents", "doc_id").select("doc_id", "lang", "source", text.alias("text"))
+    return table(spark, folder, "documents").select("doc_id", "lang", "source", text.alias("text"))
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +249,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\nSee [next](d"), (F.col("doc_id") + 1).cast("string"),
         F.lit(".md) and `docs/d"), (F.col("doc_id") + 2).cast("string"), F.lit(".md`.\n"),
     )
-    return wide_table(spark, folder, "documents", "doc_id").select(
+    return table(spark, folder, "documents").select(
         F.col("source").alias("project"),
         F.lit("/corpus").alias("root"),
         path.alias("path"),
@@ -300,12 +315,12 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers of the first twenty nations repeat the supplier with half their number."""
-    return (
-        table(spark, folder, "supplier")
-        .filter((F.col("s_nationkey") < 20) & (F.col("s_suppkey") > 0))
-        .select(F.col("s_suppkey").alias("origin"), F.floor(F.col("s_suppkey") / 2).alias("cites"))
-    )
+    """Suppliers of twenty nations repeat the one with half their number, some of them a second one as well."""
+    suppliers = table(spark, folder, "supplier").filter(F.col("s_suppkey") > 0)
+    cited = lambda n: F.floor(F.col("s_suppkey") / n).alias("cites")
+    first = suppliers.filter(F.col("s_nationkey") < 20).select(F.col("s_suppkey").alias("origin"), cited(2))
+    second = suppliers.filter(F.col("s_nationkey") < 5).select(F.col("s_suppkey").alias("origin"), cited(3))
+    return first.union(second)
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:

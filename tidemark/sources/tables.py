@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEED_ITEM = """
@@ -19,6 +19,14 @@ FEED_PAGE = """
         category: STRING, score: INT, selected: BOOLEAN>>,
     page STRUCT<count: INT, hasMore: BOOLEAN, nextCursor: STRING>
 """
+# A saved snapshot response: which snapshot it belongs to and its number in the order of fetching come with it.
+SNAPSHOT_PAGE = """
+    snapshot BIGINT, page BIGINT, cursor STRING, nextPage STRING, hasMore BOOLEAN, count INT,
+    items ARRAY<STRUCT<
+        id: STRING, title: STRING, originalTitle: STRING, summary: STRING, source: STRUCT<name: STRING>,
+        links: MAP<STRING, STRING>, publishedAt: TIMESTAMP, discoveredAt: TIMESTAMP,
+        category: STRING, score: INT, selected: BOOLEAN>>
+"""
 CHANGE_PAGE = """
     page BIGINT, cursor STRING, hasMore BOOLEAN,
     changes ARRAY<STRUCT<op: STRING, id: STRING, item: STRING>>
@@ -46,25 +54,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table for work that costs much per row: spread by ``key`` if it has fewer splits than there are cores.
-
-    A table of many files is read as it is, without a shuffle.
-    """
-    rows = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
-
-
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """JSON with a fixed schema: fields the schema does not name are ignored, missing ones are null."""
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
-def feed_items(pages: DataFrame, site_key: str) -> DataFrame:
-    """Items of ``FEED_PAGE`` documents, one row each; ``site_key`` names the link to the reading page."""
+CHANGED_ITEM = """
+    id STRING, title STRING, originalTitle STRING, summary STRING, source STRUCT<name: STRING>,
+    links MAP<STRING, STRING>, publishedAt TIMESTAMP, discoveredAt TIMESTAMP,
+    category STRING, score INT, selected BOOLEAN
+"""
+
+
+def _item_columns(site_key: str) -> list[Column]:
     item = F.col("item")
-    return pages.select(F.explode("items").alias("item")).select(
+    return [
         item.id.alias("id"),
         item.title.alias("title"),
         item.originalTitle.alias("original_title"),
@@ -78,19 +82,33 @@ def feed_items(pages: DataFrame, site_key: str) -> DataFrame:
         item.category.alias("category"),
         item.score.alias("score"),
         item.selected.alias("selected"),
-    )
+    ]
+
+
+def feed_items(pages: DataFrame, site_key: str) -> DataFrame:
+    """Items of ``FEED_PAGE`` or ``SNAPSHOT_PAGE`` documents, one row each; ``site_key`` names the link to the reading page."""
+    return pages.select(F.explode("items").alias("item")).select(*_item_columns(site_key))
+
+
+def snapshot_pages(responses: DataFrame) -> DataFrame:
+    """The page list of ``SNAPSHOT_PAGE`` documents, as ``check_pages`` takes it."""
+    return responses.select("snapshot", "page", "cursor", F.col("hasMore").alias("has_more"))
 
 
-def changes(pages: DataFrame) -> DataFrame:
-    """Rows of ``CHANGE_PAGE`` documents. ``seq`` orders them: page first, then position in the page."""
-    return pages.select(
-        "page", "cursor", F.posexplode("changes").alias("pos", "change")
-    ).select(
+def changes(pages: DataFrame, item: str, site_key: str) -> DataFrame:
+    """Rows of ``CHANGE_PAGE`` documents in the columns of ``feed_items``, with ``seq`` and ``op``.
+
+    ``item`` is the schema of a changed item (``CHANGED_ITEM``). ``seq`` orders the changes: page first, then
+    position in the page. A removal has no item but its id.
+    """
+    rows = pages.select("page", F.posexplode("changes").alias("pos", "change")).select(
         F.struct("page", "pos").alias("seq"),
         F.col("change.op").alias("op"),
         F.col("change.id").alias("id"),
-        F.col("change.item").alias("item"),
+        F.array(F.from_json("change.item", item)).alias("items"),
     )
+    items = rows.select("seq", "op", F.col("id").alias("__id"), F.explode("items").alias("item"))
+    return items.select("seq", "op", F.col("__id").alias("id"), *_item_columns(site_key)[1:])
 
 
 def scan_entries(scans: DataFrame) -> DataFrame:

@@ -1,12 +1,22 @@
-"""Whole tables in numbered folders; a folder counts once its writer has left the success mark.
+"""Keyed tables in numbered versions; a version counts once its writer has left the success mark.
 
-A reader never sees half a version, and a batch that is replayed after a crash writes the same
-folder again from the same predecessor.
+Rows lie in a fixed number of buckets by a hash of their keys. A version is a manifest that names for
+each bucket the folder that holds it, so a batch writes the buckets it touches and carries the others
+over by name. A reader never sees half a version, and a batch that is replayed after a crash writes the
+same version again from the same predecessor. ``remove_old`` frees what no kept version names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BUCKETS = 64
+_BUCKET = "__bucket"
 
 
 def name(generation: int, batch: int = -1) -> str:
@@ -14,11 +24,15 @@ def name(generation: int, batch: int = -1) -> str:
     return f"v{generation:08d}-{batch + 1:012d}"
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def complete(spark: SparkSession, path: str) -> list[str]:
     """Names of the complete versions below ``path``, oldest first."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    pattern, files = _files(spark, f"{path}/v*/_SUCCESS")
+    found = files.globStatus(pattern)
     return sorted(status.getPath().getParent().getName() for status in found or [])
 
 
@@ -31,12 +45,70 @@ def generation_of(version: str) -> int:
     return int(version[1:9])
 
 
-def read(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+def bucket(keys: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def manifest(spark: SparkSession, path: str, version: str) -> dict[int, str]:
+    """The folder of each bucket; entry -1 is the schema. At most a row per bucket."""
+    rows = spark.read.schema("bucket INT, folder STRING").parquet(f"{path}/{version}").collect()
+    return {r["bucket"]: r["folder"] for r in rows}
+
+
+def read(
+    spark: SparkSession, path: str, version: str | None = None, only: set[int] | None = None
+) -> DataFrame:
+    """The rows of a version (default: the latest), or of some of its buckets."""
     chosen = version or latest(spark, path)
     if chosen is None:
         raise FileNotFoundError(f"no complete version in {path}")
-    return spark.read.parquet(f"{path}/{chosen}")
+    entries = manifest(spark, path, chosen)
+    schema = T.StructType.fromJson(json.loads(entries.pop(-1)))
+    folders = [f"{path}/{f}" for b, f in sorted(entries.items()) if only is None or b in only]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def write(
+    df: DataFrame, path: str, version: str, keys: list[str], carried: dict[int, str] | None = None
+) -> None:
+    """Write ``df`` as the buckets it has rows in, next to the ``carried`` ones, and commit the version."""
+    spark = df.sparkSession
+    place = f"rows-{version}"
+    bucketed = df.withColumn(_BUCKET, bucket(keys))
+    bucketed.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/{place}")
+    where, files = _files(spark, f"{path}/{place}/{_BUCKET}=*")
+    entries = {b: f for b, f in (carried or {}).items() if b >= 0}
+    for status in files.globStatus(where) or []:
+        folder = status.getPath().getName()
+        entries[int(folder.split("=")[1])] = f"{place}/{folder}"
+    entries[-1] = df.schema.json()
+    rows = spark.createDataFrame(sorted(entries.items()), "bucket INT, folder STRING")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{version}")
+
+
+def update(
+    path: str, version: str, touched: DataFrame, keys: list[str], change: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Commit ``version``: the version before with ``change`` applied to the buckets that ``touched`` has keys in."""
+    spark = touched.sparkSession
+    before = latest(spark, path, before=version)
+    rows = touched.select(bucket(keys).alias("b")).distinct().collect()
+    buckets = {r["b"] for r in rows}
+    known = manifest(spark, path, before)
+    carried = {b: f for b, f in known.items() if b not in buckets}
+    write(change(read(spark, path, before, only=buckets)), path, version, keys, carried)
+
 
+def remove_old(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete all but the last ``keep`` versions and the rows only they name; returns what was deleted.
 
-def write(df: DataFrame, path: str, version: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{version}")
+    Keep at least two: a batch that is replayed starts from the version before the last.
+    """
+    names = complete(spark, path)
+    old, kept = names[:-keep], names[-keep:]
+    used = {f.split("/")[0] for n in kept for b, f in manifest(spark, path, n).items() if b >= 0}
+    gone = [*old, *[f"rows-{n}" for n in old if f"rows-{n}" not in used]]
+    for folder in gone:
+        where, files = _files(spark, f"{path}/{folder}")
+        files.delete(where, True)
+    return gone

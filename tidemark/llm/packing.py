@@ -35,7 +35,7 @@ from tidemark.session import written
 
 CAPACITY, END = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_REMEMBERED = 400_000
+_WORDS, _PARTS = 300_000, 1_000_000  # remembered per worker, some 250 MB at most
 # Letters whose lower case is one letter in every library, with marks that are never joined to letters.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:|*#$%&]*)")
 
@@ -58,7 +58,7 @@ class TokenIds(dict):
     def _encoded(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= _REMEMBERED:
+            if len(self.parts) >= _PARTS:
                 self.parts.clear()
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
             found = self.parts[part] = np.array(ids, "<u4").tobytes()
@@ -71,7 +71,7 @@ class TokenIds(dict):
             ids = (self._encoded(letters.lower()) if letters else b"") + (self._encoded(marks) if marks else b"")
         else:
             ids = self._encoded(text)
-        if len(self) >= _REMEMBERED:
+        if len(self) >= _WORDS:
             self.clear()
         self[word] = ids
         return ids

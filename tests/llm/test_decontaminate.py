@@ -38,6 +38,28 @@ def test_slots_must_agree():
     assert not decontaminate.consistent(a, np.array([0, 8, 0, 8, 8], np.uint64))
 
 
+def test_a_contradiction_costs_only_its_own_words(spark, prose):
+    passage = f"Again 12 of {prose(20)} and then 12 of {prose(5)}"
+    numbers = " ".join(str(n) for n in range(100, 120))
+    docs = [(1, ITEM.replace("Boston", "Albany")), (2, passage.replace("then 12", "then 13")), (3, numbers), (4, numbers.replace("109", "108"))]
+    found = leaks(spark, docs, [(7, ITEM), (8, passage), (9, numbers)])
+    assert set(found) == {(1, 7), (2, 8), (3, 9)}
+    # The item without the words up to Boston, as only its name contradicts the other.
+    assert found[1, 7].exact and found[1, 7].start_word == 7 and found[1, 7].n_words == len(ITEM.split()) - 7
+    assert found[2, 8].n_words == 30 and found[2, 8].n_changed == 1 and found[3, 9].n_words == 20
+
+
+def test_stretches_that_agree():
+    random = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (random.integers(0, 4, 12).astype(np.uint64) for _ in range(2))
+        a[b == 0] = b[a == 0] = 0
+        good = {(i, j) for i in range(12) for j in range(i + 1, 13) if decontaminate.consistent(a[i:j], b[i:j])}
+        longest = {(i, j) for i, j in good if (i - 1, j) not in good and (i, j + 1) not in good}
+        assert set(decontaminate.agreeing(a, b)) == longest
+        assert all((a[i:j] == b[i:j]).all() for i, j in decontaminate.verbatim(a, b))
+
+
 def test_kinds_of_words():
     kinds = {int(v): k for k, v in decontaminate.PLACEHOLDERS.items()}
     text = "We saw Anna pay 3.50 dollars, in 1,200 shops. Then É went 5km to Éa and NASA 3rd"

@@ -2,9 +2,10 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters keeps its
 template. Windows of ``WINDOW`` canonical words of documents and benchmark items are joined by hash; on
-each diagonal of a pair, matched windows in a row are a run. A run counts if it covers ``ENOUGH`` words
-(or the whole item, if that is shorter) with enough plain words among them, and if its slots agree: one
-benchmark value always stands for one document value and the other way round.
+each diagonal of a pair, matched windows in a row are a run. A run is cut into its longest stretches whose
+slots agree: one benchmark value always stands for one document value and the other way round. A stretch
+counts if it covers ``ENOUGH`` words (or the whole item, if that is shorter) with enough plain words among
+them; one without a changed slot counts whatever its words are.
 
 Every window of every text is looked up. A filter of fixed size (``FILTER_BITS`` bits, whatever the size
 of the benchmark) keeps most windows that match nothing out of the shuffle; the join itself is Spark's.
@@ -168,6 +169,36 @@ def consistent(mine: np.ndarray, theirs: np.ndarray) -> bool:
     )
 
 
+def agreeing(mine: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The longest stretches of a run whose slot values map one to one: where they begin and end."""
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    uses: dict[int, int] = {}
+    pairs = list(zip(mine.tolist(), theirs.tolist(), strict=True))
+    begin = 0
+    for end, (x, y) in enumerate(pairs):
+        if not (x or y):
+            continue
+        if there.get(y, x) != x or back.get(x, y) != y:
+            yield begin, end
+            while there.get(y, x) != x or back.get(x, y) != y:
+                u, v = pairs[begin]
+                begin += 1
+                if u or v:
+                    uses[u] -= 1
+                    if not uses[u]:
+                        del there[v], back[u], uses[u]
+        there[y], back[x], uses[x] = x, y, uses.get(x, 0) + 1
+    yield begin, len(pairs)
+
+
+def verbatim(mine: np.ndarray, theirs: np.ndarray) -> list[list[int]]:
+    """The longest stretches of a run without a changed slot: where they begin and end."""
+    same = np.zeros(len(mine) + 2, bool)
+    same[1:-1] = mine == theirs
+    return np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2).tolist()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH, plain: int = PLAIN) -> DataFrame:
     """``LEAK`` rows: for each document and item its longest leaked run; ``exact`` if no slot was changed."""
     items = _window_rows(benchmark, "item_id").select(
@@ -188,11 +219,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH, plai
             for row in batch.to_pylist():
                 found = [(w["pos"], w["slots"], w["item_slots"]) for w in row["windows"]]
                 need = min(enough, row["item_length"])
+                leaked = []
                 for first, mine, theirs in runs_of(found):
-                    slots = int(((mine != 0) | (theirs != 0)).sum())
-                    if len(mine) >= need and len(mine) - slots >= plain and consistent(mine, theirs):
-                        changed = int((mine != theirs).sum())
-                        rows.append((row["doc_id"], row["item_id"], first, len(mine), slots, changed, changed == 0))
+                    slot, other = (mine != 0) | (theirs != 0), mine != theirs
+                    for least, stretches in ((plain, agreeing(mine, theirs)), (0, verbatim(mine, theirs))):
+                        for begin, end in stretches:
+                            words, slots = end - begin, int(slot[begin:end].sum())
+                            if words >= need and words - slots >= least:
+                                leaked.append((words, -int(other[begin:end].sum()), -first - begin, slots))
+                if leaked:
+                    words, like, early, slots = max(leaked)
+                    rows.append((row["doc_id"], row["item_id"], -early, words, slots, -like, like == 0))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64()] * 6 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays(

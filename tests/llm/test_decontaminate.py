@@ -49,6 +49,29 @@ def test_a_contradiction_costs_only_its_own_words(spark, prose):
     assert found[2, 8].n_words == 30 and found[2, 8].n_changed == 1 and found[3, 9].n_words == 20
 
 
+QUESTION = "Tom has 5 apples. Tom buys 3 more apples. Tom eats 2 of them at home. How many apples does Tom have left now?"
+CITY = "A coach takes 3 hours from Paris to the sea and 9 hours from Paris to the hills, how long does it take from Paris to both?"
+ACCENT = "Hier sahen wir in Éa und in Ürz viele Leute, die am Abend nach Éa und nach Ürz zu den Bergen gehen wollten."
+
+
+def test_names_in_any_case_and_place(spark, prose):
+    renamed, longer = QUESTION.replace("Tom", "Anna").replace("5", "8"), CITY.replace("Paris", "New York")
+    docs = [
+        (1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM.replace("at Boston", "at\nBoston").replace("in Albany", "in\nAlbany")),
+        (4, f"{prose(20)}. {renamed}"), (5, f"{prose(9)} {longer} {prose(9)}"), (6, longer.replace("to the sea", "to the\nsea").replace("from New", "from\nNew")),
+        (7, ACCENT.lower()), (8, ACCENT.upper()), (9, ITEM.lower().replace("120", "77").replace("12 minutes", "3 hours")), (10, renamed.replace("Anna eats", "Otto eats")),
+    ]
+    found = leaks(spark, docs, [(20, ITEM), (21, QUESTION), (22, CITY), (23, ACCENT)])
+    assert {1: 20, 2: 20, 3: 20, 4: 21, 5: 22, 6: 22, 7: 23, 8: 23, 9: 20} == {d: i for d, i in found if d < 10}
+    for doc_id, item_id in ((1, 20), (2, 20), (3, 20), (7, 23), (8, 23)):
+        row = found[doc_id, item_id]
+        assert row.exact and row.start_word == 0 and row.n_words == len({20: ITEM, 23: ACCENT}[item_id].split())
+    assert found[4, 21].start_word == 20 and found[4, 21].n_words == len(QUESTION.split()) and not found[4, 21].exact
+    assert found[5, 22].start_word == 9 and found[5, 22].n_words == len(longer.split()) and found[6, 22].n_words == len(longer.split())
+    assert found[9, 20].n_words == len(ITEM.split()) and found[9, 20].n_changed == 3
+    assert (10, 21) not in found or found[10, 21].n_words < len(QUESTION.split())
+
+
 def test_stretches_that_agree():
     random = np.random.default_rng(3)
     for _ in range(300):

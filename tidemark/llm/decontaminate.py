@@ -7,6 +7,11 @@ slots agree: one benchmark value always stands for one document value and the ot
 counts if it covers ``ENOUGH`` words (or the whole item, if that is shorter) with enough plain words among
 them; one without a changed slot counts whatever its words are.
 
+Case and place do not tell every name, so each text is read in several ways (``STREAMS``) that are joined
+each for itself: names as plain words, which finds copies in any case and with any line ends; capitals
+inside sentences as names; all capitals as names, for sentences that open with one. The last two are also
+read with names of several words as one place, so that a name may change its number of words.
+
 Every window of every text is looked up. A filter of fixed size (``FILTER_BITS`` bits, whatever the size
 of the benchmark) keeps most windows that match nothing out of the shuffle; the join itself is Spark's.
 
@@ -25,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import Words, chunks, inside_texts, rolled
+from tidemark.llm.words import Words, chunks, inside_texts, mixed, rolled
 
 WINDOW, ENOUGH, PLAIN = 8, 13, 5
 FILTER_BITS = 25
+#: Names are plain words; names inside sentences are slots, each word or each name one; all capitals are, likewise.
+STREAMS = ("no names", "inside", "inside, joined", "all", "all, joined")
+_SALTS = mixed(np.arange(1, len(STREAMS) + 1, dtype=np.uint64))
 LEAK = (
     "doc_id long, item_id long, start_word long, n_words long, n_slots long, n_changed long, exact boolean"
 )
@@ -58,72 +66,127 @@ _END, _CLOSING, _NEWLINE = _among(*b".!?"), _among(*b"\"')]*"), _among(10)
 _KEPT = ~_among(*_MARKS)
 
 
+def _folded(text: bytes) -> bytes:
+    """Capitals beyond ASCII in lower case, where that takes as many bytes."""
+    if text.isascii():
+        return text
+    body = text.decode("utf-8", "surrogateescape")
+    for c in set(body):
+        if c > "\x7f" and (low := c.lower()) != c and len(low.encode("utf-8", "surrogateescape")) == len(c.encode("utf-8", "surrogateescape")):
+            body = body.replace(c, low)
+    return body.encode("utf-8", "surrogateescape")
+
+
+class _Read:
+    """The words of some texts with what may be a slot: ``fixed`` by the word alone, ``capital`` as a name."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        words = Words([_folded(t) for t in texts], lower=True, skip=_MARKS)
+        value, (begins, ends) = words.flat, words.edges
+        self.value, self.starts = value, words.starts
+        if not len(value):
+            self.fixed = self.capital = self.opens = self.follows = np.zeros(0, bool)
+            self.plain = value
+            return
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        # Opens a sentence: the first word of a text or line, or the word before ends with an end mark.
+        last, before = raw[ends - 1], raw[np.maximum(ends - 2, begins)]
+        closed = _END[last] | (_CLOSING[last] & _END[before])
+        lines = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(_NEWLINE[raw], out=lines[1:], dtype=np.int32)
+        opens = np.ones(len(value), bool)
+        opens[1:] = closed[:-1] | (lines[begins[1:]] > lines[ends[:-1]])
+        opens[words.starts[:-1][words.starts[:-1] < len(value)]] = True
+        # The first byte that is no mark tells capitals; of letters beyond ASCII those of Latin-1.
+        kept = np.flatnonzero(_KEPT[raw])
+        first = kept[np.searchsorted(kept, begins)]
+        wide = (raw[first] == 0xC3) & (raw[np.minimum(first + 1, len(raw) - 1)] < 0x9F)
+        digits, letters = words.count_of(_DIGIT), words.count_of(_LETTER)
+        small = words.count_of(_SMALL, raw) - 2 * wide
+        number = (digits > 0) & (letters == 0)
+        quantity = (digits > 0) & (letters > 0) & _DIGIT[raw[first]]
+        unit = np.isin(value, _UNIT_HASHES)
+        self.fixed, self.opens = number | quantity | unit, opens
+        self.capital = (_CAPITAL[raw[first]] | wide) & (first < ends) & (small > 0) & (digits == 0) & ~unit
+        #: Words right behind one of the same text that ends without a mark.
+        self.follows = np.zeros(len(value), bool)
+        self.follows[1:] = _KEPT[last[:-1]]
+        self.follows[words.starts[:-1][words.starts[:-1] < len(value)]] = False
+        marks = [PLACEHOLDERS[k] for k in ("number", "quantity", "unit")]
+        self.plain = np.select([number, quantity, unit], marks, value)
+
+    def template(self, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and slot values (0: a plain word) of all words if the words ``name`` are names."""
+        slot = np.where(self.fixed | name, self.value | np.uint64(1), np.uint64(0))
+        return np.where(name, PLACEHOLDERS["name"], self.plain), slot
+
+    def streams(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The texts in all ``STREAMS``: hashes, slot values, first words (one more at the end), starts of texts."""
+        n = len(self.value)
+        each = np.arange(n + 1)
+        yield *self.template(np.zeros(n, bool)), each, self.starts
+        for name in (self.capital & ~self.opens, self.capital):
+            hashes, slots = self.template(name)
+            yield hashes, slots, each, self.starts
+            more = name & self.follows
+            more[1:] &= name[:-1]
+            at = np.flatnonzero(~more)
+            if n:
+                place = np.arange(n) - np.maximum.accumulate(np.where(more, 0, each[:-1]))
+                value = np.where(more, mixed(self.value + place.astype(np.uint64)), slots)
+                slots = np.add.reduceat(value, at)
+                slots[slots != 0] |= np.uint64(1)
+            yield hashes[at], slots, np.append(at, n), np.searchsorted(at, self.starts)
+
+
 def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Canonical hashes and slot values (0: a plain word) of all words of the texts, and where each text starts.
 
     Words count in lower case and without marks. A capital makes a name, unless it opens a sentence or a
     line; words of digits are numbers, digits with letters behind them quantities.
     """
-    words = Words(texts, lower=True, skip=_MARKS)
-    value, (begins, ends) = words.flat, words.edges
-    if not len(value):
-        return value, value, words.starts
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    # Opens a sentence: the first word of a text or line, or the word before ends with an end mark.
-    last, before = raw[ends - 1], raw[np.maximum(ends - 2, begins)]
-    closed = _END[last] | (_CLOSING[last] & _END[before])
-    lines = np.zeros(len(raw) + 1, np.int32)
-    np.cumsum(_NEWLINE[raw], out=lines[1:], dtype=np.int32)
-    opens = np.ones(len(value), bool)
-    opens[1:] = closed[:-1] | (lines[begins[1:]] > lines[ends[:-1]])
-    opens[words.starts[:-1][words.starts[:-1] < len(value)]] = True
-    # The first byte that is no mark tells capitals; of letters beyond ASCII those of Latin-1.
-    kept = np.flatnonzero(_KEPT[raw])
-    first = kept[np.searchsorted(kept, begins)]
-    wide = (raw[first] == 0xC3) & (raw[np.minimum(first + 1, len(raw) - 1)] < 0x9F)
-    digits, letters = words.count_of(_DIGIT), words.count_of(_LETTER)
-    small = words.count_of(_SMALL, raw) - 2 * wide
-    name = (_CAPITAL[raw[first]] | wide) & (first < ends) & (small > 0) & (digits == 0) & ~opens
-    number = (digits > 0) & (letters == 0)
-    quantity = (digits > 0) & (letters > 0) & _DIGIT[raw[first]]
-    unit = np.isin(value, _UNIT_HASHES)
-    kinds = [number, quantity, unit, name]
-    marks = [PLACEHOLDERS[k] for k in ("number", "quantity", "unit", "name")]
-    slot = np.where(number | quantity | unit | name, value | np.uint64(1), np.uint64(0))
-    return np.select(kinds, marks, value), slot, words.starts
-
-
-_HIT = "id long, tag long, pos long, length long, hash long, slots binary"
-_ARROW = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("length", pa.int64()),
-                    ("hash", pa.int64()), ("slots", pa.binary())])
+    read = _Read(texts)
+    return *read.template(read.capital & ~read.opens), read.starts
+
+
+_HIT = "id long, stream long, tag long, pos long, word long, length long, hash long, slots binary"
+_ARROW = pa.schema([("id", pa.int64()), ("stream", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("word", pa.int64()),
+                    ("length", pa.int64()), ("hash", pa.int64()), ("slots", pa.binary())])
 
 
 def _window_rows(rows: DataFrame, id_column: str, bits=None) -> DataFrame:
-    """The windows of ``rows`` (only those that pass ``bits``, a broadcast filter) with their slot values."""
+    """The windows of ``rows`` in all streams (only those that pass ``bits``, a broadcast filter).
+
+    ``slots`` holds a slot value and a number of words for each place of the window.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = None if bits is None else np.frombuffer(bits.value, np.uint64)
         for ids, texts in chunks(batches, [id_column, "text"]):
-            hashes, slots, starts = canonical(texts)
-            grams = rolled(hashes, WINDOW)
-            good = inside_texts(starts, len(grams), WINDOW)
-            if allowed is not None:
-                slot = grams >> np.uint64(64 - FILTER_BITS)
-                good &= (allowed[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            at = np.flatnonzero(good)
-            doc = np.searchsorted(starts, at, "right") - 1
-            tags = {d: xxhash.xxh3_64_intdigest(texts[d]) - (1 << 63) for d in np.unique(doc).tolist()}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[d] for d in doc], pa.int64()),
-                    pa.array([tags[d] for d in doc.tolist()], pa.int64()),
-                    pa.array(at - starts[doc], pa.int64()),
-                    pa.array(starts[doc + 1] - starts[doc], pa.int64()),
-                    pa.array(grams[at].view(np.int64), pa.int64()),
-                    pa.array([slots[p : p + WINDOW].tobytes() for p in at], pa.binary()),
-                ],
-                schema=_ARROW,
-            )
+            read = _Read(texts)
+            for stream, (hashes, slots, firsts, starts) in enumerate(read.streams()):
+                grams = rolled(hashes, WINDOW) ^ _SALTS[stream]
+                good = inside_texts(starts, len(grams), WINDOW)
+                if allowed is not None:
+                    slot = grams >> np.uint64(64 - FILTER_BITS)
+                    good &= (allowed[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                at = np.flatnonzero(good)
+                doc = np.searchsorted(starts, at, "right") - 1
+                tags = {d: xxhash.xxh3_64_intdigest(texts[d]) - (1 << 63) for d in np.unique(doc).tolist()}
+                both = np.stack([slots, np.diff(firsts).astype(np.uint64)], 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[d] for d in doc], pa.int64()),
+                        pa.array(np.full(len(at), stream), pa.int64()),
+                        pa.array([tags[d] for d in doc.tolist()], pa.int64()),
+                        pa.array(at - starts[doc], pa.int64()),
+                        pa.array(firsts[at] - read.starts[doc], pa.int64()),
+                        pa.array(read.starts[doc + 1] - read.starts[doc], pa.int64()),
+                        pa.array(grams[at].view(np.int64), pa.int64()),
+                        pa.array([both[p : p + WINDOW].tobytes() for p in at], pa.binary()),
+                    ],
+                    schema=_ARROW,
+                )
 
     return rows.select(id_column, "text").mapInArrow(extract, _HIT)
 
@@ -143,19 +206,20 @@ def _filter_bits(windows: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def runs_of(positions: list[tuple[int, bytes, bytes]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Windows of one diagonal as runs: first document word, slot values of the document and of the item."""
-    runs = []
-    for pos, mine, theirs in sorted(positions):
-        a, b = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
-        if runs and pos == runs[-1][1]:
+def runs_of(windows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Windows of one diagonal as runs: first document word, then slot values and numbers of words of document and item."""
+    runs, last = [], None
+    for pos, word, mine, theirs in sorted(windows):
+        if pos == last:
             continue
-        if runs and pos <= runs[-1][0] + len(runs[-1][2]) - WINDOW + 1 and pos == runs[-1][1] + 1:
-            first, _, x, y = runs.pop()
-            runs.append((first, pos, [*x, a[-1]], [*y, b[-1]]))
+        a, b = np.frombuffer(mine, np.uint64).reshape(-1, 2), np.frombuffer(theirs, np.uint64).reshape(-1, 2)
+        if last is not None and pos == last + 1:
+            runs[-1][1].append(a[-1])
+            runs[-1][2].append(b[-1])
         else:
-            runs.append((pos, pos, list(a), list(b)))
-    return [(first, np.array(x, np.uint64), np.array(y, np.uint64)) for first, _, x, y in runs]
+            runs.append((word, list(a), list(b)))
+        last = pos
+    return [(word, np.array(x), np.array(y)) for word, x, y in runs]
 
 
 def consistent(mine: np.ndarray, theirs: np.ndarray) -> bool:
@@ -209,24 +273,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH, plai
     hits = _window_rows(docs, "doc_id", bits).withColumnRenamed("id", "doc_id").drop("length")
     pairs = (
         hits.join(items, "hash")
-        .groupBy("doc_id", "tag", "item_id", "item_tag", "item_length", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .agg(F.collect_set(F.struct("pos", "slots", "item_slots")).alias("windows"))
+        .groupBy("doc_id", "tag", "item_id", "item_tag", "item_length", "stream", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+        .agg(F.collect_set(F.struct("pos", "word", "slots", "item_slots")).alias("windows"))
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                found = [(w["pos"], w["slots"], w["item_slots"]) for w in row["windows"]]
+                found = [(w["pos"], w["word"], w["slots"], w["item_slots"]) for w in row["windows"]]
                 need = min(enough, row["item_length"])
                 leaked = []
-                for first, mine, theirs in runs_of(found):
+                for first, left, right in runs_of(found):
+                    (mine, wide), (theirs, item_wide) = left.T, right.T
                     slot, other = (mine != 0) | (theirs != 0), mine != theirs
                     for least, stretches in ((plain, agreeing(mine, theirs)), (0, verbatim(mine, theirs))):
                         for begin, end in stretches:
-                            words, slots = end - begin, int(slot[begin:end].sum())
-                            if words >= need and words - slots >= least:
-                                leaked.append((words, -int(other[begin:end].sum()), -first - begin, slots))
+                            slots = int(slot[begin:end].sum())
+                            if item_wide[begin:end].sum() >= need and end - begin - slots >= least:
+                                at, words = first + int(wide[:begin].sum()), int(wide[begin:end].sum())
+                                leaked.append((words, -int(other[begin:end].sum()), -at, slots))
                 if leaked:
                     words, like, early, slots = max(leaked)
                     rows.append((row["doc_id"], row["item_id"], -early, words, slots, -like, like == 0))

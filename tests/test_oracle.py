@@ -25,3 +25,10 @@ def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.columns == ["id", "title", "timeline_ts", "page_count", "has_more"]
     assert rows.count() > 0
+
+
+def test_related_stories_start_from_every_customer(spark):
+    got = contract.queries()["feed_related_stories_all"](spark, FOLDER).select("story_id").distinct()
+    orders, lines = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("orders", "lineitem"))
+    want = orders.join(lines, orders.o_orderkey == lines.l_orderkey).filter("o_custkey <> l_suppkey").select("o_custkey").distinct()
+    assert want.count() and not want.exceptAll(got).count() and not got.exceptAll(want).count()

@@ -186,6 +186,19 @@ def _(spark, folder):
     return feed.related(stories, edges, hops=2)
 
 
+@query("feed_related_stories_all", sql="""
+    SELECT DISTINCT o_custkey AS story_id, l_suppkey AS related_id, 1 AS hops
+    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey <> c_custkey""")
+def _(spark, folder):
+    edges = (
+        table(spark, folder, "lineitem")
+        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(F.col("o_custkey").alias("story_id"), F.col("l_suppkey").alias("related_id"), F.lit("related").alias("kind"))
+    )
+    stories = table(spark, folder, "customer").select(F.col("c_custkey").alias("story_id"))
+    return feed.related(stories, edges, hops=1)
+
+
 @query("feed_story_links", sql=r"""
     WITH t AS (SELECT page_id, CASE WHEN regexp_matches(url, '^https://') THEN 'https://site.test/story/p' || page_id
                                     ELSE url END AS link FROM pages)

@@ -32,3 +32,8 @@ def test_related_stories_start_from_every_customer(spark):
     orders, lines = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("orders", "lineitem"))
     want = orders.join(lines, orders.o_orderkey == lines.l_orderkey).filter("o_custkey <> l_suppkey").select("o_custkey").distinct()
     assert want.count() and not want.exceptAll(got).count() and not got.exceptAll(want).count()
+
+
+def test_some_consumers_are_two_hops_away(spark):
+    got = contract.queries()["governance_consumers_two_hops"](spark, FOLDER)
+    assert {r.hops for r in got.select("hops").distinct().collect()} == {1, 2}

@@ -290,6 +290,18 @@ def _(spark, folder):
     return governance.consumers(changed, deps, hops=2)
 
 
+@query("governance_consumers_two_hops", sql="""
+    WITH deps AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem),
+         hop1 AS (SELECT p_partkey AS s, b, 1 AS hops FROM part JOIN deps ON a = p_partkey),
+         hop2 AS (SELECT DISTINCT s, deps.b, 2 AS hops FROM hop1 JOIN deps ON a = hop1.b)
+    SELECT s AS symbol, b AS consumer, min(hops) AS hops FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2)
+    WHERE s <> b GROUP BY ALL""")
+def _(spark, folder):
+    deps = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("consumer"))
+    changed = table(spark, folder, "part").select(F.col("p_partkey").alias("symbol"))
+    return governance.consumers(changed, deps, hops=2)
+
+
 @query("governance_triage", sql="""
     SELECT doc_id, CASE WHEN lang NOT IN ('en', 'fr') THEN 'out-of-scope' WHEN n_chars <= 300 THEN 'pending' ELSE 'in-scope' END AS scope,
            CASE WHEN lang NOT IN ('en', 'fr') OR n_chars <= 300 OR source = 'src4' OR source = 'src3' THEN 'read-only'

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, classifier, decontaminate, jaccard, licenses, packing, quality_rules, sharding, substrings, warc
+from tidemark.llm import chat, classifier, decontaminate, jaccard, licenses, packing, quality_rules, sharding, simhash, substrings, warc
 from tidemark.llm.sql import ORACLE
 from tidemark.llm.words import documents, with_package
 
@@ -75,6 +75,10 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +93,8 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _registered(f)
     for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_quality_rules, op4_warc, op5_quality_classifier,
-        op6_sharding, op7_decontamination, op8_jaccard_join, op9_license_scan, op10_chat_formatting, pipeline,
+        op6_sharding, op7_decontamination, op8_jaccard_join, op9_license_scan, op10_chat_formatting,
+        op13_simhash_dedup, pipeline,
     )
 }
 

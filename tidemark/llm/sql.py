@@ -109,10 +109,76 @@ SELECT conv_id, perspective, step, turn, role, speaker, segment, start,
 FROM o
 """
 
+
+def _crc32(number: str) -> str:
+    """The unsigned CRC-32 of a number's decimal digits."""
+    return f"""xor(list_reduce(list_concat([4294967295::BIGINT],
+        list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+        lambda s, b: list_reduce(list_concat([xor(s, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+def _climb(name: str, bottom: str) -> str:
+    """Nodes ``lvl, grp, pos, n, digest`` from those of ``bottom`` up to one per group."""
+    return f"""{name} AS (
+    SELECT 0 AS lvl, grp, pos, n, digest FROM {bottom}
+    UNION ALL
+    SELECT lvl + 1, grp, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM {name} WHERE n > 1 GROUP BY lvl, grp, n, pos // 8)"""
+
+
+def _steps(name: str, rows: str, nodes: str, after: int) -> str:
+    """For each of ``rows`` (``own, grp, pos``) and level the digests left and right of its node."""
+    return f"""{name} AS (
+    SELECT own, {after} + lvl AS k,
+           coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos < r.pos >> (3 * lvl)), '') AS before,
+           coalesce(string_agg(n.digest, '' ORDER BY n.pos) FILTER (n.pos > r.pos >> (3 * lvl)), '') AS after
+    FROM {rows} r JOIN {nodes} n ON n.grp = r.grp AND n.pos // 8 = (r.pos >> (3 * lvl)) // 8 AND n.n > 1
+    GROUP BY own, lvl)"""
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce('+' || lang, '') AS grp, {_leaf("text")} AS leaf,
+           CASE WHEN {_crc32("doc_id")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+                ELSE {_leaf("text")} END AS found
+    FROM documents),
+own_leaves AS (
+    SELECT *, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER () AS own,
+           row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+    FROM d),
+{_climb("nodes", "own_leaves")},
+langs AS (
+    SELECT grp AS lang, '' AS grp, digest, count(*) OVER () AS n, row_number() OVER (ORDER BY grp) - 1 AS pos, grp AS own
+    FROM nodes WHERE n = 1),
+{_climb("tops", "langs")},
+{_steps("low", "own_leaves", "nodes", 0)},
+{_steps("high", "langs", "tops", 0)},
+steps AS (
+    SELECT own, row_number() OVER (PARTITION BY own ORDER BY k) AS k, before, after FROM (
+        SELECT own, k, before, after FROM low
+        UNION ALL SELECT o.own, 100 + h.k, h.before, h.after FROM own_leaves o JOIN high h ON h.own = o.grp)),
+fold AS (
+    SELECT own, 0 AS k, found AS node FROM own_leaves
+    UNION ALL SELECT f.own, s.k, sha256(before || node || after) FROM fold f JOIN steps s ON s.own = f.own AND s.k = f.k + 1),
+proofs AS (SELECT own, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY own),
+ends AS (SELECT own, arg_max(node, k) AS folded_root FROM fold GROUP BY own)
+SELECT doc_id, leaf, l.digest AS subroot, t.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+       folded_root, folded_root = t.digest AS verified
+FROM own_leaves o JOIN langs l ON l.lang = o.grp JOIN ends e ON e.own = o.own LEFT JOIN proofs p ON p.own = o.own
+CROSS JOIN (SELECT digest FROM tops WHERE n = 1) t
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op3_quality_rules": OP3,
     "op4_warc": OP4,
     "op8_jaccard_join": OP8,
     "op10_chat_formatting": OP10,
+    "op12_merkle_manifest": OP12,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, classifier, decontaminate, jaccard, licenses, manifest, packing, quality_rules, sharding, simhash, substrings, warc
+from tidemark.llm import chat, classifier, decontaminate, jaccard, licenses, manifest, packing, prefix_trie, quality_rules, sharding, simhash, substrings, warc
 from tidemark.llm.sql import ORACLE
 from tidemark.llm.words import documents, with_package
 
@@ -75,6 +75,10 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.verify(manifest.manifest(documents(spark, folder)))
 
@@ -98,7 +102,7 @@ PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_quality_rules, op4_warc, op5_quality_classifier,
         op6_sharding, op7_decontamination, op8_jaccard_join, op9_license_scan, op10_chat_formatting,
-        op12_merkle_manifest, op13_simhash_dedup, pipeline,
+        op11_conversation_trie, op12_merkle_manifest, op13_simhash_dedup, pipeline,
     )
 }
 

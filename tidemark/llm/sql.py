@@ -118,6 +118,38 @@ def _crc32(number: str) -> str:
             lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
 
 
+OP11 = rf"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, {_crc32("conv_id")} % 4 AS h, conv_id - conv_id % 20 AS first_id FROM t),
+r AS (
+    SELECT c.conv_id, 1 AS part, pos, role, text FROM c JOIN t ON t.conv_id = first_id AND pos <= h
+    UNION ALL SELECT c.conv_id, 2, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM r),
+p AS (
+    SELECT conv_id, 0 AS d, '' AS key, 0 AS words FROM c
+    UNION ALL
+    SELECT conv_id, d, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d),
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM s),
+linked AS (
+    SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS parent,
+           lead(key) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends FROM p),
+node AS (
+    SELECT key, d, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, min(words) AS words,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM linked GROUP BY key, d),
+kids AS (SELECT parent AS key, count(*) AS k FROM node WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+    SELECT p.key, count(*) FILTER (k IS NULL) AS n_leaves, sum((n - 1) * node.words)::BIGINT AS saved_tokens
+    FROM node LEFT JOIN kids USING (key) JOIN p ON p.conv_id = node.conv_id AND p.d <= node.d GROUP BY p.key)
+SELECT node.conv_id, node.d::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(k, 0) AS n_children,
+       n_leaves, saved_tokens, node.ends_sha256
+FROM node LEFT JOIN node up ON up.key = node.parent LEFT JOIN kids ON kids.key = node.key JOIN below ON below.key = node.key
+"""
+
+
 def _leaf(text: str) -> str:
     fields = ("doc_id", "source", "lang", "n_chars", text)
     return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
@@ -180,5 +212,6 @@ ORACLE: dict[str, str] = {
     "op4_warc": OP4,
     "op8_jaccard_join": OP8,
     "op10_chat_formatting": OP10,
+    "op11_conversation_trie": OP11,
     "op12_merkle_manifest": OP12,
 }

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import paths
 from tidemark.functions import text as tx
-from tidemark.functions.links import follow
+from tidemark.functions.real_paths import resolved_links
 from tidemark.functions.skew import even_join
 from tidemark.operators.feed import related
 from tidemark.operators.style import Phrase, phrase_hits
@@ -144,20 +144,26 @@ def rule_chain(files: DataFrame, projects: DataFrame, *, home: str | None = None
 
 
 def symlink_state(files: DataFrame) -> DataFrame:
-    """Symlinks with their final target: ``valid`` if it exists, ``broken`` if not or in a circle."""
+    """Symlinks with their target, and whether that leads to something in the end.
+
+    ``valid`` if the target's real path is a listed file or a folder with listed entries, links in the middle
+    of the target and chains of links included; ``broken`` if not, or if the way runs in a circle.
+    """
     linked = files.filter("is_symlink").select(
-        "path", paths.resolved(F.col("target"), paths.parent(F.col("path"))).alias("target")
+        "path", F.col("target").alias("given"), paths.resolved(F.col("target"), paths.parent(F.col("path"))).alias("target")
     )
-    ends = follow(linked, "path", "target")
-    real = files.filter(~F.coalesce("is_symlink", F.lit(False))).select(F.col("path").alias("root"))
-    state = real.withColumn("__real", F.lit(True))
+    ends = resolved_links(linked.select("path", F.col("given").alias("target"))).withColumnRenamed("link", "path")
+    real = files.filter(~F.coalesce("is_symlink", F.lit(False))).select(F.col("path").alias("real"))
+    folders = files.select(paths.parent(F.col("path")).alias("path")).distinct()
+    folders = folders.select(F.explode(paths.self_and_ancestors(F.col("path"))).alias("real"))
+    there = real.union(folders).distinct().withColumn("__there", F.lit(True))
     return (
-        linked.join(ends.withColumnRenamed("source", "path"), "path", "left")
-        .join(state, "root", "left")
+        linked.join(ends, "path", "left")
+        .join(there, "real", "left")
         .select(
             "path",
             "target",
-            F.when(F.col("closed") & F.col("__real"), "valid").otherwise("broken").alias("state"),
+            F.when(F.col("closed") & F.col("__there"), "valid").otherwise("broken").alias("state"),
         )
     )
 

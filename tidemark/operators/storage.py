@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import paths, sizes
+from tidemark.functions.real_paths import real_paths, with_real
 from tidemark.functions.skew import even_join
 
 # Size floors in KB, the groups with the higher one, entries shown per group.
@@ -353,11 +354,14 @@ def _existing(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     return listed.join(wanted.select("path").distinct(), "path").distinct()
 
 
-def grants(tier_items: DataFrame, entries: DataFrame, *, home: str | None = None) -> DataFrame:
+def grants(
+    tier_items: DataFrame, entries: DataFrame, *, home: str | None = None, links: DataFrame | None = None
+) -> DataFrame:
     """What may be done to which path, ``mode, path``; paths come out absolute (``home`` stands for ``~``).
 
     Green trash paths may be removed, trashed and opened, yellow ones trashed and opened. Yellow
-    item paths and red application paths may be opened where they exist.
+    item paths and red application paths may be opened where they exist. With ``links(path, target)``
+    every right holds for the real path (see ``functions.real_paths``), and that is where it must exist.
     """
 
     def may(path: Column, must_exist: bool, *modes: str) -> Column:
@@ -378,11 +382,21 @@ def grants(tier_items: DataFrame, entries: DataFrame, *, home: str | None = None
         .when(F.col("tier") == "red", each("app_paths", True, "open"))
     )
     possible = tier_items.select(F.inline(rights)).filter(F.col("path").isNotNull())
-    possible = possible.withColumn("path", paths.absolute(F.col("path"), home))
+    possible = _real(possible, "path", links, home)
     opened = _existing(possible.filter("check"), entries).select(F.lit("open").alias("mode"), "path")
     return possible.filter("NOT check").select("mode", "path").unionByName(opened).distinct()
 
 
+def _real(
+    rows: DataFrame, column: str, links: DataFrame | None, home: str | None, name: str | None = None
+) -> DataFrame:
+    """``rows`` with the absolute path of ``column`` (the real one, if ``links`` are given) as ``name``."""
+    if links is None:
+        return rows.withColumn(name or column, paths.absolute(F.col(column), home))
+    found = with_real(rows, links, column, "__real", home=home)
+    return found.withColumn(name or column, F.col("__real")).drop("__real")
+
+
 def request_paths(requests: DataFrame) -> DataFrame:
     """Requests with a ``paths`` array, one row per path."""
     return requests.select("request_id", "mode", F.posexplode("paths").alias("pos", "path"))
@@ -402,22 +416,23 @@ def audit_actions(
     that is not granted for its mode or lies outside the roots; what came before stays done. A path
     that no longer exists counts as done. Requests in an unknown mode are ``rejected`` whole.
 
-    Grants, requests and roots are compared as absolute paths without ``.`` and ``..``; ``home`` stands
-    for ``~`` and is a root itself. ``links(path, target)`` resolves requested paths that are links.
+    Grants and requests are compared as absolute paths without ``.`` and ``..``, or as real paths where
+    ``links(path, target)`` are given: links anywhere on the way of either are followed to their ends.
+    ``home`` stands for ``~`` and is a root itself, at its real place; ``roots`` are real places.
     """
     place = F.col("__place")
+    if home and links is not None:
+        here = requested.sparkSession.createDataFrame([(home,)], "path STRING")
+        home_root = real_paths(here, links).first()["real"]
+    else:
+        home_root = home
     in_roots = F.lit(False)
-    for root in [*roots, *([home] if home else [])]:
+    for root in [*roots, *([home_root] if home_root else [])]:
         in_roots = in_roots | (place == root) | F.startswith(place, F.lit(f"{root}/"))
-    asked = requested.withColumn("__place", paths.absolute(F.col("path"), home))
-    if links is not None:
-        ends = links.select(
-            paths.absolute(F.col("path"), home).alias("__place"),
-            paths.resolved(F.col("target"), paths.parent(F.col("path"))).alias("__end"),
-        ).groupBy("__place").agg(F.min("__end").alias("__end"))
-        asked = even_join(asked, ends, ["__place"]).withColumn("__place", F.coalesce("__end", "__place")).drop("__end")
+    asked = _real(requested, "path", links, home, "__place")
     granted = (
-        allowed.select("mode", paths.absolute(F.col("path"), home).alias("__place"))
+        _real(allowed.select("mode", "path"), "path", links, home, "__place")
+        .select("mode", "__place")
         .distinct()
         .withColumn("__granted", F.lit(True))
     )

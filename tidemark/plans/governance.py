@@ -76,6 +76,32 @@ def _(spark, folder):
     return governance.symlink_state(files)
 
 
+@query("governance_linked_state", "link_ends", sql="""
+    WITH ends AS (
+        SELECT n, dir, c_mktsegment <> 'BUILDING' AND end_key % 3 <> 0 AS there
+        FROM link_ends JOIN customer ON c_custkey = end_key)
+    SELECT '/links/c' || n AS path, CASE WHEN n % 2 = 1 OR n = 0 THEN dir ELSE '/links/c' || (n // 2) END AS target,
+           CASE WHEN there THEN 'valid' ELSE 'broken' END AS state FROM ends
+    UNION ALL SELECT '/hop/n' || n_nationkey, '/links', 'valid' FROM nation
+    UNION ALL SELECT '/links/r' || n, '/links/s' || n || '/x', 'broken' FROM ends WHERE n % 40 = 7
+    UNION ALL SELECT '/links/s' || n, '/links/r' || n, 'broken' FROM ends WHERE n % 40 = 7
+    UNION ALL SELECT '/index/f' || n, '/hop/n' || (n % 25) || '/c' || n || '/readme.md',
+           CASE WHEN there THEN 'valid' ELSE 'broken' END FROM ends""")
+def _(spark, folder):
+    # Some customers' folders hold a file, and every customer has a link to it through a linked folder.
+    own = derived.customer_dirs(spark, folder)
+    readme = own.filter("c_mktsegment <> 'BUILDING' AND c_custkey % 3 <> 0").select(
+        F.concat("path", F.lit("/readme.md")).alias("path"), F.lit(False).alias("is_symlink"), F.lit(None).cast("string").alias("target")
+    )
+    n = F.col("c_custkey")
+    index = own.select(
+        F.concat(F.lit("/index/f"), n).alias("path"),
+        F.concat(F.lit("../hop/n"), n % 25, F.lit("/c"), n, F.lit("/readme.md")).alias("target"),
+    )
+    linked = derived.links(spark, folder).union(index).select("path", F.lit(True).alias("is_symlink"), "target")
+    return governance.symlink_state(readme.union(linked))
+
+
 @query("governance_dead_links", "files", sql=r"""
     WITH numbered AS (SELECT project, path, CAST(regexp_extract(path, '/d([0-9]+)[._]', 1) AS BIGINT) AS id FROM files WHERE regexp_matches(path, '\.mdx?$')),
     refs AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.real_paths import real_paths
 from tidemark.operators import storage
 from tidemark.plans.registry import query
 from tidemark.session import written
@@ -293,6 +294,68 @@ def _(spark, folder):
     return storage.audit_actions(derived.action_requests(spark, folder), allowed, roots=roots).drop("mode")
 
 
+@query("storage_real_paths", "real_places", sql="SELECT DISTINCT path, real, closed FROM real_places")
+def _(spark, folder):
+    return real_paths(derived.linked_paths(spark, folder), derived.links(spark, folder))
+
+
+def linked_items(spark, folder):
+    """Report items whose paths lead through links."""
+    through = F.concat(F.lit("/links/c"), F.col("c_custkey"))
+    tier = F.when(F.col("c_nationkey") < 10, "green").when(F.col("c_nationkey") < 18, "yellow").otherwise("red")
+    order = F.concat(through, F.lit("/o"), F.col("c_custkey"))
+    return derived.customer_dirs(spark, folder).select(
+        tier.alias("tier"), through.alias("path"),
+        F.when(tier != "red", F.array(order, F.concat(through, F.lit("/tmp")))).alias("trash_paths"),
+        F.when(tier == "red", F.array(through, order)).alias("app_paths"),
+    )
+
+
+LINKED_GRANTS = """(
+    SELECT DISTINCT unnest(CASE WHEN c_nationkey < 10 THEN ['rm', 'trash', 'open'] ELSE ['trash', 'open'] END) AS mode, path
+    FROM (SELECT c_nationkey, unnest([dir || '/o' || n, dir || '/tmp']) AS path
+          FROM link_ends JOIN customer ON c_custkey = n WHERE c_nationkey < 18)
+    UNION
+    SELECT 'open', path FROM (
+        SELECT unnest(CASE WHEN c_nationkey < 18 THEN [dir] ELSE [dir, dir || '/o' || n] END) AS path
+        FROM link_ends JOIN customer ON c_custkey = n WHERE c_nationkey >= 10) WHERE path IN (SELECT dir FROM all_dirs))"""
+
+
+@query("storage_grants_linked", "link_ends", "all_dirs", sql=f"SELECT mode, path FROM {LINKED_GRANTS}")
+def _(spark, folder):
+    return storage.grants(
+        linked_items(spark, folder), derived.fs_entry(spark, folder), links=derived.links(spark, folder)
+    )
+
+
+@query("storage_audit_linked", "link_ends", "all_dirs", sql=f"""
+    WITH granted AS (SELECT * FROM {LINKED_GRANTS}),
+    asked AS (
+        SELECT l_orderkey AS request_id, ['rm', 'trash', 'open'][1 + l_orderkey % 3] AS mode,
+               l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos,
+               '/hop/n' || (l_partkey % 25) || '/c' || l_partkey || '/o' || l_partkey AS path, dir || '/o' || l_partkey AS place
+        FROM lineitem JOIN link_ends ON n = l_partkey),
+    marked AS (
+        SELECT a.*, CASE WHEN g.path IS NULL THEN 'not granted' WHEN place LIKE '/EUROPE/%' THEN 'outside roots' END AS stop
+        FROM asked a LEFT JOIN granted g ON g.mode = a.mode AND g.path = place),
+    firsts AS (SELECT *, min(pos) FILTER (stop IS NOT NULL) OVER (PARTITION BY request_id) AS first FROM marked)
+    SELECT request_id, pos, path, CASE WHEN first IS NULL OR pos < first THEN 'done'
+        WHEN pos = first THEN stop ELSE 'not reached' END AS outcome FROM firsts""")
+def _(spark, folder):
+    part = F.col("l_partkey")
+    links = derived.links(spark, folder)
+    known = derived.customer_dirs(spark, folder).select(F.col("c_custkey").alias("l_partkey"))
+    asked = table(spark, folder, "lineitem").join(known, "l_partkey").select(
+        F.col("l_orderkey").alias("request_id"),
+        F.element_at(F.array(F.lit("rm"), F.lit("trash"), F.lit("open")), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("mode"),
+        (F.col("l_linenumber") * 1000000000000 + part * 1000000 + F.col("l_suppkey")).alias("pos"),
+        F.concat(F.lit("/hop/n"), part % 25, F.lit("/c"), part, F.lit("/o"), part).alias("path"),
+    )
+    allowed = written(storage.grants(linked_items(spark, folder), derived.fs_entry(spark, folder), links=links), "grants")
+    roots = ("/AFRICA", "/AMERICA", "/ASIA", "/MIDDLE EAST")
+    return storage.audit_actions(asked, allowed, roots=roots, links=links).drop("mode")
+
+
 @query("storage_batch_estimate", "tier_items", sql=f"""
     SELECT count(*) AS items, count(*) * 2 AS paths, round(sum({GB.format(strict='')}), 3) AS gb FROM {LABELS}
     WHERE tier = 'green' AND name NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")

@@ -83,6 +83,23 @@ VIEWS: dict[str, str] = {
     "all_dirs": """
         SELECT DISTINCT array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS dir
         FROM (SELECT path, unnest(range(2, len(string_split(path, '/')) + 1)) AS n FROM fs_entry)""",
+    "link_ends": """
+        SELECT c.c_custkey AS n, e.path AS dir, e.c_custkey AS end_key
+        FROM customer_dirs c JOIN customer_dirs e
+          ON e.c_custkey = CASE WHEN c.c_custkey = 0 THEN 0 ELSE c.c_custkey // (c.c_custkey & -c.c_custkey) END""",
+    "linked_paths": """
+        SELECT o_orderkey, o_custkey,
+               CASE o_orderkey % 4 WHEN 0 THEN '/hop/n' || (o_custkey % 25) || '/c' || o_custkey || '/o' || o_orderkey
+                    WHEN 1 THEN '/links/./c' || o_custkey || '/../c' || o_custkey || '/o' || o_orderkey
+                    WHEN 2 THEN '/links/r' || o_custkey || '/o' || o_orderkey ELSE '/plain/o' || o_orderkey END AS path
+        FROM orders""",
+    "real_places": """
+        SELECT o_orderkey, o_custkey, p.path,
+               CASE o_orderkey % 4 WHEN 0 THEN dir || '/o' || o_orderkey
+                    WHEN 1 THEN regexp_replace(dir, '[^/]*$', '') || 'c' || o_custkey || '/o' || o_orderkey
+                    ELSE p.path END AS real,
+               NOT (o_orderkey % 4 = 2 AND o_custkey % 40 = 7) AS closed
+        FROM linked_paths p JOIN link_ends ON n = o_custkey""",
     "action_requests": """
         SELECT l_orderkey AS request_id,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'rm' WHEN '2-HIGH' THEN 'trash' WHEN '3-MEDIUM' THEN 'open'
@@ -154,6 +171,8 @@ _NEEDS = {
     "tier_items": ["customer_dirs"],
     "all_dirs": ["fs_entry"],
     "grants": ["tier_items", "all_dirs"],
+    "link_ends": ["customer_dirs"],
+    "real_places": ["linked_paths", "link_ends"],
     "action_requests": ["customer_dirs"],
     "article_lines": ["articles"],
     "article_paragraphs": ["articles"],

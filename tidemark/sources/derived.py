@@ -205,6 +205,39 @@ def tier_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links ``path, target``: a chain per customer that halves its number, a folder of them per nation, circles.
+
+    ``/links/c<n>`` leads to the customer's folder for odd n and 0, else (as a relative target) to ``c<n / 2>``;
+    ``/hop/n<nation>`` leads to ``/links``; some ``/links/r<n>`` and ``/links/s<n>`` lead to each other.
+    """
+    n = F.col("c_custkey")
+    own = customer_dirs(spark, folder).withColumn("half", F.floor(n / 2).cast("string"))
+    chain = own.select(
+        F.concat(F.lit("/links/c"), n.cast("string")).alias("path"),
+        F.when((n % 2 == 1) | (n == 0), F.col("path")).otherwise(F.concat(F.lit("c"), "half")).alias("target"),
+    )
+    hops = table(spark, folder, "nation").select(
+        F.concat(F.lit("/hop/n"), F.col("n_nationkey").cast("string")), F.lit("/links")
+    )
+    circles = own.filter(n % 40 == 7)
+    there = circles.select(F.concat(F.lit("/links/r"), n), F.concat(F.lit("s"), n, F.lit("/x")))
+    back = circles.select(F.concat(F.lit("/links/s"), n), F.concat(F.lit("../links/r"), n))
+    return chain.union(hops).union(there).union(back)
+
+
+def linked_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as paths through ``links``: ``o_orderkey, o_custkey, path``; also plain ones and ways into circles."""
+    order, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    hop = F.concat(F.lit("/hop/n"), cust % 25, F.lit("/c"), cust, F.lit("/o"), order)
+    over = F.concat(F.lit("/links/./c"), cust, F.lit("/../c"), cust, F.lit("/o"), order)
+    circle = F.concat(F.lit("/links/r"), cust, F.lit("/o"), order)
+    plain = F.concat(F.lit("/plain/o"), order)
+    kind = F.col("o_orderkey") % 4
+    path = F.when(kind == 0, hop).when(kind == 1, over).when(kind == 2, circle).otherwise(plain)
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", path.alias("path"))
+
+
 def action_requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request per order on the directories of its lines' customers, in line order."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions import lexicon as lx
 from tidemark.functions import paths
 from tidemark.functions import text as tx
 from tidemark.functions.real_paths import resolved_links
@@ -287,8 +288,15 @@ def coverage(code_symbols: DataFrame, doc_symbols: DataFrame) -> DataFrame:
     return _one_sided(code_symbols, doc_symbols, keys, "undocumented", "not in code")
 
 
-def retired_refs(files: DataFrame, retired: Sequence[str], *, history: str = HISTORY) -> DataFrame:
-    """Files outside the history that still name a retired symbol, with the number of mentions."""
+def retired_refs(files: DataFrame, retired: Sequence[str] | DataFrame, *, history: str = HISTORY) -> DataFrame:
+    """Files outside the history that still name a retired symbol, with the number of mentions.
+
+    ``retired`` may be a table ``symbol`` of any length (``functions.lexicon``).
+    """
+    if isinstance(retired, DataFrame):
+        named = files.filter(~F.col("path").rlike(history)).select(F.struct("project", "path").alias("file"), "text")
+        found = lx.counts(named, retired.select("symbol", F.col("symbol").alias("phrase")), "file")
+        return found.select("file.project", "file.path", "symbol", F.col("hits").alias("mentions"))
     rows = [
         F.struct(F.lit(s).alias("symbol"), tx.count_literal(F.col("text"), s).alias("mentions"))
         for s in retired
@@ -518,7 +526,7 @@ def triage(findings: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 
 def relative_dates(
-    notes: DataFrame, lexicon: Sequence[Phrase] = RELATIVE_DATES, *, history: str = HISTORY
+    notes: DataFrame, lexicon: Sequence[Phrase] | DataFrame = RELATIVE_DATES, *, history: str = HISTORY
 ) -> DataFrame:
     """Words for relative dates in notes outside the history: ``path, rule_id, hits``."""
     current = notes.filter(~F.col("path").rlike(history)).withColumnRenamed("path", "doc_id")

@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.asof import as_of_join
 from tidemark.functions.links import groups
 from tidemark.functions.ordered import days, previous_in_order
+from tidemark.functions.spans import holding
 
 # How good a kind of source is, best first; the threat levels.
 SOURCE_ORDER = ("primary", "media", "reprint")
 THREATS = ("高", "中", "低")
 
 
+# The dates that a date column may hold, and the bits that count them.
+FIRST_DATE, LAST_DATE, DATE_BITS = "0001-01-01", "9999-12-31", 22
+
+
 def timeline(events: DataFrame, *, slice_days: int = 1) -> DataFrame:
     """Events of each subject in order with the date before and the gap in days."""
     return previous_in_order(
@@ -31,25 +37,23 @@ def timeline_gaps(events: DataFrame, *, max_gap: int, slice_days: int = 1) -> Da
 def assign_phase(events: DataFrame, phases: DataFrame) -> DataFrame:
     """Add the ``phase`` whose span holds the event's date; events outside all phases keep null.
 
-    ``phases(phase, start, end)`` apply to all subjects, or with a ``subject`` column to one each.
-    A phase is looked up by the months it covers, so the join hashes instead of comparing all pairs.
+    ``phases(phase, start, end)`` apply to all subjects, or with a ``subject`` column to one each. A null end is
+    open, a running phase, and so is a null start; both days count. An event in several phases has a row for
+    each. Dates are looked up in the blocks of ``functions.spans``, so a phase of any length costs a few rows,
+    and only distinct dates are looked up.
     """
     keys = ["subject"] if "subject" in phases.columns else []
-    months = phases.withColumn(
-        "__month",
-        F.explode(
-            F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
-        ),
-    )
-    spans = months.select(*[F.col(k).alias(f"__{k}") for k in keys], "__month", "phase", "start", "end")
-    match = F.col("month") == F.col("__month")
-    for key in keys:
-        match = match & (F.col(key) == F.col(f"__{key}"))
-    return (
-        events.withColumn("month", F.trunc("date", "month"))
-        .join(spans, match & F.col("date").between(F.col("start"), F.col("end")), "left")
-        .drop("month", "__month", "start", "end", *[f"__{k}" for k in keys])
-    )
+    first, last = (F.coalesce(c, F.lit(d).cast("date")) for c, d in (("start", FIRST_DATE), ("end", LAST_DATE)))
+    dates = events.select(*keys, "date").filter("date IS NOT NULL").distinct()
+    found = holding(
+        dates, _day(F.col("date")), phases.select(*keys, "phase", first.alias("start"), last.alias("end")),
+        _day(F.col("start")), _day(F.col("end")), keys, bits=DATE_BITS,
+    )
+    return events.join(found.select(*keys, "date", "phase"), [*keys, "date"], "left").select(*events.columns, "phase")
+
+
+def _day(date: Column) -> Column:
+    return F.datediff(date, F.lit(FIRST_DATE).cast("date"))
 
 
 def outside_phases(assigned: DataFrame) -> DataFrame:
@@ -164,19 +168,24 @@ def unsourced(claims: DataFrame, sources: DataFrame, *, marker: str = "暂缺")
     )
 
 
-def roots(traits: DataFrame, links: DataFrame, events: DataFrame, *, cut_date) -> DataFrame:
+def roots(traits: DataFrame, links: DataFrame, events: DataFrame, *, cut_date=None) -> DataFrame:
     """Per present trait the number of linked events up to the cut date and the first of them.
 
-    ``traits(trait)``, ``links(trait, event)``, ``events(event, date)``; a trait without an earlier
-    event is kept with ``root`` null.
+    ``traits(trait)``, ``links(trait, event)``, ``events(event, date)``; a trait without an earlier event is kept
+    with ``root`` null. Without ``cut_date`` every trait has its own, ``traits(trait, cut_date)``, a trait once;
+    nothing is earlier than a null.
     """
-    earlier = (
-        links.join(events.filter(F.col("date") <= F.lit(cut_date).cast("date")), "event")
-        .groupBy("trait")
+    dated = links.join(events, "event")
+    if cut_date is None:
+        earlier = dated.join(traits.select("trait", "cut_date"), "trait").filter(F.col("date") <= F.col("cut_date"))
+    else:
+        earlier = dated.filter(F.col("date") <= F.lit(cut_date).cast("date"))
+    stats = (
+        earlier.groupBy("trait")
         .agg(F.count(F.lit(1)).alias("events"), F.min(F.struct("date", "event")).alias("__first"))
         .select("trait", "events", F.col("__first.event").alias("root"), F.col("__first.date").alias("root_date"))
     )
-    return traits.join(earlier, "trait", "left").fillna(0, ["events"])
+    return traits.join(stats, "trait", "left").fillna(0, ["events"])
 
 
 def as_of(
@@ -189,3 +198,10 @@ def as_of(
         .agg(F.max(F.struct(date, *tie, value)).alias("__last"))
         .select(*keys, F.col(f"__last.{date}").alias(date), F.col(f"__last.{value}").alias(value))
     )
+
+
+def as_of_each(
+    comparisons: DataFrame, states: DataFrame, *, keys: Sequence[str], value: str, date: str = "date", tie: Sequence[str] = ()
+) -> DataFrame:
+    """Each of ``comparisons(*keys, cut_date, ...)`` with the last ``value`` on or before its own cut date."""
+    return as_of_join(comparisons, states, keys, at="cut_date", date=date, values=[value], tie=tie)

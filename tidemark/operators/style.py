@@ -12,7 +12,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
+from tidemark.functions.skew import even_join
 
 
 class Phrase(NamedTuple):
@@ -106,7 +108,7 @@ COLLOQUIAL = (
     "很多朋友可能不知道", "可能有小伙伴纳闷", "你如果关注这个领域的话", "大家也都知道", "看到的兄弟可以把公屏打在弹幕上",
     "这玩意", "不是哥们", "我寻思了一下我没寻思明白", "有个屁的xxx", "真的就是一声叹息", "这尼玛就是", "太牛逼了", "比较骚的事",
 )
-BLANK = "xxx"
+BLANK = lx.BLANK
 EMOTION_MARKS = ("。。。", "？？？", "= =")
 BULLET = r"^[^\S\n]*(([-*+•]|[0-9]+[.)])[^\S\n]+|[0-9]+、)"
 HEADING = r"(?:^|\n)(?:#{1,6} |\*\*[^*\n]+\*\*[^\S\n]*(?=\n|$))"
@@ -140,8 +142,15 @@ def _where_positive(docs: DataFrame, row: Column, field: str) -> DataFrame:
     return docs.select("doc_id", F.inline(F.filter(F.array(row), lambda r: r[field] > 0)))
 
 
-def phrase_hits(docs: DataFrame, lexicon: Sequence[Phrase] = BANNED) -> DataFrame:
-    """Occurrences of each phrase per document: ``doc_id, rule_id, hits, replacement``."""
+def phrase_hits(docs: DataFrame, lexicon: Sequence[Phrase] | DataFrame = BANNED) -> DataFrame:
+    """Occurrences of each phrase per document: ``doc_id, rule_id, hits, replacement``.
+
+    A short list is one expression per phrase over the text. A table ``rule_id, phrase, replacement`` of any
+    length is joined by anchors (``functions.lexicon``); the rows are the same.
+    """
+    if isinstance(lexicon, DataFrame):
+        rows = lx.counts(docs.select("doc_id", "text"), lexicon.select("rule_id", "phrase", "replacement"))
+        return rows.select("doc_id", "rule_id", "hits", "replacement")
     return _hits(
         docs,
         [
@@ -156,7 +165,7 @@ def phrase_hits(docs: DataFrame, lexicon: Sequence[Phrase] = BANNED) -> DataFram
 
 
 def punct_hits(
-    docs: DataFrame, lexicon: Sequence[Phrase] = PUNCTUATION, *, exempt: Sequence[str] = EXEMPT_GENRES
+    docs: DataFrame, lexicon: Sequence[Phrase] | DataFrame = PUNCTUATION, *, exempt: Sequence[str] = EXEMPT_GENRES
 ) -> DataFrame:
     """Occurrences of banned marks in documents outside the exempt genres (column ``genre``)."""
     return phrase_hits(docs.filter(~F.coalesce("genre", F.lit("")).isin(*exempt)), lexicon)
@@ -181,7 +190,7 @@ def pattern_hits(docs: DataFrame, patterns: Sequence[Pattern | Ordered] = CLICHE
     )
 
 
-def vague_names(docs: DataFrame, lexicon: Sequence[Phrase] = VAGUE) -> DataFrame:
+def vague_names(docs: DataFrame, lexicon: Sequence[Phrase] | DataFrame = VAGUE) -> DataFrame:
     return phrase_hits(docs, lexicon)
 
 
@@ -283,7 +292,16 @@ def _variety(text: Column, phrases: Sequence[str]) -> Column:
     return total
 
 
-def phrase_variety(docs: DataFrame, phrases: Sequence[str] = COLLOQUIAL, *, minimum: int = 8) -> DataFrame:
+def phrase_variety(
+    docs: DataFrame, phrases: Sequence[str] | DataFrame = COLLOQUIAL, *, minimum: int = 8
+) -> DataFrame:
+    """How many distinct phrases a document has and whether they are enough; ``phrases`` may be a table ``phrase``."""
+    if isinstance(phrases, DataFrame):
+        seen = lx.present(docs.select("doc_id", "text"), phrases).groupBy("doc_id", "row")
+        most = seen.agg(F.count(F.lit(1)).alias("phrases")).groupBy("doc_id").agg(F.max("phrases").alias("phrases"))
+        return even_join(docs.select("doc_id"), most, ["doc_id"]).select(
+            "doc_id", F.coalesce("phrases", F.lit(0)).alias("phrases")
+        ).withColumn("enough", F.col("phrases") >= minimum)
     return docs.select("doc_id", _variety(F.col("text"), phrases).alias("phrases")).withColumn(
         "enough", F.col("phrases") >= minimum
     )

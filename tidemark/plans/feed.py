@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import feed
+from tidemark.operators.reuse import reused
 from tidemark.plans.registry import day_text, query, ts_text
+from tidemark.session import work_dir
 from tidemark.sources import derived
 from tidemark.sources.tables import table
 
@@ -339,3 +344,42 @@ def _(spark, folder):
         UNION ALL SELECT 'score in 0..100', count(*) FILTER (score NOT BETWEEN 0 AND 100) FROM feed_items)""")
 def _(spark, folder):
     return feed.check_items(derived.feed_entries(spark, folder))
+
+
+@query("feed_reused_index", "feed_items", sql="""
+    WITH days AS (
+        SELECT CAST(discovered_at AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai' AS DATE) AS day, selected, id FROM feed_items),
+    newest AS (SELECT day, count(*) AS n, count(*) FILTER (selected) AS chosen FROM days GROUP BY day ORDER BY day DESC LIMIT 7),
+    fewer AS (
+        SELECT day, count(*) AS n, count(*) FILTER (selected) AS chosen FROM days WHERE id <> (SELECT max(id) FROM days)
+        GROUP BY day ORDER BY day DESC LIMIT 7)
+    SELECT * FROM (
+        SELECT 1 AS call, false AS reused, * FROM newest UNION ALL SELECT 2, true, * FROM newest
+        UNION ALL SELECT 3, false, * FROM fewer UNION ALL SELECT 4, true, * FROM newest)
+        AS r(call, reused, day, item_count, selected_count)""".replace("SELECT * FROM (", "SELECT call, reused, strftime(day, '%Y-%m-%d') AS date, item_count, selected_count FROM (", 1))
+def _(spark, folder):
+    # The same question four times: new, unchanged, without the last item, unchanged against the first.
+    items = derived.feed_entries(spark, folder)
+    fewer = items.filter(F.col("id") != items.agg(F.max("id")).scalar())
+    store = work_dir(spark, "reuse")
+    answers = []
+    for call, asked in enumerate((items, items, fewer, items), 1):
+        index, found = reused(store, "daily-index", {"items": asked}, {"n": 7}, feed.daily_index)
+        answers.append(index.select(
+            F.lit(call).alias("call"), F.lit(found).alias("reused"), day_text("date").alias("date"), "item_count", "selected_count"
+        ))
+    return reduce(DataFrame.unionByName, answers)
+
+
+@query("feed_source_estimates", sql="""
+    SELECT o_orderpriority AS topic_id, count(DISTINCT o_custkey) AS exact, true AS within_bound FROM orders
+    WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' GROUP BY 1""")
+def _(spark, folder):
+    signals = table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("topic_id"), F.col("o_custkey").cast("string").alias("source_name"), F.col("o_orderdate").alias("ts")
+    )
+    estimates = feed.source_estimates(feed.source_sketches(signals), first="1996-01-01", last="1997-06-30")
+    inside = signals.filter(F.to_date("ts").between("1996-01-01", "1997-06-30"))
+    exact = inside.groupBy("topic_id").agg(F.count_distinct("source_name").alias("exact"))
+    close = F.abs(F.col("sources") - F.col("exact")) <= feed.SKETCH_ERROR * F.col("exact")
+    return exact.join(estimates, "topic_id").select("topic_id", "exact", close.alias("within_bound"))

@@ -167,6 +167,16 @@ def _(spark, folder):
     return governance.retired_refs(derived.files(spark, folder), ("token", "heit", "The "), history="/guides/")
 
 
+@query("governance_retired_symbols", "files", sql="""
+    WITH symbols AS (SELECT DISTINCT split_part(text, ' ', 3) AS symbol FROM documents WHERE lang = 'es')
+    SELECT project, path, symbol, (length(text) - length(replace(text, symbol, ''))) // length(symbol) AS mentions
+    FROM files JOIN symbols ON symbol <> '' AND contains(text, symbol) WHERE NOT contains(path, '/guides/')""")
+def _(spark, folder):
+    symbols = table(spark, folder, "documents").filter("lang = 'es'")
+    symbols = symbols.select(F.split_part("text", F.lit(" "), F.lit(3)).alias("symbol")).distinct()
+    return governance.retired_refs(derived.files(spark, folder), symbols, history="/guides/")
+
+
 @query("governance_release_stage", sql="""
     WITH s AS (SELECT o_orderkey AS project, [true, o_totalprice > 5000, o_custkey IS NOT NULL, o_totalprice > 20000, o_orderstatus = 'F',
             o_totalprice > 50000 AND o_orderpriority <> '5-LOW', o_totalprice > 80000, o_totalprice > 100000, o_totalprice > 120000,

@@ -145,3 +145,66 @@ def _(spark, folder):
     )
     last = research.as_of(states, cut_date="1999-12-31", keys=["party", "dimension"], value="value", tie=["seq"])
     return last.select("party", "dimension", day_text("date").alias("date"), "value")
+
+
+@query("research_phases_of_any_length", "timeline_events", sql="""
+    WITH phases AS (
+        SELECT c_custkey AS subject, 'running' AS phase, DATE '1996-01-01' + CAST(c_custkey % 700 AS INTEGER) AS s, NULL AS e FROM customer
+        UNION ALL SELECT c_custkey, 'ages', DATE '0001-01-01', DATE '9999-12-31' FROM customer WHERE c_custkey % 3 = 0
+        UNION ALL SELECT c_custkey, 'short', DATE '1995-06-01' + CAST(c_custkey % 300 AS INTEGER),
+                         DATE '1995-06-01' + CAST(c_custkey % 300 + c_custkey % 90 AS INTEGER) FROM customer
+        UNION ALL SELECT c_custkey, 'before', NULL, DATE '1995-03-31' FROM customer WHERE c_custkey % 2 = 1)
+    SELECT e.subject, name, phase FROM timeline_events e
+    LEFT JOIN phases p ON e.subject = p.subject AND date >= coalesce(s, DATE '0001-01-01') AND date <= coalesce(e, DATE '9999-12-31')""")
+def _(spark, folder):
+    n = F.col("c_custkey")
+
+    def day(text, plus=0):
+        return F.date_add(F.lit(text).cast("date"), F.lit(plus).cast("int") if isinstance(plus, int) else plus.cast("int"))
+
+    def phase(name, start, end, wanted=None):
+        span = F.struct(F.lit(name).alias("phase"), start.cast("date").alias("start"), end.cast("date").alias("end"))
+        return span if wanted is None else F.when(wanted, span)
+
+    none = F.lit(None)
+    spans = F.array_compact(F.array(
+        phase("running", day("1996-01-01", n % 700), none),
+        phase("ages", day("0001-01-01"), day("9999-12-31"), n % 3 == 0),
+        phase("short", day("1995-06-01", n % 300), day("1995-06-01", n % 300 + n % 90)),
+        phase("before", none, day("1995-03-31"), n % 2 == 1),
+    ))
+    phases = table(spark, folder, "customer").select(n.alias("subject"), F.inline(spans))
+    return research.assign_phase(derived.timeline_events(spark, folder), phases).select("subject", "name", "phase")
+
+
+@query("research_as_of_each", sql="""
+    SELECT o.o_custkey AS party, strftime(l_shipdate, '%Y-%m-%d') AS cut_date, l_orderkey, l_partkey,
+           (SELECT arg_max(s.o_orderstatus, (s.o_orderdate, s.o_orderkey)) FROM orders s
+            WHERE s.o_custkey = o.o_custkey AND s.o_orderdate <= l_shipdate) AS value
+    FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey""")
+def _(spark, folder):
+    # Every line compares at its own shipping date.
+    orders = table(spark, folder, "orders")
+    cuts = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("party"), F.col("l_shipdate").cast("date").alias("cut_date"), "l_orderkey", "l_partkey"
+    )
+    states = orders.select(
+        F.col("o_custkey").alias("party"), F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("seq"),
+    )
+    found = research.as_of_each(cuts, states, keys=["party"], value="value", tie=["seq"])
+    return found.withColumn("cut_date", day_text("cut_date"))
+
+
+@query("research_roots_each", sql="""
+    SELECT c_custkey AS trait, count(o_orderkey) AS events, coalesce(arg_min(o_orderkey, (o_orderdate, o_orderkey)), -1) AS root
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+         AND CAST(o_orderdate AS DATE) <= DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER)
+    GROUP BY c_custkey""")
+def _(spark, folder):
+    orders = table(spark, folder, "orders")
+    links = orders.select(F.col("o_custkey").alias("trait"), F.col("o_orderkey").alias("event"))
+    events = orders.select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").cast("date").alias("date"))
+    cut = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int"))
+    traits = table(spark, folder, "customer").select(F.col("c_custkey").alias("trait"), cut.alias("cut_date"))
+    return research.roots(traits, links, events).fillna(-1, ["root"]).select("trait", "events", "root")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import mirror
-from tidemark.plans.registry import query, ts_text
+from tidemark.plans.registry import day_text, query, ts_text
 from tidemark.session import work_dir
 from tidemark.sources import derived
 from tidemark.sources.tables import table
-from tidemark.streaming import feed, runs, versions
+from tidemark.streaming import boards, classes, feed, runs, versions, violations
 from tidemark.streaming import mirror as mirroring
 
 APPLIED = """
@@ -114,3 +114,73 @@ def _(spark, folder):
     results = derived.run_rows(table(spark, folder, "events"))
     landed(spark, results, "seq", "runs", lambda stream: runs.streak_alerts(stream, path, slice_size=1000))
     return runs.read_alerts(spark, path)
+
+
+@query("stream_repeat_violations", "runs", sql="""
+    SELECT run AS project, "check" AS kind FROM runs WHERE NOT ok GROUP BY ALL HAVING count(*) >= 3""")
+def _(spark, folder):
+    path = work_dir(spark, "violations")
+    seen = derived.run_rows(table(spark, folder, "events")).filter("NOT ok").select(
+        F.col("run").alias("project"), F.col("check").alias("kind"), "seq"
+    )
+    landed(spark, seen, "seq", "violations-in", lambda stream: violations.repeat_alerts(stream, path))
+    return violations.read_alerts(spark, path)
+
+
+@query("stream_daily_index", "feed_items", sql="""
+    SELECT strftime(day, '%Y-%m-%d') AS date, count(*) AS item_count, count(*) FILTER (selected) AS selected_count
+    FROM (SELECT *, CAST(discovered_at AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai' AS DATE) AS day FROM feed_items) GROUP BY day""")
+def _(spark, folder):
+    path = work_dir(spark, "days")
+    items = derived.feed_entries(spark, folder).select("id", "discovered_at", "selected")
+    # Items arrive in the order of their numbers, so a day is revised by several batches; none is too late.
+    landed(spark, items, "id", "days-in", lambda stream: boards.daily_counts(stream, path, delay="400 days"))
+    days = boards.read_days(spark, path)
+    return days.select(day_text("date").alias("date"), "item_count", "selected_count")
+
+
+def board_sql(hours, slide):
+    return f"""
+    WITH steps AS (
+        SELECT time_bucket(INTERVAL {slide} HOUR, timeline_ts, TIMESTAMP '1970-01-01') AS step, category,
+               count(*) AS n, count(*) FILTER (selected) AS chosen FROM timeline_items GROUP BY ALL),
+    edges AS (
+        SELECT step + (k + 1) * INTERVAL {slide} HOUR AS edge, category, n, chosen FROM steps, range({hours // slide}) r(k))
+    SELECT strftime(edge, '%Y-%m-%d %H:%M:%S.%f') AS edge, category, CAST(sum(n) AS BIGINT) AS item_count, CAST(sum(chosen) AS BIGINT) AS selected_count
+    FROM edges WHERE edge <= (SELECT date_trunc('millisecond', max(timeline_ts)) - INTERVAL 72 HOUR FROM timeline_items) GROUP BY edge, category"""
+
+
+def board(spark, folder, window, slide):
+    lag = F.from_json("props", "k INT").k
+    items = stream(spark, folder, "events").select(
+        F.when(F.col("event_type") != "error", F.timestamp_add("HOUR", -lag, F.col("ts"))).alias("published_at"),
+        F.col("ts").alias("discovered_at"),
+        derived.mapped(F.col("event_type"), derived.CATEGORY, "other").alias("category"),
+        (F.col("value") >= 50).alias("selected"),
+    )
+    rows = collected(spark, boards.rolling_board(items, window=window, slide=slide), "board")
+    return rows.withColumn("edge", ts_text("edge"))
+
+
+@query("stream_board_24h", "timeline_items", sql=board_sql(24, 1))
+def _(spark, folder):
+    return board(spark, folder, "24 hours", "1 hour")
+
+
+@query("stream_board_7d", "timeline_items", sql=board_sql(168, 24))
+def _(spark, folder):
+    return board(spark, folder, "7 days", "1 day")
+
+
+@query("stream_merged_stories", "story_alias", sql="""
+    WITH RECURSIVE chain(id, story) AS (SELECT c_custkey, c_custkey FROM customer
+        UNION ALL SELECT id, new_id FROM chain JOIN story_alias ON story = old_id)
+    SELECT id AS member, min(story) AS name FROM chain GROUP BY id""")
+def _(spark, folder):
+    # Merges arrive in four batches, in no order of the chains they belong to.
+    path = work_dir(spark, "classes")
+    merged = derived.story_alias(spark, folder).select(F.col("old_id").alias("a"), F.col("new_id").alias("b"))
+    for batch in range(4):
+        classes.merge(merged.filter(F.pmod(F.xxhash64("a"), F.lit(4)) == batch), path, batch)
+    everyone = table(spark, folder, "customer").select(F.col("c_custkey").alias("member"))
+    return classes.classes_of(everyone, path)

@@ -39,6 +39,44 @@ def _(spark, folder):
     return style.phrase_hits(documents(spark, folder), PHRASES).select("doc_id", "rule_id", "hits")
 
 
+LEXICON = """(
+    SELECT DISTINCT phrase FROM (
+        SELECT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS phrase FROM documents
+        UNION ALL SELECT split_part(text, ' ', 4) FROM documents UNION ALL SELECT substr(text, 1, 30) FROM benchmark)
+    WHERE phrase <> '')"""
+
+
+def lexicon(spark, folder):
+    """A lexicon of the corpus's own: what documents begin with, a word of each, and the heads of benchmark items."""
+    text = F.col("text")
+    word = [F.split_part(text, F.lit(" "), F.lit(i)) for i in (1, 2, 4)]
+    rows = documents(spark, folder).select(F.explode(F.array(F.concat(word[0], F.lit(" "), word[1]), word[2])).alias("phrase"))
+    heads = table(spark, folder, "benchmark").select(F.substring("text", 1, 30).alias("phrase"))
+    return rows.union(heads).filter("phrase <> ''").distinct()
+
+
+@query("style_lexicon_hits", sql=f"""
+    SELECT doc_id, phrase AS rule_id, (length(text) - length(replace(text, phrase, ''))) // length(phrase) AS hits
+    FROM documents JOIN {LEXICON} ON contains(text, phrase)""")
+def _(spark, folder):
+    listed = lexicon(spark, folder).select(F.col("phrase").alias("rule_id"), "phrase", F.lit(None).cast("string").alias("replacement"))
+    return style.phrase_hits(documents(spark, folder), listed).select("doc_id", "rule_id", "hits")
+
+
+@query("style_lexicon_variety", sql=r"""
+    WITH l AS (
+        SELECT DISTINCT split_part(text, ' ', 1) AS a, split_part(text, ' ', 3) AS b FROM benchmark),
+    p AS (SELECT regexp_escape(a) || '[^。！？\n]*?' || regexp_escape(b) AS rule FROM l UNION ALL SELECT DISTINCT regexp_escape(b) FROM l)
+    SELECT doc_id, count(rule) AS phrases, count(rule) >= 20 AS enough
+    FROM documents LEFT JOIN p ON regexp_matches(text, rule) GROUP BY doc_id""")
+def _(spark, folder):
+    first, third = (F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 3))
+    listed = table(spark, folder, "benchmark").select(
+        F.explode(F.array(F.concat(first, F.lit("xxx"), third), third)).alias("phrase")
+    )
+    return style.phrase_variety(documents(spark, folder), listed, minimum=20)
+
+
 @query("style_punct_hits", sql=found_in("(SELECT * FROM documents WHERE lang <> 'de')", MARKS))
 def _(spark, folder):
     docs = documents(spark, folder).withColumn("genre", F.when(F.col("lang") == "de", "report"))

@@ -51,6 +51,12 @@ def written(df, purpose: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(spark: SparkSession, path: str) -> bool:
+    """Whether the writer of ``path`` has finished and left its success mark."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def checkpoint(df):
     """Cut the lineage of ``df`` through the shared checkpoint folder."""
     spark = df.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,11 @@ def as_of_join(
     kept = states.dropna(subset=[date, *keys])
     state = F.struct(F.col(date).alias("__date"), *tie, F.struct(*values).alias("__values"))
     row = F.struct(*rows.columns)
-    left = rows.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), row.alias("__row"))
+    left = rows.dropna(subset=list(keys)).select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), row.alias("__row"))
     right = kept.select(*keys, F.col(date).alias("__at"), F.lit(0).alias("__side"), state.alias("__state"))
     both = left.unionByName(right, allowMissingColumns=True).withColumn("__order", F.struct("__at", "__side"))
     slices = days("__at", 30) if by is None else by
     carried = latest_before(both, list(keys), "__order", slices, F.col("__state"), "__last")
-    return carried.filter("__side = 1").select("__row.*", *[F.col(f"__last.__values.{v}").alias(v) for v in values])
+    found = carried.filter("__side = 1").select("__row.*", *[F.col(f"__last.__values.{v}").alias(v) for v in values])
+    keyless = rows.filter(reduce(Column.__or__, [F.col(k).isNull() for k in keys]))
+    return found.unionByName(keyless, allowMissingColumns=True)

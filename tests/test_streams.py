@@ -7,6 +7,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from test_evals import RUN, brute_streaks
 
 from tidemark.operators.mirror import apply_changes
@@ -88,8 +89,8 @@ def test_mirror(spark, start, tmp_path):
 
     # The batch left the buckets of other ids where they were.
     touched = {r.b for r in batch.select(versions.bucket(["id"]).alias("b")).collect()}
-    before = versions.manifest(spark, path, versions.latest(spark, path, before=last))
-    after = versions.manifest(spark, path, last)
+    before = versions.manifest(spark, path, versions.latest(spark, path, before=last)).folders
+    after = versions.manifest(spark, path, last).folders
     assert {b: f for b, f in after.items() if b not in touched} == {b: f for b, f in before.items() if b not in touched}
     assert all(f.startswith(f"rows-{last}/") for b, f in after.items() if b in touched)
     gone = versions.remove_old(spark, path, keep=2)
@@ -100,6 +101,32 @@ def test_mirror(spark, start, tmp_path):
     assert versions.latest(spark, path) == again and rows_of(versions.read(spark, path)) == [("new", 1)]
 
 
+def test_a_small_batch_writes_a_small_part(spark, tmp_path):
+    """Many buckets, chosen at the rebuild and kept; large ones are written by several tasks."""
+    path = f"{tmp_path}/mirror"
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("value"))
+    versions.write(rows, path, versions.name(1), ["id"], 1000)
+    first = versions.manifest(spark, path, versions.name(1))
+    assert first.buckets == 1000 and len(first.folders) == 1000
+    land(spark, [(n, "upsert", str(n), -n) for n in range(1, 11)] + [(11, "upsert", "new", 5)], CHANGE, f"{tmp_path}/in", 1_000_000)
+    mirror.mirror_stream(source(spark, CHANGE, f"{tmp_path}/in"), path).awaitTermination()
+    after = versions.manifest(spark, path, versions.latest(spark, path))
+    assert after.buckets == 1000
+    assert 5 <= sum(after.folders[b] != f for b, f in first.folders.items()) <= 11
+    got = {r.id: r.value for r in versions.read(spark, path).collect()}
+    assert got == {**{str(n): n for n in range(20_000)}, **{str(n): -n for n in range(1, 11)}, "new": 5}
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64k")
+    try:
+        large = spark.range(200_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        versions.write(large, f"{tmp_path}/few", versions.name(1), ["k"], 2)
+    finally:
+        spark.conf.unset(key)
+    for folder in versions.manifest(spark, f"{tmp_path}/few", versions.name(1)).folders.values():
+        assert sum(n.endswith(".parquet") for n in os.listdir(f"{tmp_path}/few/{folder}")) > 2
+    assert versions.read(spark, f"{tmp_path}/few").count() == 200_000
+
+
 def drained(spark, df, tmp_path):
     running = (
         df.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cursor")

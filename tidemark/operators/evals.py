@@ -231,16 +231,17 @@ def spec_contract(specs: DataFrame, rules: SpecRules, files: DataFrame | None =
         missing, extra = F.array_except(expected, found), F.array_except(found, expected)
         checks.append(broken("reference missing", F.size(missing) > 0, F.array_join(F.array_sort(missing), " ")))
         checks.append(broken("reference unexpected", F.size(extra) > 0, F.array_join(F.array_sort(extra), " ")))
-    result = specs.withColumn("__about", description(text)).select(
-        "doc_id", F.inline(F.filter(F.array(*checks), lambda c: c.isNotNull()))
-    )
+    rows = F.filter(F.array(*checks), lambda c: c.isNotNull())
+    absent = "reference file missing"
+    if files is not None:
+        # Every reference is a finding until its file is found; the texts are read once.
+        named = F.array_distinct(F.regexp_extract_all(text, F.lit(rules.reference_pattern), F.lit(1)))
+        rows = F.concat(rows, F.transform(named, lambda n: F.struct(F.lit(absent).alias("rule"), n.alias("detail"))))
+    result = specs.withColumn("__about", description(text)).select("doc_id", F.inline(rows))
     if files is None:
         return result
-    named = F.array_distinct(F.regexp_extract_all(text, F.lit(rules.reference_pattern), F.lit(1)))
-    absent = specs.select("doc_id", F.explode(named).alias("detail")).join(
-        files.select(F.col("path").alias("detail")), "detail", "left_anti"
-    )
-    return result.unionByName(absent.select("doc_id", F.lit("reference file missing").alias("rule"), "detail"))
+    there = files.select(F.lit(absent).alias("rule"), F.col("path").alias("detail"))
+    return result.join(there, ["rule", "detail"], "left_anti").select("doc_id", "rule", "detail")
 
 
 def failure_streaks(runs: DataFrame, *, n: int = 3, slice_size: int = 1_000_000) -> DataFrame:

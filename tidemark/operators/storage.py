@@ -7,6 +7,7 @@ entries count nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -469,21 +470,58 @@ def batch_estimate(tier_items: DataFrame, done: DataFrame) -> DataFrame:
     )
 
 
-def report_sections(classified: DataFrame, entries: DataFrame, disks: DataFrame) -> DataFrame:
-    """The report as JSON rows ``section, body``: top5, the tiers, denied, summary.
+# The fields of the report's items.
+REPORT_FIELDS = {
+    "top5": ("rank", "tier", "size", "type", "name", "path", "note"),
+    "green": ("name", "path", "size_estimate", "kill_processes", "trash_paths", "commands"),
+    "yellow": ("name", "path", "size", "content_profile", "why_manual", "disposal", "risk", "trash_paths", "open_note"),
+    "red": ("name", "path", "size", "why_keep", "indirect_release", "auto_reclaim", "app_paths"),
+}
+
+
+def report_sections(
+    classified: DataFrame,
+    entries: DataFrame,
+    disks: DataFrame,
+    *,
+    notes: DataFrame | None = None,
+    scans: DataFrame | None = None,
+    summary: DataFrame | None = None,
+) -> DataFrame:
+    """The report as JSON rows ``section, body``: meta, system, top5, the tiers, denied, summary.
 
     One row per item, so a report of any size is written in parallel, a folder per section. The
     classified entries are read by five sections; pass them as a written table.
+
+    An item has the fields of ``REPORT_FIELDS`` that ``classified`` or ``notes(path, ...)`` have, and its
+    ``size_kb``; what a person or a model writes about an item comes with the notes, at most one row a path.
+    ``scans`` are ``SCAN`` documents and give meta (time and length of the scan) and system; ``summary(overview,
+    priority, long_term)`` is added to the numbers of each disk.
     """
-    item = F.to_json(F.struct("name", "path", "size_kb"))
-    ranked = top5(classified).select(
-        F.lit("top5").alias("section"), F.to_json(F.struct("rank", "tier", "name", "path", "size_kb")).alias("body")
-    )
-    tiers = classified.filter(F.col("tier").isin(*TIERS)).select(F.col("tier").alias("section"), item.alias("body"))
-    unread = denied(entries).select(F.lit("denied").alias("section"), F.to_json(F.struct("path")).alias("body"))
+    items = classified
+    if notes is not None:
+        told = [c for c in notes.columns if c == "path" or c not in classified.columns]
+        items = even_join(classified, notes.select(told), ["path"])
+
+    def body(section: str, present: Sequence[str]) -> Column:
+        return F.to_json(F.struct(*[c for c in REPORT_FIELDS[section] if c in present], "size_kb"))
+
+    ranked = top5(items)
+    parts = [ranked.select(F.lit("top5").alias("section"), body("top5", ranked.columns).alias("body"))]
+    bodies = F.when(F.lit(False), F.lit(""))
+    for tier in TIERS:
+        bodies = bodies.when(F.col("tier") == tier, body(tier, items.columns))
+    parts.append(items.filter(F.col("tier").isin(*TIERS)).select(F.col("tier").alias("section"), bodies.alias("body")))
+    parts.append(denied(entries).select(F.lit("denied").alias("section"), F.to_json(F.struct("path")).alias("body")))
     stats = tier_stats(classified, disks)
-    summary = stats.select(F.lit("summary").alias("section"), F.to_json(F.struct(*stats.columns)).alias("body"))
-    return ranked.unionByName(tiers).unionByName(unread).unionByName(summary)
+    parts.append(stats.select(F.lit("summary").alias("section"), F.to_json(F.struct(*stats.columns)).alias("body")))
+    if summary is not None:
+        text = F.to_json(F.struct("overview", "priority", "long_term"))
+        parts.append(summary.select(F.lit("summary").alias("section"), text.alias("body")))
+    if scans is not None:
+        parts.append(scans.select(F.lit("meta").alias("section"), F.to_json(F.struct("generated_at", "scan_seconds")).alias("body")))
+        parts.append(scans.select(F.lit("system").alias("section"), F.to_json("system").alias("body")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_report(sections: DataFrame, path: str) -> None:

@@ -77,9 +77,9 @@ def _(spark, folder):
     return evals.marker_violations(derived.trigger_labels(spark, folder), ("token", "%%%")).select("doc_id", "lang")
 
 
-def specs(spark, folder):
+def specs(spark, folder, spread=False):
     """Documents with front matter: their first line is the description, in two lines for one language."""
-    docs = table(spark, folder, "documents")
+    docs = derived.texts(spark, folder, spread)
     about = F.when(F.col("lang") == "fr", F.concat(F.lit(">-\n  "), F.col("lang"), F.lit("\n  "), F.col("source"))).when(
         F.col("lang") == "es", F.lit("")
     ).otherwise(F.regexp_replace(F.split("text", "\n")[0], "-", "_"))
@@ -118,7 +118,7 @@ def _(spark, folder):
         max_lines=15, description_phrases=("e",), required=("The",), forbidden=("@",), references=("references/en.md",)
     )
     versioned = F.regexp_replace("text", "^---\n", '---\nversion: "1.0.0"\n')
-    docs = specs(spark, folder).withColumn("text", F.when(F.col("doc_id") % 2 == 0, versioned).otherwise(F.col("text")))
+    docs = specs(spark, folder, spread=True).withColumn("text", F.when(F.col("doc_id") % 2 == 0, versioned).otherwise(F.col("text")))
     known = table(spark, folder, "documents").filter(F.col("lang").isin("en", "fr")).select("lang").distinct()
     files = known.select(F.concat(F.lit("references/"), "lang", F.lit(".md")).alias("path"))
     return evals.spec_contract(docs, rules, files)

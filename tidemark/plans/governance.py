@@ -262,7 +262,7 @@ def _(spark, folder):
     SELECT sha256(line) AS line_hash, count(*) AS files, min(line) AS line, min(path) AS first_path FROM l WHERE length(line) >= 10
     GROUP BY line HAVING count(*) > 1""")
 def _(spark, folder):
-    return governance.duplicate_rules(derived.files(spark, folder), min_chars=10)
+    return governance.duplicate_rules(derived.files(spark, folder, spread=True), min_chars=10)
 
 
 KINDS = {"en": ("claude", "rules"), "fr": ("claude", "auto"), "de": ("codex", "chain"), "es": ("codex", "generated")}
@@ -319,9 +319,16 @@ def _(spark, folder):
 
 
 @query("governance_consumers", sql="""
-    SELECT l_partkey AS symbol, -l_suppkey - 1 AS consumer, 1 AS hops FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+    WITH deps AS (SELECT l_partkey AS a, arg_max(l_suppkey, (l_quantity, l_orderkey, l_linenumber, l_suppkey)) AS b
+                  FROM lineitem GROUP BY l_partkey),
+         hop1 AS (SELECT p_partkey AS s, b, 1 AS hops FROM part JOIN deps ON a = p_partkey),
+         hop2 AS (SELECT s, deps.b, 2 AS hops FROM hop1 JOIN deps ON a = hop1.b)
+    SELECT s AS symbol, b AS consumer, min(hops) AS hops FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2)
+    WHERE s <> b GROUP BY ALL""")
 def _(spark, folder):
-    deps = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("symbol"), (-F.col("l_suppkey") - 1).alias("consumer"))
+    # The consumer of a part is the supplier of its largest line; suppliers share numbers with parts.
+    largest = F.max_by("l_suppkey", F.struct("l_quantity", "l_orderkey", "l_linenumber", "l_suppkey"))
+    deps = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("symbol")).agg(largest.alias("consumer"))
     changed = table(spark, folder, "part").select(F.col("p_partkey").alias("symbol"))
     return governance.consumers(changed, deps, hops=2)
 

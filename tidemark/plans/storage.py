@@ -380,3 +380,33 @@ def _(spark, folder):
     )
 
 
+@query("storage_report_fields", "child_sizes", "tier_prefixes", sql=f"""
+    WITH c AS (SELECT DISTINCT tier, path, name, size_kb FROM {CLASSIFIED} WHERE tier <> 'none')
+    SELECT tier AS section, path, name, size_kb,
+           CASE WHEN tier = 'yellow' THEN 'risk of ' || name END AS risk, CASE WHEN tier = 'red' THEN 'keep ' || name END AS why_keep,
+           CASE WHEN tier IN ('green', 'yellow') THEN path || '/tmp' END AS trash_path,
+           CASE WHEN tier = 'red' THEN path || '/app' END AS app_path FROM c
+    UNION ALL SELECT 'meta', NULL, '2024-01-01 00:00:00', 42, NULL, NULL, NULL, NULL
+    UNION ALL SELECT 'system', NULL, 'os of ' || (SELECT count(*) FROM nation), NULL, NULL, NULL, NULL, NULL""")
+def _(spark, folder):
+    tiered = written(classified(spark, folder).dropDuplicates(["tier", "path", "size_kb"]), "classified")
+    name = F.col("name")
+    notes = tiered.select(
+        "path", F.concat(F.lit("risk of "), name).alias("risk"), F.concat(F.lit("keep "), name).alias("why_keep"),
+        F.array(F.concat("path", F.lit("/tmp"))).alias("trash_paths"), F.array(F.concat("path", F.lit("/app"))).alias("app_paths"),
+    ).dropDuplicates(["path"])
+    scans = table(spark, folder, "nation").agg(F.count(F.lit(1)).cast("string").alias("n")).select(
+        F.lit("2024-01-01 00:00:00").alias("generated_at"), F.lit(42.0).alias("scan_seconds"),
+        F.struct(F.concat(F.lit("os of "), "n").alias("os")).alias("system"),
+    )
+    sections = storage.report_sections(tiered, derived.fs_entry(spark, folder), disks(spark, folder), notes=notes, scans=scans)
+    read = F.from_json(
+        "body", "path STRING, name STRING, size_kb BIGINT, risk STRING, why_keep STRING, trash_paths ARRAY<STRING>,"
+        " app_paths ARRAY<STRING>, generated_at STRING, scan_seconds DOUBLE, os STRING",
+    )
+    rows = sections.filter("section NOT IN ('top5', 'denied', 'summary')").select("section", read.alias("b"))
+    return rows.select(
+        "section", "b.path", F.coalesce("b.name", "b.generated_at", "b.os").alias("name"),
+        F.coalesce("b.size_kb", F.col("b.scan_seconds").cast("long")).alias("size_kb"), "b.risk", "b.why_keep",
+        F.get("b.trash_paths", F.lit(0)).alias("trash_path"), F.get("b.app_paths", F.lit(0)).alias("app_path"),
+    )

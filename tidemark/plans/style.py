@@ -36,7 +36,7 @@ def found_in(table_name: str, phrases) -> str:
 
 @query("style_phrase_hits", sql=found_in("documents", PHRASES))
 def _(spark, folder):
-    return style.phrase_hits(documents(spark, folder), PHRASES).select("doc_id", "rule_id", "hits")
+    return style.phrase_hits(derived.texts(spark, folder, spread=True), PHRASES).select("doc_id", "rule_id", "hits")
 
 
 LEXICON = """(
@@ -126,7 +126,7 @@ def _(spark, folder):
         FROM article_sentences WINDOW w AS (PARTITION BY doc_id ORDER BY n))
     WHERE c IS NOT NULL AND (greatest(a, b, c) - least(a, b, c)) * 100 <= greatest(a, b, c) * 15 GROUP BY doc_id""")
 def _(spark, folder):
-    return style.flat_rhythm(derived.articles(spark, folder))
+    return style.flat_rhythm(derived.articles(spark, folder, spread=True))
 
 
 @query("style_break_paragraphs", "article_paragraphs", sql=r"""
@@ -168,7 +168,7 @@ def _(spark, folder):
 def checks(spark, folder):
     """The corpus' own checks and the labels as judged ones."""
     own = style.style_checks(
-        derived.articles(spark, folder), banned=PHRASES[3:], punctuation=MARKS, cliches=PATTERNS[:2], openers=PATTERNS[2:],
+        derived.articles(spark, folder, spread=True), banned=PHRASES[3:], punctuation=MARKS, cliches=PATTERNS[:2], openers=PATTERNS[2:],
         vague=(style.Phrase("v1", "ons"),), colloquial=WORDS, emotion=("？？", "!"),
     )
     judged = table(spark, folder, "labels").select(

@@ -20,6 +20,16 @@ MODE = {
 }
 
 
+#: Tasks over which the costly text queries deal their rows, whatever the size of the table.
+SPREAD = 64
+
+
+def texts(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    """Documents; ``spread`` deals them over tasks first, because a given table is one row group, read by one task."""
+    docs = table(spark, folder, "documents")
+    return docs.repartition(SPREAD, "doc_id") if spread else docs
+
+
 def mapped(column: Column, values: dict[str, str], other: str | None = None) -> Column:
     expr = None
     for key, value in values.items():
@@ -261,15 +271,15 @@ def action_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
+def articles(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """Documents with their noise marks turned into Markdown: bold, headings, bullets, blank lines."""
     text = F.col("text")
     for mark, markup in {"$$$": "**", "***": "\n# ", "%%%": "\n- ", "&&&": "\n\n", "###": "？"}.items():
         text = F.replace(text, F.lit(mark), F.lit(markup))
-    return table(spark, folder, "documents").select("doc_id", "lang", "source", text.alias("text"))
+    return texts(spark, folder, spread).select("doc_id", "lang", "source", text.alias("text"))
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
+def files(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """Documents as project files that link to the next two documents by number."""
     number = F.col("doc_id").cast("string")
     path = (
@@ -282,7 +292,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\nSee [next](d"), (F.col("doc_id") + 1).cast("string"),
         F.lit(".md) and `docs/d"), (F.col("doc_id") + 2).cast("string"), F.lit(".md`.\n"),
     )
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, spread).select(
         F.col("source").alias("project"),
         F.lit("/corpus").alias("root"),
         path.alias("path"),

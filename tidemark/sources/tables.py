@@ -36,6 +36,24 @@ DAILY = """
     sections ARRAY<STRUCT<title: STRING, items: ARRAY<STRUCT<title: STRING, links: STRUCT<site: STRING, original: STRING>>>>>,
     flashes ARRAY<STRUCT<title: STRING, links: STRUCT<site: STRING, original: STRING>>>
 """
+TOPIC_PAGE = """
+    schemaVersion INT, count INT,
+    items ARRAY<STRUCT<
+        rank: BIGINT, title: STRING, sourceCount: BIGINT, signalCount: BIGINT, sourceNames: ARRAY<STRING>,
+        latestAt: TIMESTAMP, links: MAP<STRING, STRING>>>
+"""
+# A saved story response; one that was answered by a redirect has its address and the new location instead of a story.
+STORY_PAGE = """
+    schemaVersion INT, asked STRING, status INT, location STRING,
+    story STRUCT<
+        id: STRING, title: STRING, status: STRING, latest: STRING, digest: STRING,
+        reports: ARRAY<STRUCT<id: STRING, title: STRING, source: STRUCT<name: STRING>, publishedAt: TIMESTAMP, links: MAP<STRING, STRING>>>,
+        storyline: ARRAY<STRUCT<title: STRING, links: MAP<STRING, STRING>>>,
+        related: ARRAY<STRUCT<title: STRING, links: MAP<STRING, STRING>>>>
+"""
+DAILY_INDEX = """
+    schemaVersion INT, count INT, items ARRAY<STRUCT<date: DATE, lead: STRING, links: MAP<STRING, STRING>>>
+"""
 EVAL_SET = """
     skill_name STRING,
     evals ARRAY<STRUCT<
@@ -111,6 +129,59 @@ def changes(pages: DataFrame, item: str, site_key: str) -> DataFrame:
     return items.select("seq", "op", F.col("__id").alias("id"), *_item_columns(site_key)[1:])
 
 
+def topics(responses: DataFrame) -> DataFrame:
+    """Board items of ``TOPIC_PAGE`` documents with the counts they came with, one row each."""
+    item = responses.select(F.explode("items").alias("i"))
+    return item.select(
+        "i.rank", "i.title", F.col("i.sourceCount").alias("source_count"), F.col("i.signalCount").alias("signal_count"),
+        F.col("i.sourceNames").alias("source_names"), F.col("i.latestAt").alias("latest_at"), F.col("i.links")["story"].alias("story_link"),
+    )
+
+
+def _id_in(link: Column) -> Column:
+    """The last part of an address's path; null if there is none."""
+    last = F.regexp_extract(link, "/([^/?#]+)/?(?:[?#].*)?$", 1)
+    return F.when(last != "", last)
+
+
+def stories(responses: DataFrame) -> DataFrame:
+    """``story_id, title, status, latest, digest`` of the ``STORY_PAGE`` documents that hold a story."""
+    return responses.filter("story IS NOT NULL").select(
+        F.col("story.id").alias("story_id"), "story.title", "story.status", "story.latest", "story.digest"
+    )
+
+
+def story_reports(responses: DataFrame) -> DataFrame:
+    """Reports of ``STORY_PAGE`` documents as ``story_timeline`` takes them: ``story_id, report_id, ts, title, source_name``."""
+    rows = responses.select(F.col("story.id").alias("story_id"), F.explode("story.reports").alias("r"))
+    return rows.select(
+        "story_id", F.col("r.id").alias("report_id"), F.col("r.publishedAt").alias("ts"), "r.title", F.col("r.source.name").alias("source_name")
+    )
+
+
+def story_edges(responses: DataFrame) -> DataFrame:
+    """References of ``STORY_PAGE`` documents to other stories, as ``related`` takes them: ``story_id, related_id, kind``."""
+    none = F.array().cast("array<struct<title:string,links:map<string,string>>>")
+    kinds = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(f"story.{k}"), none).alias("to")) for k in ("storyline", "related")
+    ])
+    rows = responses.filter("story IS NOT NULL").select(F.col("story.id").alias("story_id"), F.inline(kinds))
+    rows = rows.select("story_id", "kind", F.explode("to").alias("to"))
+    named = rows.select("story_id", _id_in(F.col("to.links")["api"]).alias("related_id"), "kind")
+    return named.filter("related_id IS NOT NULL").distinct()
+
+
+def story_aliases(responses: DataFrame) -> DataFrame:
+    """Merges told by redirected ``STORY_PAGE`` documents, as ``resolve_story`` takes them: ``old_id, new_id``."""
+    moved = responses.filter("status IN (301, 308)").select(_id_in(F.col("asked")).alias("old_id"), _id_in(F.col("location")).alias("new_id"))
+    return moved.dropna().filter("old_id <> new_id").distinct()
+
+
+def daily_dates(responses: DataFrame) -> DataFrame:
+    """``date, lead, link`` of the dailies that ``DAILY_INDEX`` documents list."""
+    return responses.select(F.explode("items").alias("i")).select("i.date", "i.lead", F.col("i.links")["site"].alias("link"))
+
+
 def scan_entries(scans: DataFrame) -> DataFrame:
     """Rows of ``SCAN`` documents: ``group, name, path, size_kb, denied``."""
     return (

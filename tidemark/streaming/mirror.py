@@ -15,12 +15,15 @@ from tidemark.streaming import versions
 KEYS = ["id"]
 
 
-def rebuild_mirror(responses: DataFrame, items_of: Callable[[DataFrame], DataFrame], path: str) -> str:
+def rebuild_mirror(
+    responses: DataFrame, items_of: Callable[[DataFrame], DataFrame], path: str, *, buckets: int = versions.BUCKETS
+) -> str:
     """Replace the complete set once, from the ``SNAPSHOT_PAGE`` responses of one snapshot.
 
     Page list (see ``check_pages``) and rows (``items_of(responses)``, with an ``id``) come from the same
     documents. An incomplete page set is refused and leaves the mirror as it was. Streams that follow
-    start a new change cursor, which belongs to the new generation.
+    start a new change cursor, which belongs to the new generation. Take many more ``buckets`` than a batch
+    has changes, and a batch rewrites a small part of the mirror; take few, and its files stay large.
     """
     spark = responses.sparkSession
     pages = snapshot_pages(responses)
@@ -28,7 +31,7 @@ def rebuild_mirror(responses: DataFrame, items_of: Callable[[DataFrame], DataFra
         raise ValueError("the snapshot is incomplete; the mirror is unchanged")
     current = versions.latest(spark, path)
     version = versions.name(1 + (versions.generation_of(current) if current else 0))
-    versions.write(items_of(responses), path, version, KEYS)
+    versions.write(items_of(responses), path, version, KEYS, buckets)
     return version
 
 

@@ -63,7 +63,7 @@ def advance(state: DataFrame, batch: DataFrame, *, n: int, slice_size: int) -> t
 
 
 def streak_alerts(
-    runs: DataFrame, path: str, *, n: int = 3, slice_size: int = 1_000_000
+    runs: DataFrame, path: str, *, n: int = 3, slice_size: int = 1_000_000, buckets: int = versions.BUCKETS
 ) -> StreamingQuery:
     """Alert on ``n`` failures in a row of ``runs(run, check, seq, ok)``; works off the backlog and stops.
 
@@ -76,7 +76,7 @@ def streak_alerts(
     counters = f"{path}/state"
     if versions.latest(spark, counters) is None:
         first = runs.select(*KEYS, F.col("seq").alias("first_seq"), F.lit(0).cast("long").alias("failures")).schema
-        versions.write(spark.createDataFrame([], first), counters, versions.name(1), KEYS)
+        versions.write(spark.createDataFrame([], first), counters, versions.name(1), KEYS, buckets)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         version = versions.name(1, batch_id)

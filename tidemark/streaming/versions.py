@@ -1,15 +1,17 @@
 """Keyed tables in numbered versions; a version counts once its writer has left the success mark.
 
-Rows lie in a fixed number of buckets by a hash of their keys. A version is a manifest that names for
-each bucket the folder that holds it, so a batch writes the buckets it touches and carries the others
-over by name. A reader never sees half a version, and a batch that is replayed after a crash writes the
-same version again from the same predecessor. ``remove_old`` frees what no kept version names.
+Rows lie in buckets by a hash of their keys. How many is chosen when a table is first written, so that a batch
+touches a small part of them, and stands in every manifest. A version is a manifest that names for each bucket
+the folder that holds it, so a batch writes the buckets it touches and carries the others over by name. A large
+bucket is written by several tasks. A reader never sees half a version, and a batch that is replayed after a crash
+writes the same version again from the same predecessor. ``remove_old`` frees what no kept version names.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,14 @@ BUCKETS = 64
 _BUCKET = "__bucket"
 
 
+class Manifest(NamedTuple):
+    """The schema of a version's rows, its number of buckets and the folder of each bucket that has rows."""
+
+    schema: T.StructType
+    buckets: int
+    folders: dict[int, str]
+
+
 def name(generation: int, batch: int = -1) -> str:
     """Folder name of a rebuild (``batch`` -1) or of a stream batch after it; names sort in time order."""
     return f"v{generation:08d}-{batch + 1:012d}"
@@ -49,10 +59,27 @@ def bucket(keys: list[str], buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def manifest(spark: SparkSession, path: str, version: str) -> dict[int, str]:
-    """The folder of each bucket; entry -1 is the schema. At most a row per bucket."""
-    rows = spark.read.schema("bucket INT, folder STRING").parquet(f"{path}/{version}").collect()
-    return {r["bucket"]: r["folder"] for r in rows}
+def manifest(spark: SparkSession, path: str, version: str) -> Manifest:
+    where, files = _files(spark, f"{path}/{version}/manifest.json")
+    opened = files.open(where)
+    try:
+        held = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8"))
+    finally:
+        opened.close()
+    folders = {int(b): f for b, f in held["folders"].items()}
+    return Manifest(T.StructType.fromJson(held["schema"]), held["buckets"], folders)
+
+
+def _commit(spark: SparkSession, path: str, version: str, made: Manifest) -> None:
+    """Write a manifest, a line per bucket at most, and then its mark; no Spark job."""
+    held = {"schema": made.schema.jsonValue(), "buckets": made.buckets, "folders": made.folders}
+    for file, text in (("manifest.json", json.dumps(held)), ("_SUCCESS", "")):
+        where, files = _files(spark, f"{path}/{version}/{file}")
+        out = files.create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
 
 def read(
@@ -62,28 +89,37 @@ def read(
     chosen = version or latest(spark, path)
     if chosen is None:
         raise FileNotFoundError(f"no complete version in {path}")
-    entries = manifest(spark, path, chosen)
-    schema = T.StructType.fromJson(json.loads(entries.pop(-1)))
-    folders = [f"{path}/{f}" for b, f in sorted(entries.items()) if only is None or b in only]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    return _rows(spark, path, manifest(spark, path, chosen), only)
+
+
+def _rows(spark: SparkSession, path: str, held: Manifest, only: set[int] | None = None) -> DataFrame:
+    folders = [f"{path}/{f}" for b, f in sorted(held.folders.items()) if only is None or b in only]
+    return spark.read.schema(held.schema).parquet(*folders) if folders else spark.createDataFrame([], held.schema)
 
 
 def write(
-    df: DataFrame, path: str, version: str, keys: list[str], carried: dict[int, str] | None = None
+    df: DataFrame,
+    path: str,
+    version: str,
+    keys: list[str],
+    buckets: int = BUCKETS,
+    carried: dict[int, str] | None = None,
 ) -> None:
-    """Write ``df`` as the buckets it has rows in, next to the ``carried`` ones, and commit the version."""
+    """Write ``df`` as the buckets it has rows in, next to the ``carried`` ones, and commit the version.
+
+    The rows are rebalanced by bucket: small buckets share a task, and adaptive execution deals a large one out
+    to as many tasks as it fills.
+    """
     spark = df.sparkSession
     place = f"rows-{version}"
-    bucketed = df.withColumn(_BUCKET, bucket(keys))
-    bucketed.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/{place}")
+    bucketed = df.withColumn(_BUCKET, bucket(keys, buckets)).hint("rebalance", _BUCKET)
+    bucketed.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/{place}")
     where, files = _files(spark, f"{path}/{place}/{_BUCKET}=*")
-    entries = {b: f for b, f in (carried or {}).items() if b >= 0}
+    folders = dict(carried or {})
     for status in files.globStatus(where) or []:
         folder = status.getPath().getName()
-        entries[int(folder.split("=")[1])] = f"{place}/{folder}"
-    entries[-1] = df.schema.json()
-    rows = spark.createDataFrame(sorted(entries.items()), "bucket INT, folder STRING")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{version}")
+        folders[int(folder.split("=")[1])] = f"{place}/{folder}"
+    _commit(spark, path, version, Manifest(df.schema, buckets, folders))
 
 
 def update(
@@ -91,12 +127,11 @@ def update(
 ) -> None:
     """Commit ``version``: the version before with ``change`` applied to the buckets that ``touched`` has keys in."""
     spark = touched.sparkSession
-    before = latest(spark, path, before=version)
-    rows = touched.select(bucket(keys).alias("b")).distinct().collect()
-    buckets = {r["b"] for r in rows}
-    known = manifest(spark, path, before)
-    carried = {b: f for b, f in known.items() if b not in buckets}
-    write(change(read(spark, path, before, only=buckets)), path, version, keys, carried)
+    before = manifest(spark, path, latest(spark, path, before=version))
+    rows = touched.select(bucket(keys, before.buckets).alias("b")).distinct().collect()
+    chosen = {r["b"] for r in rows}
+    carried = {b: f for b, f in before.folders.items() if b not in chosen}
+    write(change(_rows(spark, path, before, only=chosen)), path, version, keys, before.buckets, carried)
 
 
 def remove_old(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
@@ -106,7 +141,7 @@ def remove_old(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     """
     names = complete(spark, path)
     old, kept = names[:-keep], names[-keep:]
-    used = {f.split("/")[0] for n in kept for b, f in manifest(spark, path, n).items() if b >= 0}
+    used = {f.split("/")[0] for n in kept for f in manifest(spark, path, n).folders.values()}
     gone = [*old, *[f"rows-{n}" for n in old if f"rows-{n}" not in used]]
     for folder in gone:
         where, files = _files(spark, f"{path}/{folder}")

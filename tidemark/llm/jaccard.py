@@ -1,20 +1,23 @@
 """N-gram Jaccard join with vertical partitioning.
 
-The global order of n-grams puts frequent ones last (levels of a frequency sketch over the whole corpus)
-and orders the rest by hash. Its pivots cut every set into ``FRAGMENTS`` parts; the overlap of a pair is
-counted in each fragment by itself, and the partial counts are summed per pair.
+The global order of n-grams: those whose hash lies in the lowest quarter come first, by the number of sets they
+are in and then by hash, those of one set before all others; the rest follow by hash. Four fragments of that order,
+a quarter of the hashes each, cut every set; the overlap of a pair is counted in each fragment by itself, and the
+partial counts are summed per pair.
 
 Candidates share an n-gram in the first ``n - ceil(t n) + 1`` n-grams of that order, fit in length, and
-leave enough n-grams after the shared one. Equal sets are one node, so copies cost nothing. Links are
-needed only to find the classes, which takes two rounds:
+leave enough n-grams after the shared one. The sets of an n-gram are counted over the whole corpus, and only
+n-grams of several sets go on; a set whose first n-grams are all its own, as those of a text that shares a
+passage with many, has no candidate. Equal sets are one node, so copies cost nothing. Links are needed only to
+find the classes, which takes two rounds:
 
-1. in each group of sets that share an n-gram, every set is compared with a few of the group, the first by
-   several orders that are the same in all groups;
-2. pairs of groups that are still in different classes are all compared, so no link is lost. Of groups
-   with the same members one is enough: that of the n-gram which is first in the order.
+1. every set is compared with a few of the sets it shares n-grams with, the first by several orders that are the
+   same for all n-grams;
+2. sets of one n-gram that are still in different classes are all compared, so no link is lost. Of n-grams
+   with the same sets one is enough: that which is first in the order.
 
-A fixed-size bitmap per set bounds the overlap of a pair from above and spares most false candidates
-the exact count. Sets are identified by a 64-bit hash together with their size.
+A fixed-size bitmap per set bounds the overlap of a pair from above; pairs that it rules out are never made in the
+second round. Sets are identified by a 64-bit hash together with their size.
 
 Defined results: null, empty and blank texts have no set and are linked with nothing; a text of fewer than
 ``SHINGLE`` words is one n-gram; repeated rows are in one class; a null id is a document of its own class,
@@ -28,18 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.components import components
-from tidemark.llm.words import Words, chunks, mixed, partitions, rolled, row_tag
+from tidemark.llm.words import Words, chunks, rolled, row_tag
 from tidemark.session import written
 
 SHINGLE, PERCENT = 5, 80
 FRAGMENTS = 4
-SKETCH_BITS, BLOCKS, BITMAP = 24, 64, 16
+#: Hashes below come first in the order; the first fragment.
+LOW = 1 << 62
+BITMAP = 16
 NEEDED_BITS = 25
+#: Others that a set is compared with in the first round.
+ORDERS = 3
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -80,132 +87,97 @@ def _bitmap(grams: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _summary(docs: DataFrame) -> DataFrame:
-    """One row per document (``doc_id, n, sid, bits``) and rows with counts of the sketch, stored."""
-    schema = "doc_id long, n long, sid long, bits array<long>, block int, counts binary"
+def _posted(grams: np.ndarray, percent: int) -> int:
+    """How many n-grams of a set can stand in its prefix: the low ones, or so many of the first as a prefix has."""
+    return max(int(np.searchsorted(grams, np.uint64(LOW))), _prefix(len(grams), percent)) if len(grams) else 0
+
+
+def _summary(docs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, n, posted, sid, bits`` of every document, stored."""
+    schema = "doc_id long, n long, posted long, sid long, bits array<long>"
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
         for ids, texts in chunks(batches, ["doc_id", "text"]):
             sets = _sets(texts)
-            names = [_name(s) for s in sets]
-            distinct = {name: s for name, s in zip(names, sets, strict=True) if len(s)}
-            if distinct:
-                # Only n-grams that can stand in a prefix matter to the order.
-                low = np.concatenate([s[: 2 * _prefix(len(s), PERCENT)] for s in distinct.values()])
-                slots, times = np.unique(_slot(low), return_counts=True)
-                sketch[slots] = np.minimum(255, sketch[slots] + times)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "sid": pa.array(names, pa.int64()),
+                    "posted": pa.array([_posted(s, percent) for s in sets], pa.int64()),
+                    "sid": pa.array([_name(s) for s in sets], pa.int64()),
                     "bits": pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64())),
-                    "block": pa.nulls(len(sets), pa.int32()),
-                    "counts": pa.nulls(len(sets), pa.binary()),
                 }
             )
-        parts = np.split(sketch, BLOCKS)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "doc_id": pa.nulls(BLOCKS, pa.int64()),
-                "n": pa.nulls(BLOCKS, pa.int64()),
-                "sid": pa.nulls(BLOCKS, pa.int64()),
-                "bits": pa.nulls(BLOCKS, pa.list_(pa.int64())),
-                "block": pa.array(range(BLOCKS), pa.int32()),
-                "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
-            }
-        )
 
     return written(docs.select("doc_id", "text").mapInArrow(summarise, schema), "sets")
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)
-
-
-def _levels(summary: DataFrame) -> bytes:
-    """The frequency level of each sketch slot, a byte each: 0 for all but slots far above the mean."""
-    own = F.least(F.col("n"), 2 * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
-    counted = summary.filter(F.col("block").isNull()).groupBy("sid").agg(F.first(own).alias("own")).agg(F.sum("own")).first()[0]
-    frequent = 4 * (counted or 0) / (1 << SKETCH_BITS) + 16
+def _candidates(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``gram, sid, n, pos``: the n-grams of every set's prefix that other sets may have in theirs; stored.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = np.frombuffer(counts, np.uint8)
-                total[block] = total[block] + own if block in total else own.astype(np.uint32)
-        for block, counts in total.items():
-            above = np.floor(np.log2(np.maximum(counts, frequent) / frequent)).astype(np.uint8)
-            level = np.where(counts > frequent, above + 1, 0).astype(np.uint8)
-            yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())}
-            )
+    The sets of an n-gram are counted by a window, which spills a hot one's rows; of a set only the n-grams
+    that are not its own are brought together, and ``pos`` counts those before them.
+    """
 
-    rows = summary.filter(F.col("block").isNotNull()).select("block", "counts")
-    found = rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, level binary").collect()
-    parts = {r["block"]: bytes(r["level"]) for r in found}
-    return b"".join(parts.get(b, bytes((1 << SKETCH_BITS) // BLOCKS)) for b in range(BLOCKS))
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()  # copies in one task are posted once
+        for (texts,) in chunks(batches, ["text"]):
+            heads, names = [], []
+            for grams in _sets(texts):
+                if len(grams) and (name := _name(grams)) not in known:
+                    known.add(name)
+                    names.append(name)
+                    heads.append(grams[: _posted(grams, percent)])
+            if names:
+                sids = np.repeat(np.array(names, np.int64), [len(h) for h in heads])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(heads).view(np.int64)), pa.array(sids)], names=["gram", "sid"]
+                )
+
+    postings = docs.select("text").mapInArrow(post, "gram long, sid long")
+    every = W.partitionBy("gram")
+    counted = postings.select(
+        "gram", "sid", F.count(F.lit(1)).over(every).alias("df"),
+        F.min("sid").over(every).alias("low"), F.max("sid").over(every).alias("high"),
+    )
+    late = ~F.col("gram").between(0, LOW - 1)
+    order = F.struct(late.alias("late"), F.when(late, 0).otherwise(F.col("df")).alias("df"), "gram")
+    shared = counted.filter("low <> high").groupBy("sid").agg(F.sort_array(F.collect_set(order)).alias("shared"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    before = (F.col("posted") - F.size("shared")).cast("int")
+    first = F.transform(
+        F.slice("shared", F.lit(1), F.greatest(prefix - before, F.lit(0))),
+        lambda g, i: F.struct(g["gram"].alias("gram"), (before + i).alias("pos")),
+    )
+    rows = shared.join(sets, "sid").select("sid", F.col("n").cast("int").alias("n"), F.inline(first))
+    return written(rows, "candidates")
 
 
-def _ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set in the global order: by level, then by hash (``grams`` are sorted by hash)."""
-    own = levels[_slot(grams)]
-    return grams[np.argsort(own, kind="stable")] if own.any() else grams
+def _first_pairs(candidates: DataFrame, percent: int) -> DataFrame:
+    """For every set up to ``ORDERS`` others with which it shares a candidate n-gram: ``x, y``."""
+    member = F.struct("sid", "n", "pos")
+    rank = [F.xxhash64(F.lit(i), "sid") for i in range(ORDERS)]
+    firsts = candidates.groupBy("gram").agg(*[F.min(F.struct(r.alias("rank"), member.alias("set"))).alias(f"f{i}") for i, r in enumerate(rank)])
+    met = candidates.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos")]).join(firsts, "gram")
 
+    def chosen(first):
+        fits = _fits(F.col("n_x"), F.col("pos_x"), first["set"]["n"], first["set"]["pos"], percent)
+        return F.when(fits & (first["set"]["sid"] != F.col("sid_x")), F.struct(first["rank"].alias("rank"), first["set"]["sid"].alias("y")))
 
-_POSTING = "gram long, sid long, n int, pos int"
-_GROUPED = "gram long, sid long, n int, pos int, size int, others array<long>"
-_ORDERS = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    best = met.groupBy(F.col("sid_x").alias("x")).agg(*[F.min(chosen(F.col(f"f{i}"))).alias(f"b{i}") for i in range(ORDERS)])
+    others = F.array_distinct(F.array_compact(F.array(*[F.col(f"b{i}")["y"] for i in range(ORDERS)])))
+    return best.select("x", F.explode(others).alias("y"))
 
 
-def _groups(docs: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
-    """Prefix n-grams that two or more sets share, with the group's size and two of its sets; stored."""
+def _apart(one, other):
+    return sum((F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(BITMAP)), F.lit(0))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(levels.value, np.uint8)
-        for (texts,) in chunks(batches, ["text"]):
-            distinct = {_name(s): s for s in _sets(texts) if len(s)}
-            if not distinct:
-                continue
-            heads = [_ordered(s, table)[: _prefix(len(s), percent)] for s in distinct.values()]
-            sizes = np.array([len(h) for h in heads])
-            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "gram": pa.array(np.concatenate(heads).view(np.int64)),
-                    "sid": pa.array(np.repeat(np.array(list(distinct), np.int64), sizes)),
-                    "n": pa.array(np.repeat([len(s) for s in distinct.values()], sizes).astype(np.int32)),
-                    "pos": pa.array((np.arange(sizes.sum()) - first).astype(np.int32)),
-                }
-            )
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (held := list(batches)):
-            return
-        gram, sid, n, pos = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
-        order = np.lexsort((sid, gram))
-        gram, sid, n, pos = gram[order], sid[order], n[order], pos[order]
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])]  # one row per set
-        gram, sid, n, pos = gram[new], sid[new], n[new], pos[new]
-        begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        size = np.diff(np.r_[begin, len(gram)])
-        # The smallest and the largest set by name, and the smallest by hashes of the name.
-        firsts = [sid[begin], sid[begin + size - 1]]
-        for order in _ORDERS if len(begin) else ():
-            rank = mixed(sid.view(np.uint64) ^ order)
-            least = np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, begin), size))
-            firsts.append(sid[least])
-        chosen = np.repeat(np.stack(firsts, axis=1), size, axis=0)
-        several = np.repeat(size > 1, size)
-        columns = {"gram": gram, "sid": sid, "n": n, "pos": pos, "size": np.repeat(size, size).astype(np.int32)}
-        others = pa.array(chosen[several].tolist(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_pydict({**{k: pa.array(v[several]) for k, v in columns.items()}, "others": others})
-
-    postings = docs.select("text").mapInArrow(post, _POSTING)
-    count = partitions(docs.sparkSession)
-    return written(postings.repartition(count, "gram").mapInArrow(group, _GROUPED), "groups")
+def _may_link(n_a, n_b, bits_a, bits_b, percent: int):
+    """Whether sizes and bitmaps allow a link."""
+    total = n_a + n_b
+    sized = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sized & (total - _apart(bits_a, bits_b) >= 2 * _least(total, percent))
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,10 +185,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
     side = lambda end: sets.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
     both = ordered.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
-    total = F.col("n_a") + F.col("n_b")
-    need = _least(total, percent)
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (total - apart >= 2 * need)
+    fits = _may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
     return written(both.filter(fits).select("a", "b", "n_a", "n_b"), "pairs")
 
 
@@ -224,13 +193,12 @@ def _least(total, percent: int):
     return F.ceil(total * percent / F.lit(100.0 + percent))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, levels: Broadcast, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs that link: overlaps are counted per fragment of the order and summed per pair."""
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     needed = docs.sparkSession.sparkContext.broadcast(_marked(ids))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(levels.value, np.uint8)
         wanted = np.frombuffer(needed.value, np.uint64)
         for (texts,) in chunks(batches, ["text"]):
             distinct = {_name(s): s for s in _sets(texts) if len(s)}
@@ -239,8 +207,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, levels: Broadcast, percent: int)
                 place = (name & 0xFFFFFFFFFFFFFFFF) >> (64 - NEEDED_BITS)
                 if not int(wanted[place >> 6]) >> (place & 63) & 1:
                     continue
-                heavy = table[_slot(grams)] > 0
-                part = np.where(heavy, FRAGMENTS - 1, (grams >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32)
+                part = (grams >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32
                 for f in np.unique(part).tolist():
                     rows.append((name, f, grams[part == f].tobytes()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -286,34 +253,28 @@ def _marked(ids: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _fits(percent: int):
+def _fits(n_x, pos_x, n_y, pos_y, percent: int):
     """Whether a shared n-gram leaves room for a link, as if it were the first one shared."""
-    after = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    return sized & (after >= _least(F.col("n_x") + F.col("n_y"), percent))
+    sized = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent
+    return sized & (F.least(n_x - pos_x, n_y - pos_y) >= _least(n_x + n_y, percent))
 
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(sets, links)``: the set of every document, and links ``a, b`` between sets (enough for all classes)."""
-    context = docs.sparkSession.sparkContext
-    summary = _summary(docs)
-    levels = context.broadcast(_levels(summary))
-    members = summary.filter(F.col("block").isNull()).select("doc_id", "n", "sid", "bits")
+    members = _summary(docs, percent)
     sets = written(
-        members.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct"
+        members.filter("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "posted", "bits")]), "distinct"
     )
-    groups = _groups(docs, levels, percent)
-    stars = groups.select("sid", F.explode(F.array_distinct("others")).alias("other"))
-    first_pairs = _likely(stars.select(F.col("sid").alias("x"), F.col("other").alias("y")), sets, percent)
-    first_links = written(_linked(first_pairs, docs, levels, percent), "links")
+    candidates = _candidates(docs, sets, percent)
+    first_pairs = _likely(_first_pairs(candidates, percent), sets, percent)
+    first_links = written(_linked(first_pairs, docs, percent), "links")
 
     classes = components(first_links)
-    # Groups of up to three sets were compared in full. Of the others, pairs in different classes remain.
-    large = groups.filter("size > 3").join(classes, F.col("sid") == F.col("node"), "left")
-    large = large.select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+    placed = candidates.join(classes, F.col("sid") == F.col("node"), "left")
+    placed = placed.select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
     member = F.xxhash64("sid")
     mixed_groups = (
-        large.groupBy("gram")
+        placed.groupBy("gram")
         .agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("pos").alias("pos"),
             F.bit_xor(member).alias("odd"), F.sum(F.shiftright(member, 24)).alias("total"),
@@ -322,14 +283,18 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         .groupBy("size", "odd", "total")
         .agg(F.min_by("gram", F.struct("pos", "gram")).alias("gram"))
     )
-    open_sets = written(large.join(mixed_groups.select("gram"), "gram", "left_semi"), "open")
-    x = open_sets.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "root")])
-    y = open_sets.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "root")])
-    rest = x.join(y, "gram").filter((F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y")) & _fits(percent))
-    rest = rest.select(F.col("sid_x").alias("x"), F.col("sid_y").alias("y")).distinct()
-    more = _likely(rest, sets, percent).join(first_pairs, ["a", "b"], "left_anti")
-    more = written(more, "more-pairs")
-    links = first_links.union(_linked(more, docs, levels, percent)) if not more.isEmpty() else first_links
+    open_sets = placed.join(mixed_groups.select("gram"), "gram", "left_semi").join(sets.select("sid", "bits"), "sid")
+    open_sets = written(open_sets, "open")
+    columns = ("sid", "n", "pos", "root", "bits")
+    x = open_sets.select("gram", *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = open_sets.select("gram", *[F.col(c).alias(f"{c}_y") for c in columns])
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    apart = (F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y"))
+    near = _fits(n_x, F.col("pos_x"), n_y, F.col("pos_y"), percent) & _may_link(n_x, n_y, F.col("bits_x"), F.col("bits_y"), percent)
+    rest = x.join(y, (x["gram"] == y["gram"]) & apart & near)
+    rest = rest.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"), n_x.cast("long").alias("n_a"), n_y.cast("long").alias("n_b"))
+    more = written(rest.distinct().join(first_pairs, ["a", "b"], "left_anti"), "more-pairs")
+    links = first_links.union(_linked(more, docs, percent)) if not more.isEmpty() else first_links
     return members.select("doc_id", "n", "sid"), written(links, "all-links")
 
 

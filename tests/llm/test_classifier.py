@@ -74,3 +74,20 @@ def test_labels_and_source_are_no_inputs(spark, prose):
     one = {r.text: r.score for r in classifier.score(docs, model).collect()}
     other = docs.select((F.col("doc_id") + 50).alias("doc_id"), "text", F.lit("zz").alias("lang"), F.lit("q").alias("source"))
     assert {r.text: r.score for r in classifier.score(other, model).collect()} == one
+
+
+def test_long_labelled_texts_count_whole(spark):
+    """Only words of low-numbered buckets tell the labels apart, in texts of 6400 different words."""
+    common = [f"c{i}" for i in range(12_000)]
+    buckets = np.concatenate([classifier.features([w.encode()], [None])[0][:1] for w in common])
+    by_bucket = [common[i] for i in np.argsort(buckets, kind="stable")]
+    low, rest = by_bucket[:1600], by_bucket[2500:9000]
+    random = np.random.default_rng(1)
+    rows = [(i, " ".join([*random.choice(rest, 5600, replace=False), *low[i % 2 :: 2]]), 1) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, n_chars LONG")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id LONG, quality LONG")
+    scores = {r.doc_id: r.score for r in classifier.score(docs, classifier.fit(docs, labels)).collect()}
+    unseen = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([scores[i] > scores[j] for i in unseen if i % 2 for j in unseen if j % 2 == 0]) > 0.9
+    named = classifier.score(docs.withColumn("score", F.lit("own")), classifier.fit(docs, labels), "__quality")
+    assert named.columns == ["doc_id", "text", "n_chars", "score", "__quality"] and named.first().score == "own"

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tidemark.llm.words import Words, chunks
 
 WORD_BUCKETS, FACTORS = 1 << 15, 8
-SAMPLE, MOST_FEATURES = 12_000, 4096
+SAMPLE = 12_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 256, 0.1, 1e-5, 7
 THRESHOLD = 0.3
 
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, lengths, marks in chunks(batches, ["doc_id", "text", "n_chars", "label"]):
             index, value, starts = features(texts, lengths)
-            cut = [slice(max(a, b - MOST_FEATURES), b) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            cut = [slice(a, b) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
@@ -218,13 +218,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     return train(index, value, starts, np.array(table["label"].to_pylist(), np.float32)[order])
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 (an existing column of that name is replaced)."""
+def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
+    """``docs`` with the probability of label 1 as ``name`` (an existing column of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))
-    base = docs.drop("score")
+    base = docs.drop(name)
     names = base.columns
     stated = "n_chars" in names
-    schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(name, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*shared.value)
@@ -235,6 +235,6 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
                 known = lengths[0] if stated else [None] * len(texts)
                 done.append(machine.scores(*features(texts, known)))
             result = np.concatenate(done) if done else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, pa.float64())], names=[*names, name])
 
     return base.mapInArrow(scored, schema)

@@ -68,3 +68,24 @@ def test_bands():
     for s in range(1, 200):
         w = licenses.window_width(s)
         assert w + w // 2 - (w > 1) <= s
+
+
+def test_adjacent_copies_and_relatives(spark, prose):
+    """Copies that touch, altered ones among them, and notices whose wording differs in a few words only."""
+    mit = licenses.TEMPLATES["MIT"]
+    n = len(mit.split())
+    altered = mit.replace("modify", "mend")
+    docs = [(1, f"{mit} {mit}"), (2, f"{mit}\n{altered}\n{mit}"), (3, f"{prose(4)} {altered} {mit} {prose(3)} {mit}")]
+    got = scan(spark, docs)
+    assert [(d, name, start, words) for d, name, start, words, _ in got] == [
+        (1, "MIT", 0, n), (1, "MIT", n, n), (2, "MIT", 0, n), (2, "MIT", n, n), (2, "MIT", 2 * n, n),
+        (3, "MIT", 4, n), (3, "MIT", 4 + n, n), (3, "MIT", 7 + 2 * n, n),
+    ]
+    assert len(licenses.TEMPLATES) >= 30
+    names = list(licenses.TEMPLATES)
+    alone = scan(spark, [(i, f"{prose(9)}\n{licenses.TEMPLATES[name]}\n{prose(9)}") for i, name in enumerate(names)])
+    assert [(d, name, share) for d, name, _, _, share in alone] == [(i, name, 1.0) for i, name in enumerate(names)]
+    pairs = [(i, licenses.TEMPLATES[name] + "\n" + licenses.TEMPLATES[names[i - 1]]) for i, name in enumerate(names)]
+    both = scan(spark, pairs)
+    for i, name in enumerate(names):
+        assert {name, names[i - 1]} <= {x for d, x, *_ in both if d == i}, name

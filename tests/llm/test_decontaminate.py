@@ -126,3 +126,17 @@ def test_odd_rows(spark, prose):
     bench = spark.createDataFrame([(7, ITEM, "x")], BENCH)
     kept = decontaminate.without_leaks(rows, bench)
     assert kept.columns == rows.columns and sorted(r.text for r in kept.collect()) == ["clean", "none"]
+
+
+def test_tables_of_numbers_meet_only_themselves(spark, prose):
+    """Windows of placeholders only: rows in proportion to the input, copies found, others not."""
+    numbers = [str(prose.random.randrange(10**6)) for _ in range(3000)]
+    item = [str(prose.random.randrange(10**6)) for _ in range(200)]
+    docs = [(1, " ".join(numbers)), (2, " ".join(numbers[:500] + item[20:80] + numbers[500:900])), (3, prose(30) + " " + " ".join(item))]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in docs], DOC)
+    bench = spark.createDataFrame([(7, " ".join(item), "x")], BENCH)
+    windows = [decontaminate._window_rows(rows, "doc_id"), decontaminate._window_rows(bench, "item_id")]
+    assert windows[0].join(windows[1], "hash").count() < 5 * 300
+    found = {r.doc_id: r for r in decontaminate.find_leaks(rows, bench).collect()}
+    assert set(found) == {2, 3} and found[2].n_words == 60 and found[2].start_word == 500 and found[3].n_words == 200
+    assert found[2].exact and found[3].exact

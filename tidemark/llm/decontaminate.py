@@ -12,6 +12,10 @@ each for itself: names as plain words, which finds copies in any case and with a
 inside sentences as names; all capitals as names, for sentences that open with one. The last two are also
 read with names of several words as one place, so that a name may change its number of words.
 
+A window with fewer than ``FEW`` plain words is looked up by its literal words: windows of placeholders alone would
+all be one, and a table of numbers would meet every item that has numbers. So a stretch of such windows leaks only
+as it stands.
+
 Every window of every text is looked up. A filter of fixed size (``FILTER_BITS`` bits, whatever the size
 of the benchmark) keeps most windows that match nothing out of the shuffle; the join itself is Spark's.
 
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import Words, chunks, inside_texts, mixed, rolled
 
 WINDOW, ENOUGH, PLAIN = 8, 13, 5
+#: Windows of fewer plain words are looked up by their literal words.
+FEW = 2
 FILTER_BITS = 25
 #: Names are plain words; names inside sentences are slots, each word or each name one; all capitals are, likewise.
 STREAMS = ("no names", "inside", "inside, joined", "all", "all, joined")
@@ -149,6 +155,15 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *read.template(read.capital & ~read.opens), read.starts
 
 
+def _windows(hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The hash of every window: of its template, or of its literal words where too few of them are plain."""
+    places = np.zeros(len(slots) + 1, np.int64)
+    np.cumsum(slots != 0, out=places[1:])
+    bare = places[WINDOW:] - places[:-WINDOW] > WINDOW - FEW if len(slots) >= WINDOW else np.zeros(0, bool)
+    literal = rolled(np.where(slots != 0, slots, hashes), WINDOW)
+    return np.where(bare, mixed(literal), rolled(hashes, WINDOW))
+
+
 _HIT = "id long, stream long, tag long, pos long, word long, length long, hash long, slots binary"
 _ARROW = pa.schema([("id", pa.int64()), ("stream", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("word", pa.int64()),
                     ("length", pa.int64()), ("hash", pa.int64()), ("slots", pa.binary())])
@@ -165,7 +180,7 @@ def _window_rows(rows: DataFrame, id_column: str, bits=None) -> DataFrame:
         for ids, texts in chunks(batches, [id_column, "text"]):
             read = _Read(texts)
             for stream, (hashes, slots, firsts, starts) in enumerate(read.streams()):
-                grams = rolled(hashes, WINDOW) ^ _SALTS[stream]
+                grams = _windows(hashes, slots) ^ _SALTS[stream]
                 good = inside_texts(starts, len(grams), WINDOW)
                 if allowed is not None:
                     slot = grams >> np.uint64(64 - FILTER_BITS)

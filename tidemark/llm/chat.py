@@ -5,10 +5,14 @@ assistant's turns is trained on. A view is a sequence of segments, one row each
 rendered dialogue, so a dialogue of any length never has to fit one task; ``whole_views`` joins the
 segments of dialogues that are known to be small. No user functions.
 
+Control marks cannot be forged: in texts and names ``<|`` becomes ``< |``, so neither can open or close a turn, and
+line ends in a name become spaces, so a name cannot close its own header. Masks count the rendered characters.
+
 Defined results: a null text is empty, a null speaker is the user ``unknown``, a null turn comes first;
 turns with the same number are ordered by speaker and text, and repeated rows are repeated turns. A
 dialogue without participants (system turns only) has no view, an empty table none either. A null
-dialogue id is a dialogue of its own. Only the named columns are read.
+dialogue id is a dialogue of its own. Only the named columns are read. Turns that share one number are put in
+order by one task.
 """
 
 from __future__ import annotations
@@ -28,11 +32,16 @@ def _turns(turns: DataFrame, conv: str, turn: str, speaker: str, text: str) -> D
         F.col(conv).alias("conv_id"),
         F.struct(F.col(conv).isNull().alias("none"), F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("id")).alias("conv"),
         F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text), F.lit("")).alias("content"),
+        _tame(F.regexp_replace(F.coalesce(F.col(speaker), F.lit("unknown")), r"[\r\n]", " ")).alias("speaker"),
+        _tame(F.coalesce(F.col(text), F.lit(""))).alias("content"),
     )
 
 
+def _tame(text: Column) -> Column:
+    """``text`` without anything that reads as a control mark."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
 def perspectives(
     turns: DataFrame,
     conv: str = "conv_id",

@@ -87,9 +87,11 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc
 FROM w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least ON least.a = w.doc_id
 """
 
-OP10 = """
+OP10 = r"""
 WITH t AS (
-    SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+    SELECT conv_id, turn, replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]', ' ', 'g'), '<|', '< |') AS speaker,
+           replace(coalesce(text, ''), '<|', '< |') AS content
+    FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 r AS (
     SELECT conv_id, perspective, turn, speaker, content,

@@ -33,7 +33,7 @@ SIZE = 4
 SEED = 42
 RADIUS = 4
 #: Variants that are sorted at once, and the share of them that a key holds on average.
-AT_ONCE = 8_000_000
+AT_ONCE = 3_000_000
 A_KEY = 1_000_000
 #: Parities at the head of every key.
 SPREAD = 5
@@ -125,7 +125,7 @@ def _spread(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterat
     """Each fingerprint to every key that one of its variants has: ``key, prints`` with packed numbers."""
     rows = _rows(bits)
     touched = np.unique(_key(_variants(radius), rows))
-    step = max(1, 4_000_000 // len(touched))
+    step = max(1, 1_000_000 // len(touched))
     for batch in batches:
         prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for start in range(0, len(prints), step):

@@ -16,8 +16,8 @@ from tidemark.session import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of ``sf_dir``."""
     model = classifier.fit(docs, with_package(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = classifier.score(docs, model)
-    return scored.filter(F.col("score") >= classifier.THRESHOLD).drop("score")
+    scored = classifier.score(docs, model, "__quality")
+    return scored.filter(F.col("__quality") >= classifier.THRESHOLD).drop("__quality")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a document with a smaller id holds as well."""
+    """Texts without passages that a document with a smaller id holds as well; columns keep their types."""
     with_package(spark)
-    return substrings.deduplicated(docs)
+    return substrings.deduplicated(docs).to(docs.schema)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,31 @@ def test_whole_table(spark):
     rows = sharding.shard(docs, 40).collect()
     sizes = [sum(r.size for r in own) for own in shards_of(rows, 40).values()]
     assert len(sizes) == 40 and max(sizes) <= 1.06 * sum(sizes) / 40
+
+
+def test_the_tree_is_the_plain_one(spark, prose):
+    """Every node is cut along its widest dimension at the weighted median of its rows, found here by sorting them."""
+    docs = [(3 * i, prose(prose.random.randrange(1, 60)), "en de fr es".split()[i % 4], f"s{i % 9}", None, "x") for i in range(900)]
+    docs += [(9000 + i, "same", "en", "s1", None, "x") for i in range(40)]
+    points, dimensions, target = sharding._points(spark.createDataFrame(docs, SCHEMA).repartition(3), 13)
+    tree = sharding.build_tree(points, dimensions, 13, target)
+    nodes = [(tree, [r.asDict() for r in points.collect()])]
+    leaves = 0
+    while nodes:
+        node, rows = nodes.pop()
+        if node.left is None:
+            assert node.shards == 1
+            leaves += 1
+            continue
+        span = {d: max(r[d] >> 39 for r in rows) - min(r[d] >> 39 for r in rows) for d in dimensions}
+        assert span[node.dimension] == max(span.values())
+        left = [r for r in rows if r[node.dimension] <= node.cut]
+        wanted = sum(r["size"] for r in rows) * node.left.shards / node.shards
+        keys, weight = {}, 0
+        for r in rows:
+            keys[r[node.dimension]] = keys.get(r[node.dimension], 0) + r["size"]
+        reached = [0] + [weight := weight + keys[k] for k in sorted(keys)]
+        nearest = min(abs(w - wanted) for w in reached)
+        assert abs(sum(r["size"] for r in left) - wanted) <= nearest + target * sharding.EXACT
+        nodes += [(node.left, left), (node.right, [r for r in rows if r[node.dimension] > node.cut])]
+    assert leaves == 13

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -72,3 +74,20 @@ def test_a_result_without_its_mark_does_not_count(spark, tmp_path):
     os.remove(f"{folder}/_SUCCESS")
     out, found = reused(str(tmp_path), "counts", *asked, counted)
     assert not found and rows(out) == [(1, 1)] and os.path.exists(f"{folder}/_SUCCESS")
+
+
+def test_work_folders_go_once_results_are_stored(spark, tmp_path):
+    # In a process of its own, because a clean ends all that other tests still read.
+    script = """
+import os, sys
+from tidemark.session import clean, local_session, work_dir, written
+spark = local_session(2)
+rows = written(spark.range(9), "things")
+stream = work_dir(spark, "stream")
+rows.write.parquet(sys.argv[1])
+gone = clean(spark)
+assert len(gone) == 2 and stream in gone and not any(os.path.exists(g) for g in gone), gone
+assert spark.read.parquet(sys.argv[1]).count() == 9 and clean(spark) == []
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", script, f"{tmp_path}/kept"], cwd=root, check=True, timeout=300)

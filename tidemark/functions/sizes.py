@@ -36,6 +36,7 @@ def gigabytes(text: Column, strict: bool = False) -> Column:
     A label without a unit counts as GB, and so does one in KB or B unless ``strict``.
     """
     units = "TB|GB|MB|KB|B" if strict else "TB|GB|MB"
+    # Fixed value: how a size label is written.
     pattern = rf"(?i)([\d.]+)\s*({units})?"
     number = F.regexp_extract(text, pattern, 1)
     amount = F.regexp_extract(number, r"^(\d*\.?\d*)", 1).try_cast("double")

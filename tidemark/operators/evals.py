@@ -159,12 +159,16 @@ def front_matter_block(text: Column) -> Column:
     )
 
 
+# Fixed value: how a key of the front matter is written.
+KEY = "[a-z][a-z0-9-]*"
+
+
 def front_matter(docs: DataFrame) -> DataFrame:
     """Front matter as ``doc_id, key, value``; the lines that continue a value are joined with spaces."""
     # A key starts a line; lines up to the next key belong to it.
     pairs = F.regexp_extract_all(
         F.concat(F.lit("\n"), front_matter_block(F.col("text"))),
-        F.lit(r"\n([a-z][a-z0-9-]*):([^\n]*(?:\n(?![a-z][a-z0-9-]*:)[^\n]*)*)"),
+        F.lit(rf"\n({KEY}):([^\n]*(?:\n(?!{KEY}:)[^\n]*)*)"),
         F.lit(0),
     )
 
@@ -174,9 +178,9 @@ def front_matter(docs: DataFrame) -> DataFrame:
             F.filter(parts, lambda part: ~part.isin("", ">", ">-", ">+", "|", "|-", "|+")), " "
         )
 
-    key = F.regexp_extract("pair", r"^\n([a-z][a-z0-9-]*):", 1)
+    key = F.regexp_extract("pair", rf"^\n({KEY}):", 1)
     return docs.select("doc_id", F.explode(pairs).alias("pair")).select(
-        "doc_id", key.alias("key"), folded(F.regexp_replace("pair", r"^\n[a-z][a-z0-9-]*:", "")).alias("value")
+        "doc_id", key.alias("key"), folded(F.regexp_replace("pair", rf"^\n{KEY}:", "")).alias("value")
     )
 
 
@@ -190,7 +194,7 @@ def missing_keys(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def description(text: Column) -> Column:
     """The ``description`` of the front matter with its lines joined; empty where there is none."""
     block = F.concat(F.lit("\n"), front_matter_block(text))
-    raw = F.regexp_extract(block, r"\ndescription:([^\n]*(?:\n(?![a-z][a-z0-9-]*:)[^\n]*)*)", 1)
+    raw = F.regexp_extract(block, rf"\ndescription:([^\n]*(?:\n(?!{KEY}:)[^\n]*)*)", 1)
     parts = F.transform(tx.lines(raw), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
     return F.coalesce(
         F.array_join(F.filter(parts, lambda part: ~part.isin("", ">", ">-", ">+", "|", "|-", "|+")), " "), F.lit("")

@@ -546,6 +546,7 @@ def duplicate_installs(installs: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: how a line of a checksum manifest is written.
 MANIFEST_LINE = r"^([0-9a-f]{64})\s\s([A-Za-z0-9._/-]+)$"
 
 

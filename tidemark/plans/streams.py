@@ -12,6 +12,8 @@ from tidemark.sources.tables import table
 from tidemark.streaming import boards, classes, feed, runs, versions, violations
 from tidemark.streaming import mirror as mirroring
 
+#: Buckets of the mirror and the counters over the given tables, where every batch touches all of them.
+BUCKETS = 16
 APPLIED = """
     WITH last AS (SELECT id, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM changes GROUP BY id)
     SELECT id, value FROM mirror WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, value FROM last WHERE op = 'upsert'"""
@@ -77,7 +79,7 @@ def _(spark, folder):
 @query("mirror_stream", "mirror", "changes", sql=APPLIED)
 def _(spark, folder):
     path = work_dir(spark, "mirror")
-    mirroring.rebuild_mirror(snapshot(spark, folder), snapshot_rows, path)
+    mirroring.rebuild_mirror(snapshot(spark, folder), snapshot_rows, path, buckets=BUCKETS)
     changes = derived.changes(spark, folder)
     landed(spark, changes, "seq", "changes", lambda stream: mirroring.mirror_stream(stream, path))
     return versions.read(spark, path)
@@ -112,7 +114,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = work_dir(spark, "streaks")
     results = derived.run_rows(table(spark, folder, "events"))
-    landed(spark, results, "seq", "runs", lambda stream: runs.streak_alerts(stream, path, slice_size=1000))
+    landed(spark, results, "seq", "runs", lambda stream: runs.streak_alerts(stream, path, slice_size=1000, buckets=BUCKETS))
     return runs.read_alerts(spark, path)
 
 

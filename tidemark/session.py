@@ -27,6 +27,10 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+#: Work folders made by this process, for ``clean``.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one job's written tables and stream checkpoints.
 
@@ -38,10 +42,26 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         "spark.checkpoint.dir", None
     ) or spark.sparkContext.getCheckpointDir()
     if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        _made.append(f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+        return _made[-1]
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix=f"tidemark-{purpose}-")
+    _made.append(tempfile.mkdtemp(prefix=f"tidemark-{purpose}-"))
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> list[str]:
+    """Delete the work folders made so far by this process; returns them.
+
+    Results of queries are read from these folders until they are stored, so store them first. Folders given
+    by a caller, such as a mirror's, are not touched.
+    """
+    gone = []
+    while _made:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made[-1])
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        gone.append(_made.pop())
+    return gone
 
 
 def written(df, purpose: str):

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.ordered import blocks, latest_before
+from tidemark.session import checkpoint
 from tidemark.streaming import versions
 
 KEYS = ["run", "check"]
@@ -40,14 +41,15 @@ def advance(state: DataFrame, batch: DataFrame, *, n: int, slice_size: int) -> t
     found = _streaks(batch, n, slice_size)
     carried = state.select(*KEYS, F.col("first_seq").alias("since"), F.col("failures").alias("before"))
     opening = F.col("last_ok").isNull() & F.col("before").isNotNull()
-    joined = found.join(carried, KEYS, "left").select(
+    # One row per streak; alerts and counters are both made from it.
+    joined = checkpoint(found.join(carried, KEYS, "left").select(
         *KEYS,
         "last_ok",
         F.when(opening, F.col("since")).otherwise(F.col("first_seq")).alias("first_seq"),
         (F.col("failures") + F.when(opening, F.col("before")).otherwise(0)).alias("failures"),
         F.when(opening, F.col("before")).otherwise(F.lit(0)).alias("before"),
         "heads",
-    )
+    ))
     alerts = joined.filter((F.col("failures") >= n) & (F.col("before") < n)).select(
         *KEYS, "first_seq", F.get("heads", (n - 1 - F.col("before")).cast("int")).alias("alert_seq")
     )

@@ -113,7 +113,9 @@ def write(
     spark = df.sparkSession
     place = f"rows-{version}"
     bucketed = df.withColumn(_BUCKET, bucket(keys, buckets)).hint("rebalance", _BUCKET)
-    bucketed.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/{place}")
+    # Files may appear one by one, as nothing reads them before the manifest names them.
+    writer = bucketed.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(_BUCKET).parquet(f"{path}/{place}")
     where, files = _files(spark, f"{path}/{place}/{_BUCKET}=*")
     folders = dict(carried or {})
     for status in files.globStatus(where) or []:

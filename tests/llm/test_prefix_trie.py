@@ -36,15 +36,19 @@ def brute_nodes(rows):
     for c, ts in convs.items():
         for d in range(len(ts) + 1):
             members.setdefault(ts[:d], []).append(c)
+    children, leaves, saved = ({p: 0 for p in members} for _ in range(3))
+    for p, ids in members.items():
+        if p:
+            children[p[:-1]] += 1
+    for p, ids in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(ids) - 1) * len(brute.words(p[-1][1])) if p else 0
     result = []
     for prefix, ids in members.items():
-        under = [p for p in members if p[: len(prefix)] == prefix]
-        children = [p for p in under if len(p) == len(prefix) + 1]
-        leaves = [p for p in under if not any(q[:-1] == p and q for q in members)]
-        saved = sum((len(members[p]) - 1) * len(brute.words(p[-1][1])) for p in under if p)
         ends = ",".join(str(c) for c in sorted(ids) if convs[c] == prefix)
         result.append((
-            min(ids), len(prefix), min(members[prefix[:-1]]) if prefix else None, len(ids), len(children), len(leaves), saved,
+            min(ids), len(prefix), min(members[prefix[:-1]]) if prefix else None, len(ids), children[prefix], leaves[prefix], saved[prefix],
             hashlib.sha256(ends.encode()).hexdigest(),
         ))
     return sorted(result, key=str)

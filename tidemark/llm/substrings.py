@@ -1,10 +1,9 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication: factors of a document that also stand in documents with a smaller id.
 
-A document is parsed against everything that stands in documents with a smaller id. Its factors are the
-longest stretches that a reference holds in one place; those of at least ``WINDOW`` words are duplicate
-spans. Greedy factors can hide a repeat that begins in one and ends in the next, so every window across a
-factor boundary is looked up by itself: a word is in a span exactly if some window of ``WINDOW`` words
-over it also starts in a document with a smaller id.
+A word is in a duplicate span exactly if some window of ``WINDOW`` words over it also starts in a document with a
+smaller id. All such windows are found by a join, and those that follow each other in one source are strung into
+factors. This replaces a greedy Lempel-Ziv parse: a greedy factor is the longest match in one document, and a
+repeat that begins in it and ends in the next one's can be lost, which no word of a repeat may be.
 
 The reference is indexed in blocks. Blocks are parts of a shuffle by anchor: of each window, the run of
 ``ANCHOR`` words with the smallest hash (the leftmost if several), which depends on the window alone, so

@@ -57,7 +57,7 @@ def test_stories_their_reports_edges_and_merges(spark, tmp_path):
 
 def test_daily_index(spark, tmp_path):
     given = [{"schemaVersion": 1, "count": 1, "items": [{"date": "2026-01-02", "lead": "x", "links": {"site": "https://site.test/d"}}]}]
-    rows = tables.daily_dates(saved(spark, tmp_path, "dailies", given, tables.DAILY_INDEX)).collect()
+    rows = tables.daily_dates(saved(spark, tmp_path, "dailies", given, tables.DAILY_INDEX), "site").collect()
     assert [tuple(r) for r in rows] == [(dt.date(2026, 1, 2), "x", "https://site.test/d")]
 
 

@@ -177,9 +177,9 @@ def story_aliases(responses: DataFrame) -> DataFrame:
     return moved.dropna().filter("old_id <> new_id").distinct()
 
 
-def daily_dates(responses: DataFrame) -> DataFrame:
-    """``date, lead, link`` of the dailies that ``DAILY_INDEX`` documents list."""
-    return responses.select(F.explode("items").alias("i")).select("i.date", "i.lead", F.col("i.links")["site"].alias("link"))
+def daily_dates(responses: DataFrame, site_key: str) -> DataFrame:
+    """``date, lead, link`` of the dailies that ``DAILY_INDEX`` documents list; ``site_key`` names the link."""
+    return responses.select(F.explode("items").alias("i")).select("i.date", "i.lead", F.col("i.links")[site_key].alias("link"))
 
 
 def scan_entries(scans: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpoint
+
 
 def blocks(start: Column, end: Column, bits: int) -> Column:
     """``[(level, block)]`` of the numbers ``start`` to ``end`` (both included, within ``0 .. 2 ** bits - 1``)."""
@@ -42,8 +44,12 @@ def holding(
     Numbers lie in ``0 .. 2 ** bits - 1``. A null key, number or end matches nothing, nor does a span that ends
     before it starts. Columns other than the keys must differ. Only the block lengths that occur are tried.
     """
-    cut = spans.select("*", F.inline(blocks(start, end, bits)).alias("__level", "__block"))
-    levels = sorted(r[0] for r in cut.select("__level").distinct().collect())
+    # Equal spans are cut once.
+    ends = spans.select("*", start.cast("long").alias("__start"), end.cast("long").alias("__end"))
+    limits = ends.select("__start", "__end").dropna().distinct()
+    pieces = checkpoint(limits.select("*", F.inline(blocks(F.col("__start"), F.col("__end"), bits)).alias("__level", "__block")))
+    cut = ends.join(pieces, ["__start", "__end"]).drop("__start", "__end")
+    levels = sorted(r[0] for r in pieces.select("__level").distinct().collect())
     tried = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(at.cast("long"), n).alias("block")) for n in levels])
     if not levels:
         tried = F.array().cast("array<struct<level:int,block:bigint>>")

@@ -4,8 +4,10 @@ import hashlib
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import substrings
+from tidemark.llm.words import Words, rolled
 
 SCHEMA = "doc_id LONG, text STRING"
 
@@ -69,6 +71,33 @@ def test_documents_keep_their_columns(spark, prose):
     assert got[1][4] == len(text) and got[4] == (4, None, "es", None, None)
 
 
+@pytest.mark.parametrize("share", [1, 8, 1 << 40])
+def test_crowded_anchors(spark, prose, monkeypatch, share):
+    """Windows of anchors in many texts are dealt one by one; whichever anchors count as such, the rows are the same."""
+    monkeypatch.setattr(substrings, "SHARE", share)
+    passage, tail = prose(40), prose(9)
+    docs = [(i, f"{prose(7)} {passage} {prose(6)} {tail if i % 2 else passage[:80]}") for i in range(40)]
+    docs += [(60, passage), (61, prose(20)), (61, f"x {passage}"), (62, "go " * 300)]
+    check(spark, docs)
+
+
+def test_a_crowded_anchor_is_worked_by_many_tasks(spark, prose):
+    """One phrase in every text, each time between other words: its windows do not all go to one part."""
+    phrase = min((prose(5) for _ in range(300)), key=lambda p: rolled(Words([p.encode()]).flat, 5)[0])
+    docs = spark.createDataFrame([(i, f"{prose(12)} {phrase} {prose(12)}") for i in range(400)], SCHEMA)
+    shared = substrings._shared_anchors(docs).cache()
+    crowded = substrings._crowded(shared)
+    by_doc = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    texts = docs.withColumn("tag", F.lit(0).cast("long")).join(by_doc, "doc_id")
+    runs = substrings._runs(texts.select("doc_id", "tag", "anchors", "text"), crowded)
+    most = runs.groupBy("anchor").count().orderBy(F.desc("count")).first()
+    rows = runs.filter(F.col("anchor") == most["anchor"])
+    assert most["count"] > 400 and rows.filter("lone").count() == most["count"]
+    assert rows.select("hashes").distinct().count() == most["count"]
+    assert substrings._crowded(shared.limit(0)).sum() == 0
+    shared.unpersist()
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")

@@ -12,6 +12,11 @@ equal windows meet in one block. Two rounds keep the shuffles small:
 1. anchors and ids alone show which anchors stand in several documents;
 2. only windows with such an anchor are sent, as hashes, together with their anchor.
 
+The stored result of the first round also tells which anchors many documents share: they are counted in
+``SLOTS`` slots by their lowest bits, and those of a slot above one part in ``SHARE`` are crowded. Windows of
+a crowded anchor are sent one by one and dealt by their own hash, so that an anchor in a third of all
+documents is worked by many tasks; equal windows still meet.
+
 Both rounds first drop within a batch what a smaller document of the batch already decides, so that a
 passage in a third of all documents sends one row per batch.
 
@@ -31,8 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import Words, chunks, inside_texts, partitions, rolled, row_tag
+from tidemark.session import written
 
 WINDOW, ANCHOR = 13, 5
+SLOTS, SHARE = 1 << 16, 1 << 12
 _REACH = WINDOW - ANCHOR + 1
 
 
@@ -61,7 +68,7 @@ def _known_rows(ids: list, texts: list[bytes]) -> tuple[np.ndarray, list[bytes],
 
 
 def _shared_anchors(docs: DataFrame) -> DataFrame:
-    """``doc_id, anchors``: of each document, the anchors that stand in another document as well."""
+    """``doc_id, anchor``: of each document, the anchors that stand in another document as well."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches, ["doc_id", "text"]):
@@ -114,16 +121,27 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[pick]), "anchor": pa.array(anchor[pick])})
 
     met = sent.select("anchor", "doc_id", "state").repartition(count, key)
-    back = met.mapInArrow(answer, "doc_id long, anchor long")
-    return back.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    return met.mapInArrow(answer, "doc_id long, anchor long")
+
+
+def _crowded(shared: DataFrame) -> np.ndarray:
+    """A flag per slot: whether its anchors hold more than one part in ``SHARE`` of all rows.
+
+    The driver gets one count per slot, ``SLOTS`` at most, whatever the size of the corpus.
+    """
+    slot = F.col("anchor").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    found = shared.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return counts * SHARE > counts.sum()
 
 
-_RUN = "anchor long, doc_id long, tag long, at long, hashes binary"
+_RUN = "anchor long, doc_id long, tag long, at long, hashes binary, lone boolean"
 PIECE = "doc_id long, tag long, at long, windows long, source_id long, source_at long"
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """Runs of windows that hang on one shared anchor, with their hashes.
+def _runs(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
+    """Runs of windows that hang on one shared anchor, with their hashes; of a crowded one, windows one by one.
 
     Of equal runs in a batch only that of the smallest id is sent as a question; the others get their
     answer here, as a row whose ``hashes`` are null and whose ``anchor`` names no block.
@@ -145,7 +163,8 @@ def _runs(texts: DataFrame) -> DataFrame:
             if not len(windows):
                 continue
             full = rolled(flat, WINDOW)
-            begins = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])])
+            lone = crowded[(grams[anchors] & np.uint64(SLOTS - 1)).astype(np.int64)]
+            begins = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1]) | lone[1:]])
             ends = np.r_[begins[1:], len(windows)]
             number = np.array([ids[keep[n]] for n in owner[begins]], np.int64)
             tag = np.array([tags[keep[n]] for n in owner[begins]], np.int64)
@@ -159,16 +178,22 @@ def _runs(texts: DataFrame) -> DataFrame:
                     lead[key[r], packed[r]] = r
             source = np.array([lead[key[r], packed[r]] for r in range(len(begins))])
             ask = (source == np.arange(len(begins))) | (number[source] == number)
+            # Answers that go on in one source become one row again.
+            size, source_id, source_at = ends - begins, number[source], at[source]
+            goes_on = ~ask[1:] & ~ask[:-1] & (owner[begins[1:]] == owner[begins[:-1]]) & (at[1:] == at[:-1] + size[:-1])
+            goes_on &= (source_id[1:] == source_id[:-1]) & (source_at[1:] == source_at[:-1] + size[:-1])
+            heads = np.flatnonzero(np.r_[True, ~goes_on])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "anchor": pa.array(key),
-                    "doc_id": pa.array(number),
-                    "tag": pa.array(tag),
-                    "at": pa.array(at),
-                    "hashes": pa.array([p if a else None for p, a in zip(packed, ask, strict=True)], pa.binary()),
-                    "windows": pa.array(ends - begins),
-                    "source_id": pa.array(number[source]),
-                    "source_at": pa.array(at[source]),
+                    "anchor": pa.array(key[heads]),
+                    "doc_id": pa.array(number[heads]),
+                    "tag": pa.array(tag[heads]),
+                    "at": pa.array(at[heads]),
+                    "hashes": pa.array([packed[r] if ask[r] else None for r in heads], pa.binary()),
+                    "lone": pa.array(lone[begins[heads]]),
+                    "windows": pa.array(np.add.reduceat(size, heads)),
+                    "source_id": pa.array(source_id[heads]),
+                    "source_at": pa.array(source_at[heads]),
                 }
             )
 
@@ -178,7 +203,8 @@ def _runs(texts: DataFrame) -> DataFrame:
 def _answered(runs: DataFrame, count: int) -> DataFrame:
     """``PIECE`` rows: windows in a row that stand, in the same order, in a document with a smaller id."""
     settled = F.col("hashes").isNull()
-    key = F.when(settled, F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
+    one = F.when(F.col("lone"), F.xxhash64("anchor", "hashes"))
+    key = F.when(settled, F.xxhash64("doc_id", "at")).otherwise(F.coalesce(one, F.col("anchor")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {c: [] for c in ("anchor", "doc_id", "tag", "at", "hashes")}
@@ -254,8 +280,11 @@ def factors(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
 def duplicate_factors(docs: DataFrame) -> DataFrame:
     """``doc_id, pieces`` for documents with duplicate spans; the ``tag`` of a piece tells rows of one id apart."""
     # Both rounds join the texts the same way, so that Spark shuffles them once and reuses that.
-    texts = docs.withColumn("tag", row_tag()).join(_shared_anchors(docs), "doc_id", "left")
-    pieces = _answered(_runs(texts.select("doc_id", "tag", "anchors", "text")), partitions(docs.sparkSession))
+    shared = written(_shared_anchors(docs), "anchors")
+    anchors = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    texts = docs.withColumn("tag", row_tag()).join(anchors, "doc_id", "left")
+    runs = _runs(texts.select("doc_id", "tag", "anchors", "text"), _crowded(shared))
+    pieces = _answered(runs, partitions(docs.sparkSession))
     piece = F.struct("tag", "at", "windows", "source_id", "source_at")
     return pieces.groupBy("doc_id").agg(F.collect_set(piece).alias("pieces"))
 

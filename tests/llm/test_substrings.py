@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,22 @@ def test_crowded_anchors(spark, prose, monkeypatch, share):
     check(spark, docs)
 
 
+@pytest.mark.parametrize("share", [1, 1 << 40])
+def test_repeats_inside_a_text(spark, prose, monkeypatch, share):
+    """A window that a text repeats is asked for once, in whichever text it stands, and goes at all its places."""
+    monkeypatch.setattr(substrings, "SHARE", share)
+    a, b = prose(15), prose(21)
+    docs = [(i, f"{prose(3)} {a} {prose(i % 4)} {a} {b} {'on off ' * (20 + i)}{prose(2)} {b} {a}") for i in range(12)]
+    docs += [(3, docs[3][1]), (20, "on off " * 200), (21, "off on " * 7), (22, f"{b} " * 9), (0, f"{b} {b}")]
+    check(spark, docs)
+    rows = spark.createDataFrame(docs, SCHEMA).coalesce(1)
+    by_doc = substrings._shared_anchors(rows).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    texts = rows.withColumn("tag", F.monotonically_increasing_id()).join(by_doc, "doc_id").coalesce(1)
+    runs = substrings._runs(texts.select("doc_id", "tag", "anchors", "text"), np.full(substrings.SLOTS, share == 1))
+    asked = runs.filter("hashes IS NOT NULL").groupBy("tag", "anchor", "hashes").count()
+    assert asked.filter("count > 1").count() == 0
+
+
 def test_a_crowded_anchor_is_worked_by_many_tasks(spark, prose):
     """One phrase in every text, each time between other words: its windows do not all go to one part."""
     phrase = min((prose(5) for _ in range(300)), key=lambda p: rolled(Words([p.encode()]).flat, 5)[0])

@@ -15,7 +15,8 @@ equal windows meet in one block. Two rounds keep the shuffles small:
 The stored result of the first round also tells which anchors many documents share: they are counted in
 ``SLOTS`` slots by their lowest bits, and those of a slot above one part in ``SHARE`` are crowded. Windows of
 a crowded anchor are sent one by one and dealt by their own hash, so that an anchor in a third of all
-documents is worked by many tasks; equal windows still meet.
+documents is worked by many tasks; equal windows still meet. A window that a text repeats is asked for where it
+stands first; its repeats name the place before and get that one's answer when the text is cut.
 
 Both rounds first drop within a batch what a smaller document of the batch already decides, so that a
 passage in a third of all documents sends one row per batch.
@@ -144,7 +145,8 @@ def _runs(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
     """Runs of windows that hang on one shared anchor, with their hashes; of a crowded one, windows one by one.
 
     Of equal runs in a batch only that of the smallest id is sent as a question; the others get their
-    answer here, as a row whose ``hashes`` are null and whose ``anchor`` names no block.
+    answer here, as a row whose ``hashes`` are null and whose ``anchor`` names no block. A run that stands
+    earlier in its own text names that place, with a null ``source_id``.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +173,26 @@ def _runs(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
             at = windows[begins] - starts[owner[begins]]
             key = grams[anchors[begins]].view(np.int64)
             packed = [full[windows[b] : windows[e - 1] + 1].tobytes() for b, e in zip(begins, ends, strict=True)]
+            row, runs = owner[begins], list(zip(key.tolist(), packed, strict=True))
             lead: dict[tuple[int, bytes], int] = {}
-            for r in range(len(begins)):
-                best = lead.setdefault((key[r], packed[r]), r)
+            last: dict[tuple[int, bytes], int] = {}
+            before = np.full(len(runs), -1)
+            for r, run in enumerate(runs):
+                best = lead.setdefault(run, r)
                 if (number[r], at[r]) < (number[best], at[best]):
-                    lead[key[r], packed[r]] = r
-            source = np.array([lead[key[r], packed[r]] for r in range(len(begins))])
-            ask = (source == np.arange(len(begins))) | (number[source] == number)
+                    lead[run] = r
+                other = last.get(run)
+                if other is not None and row[other] == row[r]:
+                    before[r] = other
+                last[run] = r
+            source = np.array([lead[run] for run in runs])
+            again = before >= 0
+            ask = ~again & ((source == np.arange(len(runs))) | (number[source] == number))
             # Answers that go on in one source become one row again.
-            size, source_id, source_at = ends - begins, number[source], at[source]
-            goes_on = ~ask[1:] & ~ask[:-1] & (owner[begins[1:]] == owner[begins[:-1]]) & (at[1:] == at[:-1] + size[:-1])
-            goes_on &= (source_id[1:] == source_id[:-1]) & (source_at[1:] == source_at[:-1] + size[:-1])
+            size, source_id, source_at = ends - begins, number[source], at[np.where(again, before, source)]
+            goes_on = ~ask[1:] & ~ask[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + size[:-1])
+            goes_on &= (again[1:] == again[:-1]) & (again[1:] | (source_id[1:] == source_id[:-1]))
+            goes_on &= source_at[1:] == source_at[:-1] + size[:-1]
             heads = np.flatnonzero(np.r_[True, ~goes_on])
             yield pa.RecordBatch.from_pydict(
                 {
@@ -192,7 +203,7 @@ def _runs(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
                     "hashes": pa.array([packed[r] if ask[r] else None for r in heads], pa.binary()),
                     "lone": pa.array(lone[begins[heads]]),
                     "windows": pa.array(np.add.reduceat(size, heads)),
-                    "source_id": pa.array(source_id[heads]),
+                    "source_id": pa.array(source_id[heads], mask=again[heads]),
                     "source_at": pa.array(source_at[heads]),
                 }
             )
@@ -257,6 +268,21 @@ def _answered(runs: DataFrame, count: int) -> DataFrame:
     return runs.repartition(count, key).mapInArrow(answer, PIECE)
 
 
+def _with_repeats(pieces: list[dict]) -> list[tuple[int, int, int, int]]:
+    """Pieces as tuples; those that name an earlier place of their own text get the answers of that place."""
+    plain = [(p["at"], p["windows"], p["source_id"], p["source_at"]) for p in pieces if p["source_id"] is not None]
+    repeats = sorted((p["at"], p["windows"], p["source_at"]) for p in pieces if p["source_id"] is None)
+    if not repeats:
+        return plain
+    known = {at + k: (source, place + k) for at, n, source, place in sorted(plain, reverse=True) for k in range(n)}
+    for at, n, earlier in repeats:
+        # In ascending order, so a repeat of a repeat finds an answer already.
+        for k in range(n):
+            if earlier + k in known:
+                known.setdefault(at + k, known[earlier + k])
+    return [(at, 1, source, place) for at, (source, place) in known.items()]
+
+
 def factors(pieces: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Greedy parse: ``(first word, words, source id, source word)`` from looked-up windows.
 
@@ -290,8 +316,7 @@ def duplicate_factors(docs: DataFrame) -> DataFrame:
 
 
 def _cut(words: list[bytes], tag: int, pieces: list[dict] | None) -> tuple[list[tuple], np.ndarray]:
-    own = [p for p in pieces or () if p["tag"] == tag]
-    spans = factors([(p["at"], p["windows"], p["source_id"], p["source_at"]) for p in own])
+    spans = factors(_with_repeats([p for p in pieces or () if p["tag"] == tag]))
     keep = np.ones(len(words), bool)
     for first, count, _, _ in spans:
         keep[first : first + count] = False

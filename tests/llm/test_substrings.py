@@ -82,6 +82,14 @@ def test_crowded_anchors(spark, prose, monkeypatch, share):
     check(spark, docs)
 
 
+def test_a_text_that_only_repeats_itself_stays_as_it_is(spark, prose):
+    """It has looked-up windows, as another text shares them, but loses none: its blanks are not touched either."""
+    text = f"{prose(20)}\n\n" + "echo\n" * 40
+    docs = spark.createDataFrame([(1, text), (2, f"{prose(20)} " + "echo " * 30)], SCHEMA)
+    left = {r.doc_id: r.text for r in substrings.deduplicated(docs).collect()}
+    assert left[1] == text and "echo" not in left[2]
+
+
 @pytest.mark.parametrize("share", [1, 1 << 40])
 def test_repeats_inside_a_text(spark, prose, monkeypatch, share):
     """A window that a text repeats is asked for once, in whichever text it stands, and goes at all its places."""

@@ -375,7 +375,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 if pieces and body:
                     words = body.encode().split()
                     _, keep = _cut(words, tag, pieces)
-                    body = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode()
+                    # A text that only repeats itself has pieces too, but loses nothing.
+                    if not keep.all():
+                        body = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]).decode()
                     if not body:
                         continue
                 texts.append(body)

@@ -118,3 +118,12 @@ def test_sketches_of_days_merge_to_any_range(spark):
         assert all(abs(got[t] - n) <= feed.SKETCH_ERROR * n for t, n in exact.items())
     empty = feed.source_estimates(sketches, first="2099-01-01")
     assert empty.collect() == []
+
+
+def test_spans_are_not_broadcast(spark):
+    """What is exploded is larger than Spark takes it for, and must not pass the driver whole."""
+    points = spark.range(100).select(F.col("id").alias("at"), F.col("id").alias("key"))
+    held = spark.range(100).select(F.lit(0).alias("low"), F.col("id").alias("high"), F.col("id").alias("key"))
+    found = spans.holding(points, F.col("at"), held, F.col("low"), F.col("high"), ["key"], bits=8)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 100

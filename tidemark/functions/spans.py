@@ -48,10 +48,11 @@ def holding(
     ends = spans.select("*", start.cast("long").alias("__start"), end.cast("long").alias("__end"))
     limits = ends.select("__start", "__end").dropna().distinct()
     pieces = checkpoint(limits.select("*", F.inline(blocks(F.col("__start"), F.col("__end"), bits)).alias("__level", "__block")))
-    cut = ends.join(pieces, ["__start", "__end"]).drop("__start", "__end")
+    # Neither blocks nor tried numbers are estimated well, so they must not be taken for small and broadcast.
+    cut = ends.join(pieces.hint("merge"), ["__start", "__end"]).drop("__start", "__end")
     levels = sorted(r[0] for r in pieces.select("__level").distinct().collect())
     tried = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(at.cast("long"), n).alias("block")) for n in levels])
     if not levels:
         tried = F.array().cast("array<struct<level:int,block:bigint>>")
     looked = points.select("*", F.inline(tried).alias("__level", "__block"))
-    return looked.join(cut, [*keys, "__level", "__block"]).drop("__level", "__block")
+    return looked.join(cut.hint("merge"), [*keys, "__level", "__block"]).drop("__level", "__block")

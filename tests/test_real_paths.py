@@ -2,8 +2,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
+from tidemark.functions import links as chains
 from tidemark.functions.real_paths import real_paths, resolved_links
 from tidemark.operators import governance, storage
+from tidemark.session import checkpoint
 
 LINKS = "path STRING, target STRING"
 
@@ -110,3 +114,22 @@ def test_link_states_behind_links(spark):
         "/p/dir": ("/p/real", "valid"), "/p/b": ("/p/dir/a.md", "valid"), "/p/c": ("/p/dir/no.md", "broken"), "/p/d": ("/p/dir", "valid"),
         "/p/e": ("/p/e/x", "broken"), "/p/f": ("/p/b", "valid"),
     }
+
+
+def test_circles_do_not_prolong_chains(spark, monkeypatch):
+    """One long circle and many short chains: as many rounds as the chains need, and two more."""
+    kept = []
+    monkeypatch.setattr(chains, "checkpoint", lambda df: kept.append(df) or checkpoint(df))
+    ring = [(f"r{i}", f"r{(i + 1) % 500}") for i in range(500)]
+    edges = spark.createDataFrame([*ring, ("a", "b"), ("b", "c"), ("c", "d"), ("into", "r3")], "key STRING, at STRING")
+    found = {r.source: (r.root, r.closed) for r in chains.follow(edges, "key", "at").collect()}
+    assert all(found[c] == ("d", True) for c in "abc") and not found["into"][1] and not found["r7"][1]
+    assert len(found) == 504 and len(kept) <= 5
+
+
+def test_a_checkpoint_keeps_no_constraints(spark):
+    """They grow in every round of a loop, and planning with them."""
+    cut = checkpoint(spark.range(9).filter("id > 3").withColumn("twice", F.col("id") * 2))
+    assert cut.count() == 5
+    plan = cut._jdf.queryExecution().optimizedPlan()
+    assert plan.constraints().isEmpty()

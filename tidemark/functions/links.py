@@ -11,9 +11,10 @@ from tidemark.session import checkpoint
 def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
     """For each ``source`` the end of its chain: columns ``source``, ``root``, ``closed``.
 
-    Every round doubles the distance covered and is written to the checkpoint folder. No chain is
-    longer than the number of edges, so what still moves after that many hops runs in a circle and is
-    not ``closed``. A source with two targets is refused; see ``groups`` for such graphs.
+    Every round doubles the distance covered and is written to the checkpoint folder. A chain with an end
+    that is further away than a round reaches has links for which the next round is enough, so once as many
+    sources move as in the round before, all of them run into circles and are not ``closed``. A source with two
+    targets is refused; see ``groups`` for such graphs. No side of a round is sent through the driver.
     """
     hops = edges.select(
         F.col(source).alias("source"), F.col(target).alias("root")
@@ -21,9 +22,9 @@ def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
     hops = checkpoint(hops)
     if not hops.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         raise ValueError(f"a {source} has more than one {target}")
-    longest, covered = hops.count(), 1
-    while covered <= longest:
-        onward = hops.select(F.col("source").alias("root"), F.col("root").alias("__next"))
+    moving, before = hops.count(), None
+    while moving and moving != before:
+        onward = hops.select(F.col("source").alias("root"), F.col("root").alias("__next")).hint("merge")
         moved = hops.join(onward, "root", "left").select(
             "source",
             F.coalesce("__next", "root").alias("root"),
@@ -31,10 +32,8 @@ def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
         )
         moved = checkpoint(moved)
         hops = moved.select("source", "root")
-        covered *= 2
-        if moved.filter("__moved").isEmpty():
-            break
-    still_open = hops.select(F.col("source").alias("root"), F.lit(True).alias("__open"))
+        moving, before = moved.filter("__moved").count(), moving
+    still_open = hops.select(F.col("source").alias("root"), F.lit(True).alias("__open")).hint("merge")
     return hops.join(still_open, "root", "left").select(
         "source", "root", F.col("__open").isNull().alias("closed")
     )

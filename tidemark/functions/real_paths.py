@@ -44,7 +44,7 @@ def _ways(place: Column) -> Column:
 def _met(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``key, at, rest``: the first link on the way of ``rows(key, place)``; rows without one are left out."""
     ways = rows.select("key", F.inline(_ways(F.col("place"))))
-    met = ways.join(links.select(F.col("link").alias("here")), "here")
+    met = ways.join(links.select(F.col("link").alias("here")).hint("merge"), "here")
     first = met.groupBy("key").agg(F.min_by(F.struct("here", "rest"), "nth").alias("first"))
     return first.select("key", F.col("first.here").alias("at"), "first.rest")
 
@@ -59,7 +59,7 @@ def _collapsed(waits: DataFrame, ends: DataFrame) -> DataFrame:
     Chains of any length collapse in as many rounds as the logarithm of it; there are no circles among them.
     """
     while True:
-        step = waits.select(F.col("key").alias("at"), F.col("at").alias("__at"), F.col("rest").alias("__rest"))
+        step = waits.select(F.col("key").alias("at"), F.col("at").alias("__at"), F.col("rest").alias("__rest")).hint("merge")
         moved = checkpoint(
             even_join(waits, step, ["at"]).select(
                 "key",
@@ -73,7 +73,7 @@ def _collapsed(waits: DataFrame, ends: DataFrame) -> DataFrame:
         waits = moved.drop("__moved")
         if moved.filter("__moved").isEmpty():
             break
-    tops = ends.select(F.col("key").alias("at"), "real")
+    tops = ends.select(F.col("key").alias("at"), "real").hint("merge")
     return even_join(waits, tops, ["at"], "inner").select("key", _below(F.col("real"), F.col("rest")).alias("place"))
 
 
@@ -99,11 +99,11 @@ def resolved_links(links: DataFrame, *, home: str | None = None) -> DataFrame:
     ends = spark.createDataFrame([], "key STRING, real STRING, closed BOOLEAN")
     while True:
         waits = checkpoint(_met(rows, table))
-        free = rows.join(waits.select("key"), "key", "left_anti")
+        free = rows.join(waits.select("key").hint("merge"), "key", "left_anti")
         done = free.select("key", paths.normalised(F.col("place")).alias("real"), F.lit(True).alias("closed"))
         if waits.isEmpty():
             return ends.unionByName(done).withColumnRenamed("key", "link")
-        chains = follow(waits, "key", "at")
+        chains = checkpoint(follow(waits, "key", "at"))
         stuck = waits.filter("key = at").select(F.col("key").alias("root"), F.lit(True).alias("__self"))
         lost = chains.join(stuck, "root", "left").filter("NOT closed OR __self").select(F.col("source").alias("key"))
         lost = lost.union(stuck.select("root"))
@@ -119,10 +119,12 @@ def real_paths(wanted: DataFrame, links: DataFrame, *, home: str | None = None)
     """``path, real, closed`` for every distinct ``path`` of ``wanted`` (absolute, or below ``~``).
 
     ``links(path, target)`` are followed to their ends first, so a path takes one round per link on its way,
-    however long that link's own chain is. A path through a circle is not ``closed`` and stays as it stands
+    however long that link's own chain is. Links that ``resolved_links`` has already followed, as a written table,
+    are taken as they are, so that several calls share that work. A path through a circle is not ``closed`` and stays as it stands
     from there on. A null path has no row.
     """
-    return _through(wanted, checkpoint(resolved_links(links, home=home)), home)
+    ends = links if "real" in links.columns else checkpoint(resolved_links(links, home=home))
+    return _through(wanted, ends, home)
 
 
 def _through(wanted: DataFrame, ends: DataFrame, home: str | None) -> DataFrame:
@@ -132,7 +134,7 @@ def _through(wanted: DataFrame, ends: DataFrame, home: str | None) -> DataFrame:
     while True:
         met = _met(rows.filter("closed").select(F.col("path").alias("key"), "place"), ends)
         met = checkpoint(met.withColumnRenamed("key", "path"))
-        stays = rows.join(met.select("path"), "path", "left_anti")
+        stays = rows.join(met.select("path").hint("merge"), "path", "left_anti")
         stays = stays.select("path", paths.normalised(F.col("place")).alias("real"), "closed")
         finished = stays if finished is None else finished.unionByName(stays)
         if met.isEmpty():
@@ -140,7 +142,7 @@ def _through(wanted: DataFrame, ends: DataFrame, home: str | None) -> DataFrame:
         finished = checkpoint(finished)
         onward = F.when(F.col("closed"), F.col("real")).otherwise(F.col("at"))
         rows = checkpoint(
-            even_join(met, ends.withColumnRenamed("link", "at"), ["at"], "inner").select(
+            even_join(met, ends.withColumnRenamed("link", "at").hint("merge"), ["at"], "inner").select(
                 "path", _below(onward, F.col("rest")).alias("place"), "closed"
             )
         )
@@ -149,4 +151,4 @@ def _through(wanted: DataFrame, ends: DataFrame, home: str | None) -> DataFrame:
 def with_real(rows: DataFrame, links: DataFrame, column: str, name: str, *, home: str | None = None) -> DataFrame:
     """``rows`` with the real path of ``column`` as ``name``."""
     real = real_paths(rows.select(F.col(column).alias("path")), links, home=home)
-    return even_join(rows, real.select(F.col("path").alias(column), F.col("real").alias(name)), [column])
+    return even_join(rows, real.select(F.col("path").alias(column), F.col("real").alias(name)).hint("merge"), [column])

@@ -78,9 +78,10 @@ def marked(spark: SparkSession, path: str) -> bool:
 
 
 def checkpoint(df):
-    """Cut the lineage of ``df`` through the shared checkpoint folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(work_dir(spark, "checkpoint"))
-    return df.checkpoint()
+    """Cut the lineage of ``df`` through a table in the shared folder.
+
+    ``DataFrame.checkpoint`` keeps the constraints and size estimates of the plan it cuts. In loops the first
+    grow with every round until planning takes all the driver's time and memory, and the second are far too low
+    behind an ``explode``, so that whole tables are broadcast.
+    """
+    return written(df, "checkpoint")

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from tidemark.functions import links as chains
+from tidemark.functions import real_paths as real
 from tidemark.functions.real_paths import real_paths, resolved_links
 from tidemark.operators import governance, storage
 from tidemark.session import checkpoint
@@ -133,3 +134,18 @@ def test_a_checkpoint_keeps_no_constraints(spark):
     assert cut.count() == 5
     plan = cut._jdf.queryExecution().optimizedPlan()
     assert plan.constraints().isEmpty()
+
+
+def test_an_audit_follows_the_links_once(spark, monkeypatch):
+    """Requests, grants and the home folder share one table of followed links, also one that is handed over."""
+    calls = []
+    for module in (storage, real):
+        monkeypatch.setattr(module, "resolved_links", lambda rows, **more: calls.append(1) or resolved_links(rows, **more), raising=False)
+    asked = spark.createDataFrame([(1, "open", 1, "/l/x"), (1, "open", 2, "/l/y")], "request_id INT, mode STRING, pos INT, path STRING")
+    allowed = spark.createDataFrame([("open", "/l/x")], "mode STRING, path STRING")
+    ways = table(spark, [("/l", "/d")])
+    want = {1: "done", 2: "not granted"}
+    got = storage.audit_actions(asked, allowed, roots=["/d"], home="/h", links=ways)
+    assert {r.pos: r.outcome for r in got.collect()} == want and len(calls) == 1
+    got = storage.audit_actions(asked, allowed, roots=["/d"], home="/h", links=checkpoint(resolved_links(ways)))
+    assert {r.pos: r.outcome for r in got.collect()} == want and len(calls) == 1

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import paths, sizes
-from tidemark.functions.real_paths import real_paths, with_real
+from tidemark.functions.real_paths import real_paths, resolved_links, with_real
 from tidemark.functions.skew import even_join
+from tidemark.session import written
 
 # Size floors in KB, the groups with the higher one, entries shown per group.
 FLOOR_KB = 51200
@@ -422,6 +423,8 @@ def audit_actions(
     ``home`` stands for ``~`` and is a root itself, at its real place; ``roots`` are real places.
     """
     place = F.col("__place")
+    if links is not None and "real" not in links.columns:
+        links = written(resolved_links(links, home=home), "links")
     if home and links is not None:
         here = requested.sparkSession.createDataFrame([(home,)], "path STRING")
         home_root = real_paths(here, links).first()["real"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.real_paths import real_paths
+from tidemark.functions.real_paths import real_paths, resolved_links
 from tidemark.operators import storage
 from tidemark.plans.registry import query
 from tidemark.session import written
@@ -343,7 +343,7 @@ def _(spark, folder):
         WHEN pos = first THEN stop ELSE 'not reached' END AS outcome FROM firsts""")
 def _(spark, folder):
     part = F.col("l_partkey")
-    links = derived.links(spark, folder)
+    links = written(resolved_links(derived.links(spark, folder)), "links")
     known = derived.customer_dirs(spark, folder).select(F.col("c_custkey").alias("l_partkey"))
     asked = table(spark, folder, "lineitem").join(known, "l_partkey").select(
         F.col("l_orderkey").alias("request_id"),

@@ -71,6 +71,17 @@ def test_retired_symbols_from_a_table(spark):
     assert in_order(got.collect()) == in_order(governance.retired_refs(files, symbols).collect())
 
 
+def test_a_text_sends_one_row_per_phrase(spark):
+    """Not one per place: phrases that are everywhere would be shuffled as often as they occur."""
+    docs = spark.createDataFrame([(1, "ab" * 20_000), (2, "abé" * 5_000 + "é"), (3, "c")], "doc_id LONG, text STRING")
+    phrases = spark.createDataFrame([("a",), ("ab",), ("é",), ("éé",), ("abababab",)], "phrase STRING")
+    got = lexicon._held(docs, phrases, "doc_id")
+    assert sorted((r.doc_id, r.phrase, r.hits) for r in got.join(phrases, "phrase").collect()) == [
+        (1, "a", 20_000), (1, "ab", 20_000), (1, "abababab", 5_000), (2, "a", 5_000), (2, "ab", 5_000), (2, "é", 5_001), (2, "éé", 1),
+    ]
+    assert got.count() < 20
+
+
 def test_a_long_list_costs_little_more_than_a_short_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     pieces = docs.select(F.explode(F.array(*[F.substring("text", 40 * i + 1, 5 + 3 * i) for i in range(6)])).alias("phrase")).distinct()

@@ -1,154 +1,378 @@
 """Lexicons as tables: where the phrases of a list of any length occur in texts.
 
-A phrase is known by its anchor, its first 1, 2, 4 or 8 characters (as many as it has). A text gives up only
-the places whose first characters some phrase begins with; that is told by a bitmap of fixed size, so no list is
-held in a task, and a full bitmap only lets more places through. The places meet the phrases by an equi-join on
-the anchor and are then compared with the whole phrase. Texts stay where they are: what is shuffled is a
-place with as many characters as the longest phrase has.
+A task sums the bytes of its texts once, so that the hash of any window is a difference of two sums. Windows of the
+lengths that phrases have are told from others by a bitmap of fixed size; of windows of 8 and more (4 and more)
+bytes only those are tried whose first 8 (4) bytes some phrase begins with. What a text may hold is counted where the
+text is, so one row per text and phrase leaves the task, and these rows meet the list by an equi-join on the phrase
+itself. No list is held in a task for that, and a full bitmap only lets more rows through to the join.
+
+Phrases with blanks are decided where the text is. They come in blocks of ``BLOCK`` phrases, and texts are read once for
+each block.
 """
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_left
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.session import with_package
 
 
-#: Lengths of anchors.
-ANCHORS = (8, 4, 2, 1)
-#: So many characters are tried at every place (fewer for shorter phrases).
-START = 3
-#: Bits of a bitmap; a power of two.
-BITS = 1 << 16
+#: Windows are tried by so many of their first bytes before they are tried whole.
+ANCHORS = (8, 4)
+#: Bits of a bitmap, as a power of two.
+BITS = 25
 #: Stands in a phrase for any characters of the same sentence.
 BLANK = "xxx"
+#: Phrases with blanks that are held in a task.
+BLOCK = 1 << 15
+#: Bytes of text that a task works on at a time; a text is never cut.
+CHUNK = 1 << 19
 # What ends a sentence for a blank.
 STOPS = "。！？\n"
 
+# A byte that no text has.
+_END = b"\xff"
+_LETTER = np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD6E8FEB86659FD93
+_PROBES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SHIFT = np.uint64(64 - BITS)
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo ``2 ** 64``, as many as asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            bases = (_BASE, pow(_BASE, -1, 1 << 64))
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)]) for b in bases)
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+class _Windows:
+    """Hashes of the windows of some bytes."""
+
+    def __init__(self, body: np.ndarray) -> None:
+        up, self.down = _powers.upto(len(body) + 1)
+        self.sums = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(_LETTER[body] * up[:-1], out=self.sums[1:])
+
+    def of(self, size: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of the windows of ``size`` bytes that begin ``at`` some places, else at every place."""
+        if at is None:
+            return (self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size]
+        return (self.sums[at + size] - self.sums[at]) * self.down[at]
 
-def _bit(part: Column) -> Column:
-    return F.xxhash64(part).bitwiseAND(F.lit(BITS - 1))
+
+def _hash(phrase: bytes) -> int:
+    return int(_Windows(np.frombuffer(phrase, np.uint8)).of(len(phrase))[0])
+
+
+def _bits(hashes: np.ndarray, salt: int) -> list[np.ndarray]:
+    """The places of a bitmap that stand for some hashes; ``salt`` tells anchors from phrases."""
+    return [((hashes + np.uint64(salt)) * probe >> _SHIFT).astype(np.int64) for probe in _PROBES]
 
 
 class _Bitmap:
-    """Which strings may be among those of a column; at most ``BITS`` numbers come to the driver."""
+    """Which windows may be phrases, or begin like one of at least so many bytes."""
 
-    def __init__(self, rows: DataFrame, part: Column) -> None:
-        words = [0] * (BITS // 64)
-        for row in rows.select(_bit(part).alias("bit")).distinct().collect():
-            words[row.bit >> 6] |= 1 << (row.bit & 63)
-        signed = [w - (1 << 64) if w >> 63 else w for w in words]
-        self.words = F.from_json(F.lit(json.dumps(signed)), "array<bigint>")
+    def __init__(self, sizes: list[int], words: np.ndarray) -> None:
+        self.sizes, self.words = sizes, words.view(np.uint64)
 
-    def may_hold(self, part: Column) -> Column:
-        bit = _bit(part)
-        return F.getbit(F.get(self.words, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+    def holds(self, hashes: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Where in ``hashes`` one is that may be in the list."""
+        at = np.arange(len(hashes))
+        for place in range(len(_PROBES)):
+            bits = _bits(hashes[at], salt)[place]
+            at = at[(self.words[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+        return at
 
+    def found(self, windows: _Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per length where windows may be phrases, and their hashes."""
+        begins: dict[int, np.ndarray] = {}
+        for size in self.sizes:
+            if size >= len(windows.sums):
+                continue
+            anchor = next((a for a in ANCHORS if a <= size), 0)
+            if anchor and anchor not in begins:
+                begins[anchor] = self.holds(windows.of(anchor), anchor)
+            at = begins.get(anchor)
+            if at is not None:
+                at = at[at + size < len(windows.sums)]
+            hashes = windows.of(size, at)
+            held = self.holds(hashes)
+            yield size, held if at is None else at[held], hashes[held]
 
-def _first(text: Column, n: int) -> Column:
-    return F.substring(text, 1, n)
 
+def _bitmap(phrases: DataFrame) -> _Bitmap | None:
+    """The bitmap of a column ``phrase``; at most ``2 ** BITS`` bits come to the driver."""
 
-def _anchor(phrase: Column) -> Column:
-    anchor = F.lit(None).cast("string")
-    for n in reversed(ANCHORS):
-        anchor = F.when(F.length(phrase) >= n, _first(phrase, n)).otherwise(anchor)
-    return anchor
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for phrase in batch.column(0).cast(pa.binary()).to_pylist():
+                windows = _Windows(np.frombuffer(phrase, np.uint8))
+                bits += _bits(windows.of(len(phrase))[:1], 0)
+                anchor = next((a for a in ANCHORS if a <= len(phrase)), 0)
+                if anchor:
+                    bits += _bits(windows.of(anchor)[:1], anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits) if bits else [], pa.int64())], names=["bit"])
 
+    with_package(phrases.sparkSession)
+    sizes = sorted(r[0] for r in phrases.select(F.octet_length("phrase")).distinct().collect())
+    if not sizes:
+        return None
+    table = (
+        phrases.select("phrase").mapInArrow(place, "bit long")
+        .groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros((1 << BITS) // 64, np.int64)
+    words[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return _Bitmap(sizes, words)
 
-def places(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", *, sentences: bool = False) -> DataFrame:
-    """Every occurrence of every phrase: ``key, row, pos, sentence`` and the columns of ``phrases(phrase, ...)``.
 
-    ``pos`` counts characters from 0; occurrences may overlap. ``row`` tells rows of ``docs(key, text)`` with one
-    key apart; ``sentence`` counts the sentence ends before the place, if ``sentences`` are asked for, else it is
-    null. Null and empty texts and phrases have no occurrence; a phrase that is listed twice has all of them twice.
-    """
-    listed = phrases.filter("phrase <> ''").withColumn("__anchor", _anchor(F.col("phrase")))
-    longest = listed.agg(F.max(F.length("phrase"))).first()[0] or 1
-    start = F.least(F.length("phrase"), F.lit(START))
-    sizes = sorted(r[0] for r in listed.select(start).distinct().collect())
-    starts = {n: _Bitmap(listed.filter(start == n), _first(F.col("phrase"), n)) for n in sizes}
-    anchors = _Bitmap(listed, F.col("__anchor"))
-
-    # One generated row per character, so that the tests below are compiled; what passes carries on.
-    chars = F.split("text", "")
-    lists = [F.split(F.substring("text", i + 1, 1 << 30), "").alias(f"c{i}") for i in range(START)]
-    if sentences:
-        pieces = F.split("text", f"(?<=[{STOPS}])")
-        numbers = F.flatten(F.transform(pieces, lambda piece, i: F.array_repeat(i.cast("long"), F.length(piece))))
-        lists.append(numbers.alias("sentence"))
-    rows = docs.filter("text <> ''").select(
-        key, F.monotonically_increasing_id().alias("row"), chars.alias("chars"), F.arrays_zip(*lists).alias("each")
+class _Texts:
+    """Some texts side by side, and the rows they come from."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.body = _END.join(texts) + _END
+        self.bytes = np.frombuffer(self.body, np.uint8)
+        self.ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+
+    def places(self, held: _Bitmap) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length the places that may be phrases, in order of text, hash and place: ``size, text, hash, place``."""
+        for size, at, hashes in held.found(_Windows(self.bytes)):
+            text = np.searchsorted(self.ends, at)
+            inside = at + size <= self.ends[text]
+            at, hashes, text = at[inside], hashes[inside], text[inside]
+            order = np.lexsort((at, hashes, text))
+            yield size, text[order], hashes[order], at[order]
+
+    def sentences(self) -> np.ndarray:
+        """How many sentence ends lie before each place."""
+        own, ended = self.bytes, np.zeros(len(self.bytes) + 1, np.int64)
+        for stop in STOPS:
+            marks = stop.encode()
+            here = np.ones(max(len(own) - len(marks) + 1, 0), bool)
+            for i, mark in enumerate(marks):
+                here &= own[i : i + len(here)] == mark
+            ended[np.flatnonzero(here) + len(marks)] += 1
+        return np.cumsum(ended)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Texts]]:
+    """The batches cut into pieces of about ``CHUNK`` bytes of the column ``text``."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        start, held = 0, 0
+        for end, body in enumerate(texts, 1):
+            held += len(body)
+            if held >= CHUNK or end == len(texts):
+                yield batch.slice(start, end - start), _Texts(texts[start:end])
+                start, held = end, 0
+
+
+def _runs(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of the same text and hash begin and end."""
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    begins = np.flatnonzero(new)
+    return begins, np.r_[begins, len(text)][1:] if len(begins) else begins
+
+
+def _apart(places: np.ndarray, size: int) -> int:
+    """How many of the ``places`` are taken from the left without overlap."""
+    taken, free = 0, -1
+    for at in places.tolist():
+        if at >= free:
+            taken, free = taken + 1, at + size
+    return taken
+
+
+def _rows(docs: DataFrame, key: str) -> DataFrame:
+    with_package(docs.sparkSession)
+    return docs.filter("text <> ''").select(key, F.monotonically_increasing_id().alias("row"), "text")
+
+
+def _held(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """``key, row, phrase, hits`` of every phrase a text has, and of some strings that are no phrases."""
+    rows = _rows(docs, key)
+    schema = T.StructType(
+        [rows.schema[key], rows.schema["row"], T.StructField("phrase", T.StringType()), T.StructField("hits", T.LongType())]
     )
-    rows = rows.select(key, "row", "chars", F.posexplode("each").alias("pos", "at"))
-    begins = F.lit(False)
-    for n, held in starts.items():
-        begins = begins | held.may_hold(F.concat(*[F.coalesce(f"at.c{i}", F.lit("")) for i in range(n)]))
+    bitmap = _bitmap(phrases)
+    if bitmap is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap.sizes, bitmap.words))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Bitmap(*shared.value)
+        for batch, texts in _chunks(batches):
+            for size, text, hashes, at in texts.places(held):
+                begins, ends = _runs(text, hashes)
+                hits = ends - begins
+                # Only runs with neighbours that overlap are walked.
+                close = np.flatnonzero((np.diff(at) < size) & (text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1]))
+                for run in np.unique(np.searchsorted(begins, close, "right") - 1).tolist():
+                    hits[run] = _apart(at[begins[run] : ends[run]], size)
+                found = [texts.body[a : a + size] for a in at[begins].tolist()]
+                whole = [i for i, f in enumerate(found) if _valid(f)]
+                at_rows = pa.array(text[begins[whole]] if whole else [], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(key).take(at_rows), batch.column("row").take(at_rows),
+                        pa.array([found[i].decode() for i in whole], pa.string()), pa.array(hits[whole] if whole else [], pa.int64()),
+                    ],
+                    names=[key, "row", "phrase", "hits"],
+                )
+
+    return rows.mapInArrow(count, schema)
 
-    def ahead(n: int) -> Column:
-        return F.array_join(F.slice("chars", F.col("pos") + 1, F.lit(n)), "")
 
-    head = rows.filter(begins).withColumn("head", ahead(ANCHORS[0]))
-    parts = []
-    for n in ANCHORS:
-        part = _first(F.col("head"), n)
-        parts.append(F.when((F.length("head") >= n) & anchors.may_hold(part), part))
-    number = F.col("at.sentence") if sentences else F.lit(None).cast("long")
-    hits = head.select(key, "row", "pos", number.alias("sentence"), "chars", F.explode(F.array(*parts)).alias("__anchor"))
-    hits = hits.filter("__anchor IS NOT NULL").withColumn("ahead", ahead(longest)).drop("chars")
-    return hits.join(listed, "__anchor").filter(F.startswith("ahead", F.col("phrase"))).drop("__anchor", "ahead")
+def _valid(found: bytes) -> bool:
+    """Whether a string neither begins nor ends inside a character."""
+    try:
+        found.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def counts(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFrame:
-    """How often each phrase occurs in each row without overlap, read from the left: the phrase's columns and ``hits``."""
+    """How often each phrase occurs in each row without overlap, read from the left: the phrase's columns and ``hits``.
+
+    ``row`` tells rows of ``docs(key, text)`` with one key apart. Null and empty texts and phrases have no
+    occurrence; a phrase that is listed twice has all of them twice.
+    """
     named = [c for c in phrases.columns if c != "phrase"]
+    listed = phrases.filter("phrase <> ''")
+    return _held(docs, listed, key).join(listed, "phrase").select(key, "row", *named, "phrase", "hits")
 
-    def taken(at: Column) -> Column:
-        start = F.struct(F.lit(0).alias("free"), F.lit(0).cast("long").alias("hits"))
 
-        def step(state: Column, pos: Column) -> Column:
-            fits = pos >= state["free"]
-            return F.struct(
-                F.when(fits, pos + F.length("phrase")).otherwise(state["free"]).alias("free"),
-                (state["hits"] + fits.cast("long")).alias("hits"),
-            )
+def _in_order(parts: list[list[tuple[int, int, int, int]]]) -> bool:
+    """Whether places ``sentence, place, sentence behind, place behind`` of all parts follow each other in one sentence."""
+    reached: dict[int, int] = {}
+    for _, _, after, free in parts[0]:
+        reached.setdefault(after, free)
+    for places in parts[1:]:
+        onward: dict[int, int] = {}
+        for sentence, at, after, free in places:
+            if at >= reached.get(sentence, at + 1):
+                onward.setdefault(after, free)
+        if not onward:
+            return False
+        reached = onward
+    return True
 
-        return F.aggregate(at, start, step, lambda state: state["hits"])
 
-    listed = phrases.withColumn("__entry", F.monotonically_increasing_id())
-    found = places(docs, listed, key).groupBy(key, "row", "__entry", "phrase", *named)
-    ordered = found.agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    return ordered.select(key, "row", *named, "phrase", taken(F.col("at")).alias("hits"))
+class _Block:
+    """Phrases of several parts, held in a task."""
+
+    def __init__(self, wholes: list[str], split: list[list[str]]) -> None:
+        self.wholes = wholes
+        names = sorted({p.encode() for parts in split for p in parts})
+        ids = {p: i for i, p in enumerate(names)}
+        self.names = names
+        hashes = [_hash(p) for p in names]
+        self.known: dict[int, tuple[list[int], list[int]]] = {}
+        for size in sorted({len(p) for p in names}):
+            own = sorted((hashes[i], i) for i, p in enumerate(names) if len(p) == size)
+            self.known[size] = ([h for h, _ in own], [i for _, i in own])
+        self.after: dict[int, list[tuple[int, list[int]]]] = {}
+        for number, parts in enumerate(split):
+            first, *rest = (ids[p.encode()] for p in parts)
+            self.after.setdefault(first, []).append((number, rest))
+        words = np.zeros((1 << BITS) // 64, np.uint64)
+        for name, own in zip(names, hashes, strict=True):
+            bits = _bits(np.array([own], np.uint64), 0)
+            anchor = next((a for a in ANCHORS if a <= len(name)), 0)
+            if anchor:
+                bits += _bits(np.array([_hash(name[:anchor])], np.uint64), anchor)
+            for bit in np.concatenate(bits).tolist():
+                words[bit >> 6] |= np.uint64(1 << (bit & 63))
+        self.bitmap = _Bitmap(sorted(self.known), words)
+
+    def found(self, texts: _Texts) -> dict[int, dict[int, np.ndarray]]:
+        """Per text the parts it has and their places in order."""
+        found: dict[int, dict[int, np.ndarray]] = {}
+        for size, text, hashes, at in texts.places(self.bitmap):
+            known, ids = self.known[size]
+            begins, ends = _runs(text, hashes)
+            for t, h, begin, end in zip(text[begins].tolist(), hashes[begins].tolist(), begins.tolist(), ends.tolist(), strict=True):
+                i = bisect_left(known, h)
+                first = int(at[begin])
+                if i < len(known) and known[i] == h and self.names[ids[i]] == texts.body[first : first + size]:
+                    found.setdefault(t, {})[ids[i]] = at[begin:end]
+        return found
+
+    def present(self, found: dict[int, np.ndarray], sentence: np.ndarray) -> list[int]:
+        """The phrases of one text."""
+        placed: dict[int, list[tuple[int, int, int, int]]] = {}
+
+        def places(part: int) -> list[tuple[int, int, int, int]]:
+            if part not in placed:
+                at = found[part]
+                free = at + len(self.names[part])
+                placed[part] = list(zip(*(x.tolist() for x in (sentence[at], at, sentence[free], free)), strict=True))
+            return placed[part]
+
+        return [
+            number
+            for first in found.keys() & self.after.keys()
+            for number, rest in self.after[first]
+            if all(p in found for p in rest) and _in_order([places(p) for p in (first, *rest)])
+        ]
+
+
+def _with_blanks(docs: DataFrame, wholes: DataFrame, key: str) -> DataFrame:
+    """``key, row, phrase`` of the phrases ``whole, parts`` of several parts that fit a block."""
+    table = wholes.select("whole", "parts").toArrow()
+    block = _Block(table["whole"].to_pylist(), table["parts"].to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    rows = _rows(docs, key)
+    schema = T.StructType([rows.schema[key], rows.schema["row"], T.StructField("phrase", T.StringType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch, texts in _chunks(batches):
+            sentence = texts.sentences()
+            pairs = [(t, n) for t, found in held.found(texts).items() for n in held.present(found, sentence)]
+            at_rows = pa.array([t for t, _ in pairs], pa.int64())
+            names = pa.array([held.wholes[n] for _, n in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(at_rows), batch.column("row").take(at_rows), names], names=[key, "row", "phrase"]
+            )
+
+    return rows.mapInArrow(find, schema)
 
 
 def present(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFrame:
     """Which distinct phrases occur in which row: ``key, row, phrase``.
 
-    A ``BLANK`` in a phrase stands for any characters of one sentence; the parts around it are looked up like
-    phrases, and the first place of each part behind the one before it, sentence by sentence, decides.
+    A ``BLANK`` in a phrase stands for any characters of one sentence; the first place of each part behind the one
+    before it, sentence by sentence, decides.
     """
-    whole = phrases.select(F.col("phrase").alias("whole")).distinct()
     split = F.filter(F.split("whole", BLANK), lambda p: p != "")
-    parts = whole.select("whole", F.size(split).alias("parts"), F.posexplode(split).alias("nth", "phrase"))
-    most = parts.agg(F.max("parts")).first()[0] or 0
-    single = places(docs, parts.filter("parts = 1"), key).select(key, "row", F.col("whole").alias("phrase"))
-    if most <= 1:
-        return single.distinct()
-    hits = places(docs, parts.filter("parts > 1"), key, sentences=True)
-    rows = [key, "row", "whole", "parts", "sentence"]
-    after = (F.col("sentence") + F.regexp_count("phrase", F.lit(f"[{STOPS}]"))).alias("sentence")
-    ends = hits.select(
-        key, "row", "whole", "parts", "nth", after, F.col("sentence").alias("begun"), "pos", (F.col("pos") + F.length("phrase")).alias("free")
-    )
-    reached = ends.filter("nth = 0").groupBy(*rows).agg(F.min("free").alias("reached"))
-    full = None
-    for nth in range(1, most):
-        here = ends.filter(F.col("nth") == nth).select(
-            *rows[:-1], F.col("begun").alias("sentence"), F.col("sentence").alias("__after"), "pos", "free"
-        )
-        met = here.join(reached, rows).filter("pos >= reached")
-        reached = met.groupBy(*rows[:-1], F.col("__after").alias("sentence")).agg(F.min("free").alias("reached"))
-        last = reached.filter(F.col("parts") == nth + 1).select(key, "row", F.col("whole").alias("phrase"))
-        full = last if full is None else full.unionByName(last)
-    return single.unionByName(full).distinct()
+    wholes = phrases.select(F.col("phrase").alias("whole")).distinct().select("whole", split.alias("parts"))
+    alone = wholes.filter(F.size("parts") == 1).select("whole", F.col("parts")[0].alias("phrase"))
+    found = _held(docs, alone, key).join(alone, "phrase").select(key, "row", F.col("whole").alias("phrase"))
+    several = wholes.filter(F.size("parts") > 1)
+    blocks = -(-several.count() // BLOCK)
+    for n in range(blocks):
+        block = several.filter(F.pmod(F.xxhash64("whole"), F.lit(blocks)) == n)
+        found = found.unionByName(_with_blanks(docs, block, key))
+    return found

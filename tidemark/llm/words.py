@@ -6,15 +6,15 @@ cuts at exactly these. Whole texts are read; chunks only bound the memory of a t
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import with_package as with_package
+
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1_000_000
 _SEGMENT = 1 << 19
@@ -151,15 +151,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_package(spark: SparkSession) -> SparkSession:
-    """Let Python workers that see the driver's folders import this package from where the driver did."""
-    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    return spark
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

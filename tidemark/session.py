@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,15 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers that see the driver's folders import this package from where the driver did."""
+    root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark
+
+
 #: Work folders made by this process, for ``clean``.
 _made: list[str] = []
 

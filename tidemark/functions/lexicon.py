@@ -80,9 +80,14 @@ def _hash(phrase: bytes) -> int:
     return int(_Windows(np.frombuffer(phrase, np.uint8)).of(len(phrase))[0])
 
 
+def _bit(hashes: np.ndarray, salt: int, probe: np.uint64) -> np.ndarray:
+    """The place of a bitmap that stands for each hash; ``salt`` tells anchors from phrases."""
+    salted = hashes + np.uint64(salt) if salt else hashes
+    return salted * probe >> _SHIFT
+
+
 def _bits(hashes: np.ndarray, salt: int) -> list[np.ndarray]:
-    """The places of a bitmap that stand for some hashes; ``salt`` tells anchors from phrases."""
-    return [((hashes + np.uint64(salt)) * probe >> _SHIFT).astype(np.int64) for probe in _PROBES]
+    return [_bit(hashes, salt, probe).astype(np.int64) for probe in _PROBES]
 
 
 class _Bitmap:
@@ -93,10 +98,12 @@ class _Bitmap:
 
     def holds(self, hashes: np.ndarray, salt: int = 0) -> np.ndarray:
         """Where in ``hashes`` one is that may be in the list."""
-        at = np.arange(len(hashes))
-        for place in range(len(_PROBES)):
-            bits = _bits(hashes[at], salt)[place]
-            at = at[(self.words[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+        at = None
+        for probe in _PROBES:
+            bits = _bit(hashes if at is None else hashes[at], salt, probe)
+            set_bits = self.words[(bits >> np.uint64(6)).view(np.int64)] >> (bits & np.uint64(63)) & np.uint64(1)
+            held = np.flatnonzero(set_bits)
+            at = held if at is None else at[held]
         return at
 
     def found(self, windows: _Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

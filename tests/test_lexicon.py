@@ -82,6 +82,26 @@ def test_a_text_sends_one_row_per_phrase(spark):
     assert got.count() < 20
 
 
+def test_blanks_in_texts_with_many_places(spark, monkeypatch):
+    """The phrases of a text are told in one scan, whatever the number of places, and in blocks all the same."""
+    docs = spark.createDataFrame([(1, "ab" * 20_000), (2, "b。a" * 5_000), (3, None)], "doc_id LONG, text STRING")
+    phrases = [f"axxx{'ab' * n}" for n in range(1, 40)] + ["bxxxa", "aaxxxb", "b。xxxb"]
+    lists = spark.createDataFrame([(p,) for p in phrases], "phrase STRING")
+    for block in (lexicon.BLOCK, 7):
+        monkeypatch.setattr(lexicon, "BLOCK", block)
+        got = style.phrase_variety(docs, lists, minimum=1).select("doc_id", "phrases")
+        assert in_order(got.collect()) == [(1, 40), (2, 1), (3, 0)]
+
+
+def test_a_file_sends_one_row_per_symbol(spark):
+    files = spark.createDataFrame([("p", "/p/a.md", "old " * 3_000), ("p", "/p/b.md", "older")], "project STRING, path STRING, text STRING")
+    symbols = spark.createDataFrame([("old",), ("old ",), ("er",)], "symbol STRING")
+    got = in_order(governance.retired_refs(files, symbols).collect())
+    assert got == [("p", "/p/a.md", "old", 3_000), ("p", "/p/a.md", "old ", 3_000), ("p", "/p/b.md", "er", 1), ("p", "/p/b.md", "old", 1)]
+    named = files.select(F.struct("project", "path").alias("file"), "text")
+    assert lexicon._held(named, symbols.withColumnRenamed("symbol", "phrase"), "file").count() < 10
+
+
 def test_a_long_list_costs_little_more_than_a_short_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     pieces = docs.select(F.explode(F.array(*[F.substring("text", 40 * i + 1, 5 + 3 * i) for i in range(6)])).alias("phrase")).distinct()

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import brute
+import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard
 from tidemark.llm.components import components
@@ -60,3 +62,18 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
     assert got == {**{i: 0 for i in [*range(41), 100, 200]}, 250: 250, 260: 250, 300: 250}
     assert components(spark.createDataFrame([], "a LONG, b LONG")).collect() == []
+
+
+def test_bitmaps_of_large_sets_rule_out_other_sets(spark):
+    """One of fixed size is full for large sets and lets every pair through."""
+    random = np.random.default_rng(3)
+    mine, other = (np.sort(random.integers(0, 1 << 63, n, np.uint64)) for n in (4000, 4200))
+    near = np.sort(np.r_[mine[:3900], other[:300]])
+    rows = [(len(s), jaccard._bitmap(s), jaccard._wide(s)) for s in (mine, other, near)]
+    sets = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id INT, n LONG, bits ARRAY<LONG>, wide ARRAY<LONG>")
+    a, b = sets.toDF(*[f"{c}_a" for c in sets.columns]), sets.toDF(*[f"{c}_b" for c in sets.columns])
+    sides = [F.col(f"{c}_{end}") for c in ("n", "bits", "wide") for end in "ab"]
+    may = {(r.id_a, r.id_b): r.may for r in a.crossJoin(b).select("id_a", "id_b", jaccard._may_link(*sides, 80).alias("may")).collect()}
+    assert may[0, 2] and may[2, 0] and may[0, 0]
+    assert not may[0, 1] and not may[1, 2]
+    assert len(rows[0][2]) == len(rows[2][2]) // 2 or len(rows[0][2]) == len(rows[2][2])

@@ -9,15 +9,17 @@ Candidates share an n-gram in the first ``n - ceil(t n) + 1`` n-grams of that or
 leave enough n-grams after the shared one. The sets of an n-gram are counted over the whole corpus, and only
 n-grams of several sets go on; a set whose first n-grams are all its own, as those of a text that shares a
 passage with many, has no candidate. Equal sets are one node, so copies cost nothing. Links are needed only to
-find the classes, which takes two rounds:
+find the classes, which takes three rounds:
 
 1. every set is compared with a few of the sets it shares n-grams with, the first by several orders that are the
    same for all n-grams;
-2. sets of one n-gram that are still in different classes are all compared, so no link is lost. Of n-grams
+2. the same once more with other orders, for sets and n-grams whose sets are still in different classes;
+3. sets of one n-gram that are still in different classes are all compared, so no link is lost. Of n-grams
    with the same sets one is enough: that which is first in the order.
 
-A fixed-size bitmap per set bounds the overlap of a pair from above; pairs that it rules out are never made in the
-second round. Sets are identified by a 64-bit hash together with their size.
+A fixed-size bitmap per set bounds the overlap of a pair from above, and one of at least two bits an n-gram for sets
+that would fill it; pairs that they rule out are never made in the last round. Sets are identified by a 64-bit hash
+together with their size.
 
 Defined results: null, empty and blank texts have no set and are linked with nothing; a text of fewer than
 ``SHINGLE`` words is one n-gram; repeated rows are in one class; a null id is a document of its own class,
@@ -45,8 +47,10 @@ FRAGMENTS = 4
 LOW = 1 << 62
 BITMAP = 16
 NEEDED_BITS = 25
-#: Others that a set is compared with in the first round.
+#: Others that a set is compared with in a round of few.
 ORDERS = 3
+#: Rounds of few before all pairs that are left.
+ROUNDS = 2
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -87,14 +91,25 @@ def _bitmap(grams: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _wide(grams: np.ndarray) -> list[int] | None:
+    """A bitmap that grows with a set too large for the fixed one: at least twice as many bits as n-grams."""
+    bits = 64 * BITMAP
+    while bits < 2 * len(grams):
+        bits *= 2
+    if bits == 64 * BITMAP:
+        return None
+    odd = np.bincount((grams >> np.uint64(24) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _posted(grams: np.ndarray, percent: int) -> int:
     """How many n-grams of a set can stand in its prefix: the low ones, or so many of the first as a prefix has."""
     return max(int(np.searchsorted(grams, np.uint64(LOW))), _prefix(len(grams), percent)) if len(grams) else 0
 
 
 def _summary(docs: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, n, posted, sid, bits`` of every document, stored."""
-    schema = "doc_id long, n long, posted long, sid long, bits array<long>"
+    """``doc_id, n, posted, sid, bits, wide`` of every document, stored."""
+    schema = "doc_id long, n long, posted long, sid long, bits array<long>, wide array<long>"
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches, ["doc_id", "text"]):
@@ -106,6 +121,7 @@ def _summary(docs: DataFrame, percent: int) -> DataFrame:
                     "posted": pa.array([_posted(s, percent) for s in sets], pa.int64()),
                     "sid": pa.array([_name(s) for s in sets], pa.int64()),
                     "bits": pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64())),
+                    "wide": pa.array([_wide(s) for s in sets], pa.list_(pa.int64())),
                 }
             )
 
@@ -153,16 +169,16 @@ def _candidates(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(rows, "candidates")
 
 
-def _first_pairs(candidates: DataFrame, percent: int) -> DataFrame:
-    """For every set up to ``ORDERS`` others with which it shares a candidate n-gram: ``x, y``."""
-    member = F.struct("sid", "n", "pos")
-    rank = [F.xxhash64(F.lit(i), "sid") for i in range(ORDERS)]
-    firsts = candidates.groupBy("gram").agg(*[F.min(F.struct(r.alias("rank"), member.alias("set"))).alias(f"f{i}") for i, r in enumerate(rank)])
-    met = candidates.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos")]).join(firsts, "gram")
+def _first_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For every set up to ``ORDERS`` others of another class with which it shares a candidate n-gram: ``x, y``."""
+    member = F.struct("sid", "n", "pos", "root")
+    rank = [F.xxhash64(F.lit(turn * ORDERS + i), "sid") for i in range(ORDERS)]
+    firsts = placed.groupBy("gram").agg(*[F.min(F.struct(r.alias("rank"), member.alias("set"))).alias(f"f{i}") for i, r in enumerate(rank)])
+    met = placed.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "root")]).join(firsts, "gram")
 
     def chosen(first):
         fits = _fits(F.col("n_x"), F.col("pos_x"), first["set"]["n"], first["set"]["pos"], percent)
-        return F.when(fits & (first["set"]["sid"] != F.col("sid_x")), F.struct(first["rank"].alias("rank"), first["set"]["sid"].alias("y")))
+        return F.when(fits & (first["set"]["root"] != F.col("root_x")), F.struct(first["rank"].alias("rank"), first["set"]["sid"].alias("y")))
 
     best = met.groupBy(F.col("sid_x").alias("x")).agg(*[F.min(chosen(F.col(f"f{i}"))).alias(f"b{i}") for i in range(ORDERS)])
     others = F.array_distinct(F.array_compact(F.array(*[F.col(f"b{i}")["y"] for i in range(ORDERS)])))
@@ -173,19 +189,34 @@ def _apart(one, other):
     return sum((F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(BITMAP)), F.lit(0))
 
 
-def _may_link(n_a, n_b, bits_a, bits_b, percent: int):
+def _wide_apart(one, other):
+    """Differing bits of two wide bitmaps of which one may be twice as long as the other: it is folded."""
+    size = F.least(F.size(one), F.size(other))
+
+    def folded(wide):
+        halves = F.zip_with(F.slice(wide, F.lit(1), size), F.slice(wide, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(wide) > size, halves).otherwise(wide)
+
+    differ = F.zip_with(folded(one), folded(other), lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("long"))
+    return F.aggregate(differ, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def _may_link(n_a, n_b, bits_a, bits_b, wide_a, wide_b, percent: int):
     """Whether sizes and bitmaps allow a link."""
     total = n_a + n_b
     sized = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-    return sized & (total - _apart(bits_a, bits_b) >= 2 * _least(total, percent))
+    narrow = total - _apart(bits_a, bits_b) >= 2 * _least(total, percent)
+    # Sets whose sizes allow a link have bitmaps that differ by one doubling at most.
+    wide = wide_a.isNull() | wide_b.isNull() | (total - _wide_apart(wide_a, wide_b) >= 2 * _least(total, percent))
+    return F.when(sized & narrow, wide).otherwise(False)
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a < b`` whose sizes and bitmaps allow a link, with their sizes; stored."""
     ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-    side = lambda end: sets.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+    side = lambda end: sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "bits", "wide")])
     both = ordered.join(side("a"), "a").join(side("b"), "b")
-    fits = _may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
+    fits = _may_link(*[F.col(f"{c}_{end}") for c in ("n", "bits", "wide") for end in "ab"], percent)
     return written(both.filter(fits).select("a", "b", "n_a", "n_b"), "pairs")
 
 
@@ -263,13 +294,37 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     """``(sets, links)``: the set of every document, and links ``a, b`` between sets (enough for all classes)."""
     members = _summary(docs, percent)
     sets = written(
-        members.filter("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "posted", "bits")]), "distinct"
+        members.filter("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "posted", "bits", "wide")]), "distinct"
     )
     candidates = _candidates(docs, sets, percent)
-    first_pairs = _likely(_first_pairs(candidates, percent), sets, percent)
-    first_links = written(_linked(first_pairs, docs, percent), "links")
+    placed, tried, links = candidates.withColumn("root", F.col("sid")), None, None
+    for turn in range(ROUNDS):
+        pairs = _likely(_first_pairs(placed, percent, turn), sets, percent)
+        if tried is not None:
+            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty() and turn:
+            break
+        found = written(_linked(pairs, docs, percent), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        placed = _open(candidates, components(links))
+    open_sets = written(placed.join(sets.select("sid", "bits", "wide"), "sid"), "open")
+    columns = ("sid", "n", "pos", "root", "bits", "wide")
+    x = open_sets.select("gram", *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = open_sets.select("gram", *[F.col(c).alias(f"{c}_y") for c in columns])
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    apart = (F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y"))
+    near = _fits(n_x, F.col("pos_x"), n_y, F.col("pos_y"), percent)
+    near &= _may_link(*[F.col(f"{c}_{end}") for c in ("n", "bits", "wide") for end in "xy"], percent)
+    rest = x.join(y, (x["gram"] == y["gram"]) & apart & near)
+    rest = rest.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"), n_x.cast("long").alias("n_a"), n_y.cast("long").alias("n_b"))
+    more = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    links = links.union(_linked(more, docs, percent)) if not more.isEmpty() else links
+    return members.select("doc_id", "n", "sid"), written(links, "all-links")
 
-    classes = components(first_links)
+
+def _open(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """``gram, sid, n, pos, root``: n-grams whose sets are in several classes; of those with the same sets one; stored."""
     placed = candidates.join(classes, F.col("sid") == F.col("node"), "left")
     placed = placed.select("gram", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
     member = F.xxhash64("sid")
@@ -283,19 +338,7 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         .groupBy("size", "odd", "total")
         .agg(F.min_by("gram", F.struct("pos", "gram")).alias("gram"))
     )
-    open_sets = placed.join(mixed_groups.select("gram"), "gram", "left_semi").join(sets.select("sid", "bits"), "sid")
-    open_sets = written(open_sets, "open")
-    columns = ("sid", "n", "pos", "root", "bits")
-    x = open_sets.select("gram", *[F.col(c).alias(f"{c}_x") for c in columns])
-    y = open_sets.select("gram", *[F.col(c).alias(f"{c}_y") for c in columns])
-    n_x, n_y = F.col("n_x"), F.col("n_y")
-    apart = (F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y"))
-    near = _fits(n_x, F.col("pos_x"), n_y, F.col("pos_y"), percent) & _may_link(n_x, n_y, F.col("bits_x"), F.col("bits_y"), percent)
-    rest = x.join(y, (x["gram"] == y["gram"]) & apart & near)
-    rest = rest.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"), n_x.cast("long").alias("n_a"), n_y.cast("long").alias("n_b"))
-    more = written(rest.distinct().join(first_pairs, ["a", "b"], "left_anti"), "more-pairs")
-    links = first_links.union(_linked(more, docs, percent)) if not more.isEmpty() else first_links
-    return members.select("doc_id", "n", "sid"), written(links, "all-links")
+    return written(placed.join(mixed_groups.select("gram"), "gram", "left_semi"), "mixed")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import unicodedata
 import zlib
 
 import numpy as np
@@ -117,3 +118,29 @@ def test_whole_table_is_tight(spark, capacity):
     pieces = packing.pack(docs, PATH, capacity).collect()
     assert len({p.doc_id for p in pieces}) == docs.count()
     assert len({p.sequence_id for p in pieces}) <= -(-sum(p.length for p in pieces) // capacity) + 1
+
+
+LETTERS_AND_MARKS = st.text(st.sampled_from("aAjJKzZéÉß.,!?;:'|\n 1̧̌̈́̀İΣ"), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(LETTERS_AND_MARKS, st.text(max_size=30)))
+def test_ids_of_a_whole_text(text):
+    for _ in range(3):  # unknown, seen once, remembered
+        assert np.frombuffer(KNOWN.of(text.encode()), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_marks_that_join_plain_letters_are_known():
+    joining = {
+        unicodedata.normalize("NFD", chr(c))[1:] for c in range(0x110000) if not 0xD800 <= c < 0xE000
+        and len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii() and d[0].isalpha()
+    }
+    assert all(0x300 <= ord(m) < 0x370 and m.encode()[:1] in packing._JOINING for marks in joining for m in marks)
+
+
+def test_words_that_come_once_take_no_memory():
+    known = packing.TokenIds(PATH)
+    known.of(b" ".join(b"w" + bytes([97 + i // 26 % 26, 97 + i % 26]) for i in range(600)))
+    assert not known
+    known.of(b"the THE the. The, the")
+    assert list(known) == [b"the"]

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -35,16 +36,24 @@ from tidemark.session import written
 
 CAPACITY, END = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_WORDS, _PARTS = 300_000, 1_000_000  # remembered per worker, some 250 MB at most
+_WORDS = 160_000  # remembered per worker in each of two halves, some 70 MB at most
+_SEEN = (1 << 22) - 1
 # Letters whose lower case is one letter in every library, with marks that are never joined to letters.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:|*#$%&]*)")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_LAST_MARK = re.compile(rb"[.,!?;:](?<=[A-Za-z].)(?=[ \n])")
+# First bytes of U+0300 to U+036F, the marks that the tokenizer may join to a letter of A-Z or a-z.
+_JOINING = (b"\xcc", b"\xcd")
 
 
 class TokenIds(dict):
     """Words (without blanks) to their ids as little-endian bytes.
 
-    The tokenizer drops blanks and never joins across them, so a text's ids are its words' ids. A plain
-    word is looked up by its lower-case letters and its marks apart, which the tokenizer also keeps apart.
+    The tokenizer drops blanks and never joins across them, so a text's ids are its words' ids. The letters
+    of a plain word and its marks are looked up apart, as the tokenizer also keeps them apart. Lower-case
+    letters are one piece to the tokenizer and stay as they are, so its model gets them at once. A word is
+    remembered when it comes the second time; when memory is full, the younger half stays, with what is asked
+    for again.
     """
 
     def __init__(self, path: str):
@@ -53,26 +62,48 @@ class TokenIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-
-    def _encoded(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= _PARTS:
-                self.parts.clear()
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            found = self.parts[part] = np.array(ids, "<u4").tobytes()
-        return found
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelt = {ord(c): split(c)[0][0] for c in _LETTERS}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.seen = bytearray(_SEEN + 1)
+
+    def of(self, text: bytes) -> bytes:
+        """The ids of a whole text."""
+        if not any(mark in text for mark in _JOINING):
+            text = text.lower()
+        return b"".join([self[w] for w in _LAST_MARK.sub(rb" \g<0>", text).split()])
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text)
+        if not plain:
+            return self._encoded(text)
+        letters, marks = plain.groups()
+        ids = [token.id for token in self.model.tokenize(letters.lower().translate(self.spelt))] if letters else []
+        after = b""
+        if marks and (after := self.marks.get(marks)) is None:
+            after = self._encoded(marks)
+            if len(marks) < 4:
+                self.marks[marks] = after
+        return struct.pack(f"<{len(ids)}I", *ids) + after
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if plain := _PLAIN.fullmatch(text):
-            letters, marks = plain.groups()
-            ids = (self._encoded(letters.lower()) if letters else b"") + (self._encoded(marks) if marks else b"")
-        else:
-            ids = self._encoded(text)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._new(word)
+            place = hash(word) & _SEEN
+            if not self.seen[place]:
+                self.seen[place] = 1
+                return ids
         if len(self) >= _WORDS:
+            self.older = dict(self)
             self.clear()
+            self.seen = bytearray(_SEEN + 1)
         self[word] = ids
         return ids
 
@@ -97,7 +128,7 @@ def token_pieces(
         for doc_ids, texts in chunks(batches, ["doc_id", "text"]):
             rows: list[tuple] = []
             for doc_id, text in zip(doc_ids, texts, strict=True):
-                body = b"".join([known[w] for w in text.split()]) + last
+                body = known.of(text) + last
                 for piece, at in enumerate(range(0, len(body), 4 * capacity)):
                     ids = body[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(ids) // 4, zlib.crc32(ids), ids))

@@ -77,3 +77,31 @@ def test_bitmaps_of_large_sets_rule_out_other_sets(spark):
     assert may[0, 2] and may[2, 0] and may[0, 0]
     assert not may[0, 1] and not may[1, 2]
     assert len(rows[0][2]) == len(rows[2][2]) // 2 or len(rows[0][2]) == len(rows[2][2])
+
+
+def test_a_large_group_of_near_copies_leaves_few_pairs(spark):
+    """Neighbours by bitmap, a few for every set, leave few classes of which all pairs are compared."""
+    random = np.random.default_rng(3)
+    family = [[f"w{i}" for i in range(150)]]
+    while len(family) < 400:  # copies of copies, so that few of all pairs link
+        child = list(family[random.integers(max(0, len(family) - 40), len(family))])
+        for at in random.integers(0, 150, 2):
+            child[at] = f"x{random.integers(1 << 30)}"
+        family.append(child)
+    sets = jaccard._sets([" ".join(words).encode() for words in family])
+    rows = [(i, len(s), jaccard._bitmap(s)) for i, s in enumerate(sets)]
+    stored = spark.createDataFrame(rows, "sid long, n long, bits array<long>").repartition(1).cache()
+    placed = stored.select("sid", F.col("sid").alias("root"))
+    pairs = {tuple(sorted((r.x, r.y))) for r in jaccard._neighbours(placed, stored, 80, 1).collect()}
+    assert len(pairs) <= jaccard.BITMAP * jaccard.NEIGHBOURS * len(family)
+    link = lambda a, b: 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))
+    least = list(range(len(family)))
+    for a, b in sorted(pairs):
+        if least[a] != least[b] and link(a, b):
+            low, high = sorted((least[a], least[b]))
+            least = [low if x == high else x for x in least]
+    left = [(a, b) for b in range(len(family)) for a in range(b) if least[a] != least[b] and link(a, b)]
+    linking = sum(link(a, b) for b in range(len(family)) for a in range(b))
+    assert linking > 500 and len(left) < 10
+    joined = placed.withColumn("root", F.lit(0).cast("long"))
+    assert jaccard._neighbours(joined, stored, 80, 1).isEmpty()

@@ -9,11 +9,13 @@ Candidates share an n-gram in the first ``n - ceil(t n) + 1`` n-grams of that or
 leave enough n-grams after the shared one. The sets of an n-gram are counted over the whole corpus, and only
 n-grams of several sets go on; a set whose first n-grams are all its own, as those of a text that shares a
 passage with many, has no candidate. Equal sets are one node, so copies cost nothing. Links are needed only to
-find the classes, which takes three rounds:
+find the classes, which takes three steps:
 
 1. every set is compared with a few of the sets it shares n-grams with, the first by several orders that are the
    same for all n-grams;
-2. the same once more with other orders, for sets and n-grams whose sets are still in different classes;
+2. sets of which an n-gram's sets are still in different classes are compared with those that stand next to them when
+   sorted by their bitmaps, in several orders, and again while a round finds enough links: in a large group of near
+   copies most pairs do not link, and similar ones have to be found;
 3. sets of one n-gram that are still in different classes are all compared, so no link is lost. Of n-grams
    with the same sets one is enough: that which is first in the order.
 
@@ -47,10 +49,10 @@ FRAGMENTS = 4
 LOW = 1 << 62
 BITMAP = 16
 NEEDED_BITS = 25
-#: Others that a set is compared with in a round of few.
-ORDERS = 3
-#: Rounds of few before all pairs that are left.
-ROUNDS = 2
+#: Others that a set is compared with in the first round, and neighbours per word of its bitmap in later ones.
+ORDERS, NEIGHBOURS = 3, 4
+#: Rounds of few before all pairs that are left, at most; from the second on they end when few links are found.
+ROUNDS, WORTH = 3, 20
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -169,10 +171,10 @@ def _candidates(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(rows, "candidates")
 
 
-def _first_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+def _first_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """For every set up to ``ORDERS`` others of another class with which it shares a candidate n-gram: ``x, y``."""
     member = F.struct("sid", "n", "pos", "root")
-    rank = [F.xxhash64(F.lit(turn * ORDERS + i), "sid") for i in range(ORDERS)]
+    rank = [F.xxhash64(F.lit(i), "sid") for i in range(ORDERS)]
     firsts = placed.groupBy("gram").agg(*[F.min(F.struct(r.alias("rank"), member.alias("set"))).alias(f"f{i}") for i, r in enumerate(rank)])
     met = placed.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "root")]).join(firsts, "gram")
 
@@ -185,6 +187,30 @@ def _first_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     return best.select("x", F.explode(others).alias("y"))
 
 
+def _neighbours(placed: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs ``x, y`` of open sets of different classes that stand close together in one of ``BITMAP`` orders.
+
+    Sets that link differ in few bits, so that some word of their bitmaps is the same; among the sets with that word
+    those with similar other words stand next to each other. Every set meets the next few in each order.
+    """
+    open_sets = placed.groupBy("sid").agg(F.first("root").alias("root")).join(sets.select("sid", "n", "bits"), "sid")
+    rows = open_sets.select("*", F.posexplode("bits").alias("at", "word")).filter("word <> 0")
+    words = [F.get("bits", (F.col("at") + turn * BITMAP // ROUNDS + i) % BITMAP) for i in range(BITMAP)]
+    order = W.partitionBy("at", "word").orderBy(*words, "sid")
+    own = F.struct("sid", "root", "n", "bits")
+    near = F.array(*[F.lead(own, i).over(order) for i in range(1, NEIGHBOURS + 1)])
+
+    def fits(other):
+        total = F.col("n") + other["n"]
+        sized = F.least(F.col("n"), other["n"]) * 100 >= F.greatest(F.col("n"), other["n"]) * percent
+        narrow = total - _apart(F.col("bits"), other["bits"]) >= 2 * _least(total, percent)
+        return other.isNotNull() & (other["root"] != F.col("root")) & sized & narrow
+
+    met = rows.select("sid", "root", "n", "bits", near.alias("near"))
+    chosen = F.transform(F.filter("near", fits), lambda other: other["sid"])
+    return met.select(F.col("sid").alias("x"), F.explode(chosen).alias("y"))
+
+
 def _apart(one, other):
     return sum((F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(BITMAP)), F.lit(0))
 
@@ -299,7 +325,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     candidates = _candidates(docs, sets, percent)
     placed, tried, links = candidates.withColumn("root", F.col("sid")), None, None
     for turn in range(ROUNDS):
-        pairs = _likely(_first_pairs(placed, percent, turn), sets, percent)
+        few = _neighbours(placed, sets, percent, turn) if turn else _first_pairs(placed, percent)
+        pairs = _likely(few, sets, percent)
         if tried is not None:
             pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty() and turn:
@@ -308,6 +335,8 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         placed = _open(candidates, components(links))
+        if turn and found.count() * WORTH < pairs.count():
+            break
     open_sets = written(placed.join(sets.select("sid", "bits", "wide"), "sid"), "open")
     columns = ("sid", "n", "pos", "root", "bits", "wide")
     x = open_sets.select("gram", *[F.col(c).alias(f"{c}_x") for c in columns])
@@ -318,7 +347,9 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     near &= _may_link(*[F.col(f"{c}_{end}") for c in ("n", "bits", "wide") for end in "xy"], percent)
     rest = x.join(y, (x["gram"] == y["gram"]) & apart & near)
     rest = rest.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b"), n_x.cast("long").alias("n_a"), n_y.cast("long").alias("n_b"))
-    more = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    # Stored first, or else Spark compares the pairs with those tried once for every n-gram they share.
+    rest = written(rest.distinct(), "rest")
+    more = written(rest.join(tried, ["a", "b"], "left_anti"), "more-pairs")
     links = links.union(_linked(more, docs, percent)) if not more.isEmpty() else links
     return members.select("doc_id", "n", "sid"), written(links, "all-links")
 

@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_streams import land, rows_of, source
 
+from tidemark.functions import links
 from tidemark.operators import feed, governance
+from tidemark.session import checkpoint
 from tidemark.streaming import boards, classes, violations
 
 VIOLATION = "project STRING, kind STRING"
@@ -140,3 +142,20 @@ def test_merges_that_arrive_later(spark, tmp_path):
     small = spark.createDataFrame([(990, 991)], "a LONG, b LONG")
     classes.merge(small, path, 5)
     assert spark.read.parquet(f"{path}/v00000001-{6:012d}").collect() == [(991, 990)]
+
+
+def test_merges_send_no_side_through_the_driver(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df)
+
+    monkeypatch.setattr(classes, "checkpoint", seen)
+    monkeypatch.setattr(links, "checkpoint", seen)
+    for batch in range(2):
+        edges = spark.range(batch * 50, batch * 50 + 80).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        classes.merge(edges, f"{tmp_path}/classes", batch)
+    everyone = spark.range(131).withColumnRenamed("id", "member")
+    assert {r.name for r in classes.classes_of(everyone, f"{tmp_path}/classes").collect()} == {0}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

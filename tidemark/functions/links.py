@@ -43,20 +43,20 @@ def groups(edges: DataFrame, source: str, target: str) -> DataFrame:
     """What hangs together over ``edges``, many to many: ``node`` and ``group``, the smallest node reached.
 
     Labels take the smallest label of a neighbour and then the label of that label, so the distance
-    covered doubles; each round is checkpointed. Ends when no label changes.
+    covered doubles; each round is checkpointed. Ends when no label changes. No side of a round is sent through the driver.
     """
     pairs = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("group")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("group").alias("__near"))
-        better = labels.join(near, F.col("node") == F.col("a"), "left").select(
+        near = both.join(labels.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("group").alias("__near"))
+        better = labels.join(near.hint("merge"), F.col("node") == F.col("a"), "left").select(
             "node", F.least("group", "__near").alias("group"), F.col("group").alias("__before")
         )
         better = checkpoint(better)
         ahead = better.select(F.col("node").alias("__at"), F.col("group").alias("__ahead"))
         moved = checkpoint(
-            better.join(ahead, F.col("group") == F.col("__at"), "left").select(
+            better.join(ahead.hint("merge"), F.col("group") == F.col("__at"), "left").select(
                 "node", F.least("group", "__ahead").alias("group"), "__before"
             )
         )

@@ -2,7 +2,8 @@
 
 A class is named by its smallest member. What is stored is one row per member that is not the name: what it was
 merged into when that was found out. A row is never changed, because a name that is merged gets a row of its own;
-so a member's class is the end of its chain of rows. A batch follows the chains of its own members only.
+so a member's class is the end of its chain of rows. A batch follows the chains of its own members only. Members and
+rows are joined where they are, never sent through the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def _names(members: DataFrame, known: DataFrame | None) -> DataFrame:
     at = members.select("member", F.col("member").alias("name"))
     if known is None:
         return at
-    step = known.select(F.col("member").alias("name"), F.col("into").alias("__into"))
+    step = known.select(F.col("member").alias("name"), F.col("into").alias("__into")).hint("merge")
     while True:
         moved = checkpoint(at.join(step, "name", "left"))
         at = moved.select("member", F.coalesce("__into", "name").alias("name"))
@@ -44,7 +45,7 @@ def merge(edges: DataFrame, path: str, batch: int) -> None:
     known = _rows(spark, path, version)
     given = checkpoint(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL"))
     members = given.select(F.col("a").alias("member")).union(given.select("b")).distinct()
-    names = checkpoint(_names(members, known))
+    names = checkpoint(_names(members, known)).hint("merge")
     ends = given.join(names.toDF("a", "name_a"), "a").join(names.toDF("b", "name_b"), "b")
     joined = groups(ends, "name_a", "name_b").select(F.col("node").alias("member"), F.col("group").alias("into"))
     joined.filter("member <> into").write.mode("overwrite").parquet(f"{path}/{version}")

@@ -32,6 +32,20 @@ def test_rule_chain(spark):
     assert [r.path for r in chain if r.project == "home"] == ["/home/u/.codex/AGENTS.md", "/AGENTS.md"]
 
 
+def test_rule_chain_looks_before_it_ranks(spark):
+    there = files(spark, *[(p, "") for p in ("/w/AGENTS.md", "/w/AGENTS.md", "/w/.claude/CLAUDE.md", "/h/.claude/CLAUDE.md", "/h/.codex/AGENTS.md", "/wAGENTS.md")])
+    projects = spark.createDataFrame([("p", "/w"), ("p", "/w"), ("q", "/h"), ("none", None)], "project STRING, root STRING")
+    chain = gov.rule_chain(there, projects, home="/h")
+    assert sorted(map(tuple, chain.collect())) == [
+        ("none", 1, "/h/.codex/AGENTS.md"), ("none", 2, "/h/.claude/CLAUDE.md"),
+        ("p", 1, "/w/AGENTS.md"), ("p", 2, "/w/.claude/CLAUDE.md"), ("p", 3, "/h/.codex/AGENTS.md"), ("p", 4, "/h/.claude/CLAUDE.md"),
+        ("q", 1, "/h/.claude/CLAUDE.md"), ("q", 2, "/h/.codex/AGENTS.md"),
+    ]
+    # Only files that are there are grouped by project, not every name on every level.
+    plan = chain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [project") < plan.index("Join")
+
+
 def test_symlinks(spark):
     rows = [("/a/real", False, None), ("/a/one", True, "real"), ("/b/two", True, "../a/one"), ("/b/dead", True, "/none"), ("/c/x", True, "y"), ("/c/y", True, "x"), ("/c/self", True, "self")]
     linked = spark.createDataFrame(rows, "path STRING, is_symlink BOOLEAN, target STRING")

@@ -126,22 +126,27 @@ def rule_chain(files: DataFrame, projects: DataFrame, *, home: str | None = None
     """
     here = F.concat(F.array(F.lit("")), paths.self_and_ancestors(F.col("root")))
     names = F.array(*[F.lit(n) for n in RULE_FILES])
-    wanted = projects.select("project", F.posexplode(F.reverse(here)).alias("depth", "dir")).select(
-        "project", "depth", "dir", F.posexplode(names).alias("nth", "name")
+    named = [
+        F.struct(F.lit(i).alias("nth"), F.substring("path", F.lit(1), F.length("path") - len(n) - 1).alias("dir"), F.endswith("path", F.lit(f"/{n}")).alias("fits"))
+        for i, n in enumerate(RULE_FILES)
+    ]
+    # Folders look for the few files that are there, instead of every name on every level of every project.
+    there = files.select(F.inline(F.filter(F.array(*named), lambda r: r.fits))).select("dir", "nth").distinct()
+    found = (
+        projects.select("project", F.posexplode(F.reverse(here)).alias("depth", "dir"))
+        .join(there.hint("merge"), "dir")
+        .select("project", "depth", "nth", F.concat("dir", F.lit("/"), names[F.col("nth")]).alias("path"))
     )
-    wanted = wanted.select("project", "depth", "nth", F.concat("dir", F.lit("/"), "name").alias("path"))
     if home is not None:
-        own = F.array(*[F.lit(f"{home.rstrip('/')}/{n}") for n in USER_RULE_FILES])
-        wanted = wanted.unionByName(
-            projects.select("project", F.posexplode(own).alias("nth", "path")).withColumn("depth", F.lit(1 << 20))
-        )
-    first = wanted.groupBy("project", "path").agg(F.min(F.struct("depth", "nth")).alias("at"))
+        own = [f"{home.rstrip('/')}/{n}" for n in USER_RULE_FILES]
+        # At most as many rows as there are names, so every task gets them.
+        listed = files.filter(F.col("path").isin(own)).select("path").distinct()
+        nth = F.array_position(F.array(*[F.lit(p) for p in own]), F.col("path")).cast("int") - 1
+        last = projects.select("project").crossJoin(F.broadcast(listed.select(nth.alias("nth"), "path")))
+        found = found.unionByName(last.withColumn("depth", F.lit(1 << 20)))
+    first = found.groupBy("project", "path").agg(F.min(F.struct("depth", "nth")).alias("at"))
     order = W.partitionBy("project").orderBy("at")
-    return (
-        first.join(files.select("path"), "path", "left_semi")
-        .withColumn("position", F.row_number().over(order).cast("long"))
-        .select("project", "position", "path")
-    )
+    return first.withColumn("position", F.row_number().over(order).cast("long")).select("project", "position", "path")
 
 
 def symlink_state(files: DataFrame) -> DataFrame:

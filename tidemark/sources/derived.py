@@ -117,7 +117,7 @@ def fs_entry(spark: SparkSession, folder: str) -> DataFrame:
     )
     owner = (
         table(spark, folder, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("top"))
     )
     order = (
@@ -151,7 +151,7 @@ def customer_dirs(spark: SparkSession, folder: str) -> DataFrame:
     )
     return (
         table(spark, folder, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal", "r_name", "n_name",
             F.concat(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,36 @@ def test_feed_queries_without_texts_do_not_read_documents(spark):
     for name in ("feed_timeline_ts", "feed_window_24h_timeline", "feed_daily_index", "feed_display_time", "feed_public_pool"):
         plan = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "documents.parquet" not in plan, name
+
+
+@pytest.mark.parametrize("row", [0, 30, 1 << 16])
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_related_by_lists_and_by_pairs(spark, monkeypatch, hops, row):
+    monkeypatch.setattr(feed, "ROW", row)
+    rng = random.Random(hops)
+    edges = [(0, n) for n in range(1, 25)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(None, 1), (1, None), (3, 3)]
+    given = [*range(0, 40, 3), 0, 77]
+    want = set()
+    for story in set(given):
+        seen, front = {story}, {story}
+        for hop in range(1, hops + 1):
+            front = {b for a, b in edges if a in front and a is not None and b is not None} - seen
+            seen |= front
+            want |= {(story, b, hop) for b in front}
+    links = spark.createDataFrame(edges, "story_id LONG, related_id LONG")
+    got = feed.related(spark.createDataFrame([(g,) for g in given], "story_id LONG"), links, hops=hops)
+    assert got.columns == ["story_id", "related_id", "hops"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_related_over_two_hops_does_not_shuffle_pairs(spark, tmp_path):
+    # Forty stories lead to ten that all lead to the same thousand: forty thousand pairs.
+    edges = spark.range(400).selectExpr("id % 40 AS story_id", "1000 + id DIV 40 AS related_id")
+    edges = edges.union(spark.range(10_000).selectExpr("1000 + id % 10", "5000 + id DIV 10"))
+    got = feed.related(spark.range(40).toDF("story_id"), edges, hops=2)
+    got.write.parquet(f"{tmp_path}/related")
+    assert spark.read.parquet(f"{tmp_path}/related").count() == 40 * 1010
+    # Pairs are made by the last step; nothing is grouped or dealt behind it.
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = next(i for i, line in enumerate(plan) if "explode(__reached" in line)
+    assert not any("Aggregate" in line or "Join" in line for line in plan[:made])

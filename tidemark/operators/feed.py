@@ -253,13 +253,65 @@ def resolve_story(alias: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
+#: Steps of all ways from a story up to which its related stories are held in one row; others are expanded pair by pair.
+ROW = 1 << 16
+
+
 def related(stories: DataFrame, edges: DataFrame, *, hops: int = 1) -> DataFrame:
     """Stories reached from the given ``stories`` over ``edges(story_id, related_id, kind)``, with the smallest number of hops.
 
-    Each hop expands only what the hop before reached for the first time.
+    Each hop expands only what the hop before reached for the first time. Over several hops a story's way on travels
+    as whole lists, which are far fewer than the pairs they hold. Edges with a null end lead nowhere.
     """
-    links = edges.select(F.col("story_id").alias("__from"), F.col("related_id").alias("__to")).distinct()
-    front = stories.select("story_id", F.col("story_id").alias("related_id")).distinct()
+    links = edges.select(F.col("story_id").alias("__from"), F.col("related_id").alias("__to"))
+    links = links.filter("__from IS NOT NULL AND __to IS NOT NULL").distinct()
+    start = stories.select("story_id").distinct()
+    if hops < 2:
+        return _related_by_pairs(start, links, hops)
+    degrees = links.groupBy("__from").agg(F.count(F.lit(1)).alias("__steps"))
+    steps = degrees
+    for _ in range(1, hops):
+        # Counted no further than needed, so that no sum overflows.
+        onward = steps.select(F.col("__from").alias("__to"), (F.least("__steps", F.lit(ROW)) + 1).alias("__onward"))
+        steps = (
+            links.join(onward.hint("merge"), "__to", "left")
+            .groupBy("__from").agg(F.sum(F.coalesce("__onward", F.lit(1))).alias("__steps"))
+        )
+    sized = start.join(steps.hint("merge"), F.col("story_id") == F.col("__from"))
+    few, many = (sized.filter(which).select("story_id") for which in (F.col("__steps") <= ROW, F.col("__steps") > ROW))
+    short = degrees.filter(F.col("__steps") <= ROW).select("__from")
+    return _related_by_lists(few, links.join(short.hint("merge"), "__from"), hops).unionByName(
+        _related_by_pairs(many, links, hops)
+    )
+
+
+def _related_by_lists(start: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    """``related`` for stories whose ways have no more than ``ROW`` steps; one row per story has what each hop reached."""
+    lists = links.groupBy(F.col("__from").alias("__node")).agg(F.collect_list("__to").alias("__list"))
+    fronts = start.select("story_id", F.array(F.array("story_id")).alias("__fronts"))
+    for _ in range(hops):
+        # Dealt by story before they are put together: rows with the same list are then still side by side.
+        reached = (
+            fronts.select("story_id", F.explode(F.element_at("__fronts", -1)).alias("__node"))
+            .join(lists.hint("merge"), "__node")
+            .select("story_id", "__list")
+            .repartition("story_id")
+            .groupBy("story_id").agg(F.flatten(F.collect_list("__list")).alias("__reached"))
+        )
+        known = F.flatten("__fronts")
+        new = F.array_except(F.coalesce("__reached", known), known)
+        fronts = fronts.join(reached.hint("merge"), "story_id", "left").select(
+            "story_id", F.array_append("__fronts", new).alias("__fronts")
+        )
+    return (
+        fronts.select("story_id", F.posexplode("__fronts").alias("hops", "__reached"))
+        .filter(F.col("hops") > 0)
+        .select("story_id", F.explode("__reached").alias("related_id"), "hops")
+    )
+
+
+def _related_by_pairs(start: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    front = start.select("story_id", F.col("story_id").alias("related_id"))
     reached = front.withColumn("hops", F.lit(0))
     for hop in range(1, hops + 1):
         front = (

@@ -116,3 +116,20 @@ def test_a_long_list_costs_little_more_than_a_short_one(spark):
     seconds(10)
     few, many = min(seconds(30) for _ in range(2)), min(seconds(len(pieces)) for _ in range(2))
     assert len(pieces) == 3000 and many < 2 * few + 2
+
+
+@pytest.mark.parametrize("held, join", [(lexicon.HELD, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_a_short_list_goes_to_the_texts(spark, corpus, monkeypatch, held, join):
+    monkeypatch.setattr(lexicon, "HELD", held)
+    phrases = spark.createDataFrame([("a", "a"), ("b", "ab"), ("c", "首"), ("c", "首"), ("d", "nowhere"), ("e", ""), ("f", None)], "rule STRING, phrase STRING")
+    # Not by the size that Spark expects of a list, which is far too low behind an explode and far too high behind a filter.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lexicon.counts(corpus, phrases)
+        assert join in got._jdf.queryExecution().executedPlan().toString()
+        rows = in_order(got.select("doc_id", "rule", "hits").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = [(r.doc_id, r.text or "") for r in corpus.collect()]
+    listed = [(r.rule, r.phrase) for r in phrases.collect() if r.phrase]
+    assert rows == in_order((i, rule, t.count(p)) for i, t in texts for rule, p in listed if p in t)

@@ -3,8 +3,9 @@
 A task sums the bytes of its texts once, so that the hash of any window is a difference of two sums. Windows of the
 lengths that phrases have are told from others by a bitmap of fixed size; of windows of 8 and more (4 and more)
 bytes only those are tried whose first 8 (4) bytes some phrase begins with. What a text may hold is counted where the
-text is, so one row per text and phrase leaves the task, and these rows meet the list by an equi-join on the phrase
-itself. No list is held in a task for that, and a full bitmap only lets more rows through to the join.
+text is, so one row per text and phrase is made, and these rows meet the list by an equi-join on the phrase itself.
+A list of up to ``HELD`` bytes goes to the tasks for that, so that the rows, whose number grows with texts times
+phrases, stay where they are; of a longer list no task holds the whole. A full bitmap only lets more rows through to the join.
 
 Phrases with blanks are decided where the text is. They come in blocks of ``BLOCK`` phrases, and texts are read once for
 each block.
@@ -34,6 +35,9 @@ BLANK = "xxx"
 BLOCK = 1 << 15
 #: Bytes of text that a task works on at a time; a text is never cut.
 CHUNK = 1 << 19
+#: Bytes of a list that is sent to every task, each phrase counted with ``ROW`` bytes more.
+HELD = 1 << 25
+ROW = 64
 # What ends a sentence for a blank.
 STOPS = "。！？\n"
 
@@ -123,7 +127,12 @@ class _Bitmap:
             yield size, held if at is None else at[held], hashes[held]
 
 
-def _bitmap(phrases: DataFrame) -> _Bitmap | None:
+def _lengths(phrases: DataFrame) -> dict[int, int]:
+    """How many phrases there are of each number of bytes."""
+    return {r[0]: r[1] for r in phrases.groupBy(F.octet_length("phrase")).count().collect()}
+
+
+def _bitmap(phrases: DataFrame, sizes: list[int]) -> _Bitmap:
     """The bitmap of a column ``phrase``; at most ``2 ** BITS`` bits come to the driver."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +147,6 @@ def _bitmap(phrases: DataFrame) -> _Bitmap | None:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits) if bits else [], pa.int64())], names=["bit"])
 
     with_package(phrases.sparkSession)
-    sizes = sorted(r[0] for r in phrases.select(F.octet_length("phrase")).distinct().collect())
-    if not sizes:
-        return None
     table = (
         phrases.select("phrase").mapInArrow(place, "bit long")
         .groupBy(F.shiftright("bit", 6).alias("word"))
@@ -215,15 +221,16 @@ def _rows(docs: DataFrame, key: str) -> DataFrame:
     return docs.filter("text <> ''").select(key, F.monotonically_increasing_id().alias("row"), "text")
 
 
-def _held(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+def _held(docs: DataFrame, phrases: DataFrame, key: str, lengths: dict[int, int] | None = None) -> DataFrame:
     """``key, row, phrase, hits`` of every phrase a text has, and of some strings that are no phrases."""
     rows = _rows(docs, key)
     schema = T.StructType(
         [rows.schema[key], rows.schema["row"], T.StructField("phrase", T.StringType()), T.StructField("hits", T.LongType())]
     )
-    bitmap = _bitmap(phrases)
-    if bitmap is None:
+    sizes = sorted(_lengths(phrases) if lengths is None else lengths)
+    if not sizes:
         return docs.sparkSession.createDataFrame([], schema)
+    bitmap = _bitmap(phrases, sizes)
     shared = docs.sparkSession.sparkContext.broadcast((bitmap.sizes, bitmap.words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +257,13 @@ def _held(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(count, schema)
 
 
+def _met(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """``_held`` without the strings that are no phrases, and the other columns of ``phrases``."""
+    lengths = _lengths(phrases)
+    small = sum((size + ROW) * n for size, n in lengths.items()) <= HELD
+    return _held(docs, phrases, key, lengths).join(phrases.hint("broadcast" if small else "merge"), "phrase")
+
+
 def _valid(found: bytes) -> bool:
     """Whether a string neither begins nor ends inside a character."""
     try:
@@ -267,7 +281,7 @@ def counts(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFram
     """
     named = [c for c in phrases.columns if c != "phrase"]
     listed = phrases.filter("phrase <> ''")
-    return _held(docs, listed, key).join(listed, "phrase").select(key, "row", *named, "phrase", "hits")
+    return _met(docs, listed, key).select(key, "row", *named, "phrase", "hits")
 
 
 def _in_order(parts: list[list[tuple[int, int, int, int]]]) -> bool:
@@ -376,7 +390,7 @@ def present(docs: DataFrame, phrases: DataFrame, key: str = "doc_id") -> DataFra
     split = F.filter(F.split("whole", BLANK), lambda p: p != "")
     wholes = phrases.select(F.col("phrase").alias("whole")).distinct().select("whole", split.alias("parts"))
     alone = wholes.filter(F.size("parts") == 1).select("whole", F.col("parts")[0].alias("phrase"))
-    found = _held(docs, alone, key).join(alone, "phrase").select(key, "row", F.col("whole").alias("phrase"))
+    found = _met(docs, alone, key).select(key, "row", F.col("whole").alias("phrase"))
     several = wholes.filter(F.size("parts") > 1)
     blocks = -(-several.count() // BLOCK)
     for n in range(blocks):

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,47 @@ def test_a_short_list_goes_to_the_texts(spark, corpus, monkeypatch, held, join):
     texts = [(r.doc_id, r.text or "") for r in corpus.collect()]
     listed = [(r.rule, r.phrase) for r in phrases.collect() if r.phrase]
     assert rows == in_order((i, rule, t.count(p)) for i, t in texts for rule, p in listed if p in t)
+
+
+@pytest.mark.parametrize("packed, blocks", [(100, 1), (3, 4)])
+def test_a_longer_list_is_packed_and_no_row_is_shuffled(spark, monkeypatch, packed, blocks):
+    """One row per text and phrase is many times the text, so a join of these rows by a shuffle fills the disks."""
+    random_ = random.Random(7)
+    texts = ["".join(random_.choice("aab é首😀。\n") for _ in range(random_.randrange(0, 150))) for _ in range(60)] + [None, "", "ab" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    words = {"a", "aa", "é", "首", "😀", "aabaab", "ababababab", "never there", ""}
+    words |= {"".join(random_.choice("aab é首😀") for _ in range(random_.randrange(1, 12))) for _ in range(120)}
+    listed = [(f"r{i}", w, None if i % 3 else i) for i, w in enumerate(sorted(words))] + [("again", "aab", 1), ("again", "aab", 1), ("none", None, 2)]
+    phrases = spark.createDataFrame(listed, "rule STRING, phrase STRING, n INT")
+    held = lexicon._bytes(phrases.filter("phrase <> ''")) // (packed * blocks) + 1 if blocks > 1 else 2_000
+    monkeypatch.setattr(lexicon, "HELD", held)
+    monkeypatch.setattr(lexicon, "PACKED", packed)
+    got = lexicon.counts(docs, phrases)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == blocks and "Join" not in plan and "Exchange" not in plan
+    rows = in_order(got.select("doc_id", "rule", "n", "phrase", "hits").collect())
+    assert rows == in_order((i, r, n, p, t.count(p)) for i, t in enumerate(texts) if t for r, p, n in listed if p and p in t)
+    variety = style.phrase_variety(docs, phrases.select("phrase"), minimum=9).collect()
+    seen = [(i, sum(p in (t or "") for p in {p for _, p, _ in listed if p})) for i, t in enumerate(texts)]
+    assert in_order(variety) == in_order((i, n, n >= 9) for i, n in seen)
+
+
+def test_packed_phrases_that_share_a_hash(monkeypatch):
+    """The hash only leads to a phrase, so all of one length may have the same."""
+    monkeypatch.setattr(lexicon, "_LETTER", np.ones(256, np.uint64))
+    listed = pa.table({"phrase": ["ba", "ab", "aba", "é", "bb", "ab", "首", "abababab", "babababa"], "n": list(range(9))})
+    texts = ["abab abbé", "首", "a", "b", "babababab"]
+    held = lexicon._Packed(listed)
+    got = []
+    for size, number, text, at in held.places(lexicon._Texts([t.encode() for t in texts])):
+        rows, which = held.listed(number)
+        got += zip(held.rows.take(rows)["phrase"].to_pylist(), held.rows.take(rows)["n"].to_pylist(), text[which].tolist(), at[which].tolist(), strict=True)
+    starts = [len("\n".join(texts[:i]).encode()) + (i > 0) for i in range(len(texts))]
+    want = [
+        (p, n, i, starts[i] + at)
+        for n, p in enumerate(listed["phrase"].to_pylist())
+        for i, t in enumerate(texts)
+        for at in range(len(t.encode()))
+        if t.encode()[at:].startswith(p.encode())
+    ]
+    assert sorted(got) == sorted(want)

@@ -5,7 +5,10 @@ lengths that phrases have are told from others by a bitmap of fixed size; of win
 bytes only those are tried whose first 8 (4) bytes some phrase begins with. What a text may hold is counted where the
 text is, so one row per text and phrase is made, and these rows meet the list by an equi-join on the phrase itself.
 A list of up to ``HELD`` bytes goes to the tasks for that, so that the rows, whose number grows with texts times
-phrases, stay where they are; of a longer list no task holds the whole. A full bitmap only lets more rows through to the join.
+phrases, stay where they are. A longer list goes there in blocks of ``PACKED`` times that, packed by length and hash
+(``_Packed``): places are held against the phrases themselves in the task, nothing is shuffled, and texts are read once for
+each block. Only a list of more than ``SCANS`` blocks is joined by a shuffle of those rows; of such a list no task holds the
+whole. A full bitmap only lets more rows through to the join, or more places to the comparison.
 
 Phrases with blanks are decided where the text is. They come in blocks of ``BLOCK`` phrases, and texts are read once for
 each block.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import with_package
+from tidemark.session import checkpoint, with_package
 
 
 #: Windows are tried by so many of their first bytes before they are tried whole.
@@ -38,6 +42,11 @@ CHUNK = 1 << 19
 #: Bytes of a list that is sent to every task, each phrase counted with ``ROW`` bytes more.
 HELD = 1 << 25
 ROW = 64
+#: Blocks of a longer list, in lists of ``HELD`` bytes with all their columns, and how many of them texts are read for.
+PACKED = 4
+SCANS = 32
+#: Rows that a task hands on at a time, or the first number beyond it.
+HANDED = 1 << 16
 # What ends a sentence for a blank.
 STOPS = "。！？\n"
 
@@ -216,6 +225,17 @@ def _apart(places: np.ndarray, size: int) -> int:
     return taken
 
 
+def _counted(text: np.ndarray, hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of the same text and hash begin, and how many of the places of each are taken."""
+    begins, ends = _runs(text, hashes)
+    hits = ends - begins
+    # Only runs with neighbours that overlap are walked.
+    close = np.flatnonzero((np.diff(at) < size) & (text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1]))
+    for run in np.unique(np.searchsorted(begins, close, "right") - 1).tolist():
+        hits[run] = _apart(at[begins[run] : ends[run]], size)
+    return begins, hits
+
+
 def _rows(docs: DataFrame, key: str) -> DataFrame:
     with_package(docs.sparkSession)
     return docs.filter("text <> ''").select(key, F.monotonically_increasing_id().alias("row"), "text")
@@ -237,12 +257,7 @@ def _held(docs: DataFrame, phrases: DataFrame, key: str, lengths: dict[int, int]
         held = _Bitmap(*shared.value)
         for batch, texts in _chunks(batches):
             for size, text, hashes, at in texts.places(held):
-                begins, ends = _runs(text, hashes)
-                hits = ends - begins
-                # Only runs with neighbours that overlap are walked.
-                close = np.flatnonzero((np.diff(at) < size) & (text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1]))
-                for run in np.unique(np.searchsorted(begins, close, "right") - 1).tolist():
-                    hits[run] = _apart(at[begins[run] : ends[run]], size)
+                begins, hits = _counted(text, hashes, at, size)
                 found = [texts.body[a : a + size] for a in at[begins].tolist()]
                 whole = [i for i, f in enumerate(found) if _valid(f)]
                 at_rows = pa.array(text[begins[whole]] if whole else [], pa.int64())
@@ -257,11 +272,136 @@ def _held(docs: DataFrame, phrases: DataFrame, key: str, lengths: dict[int, int]
     return rows.mapInArrow(count, schema)
 
 
+class _Packed:
+    """Phrases with the columns of their list, packed in order of length and hash."""
+
+    def __init__(self, listed: pa.Table) -> None:
+        coded = pa.chunked_array(listed.column("phrase")).combine_chunks().cast(pa.binary()).dictionary_encode()
+        names = coded.dictionary
+        starts = np.frombuffer(names.buffers()[1], np.int32)[names.offset :][: len(names) + 1].astype(np.int64)
+        body, sizes = np.frombuffer(names.buffers()[2], np.uint8), np.diff(starts)
+        hashes, words = np.zeros(len(names), np.uint64), np.zeros((1 << BITS) // 64, np.uint64)
+
+        def tell(at: np.ndarray, size: int, salt: int) -> np.ndarray:
+            """The hashes of the first ``size`` bytes of the phrases ``at``, which the bitmap now has."""
+            up, _ = _powers.upto(size)
+            own = np.zeros(len(at), np.uint64)
+            for i in range(size):
+                own += _LETTER[body[starts[at] + i]] * up[i]
+            for bits in _bits(own, salt):
+                np.bitwise_or.at(words, bits >> 6, np.uint64(1) << (bits & 63).view(np.uint64))
+            return own
+
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            hashes[at] = tell(at, size, 0)
+            anchor = next((a for a in ANCHORS if a <= size), 0)
+            if anchor:
+                tell(at, anchor, anchor)
+        order = np.lexsort((hashes, sizes))
+        #: Per length the number of its first phrase, and in order the hashes and the phrases.
+        self.known: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes).tolist():
+            first, behind = np.searchsorted(sizes[order], (size, size + 1)).tolist()
+            own = order[first:behind]
+            self.known[size] = (first, hashes[own], body[starts[own][:, None] + np.arange(size)])
+        self.bitmap = _Bitmap(sorted(self.known), words)
+        number = np.empty(len(names), np.int64)
+        number[order] = np.arange(len(names))
+        rows = number[coded.indices.to_numpy(zero_copy_only=False)]
+        #: The rows of the list in order of their phrases, and where those of each phrase begin.
+        self.rows = listed.take(np.argsort(rows, kind="stable")).combine_chunks()
+        self.first = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(names)))]
+
+    def places(self, texts: _Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length where phrases are, in order of phrase, text and place: ``size, phrase, text, place``."""
+        for size, at, hashes in self.bitmap.found(_Windows(texts.bytes)):
+            first, known, names = self.known[size]
+            windows = np.lib.stride_tricks.sliding_window_view(texts.bytes, size)
+            number, found = np.searchsorted(known, hashes), []
+            # More than one round only if phrases of one length share a hash.
+            while len(at):
+                same = np.flatnonzero(known[np.minimum(number, len(known) - 1)] == hashes)
+                same = same[number[same] < len(known)]
+                at, hashes, number = at[same], hashes[same], number[same]
+                equal = (windows[at] == names[number]).all(axis=1)
+                found.append((at[equal], number[equal]))
+                at, hashes, number = at[~equal], hashes[~equal], number[~equal] + 1
+            if not found:
+                continue
+            at, number = (np.concatenate(x) for x in zip(*found, strict=True))
+            text = np.searchsorted(texts.ends, at)
+            inside = at + size <= texts.ends[text]
+            at, number, text = at[inside], number[inside], text[inside]
+            order = np.lexsort((at, number * len(texts.ends) + text))
+            yield size, number[order] + first, text[order], at[order]
+
+    def listed(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of each phrase, and which of the phrases given each is of."""
+        many = self.first[number + 1] - self.first[number]
+        which = np.repeat(np.arange(len(number)), many)
+        return np.arange(len(which)) + (self.first[number] - np.cumsum(many) + many)[which], which
+
+
+def _packed(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """``key, row, hits`` and the columns of ``phrases``, a block that a task holds, of every phrase a text has."""
+    rows = _rows(docs, key)
+    named = phrases.columns
+    schema = T.StructType([rows.schema[key], rows.schema["row"], *phrases.schema.fields, T.StructField("hits", T.LongType())])
+    table = phrases.toArrow()
+    if not len(table):
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast(_Packed(table))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch, texts in _chunks(batches):
+
+            def rows_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                number, text, hits = (np.concatenate(x) for x in zip(*found, strict=True))
+                at, which = held.listed(number)
+                own, at_rows = held.rows.take(at), pa.array(text[which], pa.int64())
+                columns = [own.column(c).combine_chunks() for c in named]
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(at_rows), batch.column("row").take(at_rows), *columns, pa.array(hits[which], pa.int64())],
+                    names=[key, "row", *named, "hits"],
+                )
+
+            found, many = [], 0
+            for size, number, text, at in held.places(texts):
+                begins, hits = _counted(number, text, at, size)
+                found.append((number[begins], text[begins], hits))
+                many += len(begins)
+                if many >= HANDED:
+                    yield rows_of(found)
+                    found, many = [], 0
+            if many:
+                yield rows_of(found)
+
+    return rows.mapInArrow(count, schema)
+
+
+def _bytes(phrases: DataFrame) -> int:
+    """The bytes of a list with all its columns, each row counted with ``ROW`` bytes more."""
+    row = F.lit(ROW)
+    for c in phrases.columns:
+        row = row + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return phrases.agg(F.sum(row)).first()[0] or 0
+
+
 def _met(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """``_held`` without the strings that are no phrases, and the other columns of ``phrases``."""
     lengths = _lengths(phrases)
-    small = sum((size + ROW) * n for size, n in lengths.items()) <= HELD
-    return _held(docs, phrases, key, lengths).join(phrases.hint("broadcast" if small else "merge"), "phrase")
+    if sum((size + ROW) * n for size, n in lengths.items()) <= HELD:
+        return _held(docs, phrases, key, lengths).join(phrases.hint("broadcast"), "phrase")
+    blocks = -(-_bytes(phrases) // (PACKED * HELD)) if HELD else SCANS + 1
+    if blocks > SCANS:
+        return _held(docs, phrases, key, lengths).join(phrases.hint("merge"), "phrase")
+    if blocks == 1:
+        return _packed(docs, phrases, key)
+    stored = checkpoint(phrases)
+    parts = [_packed(docs, stored.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == n), key) for n in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _valid(found: bytes) -> bool:

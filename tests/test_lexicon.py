@@ -150,9 +150,12 @@ def test_a_longer_list_is_packed_and_no_row_is_shuffled(spark, monkeypatch, pack
     held = lexicon._bytes(phrases.filter("phrase <> ''")) // (packed * blocks) + 1 if blocks > 1 else 2_000
     monkeypatch.setattr(lexicon, "HELD", held)
     monkeypatch.setattr(lexicon, "PACKED", packed)
+    asked, packed_ = [], lexicon._packed
+    monkeypatch.setattr(lexicon, "_packed", lambda docs, listed, key: asked.append(len(listed)) or packed_(docs, listed, key))
     got = lexicon.counts(docs, phrases)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == blocks and "Join" not in plan and "Exchange" not in plan
+    # Texts are numbered and read once, whatever the number of blocks.
+    assert asked == [blocks] and plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
     rows = in_order(got.select("doc_id", "rule", "n", "phrase", "hits").collect())
     assert rows == in_order((i, r, n, p, t.count(p)) for i, t in enumerate(texts) if t for r, p, n in listed if p and p in t)
     variety = style.phrase_variety(docs, phrases.select("phrase"), minimum=9).collect()

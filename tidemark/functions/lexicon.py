@@ -6,9 +6,9 @@ bytes only those are tried whose first 8 (4) bytes some phrase begins with. What
 text is, so one row per text and phrase is made, and these rows meet the list by an equi-join on the phrase itself.
 A list of up to ``HELD`` bytes goes to the tasks for that, so that the rows, whose number grows with texts times
 phrases, stay where they are. A longer list goes there in blocks of ``PACKED`` times that, packed by length and hash
-(``_Packed``): places are held against the phrases themselves in the task, nothing is shuffled, and texts are read once for
-each block. Only a list of more than ``SCANS`` blocks is joined by a shuffle of those rows; of such a list no task holds the
-whole. A full bitmap only lets more rows through to the join, or more places to the comparison.
+(``_Packed``): places are held against the phrases themselves in the task and nothing is shuffled. A task holds one block
+at a time and looks through ``GATHERED`` bytes of texts for it. Only a list of more than ``SCANS`` blocks is joined by a
+shuffle of those rows. A full bitmap only lets more rows through to the join, or more places to the comparison.
 
 Phrases with blanks are decided where the text is. They come in blocks of ``BLOCK`` phrases, and texts are read once for
 each block.
@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +42,11 @@ CHUNK = 1 << 19
 #: Bytes of a list that is sent to every task, each phrase counted with ``ROW`` bytes more.
 HELD = 1 << 25
 ROW = 64
-#: Blocks of a longer list, in lists of ``HELD`` bytes with all their columns, and how many of them texts are read for.
+#: Blocks of a longer list, in lists of ``HELD`` bytes with all their columns, and how many of them texts are held against.
 PACKED = 4
 SCANS = 32
+#: Bytes of text that a task holds against one block after the other, or the first batch beyond them.
+GATHERED = 1 << 25
 #: Rows that a task hands on at a time, or the first number beyond it.
 HANDED = 1 << 16
 # What ends a sentence for a blank.
@@ -343,18 +345,34 @@ class _Packed:
         return np.arange(len(which)) + (self.first[number] - np.cumsum(many) + many)[which], which
 
 
-def _packed(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """``key, row, hits`` and the columns of ``phrases``, a block that a task holds, of every phrase a text has."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in lists of about ``GATHERED`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _loaded(shared: Broadcast) -> _Packed:
+    """A block of several, which the broadcast does not keep; one that is encrypted on disk comes into the task with it."""
+    path = getattr(shared, "_path", None)
+    return shared.load_from_path(path) if path else shared.value
+
+
+def _packed(docs: DataFrame, blocks: list[DataFrame], key: str) -> DataFrame:
+    """``key, row, hits`` and the columns of the list of every phrase a text has; a task holds one of the ``blocks`` at a time."""
     rows = _rows(docs, key)
-    named = phrases.columns
-    schema = T.StructType([rows.schema[key], rows.schema["row"], *phrases.schema.fields, T.StructField("hits", T.LongType())])
-    table = phrases.toArrow()
-    if not len(table):
-        return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(_Packed(table))
+    named = blocks[0].columns
+    schema = T.StructType([rows.schema[key], rows.schema["row"], *blocks[0].schema.fields, T.StructField("hits", T.LongType())])
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(_Packed(table)) for table in (block.toArrow() for block in blocks) if len(table)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+    def found_in(held: _Packed, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches):
 
             def rows_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
@@ -378,6 +396,14 @@ def _packed(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
             if many:
                 yield rows_of(found)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(shared) == 1:
+            yield from found_in(shared[0].value, batches)
+        else:
+            for texts in _gathered(batches):
+                for block in shared:
+                    yield from found_in(_loaded(block), iter(texts))
+
     return rows.mapInArrow(count, schema)
 
 
@@ -398,10 +424,9 @@ def _met(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     if blocks > SCANS:
         return _held(docs, phrases, key, lengths).join(phrases.hint("merge"), "phrase")
     if blocks == 1:
-        return _packed(docs, phrases, key)
+        return _packed(docs, [phrases], key)
     stored = checkpoint(phrases)
-    parts = [_packed(docs, stored.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == n), key) for n in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    return _packed(docs, [stored.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == n) for n in range(blocks)], key)
 
 
 def _valid(found: bytes) -> bool:
